@@ -1,9 +1,10 @@
 """The registered queries of this subpackage and their SQL."""
 
-from . import mixing, urls
+from . import mixing, near_dup, urls
 
 QUERIES = {
     "op3_mix": mixing.op3_mix,
+    "op4_near_dup": near_dup.op4_near_dup,
     "op5_url_filter": urls.op5_url_filter,
 }
-ORACLES = {"op3_mix": mixing.SQL, "op5_url_filter": urls.SQL}
+ORACLES = {"op3_mix": mixing.SQL, "op4_near_dup": near_dup.SQL, "op5_url_filter": urls.SQL}
