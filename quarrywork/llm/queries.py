@@ -1,10 +1,13 @@
 """The registered queries of this subpackage and their SQL."""
 
-from . import mixing, near_dup, urls
+from . import media, mixing, near_dup, packing, pii, urls
 
 QUERIES = {
+    "op1_media": media.op1_media,
+    "op2_personal_data": pii.op2_personal_data,
     "op3_mix": mixing.op3_mix,
     "op4_near_dup": near_dup.op4_near_dup,
     "op5_url_filter": urls.op5_url_filter,
+    "op7_pack": packing.op7_pack,
 }
 ORACLES = {"op3_mix": mixing.SQL, "op4_near_dup": near_dup.SQL, "op5_url_filter": urls.SQL}
