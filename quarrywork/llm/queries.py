@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their SQL."""
 
-from . import media, mixing, near_dup, packing, pii, urls
+from . import language, media, mixing, near_dup, packing, pii, quality, toxicity, urls
 
 QUERIES = {
     "op1_media": media.op1_media,
@@ -8,6 +8,9 @@ QUERIES = {
     "op3_mix": mixing.op3_mix,
     "op4_near_dup": near_dup.op4_near_dup,
     "op5_url_filter": urls.op5_url_filter,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op7_pack": packing.op7_pack,
+    "op8_language": language.op8_language,
+    "op9_quality": quality.op9_quality,
 }
 ORACLES = {"op3_mix": mixing.SQL, "op4_near_dup": near_dup.SQL, "op5_url_filter": urls.SQL}
