@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their SQL."""
 
-from . import language, media, mixing, near_dup, packing, pii, quality, toxicity, urls
+from . import language, media, mixing, near_dup, neighbours, packing, pii, quality, toxicity, urls
 
 QUERIES = {
     "op1_media": media.op1_media,
@@ -12,5 +12,6 @@ QUERIES = {
     "op7_pack": packing.op7_pack,
     "op8_language": language.op8_language,
     "op9_quality": quality.op9_quality,
+    "op10_neighbours": neighbours.op10_neighbours,
 }
 ORACLES = {"op3_mix": mixing.SQL, "op4_near_dup": near_dup.SQL, "op5_url_filter": urls.SQL}
