@@ -160,10 +160,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = shared.select("band", "node").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     members = settle(members, "dup-members")
     mixed = members.groupBy("band").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least < most").select("band")
-    open_ = settle(members.join(mixed, "band", "left_semi").join(sketches, "node"), "dup-open")
-    left, right = (open_.select("band", F.col("node").alias(x), F.col("component").alias(f"c{x}"), *[F.col(f"s{i}").alias(f"s{x}{i}") for i in range(BITS * WIDE)]) for x in "ab")
-    across = left.join(right, "band").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (_agreeing("sa", "sb") >= AGREE))
-    rest = settle(across.select("a", "b").distinct().join(first, ["a", "b"], "left_anti"), "dup-rest")
+    open_ = settle(members.join(mixed, "band", "left_semi"), "dup-open")
+    all_bands = signed.select(F.col("doc_id").alias("node"), "bands").join(open_.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    open_ = settle(open_.join(all_bands.join(sketches, "node"), "node"), "dup-open-signed")
+    left, right = (open_.select("band", F.col("node").alias(x), F.col("component").alias(f"c{x}"), F.col("bands").alias(f"bands_{x}"), *[F.col(f"s{i}").alias(f"s{x}{i}") for i in range(BITS * WIDE)]) for x in "ab")
+    # a pair comes from the first band that its nodes share, and from no other
+    once = F.element_at(F.array_intersect("bands_a", "bands_b"), 1) == F.col("band")
+    across = left.join(right, "band").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (_agreeing("sa", "sb") >= AGREE) & once)
+    rest = settle(across.select("a", "b").join(first, ["a", "b"], "left_anti"), "dup-rest")
     more = verify(rest, texts)
     joined = components(links.unionByName(more)) if not more.isEmpty() else joined
 
