@@ -19,9 +19,14 @@ def own_files(inventory: DataFrame) -> DataFrame:
     return inventory.join(any_own, "repo_id").filter(is_own() | ~F.col("_any")).drop("_any")
 
 
-def resolution_configs(inventory: DataFrame) -> DataFrame:
+def is_config() -> Column:
+    """Files that import resolution reads."""
     name = P.base_name(F.col("path"))
-    return inventory.filter(name.isin("package.json", "go.mod", "Cargo.toml", "pyproject.toml", "setup.py", "setup.cfg") | name.rlike(r"^(tsconfig|jsconfig)(\..+)?\.json$"))
+    return (name.isin("package.json", "go.mod", "Cargo.toml", "pyproject.toml", "setup.py", "setup.cfg") | name.rlike(r"^(tsconfig|jsconfig)(\..+)?\.json$"))
+
+
+def resolution_configs(inventory: DataFrame) -> DataFrame:
+    return inventory.filter(is_config())
 
 
 def line_contribution(inventory: DataFrame, files: DataFrame) -> DataFrame:
@@ -155,3 +160,12 @@ def select_graph_files(inventory: DataFrame, most: int) -> DataFrame:
 
 def skip_reason_counts(skipped: DataFrame) -> DataFrame:
     return skipped.groupBy("repo_id", "reason").agg(F.count("*").alias("files"))
+
+
+def check_references(keys: dict[str, tuple[DataFrame, DataFrame, list[str]]], wrong: dict[str, DataFrame]) -> DataFrame:
+    """rule, violations: for each key the rows without a partner (child, parent, columns), for each other rule its rows."""
+    out = None
+    for rule, rows in {**{k: child.join(parent.select(*on).distinct(), on, "left_anti") for k, (child, parent, on) in keys.items()}, **wrong}.items():
+        one = rows.agg(F.count("*").alias("violations")).select(F.lit(rule).alias("rule"), "violations")
+        out = one if out is None else out.unionByName(one)
+    return out

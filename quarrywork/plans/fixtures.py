@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -101,6 +102,7 @@ def needed(sql: str) -> list[str]:
 
 
 def view(spark: SparkSession, sf_dir: str, name: str, made: dict | None = None) -> DataFrame:
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))  # for Python workers of a local run
     made = {} if made is None else made
     if name not in made:
         if name in VIEWS:

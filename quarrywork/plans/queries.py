@@ -6,15 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import paths as P
 from ..functions import text as X
 from ..functions import values as V
+from ..operators import budgets as B
 from ..operators import graph as G
 from ..operators import history as H
+from ..operators import resolve as D
 from ..operators import rollups as R
 from ..operators import scores as S
+from ..operators import search as E
 from ..sources import tree as T
+from ..streaming import events as ST
 from .fixtures import duck, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -349,3 +354,116 @@ query("activity_heat", """SELECT repo_id, path, round(CASE WHEN age BETWEEN 0 AN
     lambda v: S.activity_heat(H.file_activity(v("fx_commits"), changes(v)), cursor(), 7).select("repo_id", "path", F.round("heat", 9).alias("heat")))
 query("dependency_strength", "SELECT repo_id, file, round(sqrt(degree / max(degree) OVER (PARTITION BY repo_id)), 9) AS strength FROM (SELECT repo_id, file, count(*) AS degree FROM ends GROUP BY repo_id, file)", ENDS)(
     lambda v: S.dependency_strength(G.degrees(v("fx_edges"))).select("repo_id", "file", F.round("strength", 9).alias("strength")))
+
+# --- budgets -------------------------------------------------------------------------------------------------------------
+
+CONFIG = r"(name IN ('package.json', 'go.mod', 'Cargo.toml', 'pyproject.toml', 'setup.py', 'setup.cfg') OR regexp_matches(name, '^(tsconfig|jsconfig)(\..+)?\.json$'))"
+query("fetch_plan_classify", f"""SELECT repo_id, path, CASE WHEN is_binary THEN 'binary' WHEN is_generated OR category = 'vendor' THEN 'generated' WHEN parser_language IS NOT NULL AND size <= 3000 THEN 'parse' WHEN {CONFIG} THEN 'free'
+  WHEN parser_language IS NOT NULL AND size <= 8000 THEN 'oversized' WHEN parser_language IS NOT NULL THEN 'size-limit' WHEN size <= 5000 THEN 'text' ELSE 'not-parseable' END AS class FROM inv""", INV)(
+    lambda v: (lambda i: i.select("repo_id", "path", B.fetch_class(R.is_config(), 3000, 8000, 5000).alias("class")))(inventory(v)))
+query("resolution_configs", f"SELECT repo_id, path FROM inv WHERE {CONFIG}", INV)(lambda v: R.resolution_configs(inventory(v)).select("repo_id", "path"))
+ORDERED = f"""ordered AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY grp, round, area) AS place FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, grp, area ORDER BY depth, path) AS round FROM (
+  SELECT *, CASE WHEN category = 'test' THEN 2 WHEN list_has_any(segs, {_in(V.AUXILIARY)}) THEN 1 ELSE 0 END AS grp,
+    CASE WHEN len(segs) = 0 THEN '' WHEN len(segs) > 1 AND list_contains({_in(V.CONTAINERS)}, segs[1]) THEN concat(segs[1], '/', segs[2]) ELSE segs[1] END AS area FROM inv WHERE parser_language IS NOT NULL)))"""
+query("order_parse_candidates", "SELECT repo_id, path, place FROM ordered", INV, ORDERED)(lambda v: B.order_parse_candidates(inventory(v).filter("parser_language IS NOT NULL")).select("repo_id", "path", "place"))
+query("byte_budget", """SELECT repo_id, path, took AS taken FROM greedy""", INV, ORDERED, """greedy AS (
+  SELECT repo_id, path, place, size <= 150000 AS took, CASE WHEN size <= 150000 THEN 150000 - size ELSE 150000 END AS room FROM ordered WHERE place = 1
+  UNION ALL SELECT o.repo_id, o.path, o.place, o.size <= g.room, CASE WHEN o.size <= g.room THEN g.room - o.size ELSE g.room END FROM greedy g JOIN ordered o ON o.repo_id = g.repo_id AND o.place = g.place + 1)""")(
+    lambda v: B.byte_budget(B.order_parse_candidates(inventory(v).filter("parser_language IS NOT NULL")).select("repo_id", "path", "place", "size"), 150000).select("repo_id", "path", "taken"))
+query("activity_candidates", "SELECT repo_id, path, place FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY CASE WHEN status = 'parsed' AND category = 'source' THEN 0 ELSE 1 END, size DESC, path) AS place FROM counted) WHERE place <= 30", INV, *COUNTED)(
+    lambda v: B.activity_candidates(counted(v), 30).select("repo_id", "path", "place"))
+ITEMS = "SELECT repo_id, path, name, kind, start_line, end_line, CASE WHEN kind = 'method' THEN 1 ELSE 0 END AS depth, row_number() OVER (PARTITION BY repo_id, path ORDER BY start_line, end_line, name, kind, exported) AS seq FROM fx_symbols"
+query("cap_extraction", f"""SELECT r.repo_id, r.path, seq, place <= 20 AND place <= greatest(0, 1500 - coalesce(before, 0)) AS kept FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, path ORDER BY depth, seq) AS place FROM ({ITEMS})) r
+  JOIN (SELECT repo_id, path, sum(n) OVER (PARTITION BY repo_id ORDER BY path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM (SELECT repo_id, path, least(20, count(*)) AS n FROM fx_symbols GROUP BY ALL)) b ON b.repo_id = r.repo_id AND b.path = r.path""")(
+    lambda v: B.cap_extraction(numbered(v), 20, 1500).select("repo_id", "path", "seq", "kept"))
+query("symbol_counts", """SELECT repo_id, path, count(*) FILTER (WHERE kind IN ('function', 'method')) AS functions, count(*) FILTER (WHERE kind IN ('class', 'struct')) AS classes, count(*) AS total FROM fx_symbols GROUP BY ALL""")(
+    lambda v: v("fx_symbols").groupBy("repo_id", "path").agg(F.count_if(F.col("kind").isin("function", "method")).alias("functions"), F.count_if(F.col("kind").isin("class", "struct")).alias("classes"), F.count("*").alias("total")))
+query("export_names", """SELECT repo_id, path, string_agg(name, ',' ORDER BY first) AS exports FROM (SELECT repo_id, path, name, min(seq) AS first FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, path ORDER BY start_line, end_line, name, kind, exported) AS seq FROM fx_symbols) WHERE exported AND kind <> 'method' GROUP BY ALL) GROUP BY ALL""")(
+    lambda v: numbered(v).filter("exported AND kind <> 'method'").groupBy("repo_id", "path", "name").agg(F.min("seq").alias("first")).groupBy("repo_id", "path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first", "name"))), lambda s: s["name"]), ",").alias("exports")))
+
+
+def numbered(v) -> DataFrame:
+    """Symbols with their nesting depth and their place in the file."""
+    place = F.row_number().over(Window.partitionBy("repo_id", "path").orderBy("start_line", "end_line", "name", "kind", "exported"))
+    return v("fx_symbols").withColumn("depth", F.when(F.col("kind") == "method", 1).otherwise(0)).withColumn("seq", place)
+
+
+# --- resolution ----------------------------------------------------------------------------------------------------------
+
+
+def relative(v) -> DataFrame:
+    """Root-relative specifiers lose their extension on every third statement, so that candidates have to be tried."""
+    cut = F.when((F.col("source_doc") % 3 == 0) & F.col("specifier").rlike(r"\.(ts|js)$"), P.strip_extension(F.col("specifier"))).otherwise(F.col("specifier"))
+    return v("fx_imports").withColumn("specifier", cut)
+
+
+query("resolve_relative_imports", """SELECT i.repo_id, i.path, seq, CASE WHEN starts_with(specifier, '/') THEN t.path END AS target FROM fx_imports i LEFT JOIN fx_docs t ON t.doc_id = i.target_doc""")(
+    lambda v: D.resolve_relative_imports(relative(v), v("fx_docs").select("repo_id", "path")).select("repo_id", "path", "seq", "target"))
+query("nearest_config", """SELECT repo_id, path, CASE WHEN path LIKE '%/src/core/%' THEN concat(string_split(path, '/')[1], '/src/core/tsconfig.json') WHEN path LIKE '%/packages/ui/src/%' THEN concat(string_split(path, '/')[1], '/tsconfig.json') ELSE concat(string_split(path, '/')[1], '/tsconfig.json') END AS config FROM fx_docs""")(
+    lambda v: D.nearest_config(v("fx_docs").select("repo_id", "path"), configs(v)).select("repo_id", "path", "config"))
+
+
+def configs(v) -> DataFrame:
+    """A configuration at the top of each source and in its src/core."""
+    top = v("fx_docs").select("repo_id", F.substring_index("path", "/", 1).alias("top")).distinct()
+    return top.select("repo_id", F.explode(F.array(F.concat("top", F.lit("/tsconfig.json")), F.concat("top", F.lit("/src/core/tsconfig.json")))).alias("path"))
+
+
+CODE = """CASE language WHEN 'python' THEN concat('x = 1', chr(10), 'from a.b', seq, ' import c', chr(10)) WHEN 'go' THEN concat('package m', chr(10), 'import "h/', seq, '"') WHEN 'rust' THEN concat('use crate::m', seq, ';', chr(10), 'fn f() {}')
+  WHEN 'java' THEN concat('import static a.B', seq, '.*;', chr(10), 'class C {}') ELSE concat('import x from "', specifier, '";', chr(10), 'const y = 1;') END"""
+query("extract_import_refs", """SELECT repo_id, path, seq, CASE WHEN language = 'python' OR language = 'go' THEN 2 ELSE 1 END::BIGINT AS line, CASE language WHEN 'rust' THEN 'use' ELSE 'import' END AS kind,
+  CASE language WHEN 'python' THEN concat('a.b', seq) WHEN 'go' THEN concat('h/', seq) WHEN 'rust' THEN concat('crate::m', seq) WHEN 'java' THEN concat('a.B', seq, '.*') ELSE specifier END AS specifier
+  FROM (SELECT i.repo_id, i.path, seq, specifier, l.language FROM fx_imports i JOIN langs l ON l.repo_id = i.repo_id AND l.path = i.path)""", classified("langs", "fx_docs"))(
+    lambda v: extracted(v))
+
+
+def extracted(v) -> DataFrame:
+    source = v("fx_imports").withColumn("language", P.parser_language(F.col("path"))).withColumn("text", F.expr(CODE.replace("language", "coalesce(language, '')")))
+    found = D.extract_import_refs(source.withColumn("path", F.concat_ws("|", "path", "seq")))
+    return found.select("repo_id", F.substring_index("path", "|", 1).alias("path"), F.substring_index("path", "|", -1).cast("long").alias("seq"), "line", "kind", "specifier")
+
+
+query("restrict_to_selected", f"SELECT repo_id, count(*) AS files FROM inv SEMI JOIN fx_docs d ON d.repo_id = inv.repo_id AND d.path = inv.path GROUP BY inv.repo_id", INV)(
+    lambda v: inventory(v).join(v("fx_docs").select("repo_id", "path"), ["repo_id", "path"], "left_semi").groupBy("repo_id").agg(F.count("*").alias("files")))
+query("valid_edges", "SELECT repo_id, edge_id FROM fx_edges SEMI JOIN (SELECT concat('file:', doc_id) AS id FROM fx_docs WHERE doc_id % 7 <> 4) d ON d.id = source SEMI JOIN (SELECT concat('file:', doc_id) AS id FROM fx_docs WHERE doc_id % 7 <> 4) t ON t.id = target")(
+    lambda v: G.valid_edges(v("fx_edges"), v("fx_docs").filter("doc_id % 7 <> 4").select("repo_id", F.col("doc_id").cast("string").alias("path"))).select("repo_id", "edge_id"))
+
+# --- search --------------------------------------------------------------------------------------------------------------
+
+
+def entries(v) -> DataFrame:
+    return E.search_entries(R.directory_rollup(counted(v)), inventory(v), v("fx_symbols"))
+
+
+ENTRIES = f"""entries AS (SELECT repo_id, 'directory' AS kind, concat('dir:', path) AS id, concat(string_split(path, '/')[-1], '/') AS title, string_split(path, '/')[-1] AS name, '' AS stem, path, 6 AS prior FROM rolled WHERE path <> ''
+  UNION ALL SELECT repo_id, 'file', concat('file:', path), name, name, lower(regexp_extract(name, '^(.+)\\.[^.]*$', 1)), path, 5 - CASE WHEN is_generated THEN 20 ELSE 0 END - CASE WHEN category = 'vendor' THEN 10 ELSE 0 END FROM inv
+  UNION ALL SELECT s.repo_id, 'symbol', concat('sym:', s.path, '#', s.name, '@', start_line), CASE WHEN kind IN ('function', 'method') THEN concat(s.name, '()') ELSE s.name END, s.name, '', '',
+    CASE kind WHEN 'class' THEN 4 WHEN 'function' THEN 3 WHEN 'method' THEN 2 ELSE 1 END + exported::INT - CASE WHEN is_generated THEN 20 ELSE 0 END FROM fx_symbols s JOIN inv ON inv.repo_id = s.repo_id AND inv.path = s.path)"""
+query("search_entries", "SELECT repo_id, kind, id, title, name, stem, path, CAST(prior AS BIGINT) AS prior FROM entries", INV, *COUNTED, ROLLED, ENTRIES)(lambda v: entries(v).drop("bias"))
+query("entry_counts", "SELECT repo_id, kind, count(*) AS entries FROM entries GROUP BY ALL", INV, *COUNTED, ROLLED, ENTRIES)(lambda v: entries(v).groupBy("repo_id", "kind").agg(F.count("*").alias("entries")))
+query("search_top_k")(lambda v: E.search_top_k(v("fx_queries"), entries(v), 50))
+
+# --- events and streams --------------------------------------------------------------------------------------------------
+
+LINE = """CASE WHEN (conv_id * 31 + turn) % 13 = 0 THEN '{"type":"st' ELSE concat('{"type":"', CASE WHEN turn % 5 = 4 THEN 'note' ELSE 'stage' END, '","run_id":"', conv_id, '","stage":"s', turn % 4, '","status":"', CASE WHEN turn % 3 = 2 THEN 'running' ELSE 'complete' END, '","progress":', turn, '.5}') END"""
+
+
+def event_lines(v) -> DataFrame:
+    return v("conversations").select("conv_id", "turn", F.expr(LINE).alias("value"))
+
+
+query("parse_event_stream", """SELECT bad AS reason, count(*) AS lines, round(sum(CASE WHEN bad IS NULL THEN least(1, turn + 0.5) END), 3)::DOUBLE AS progress FROM (
+  SELECT *, CASE WHEN (conv_id * 31 + turn) % 13 = 0 THEN 'malformed' WHEN turn % 5 = 4 THEN 'unknown-type' END AS bad FROM conversations) GROUP BY bad""")(
+    lambda v: ST.parse_events(event_lines(v).select("value")).groupBy("reason").agg(F.count("*").alias("lines"), F.round(F.sum(F.when(F.col("reason").isNull(), F.col("progress"))), 3).alias("progress")))
+query("active_stage", """SELECT run_id, arg_max(stage, seq) FILTER (WHERE status = 'running') AS active, count(*) FILTER (WHERE status = 'complete') AS finished FROM (
+  SELECT CAST(conv_id AS VARCHAR) AS run_id, concat('s', turn % 4) AS stage, max(turn) AS seq, arg_max(CASE WHEN turn % 3 = 2 THEN 'running' ELSE 'complete' END, turn) AS status FROM conversations GROUP BY ALL) GROUP BY run_id""")(
+    lambda v: ST.active_stage(v("conversations").select(F.col("conv_id").cast("string").alias("run_id"), F.concat(F.lit("s"), F.col("turn") % 4).alias("stage"), F.col("turn").alias("seq"), F.when(F.col("turn") % 3 == 2, "running").otherwise("complete").alias("status"))))
+query("commit_counts_stream", "SELECT repo_id, epoch_us(date_trunc('week', date)::TIMESTAMP) AS bucket_start, count(*) AS commits FROM fx_commits GROUP BY ALL")(lambda v: micros(ST.commit_counts(v("fx_commits"), "7 days"), "bucket_start"))
+query("trailing_windows_stream", "SELECT repo_id, epoch_us(date_trunc('day', date)::TIMESTAMP + to_days(CAST(k AS INT))) AS cursor, count(*) AS commits FROM fx_commits, (SELECT unnest(range(1, 8)) AS k) GROUP BY ALL")(
+    lambda v: micros(ST.trailing_windows(v("fx_commits"), 7), "cursor").select("repo_id", "cursor", "commits"))
+query("dedupe_commits_stream", "SELECT repo_id, sha FROM fx_commits")(lambda v: ST.dedupe_commits(v("fx_commits").unionByName(v("fx_commits"))).select("repo_id", "sha"))
+query("file_activity_stream", "SELECT c.repo_id, c.path, epoch_us(max(date)) AS last_modified, count(*) AS commit_count FROM fx_commit_files c JOIN fx_commits m ON m.repo_id = c.repo_id AND m.sha = c.sha GROUP BY ALL")(
+    lambda v: micros(ST.latest_activity(v("fx_commit_files").join(v("fx_commits").select("repo_id", "sha", "date", F.col("author_name").alias("author")), ["repo_id", "sha"])), "last_modified").drop("last_author"))
+query("check_references", """SELECT 'commit_files.sha' AS rule, (SELECT count(*) FROM fx_commit_files f ANTI JOIN fx_commits c ON c.repo_id = f.repo_id AND c.sha = f.sha) AS violations UNION ALL SELECT 'commit_files.path', (SELECT count(*) FROM fx_commit_files f ANTI JOIN inv d ON d.repo_id = f.repo_id AND d.path = f.path)
+  UNION ALL SELECT 'symbols.path', (SELECT count(*) FROM fx_symbols f ANTI JOIN inv d ON d.repo_id = f.repo_id AND d.path = f.path) UNION ALL SELECT 'edges.self', (SELECT count(*) FROM fx_edges WHERE source = target)""", INV)(
+    lambda v: R.check_references({"commit_files.sha": (v("fx_commit_files"), v("fx_commits"), ["repo_id", "sha"]), "commit_files.path": (v("fx_commit_files"), inventory(v), ["repo_id", "path"]), "symbols.path": (v("fx_symbols"), inventory(v), ["repo_id", "path"])}, {"edges.self": v("fx_edges").filter("source = target")}))
