@@ -67,3 +67,22 @@ def npm_package(specifier: Column) -> Column:
 def prepare_query(query: Column) -> Column:
     """White space goes, backslashes become slashes, at most 64 characters, lower case."""
     return F.lower(F.substring(F.regexp_replace(F.regexp_replace(query, r"\s+", ""), r"\\", "/"), 1, 64))
+
+
+def hidden_characters(text: Column) -> Column:
+    """How many bidirectional controls a text holds."""
+    return F.regexp_count(text, F.lit("[" + "".join(f"\\x{{{c:04x}}}" for c in BIDI) + "]"))
+
+
+def classify_repo_url(url: Column, host: str = "github.com") -> tuple[Column, Column, Column]:
+    """(reason, owner, repo): reason is ok, empty, not-github, missing-repo, invalid-owner or invalid-repo."""
+    clean = F.regexp_replace(F.trim(url), r"^git@([^:/]+):", "https://$1/")
+    rest = F.regexp_extract(clean, r"(?i)^(?:https?://)?(?:www\.)?" + host.replace(".", r"\.") + r"(?:/([^?#]*))?", 1)
+    own = F.lower(clean).rlike(r"^(https?://)?(www\.)?" + host.replace(".", r"\.") + r"(/|$)")
+    parts = F.filter(F.split(rest, "/"), lambda x: x != "")
+    owner, repo = F.get(parts, F.lit(0)), F.regexp_replace(F.get(parts, F.lit(1)), r"\.git$", "")
+    reason = (
+        F.when(F.length(clean) == 0, "empty").when(~own, "not-github").when(owner.isNull() | repo.isNull(), "missing-repo")
+        .when(~owner.rlike(r"^[A-Za-z0-9](?:[A-Za-z0-9-]{0,37}[A-Za-z0-9])?$"), "invalid-owner").when(~repo.rlike(r"^[A-Za-z0-9._-]{1,100}$"), "invalid-repo").otherwise("ok")
+    )
+    return reason, F.when(reason == "ok", owner), F.when(reason == "ok", repo)

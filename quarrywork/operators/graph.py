@@ -155,3 +155,24 @@ def import_cycles(edges: DataFrame, most: int = 50) -> DataFrame:
     inner = inner.groupBy("repo_id", F.col("c_source").alias("component")).agg(F.count("*").alias("edges"))
     place = F.row_number().over(Window.partitionBy("repo_id").orderBy(F.desc("size"), "first"))
     return sized.join(inner, ["repo_id", "component"]).withColumn("place", place).filter(F.col("place") <= most)
+
+
+def suggestions(files: DataFrame, directories: DataFrame, most_files: int = 8, most_directories: int = 5) -> DataFrame:
+    """The best files by degree, lines and path, and the largest directories of depth one or two, of each repository."""
+    f = files.withColumn("place", F.row_number().over(Window.partitionBy("repo_id").orderBy(F.desc("degree"), F.desc("lines"), "path"))).filter(F.col("place") <= most_files)
+    d = directories.filter("depth BETWEEN 1 AND 2").withColumn("place", F.row_number().over(Window.partitionBy("repo_id").orderBy(F.desc("file_count"), "path"))).filter(F.col("place") <= most_directories)
+    return f.select("repo_id", F.lit("file").alias("kind"), "path", "place").unionByName(d.select("repo_id", F.lit("directory").alias("kind"), "path", "place"))
+
+
+def relation_roles(edges: DataFrame, selection: DataFrame) -> DataFrame:
+    """in, out or mutual of each neighbour of the selection."""
+    role = F.when(F.col("outgoing") & F.col("incoming"), "mutual").when(F.col("outgoing"), "out").otherwise("in")
+    return related_files(edges, selection).select("repo_id", "file", role.alias("role"))
+
+
+def selection_files(refs: DataFrame, files: DataFrame) -> DataFrame:
+    """refs (repo_id, kind, path): a file is itself, a symbol its file, a directory all files below. repo_id, path, each once."""
+    single = refs.filter("kind <> 'directory'").select("repo_id", "path").join(files.select("repo_id", "path"), ["repo_id", "path"], "left_semi")
+    up = files.select("repo_id", "path", F.explode(P.ancestors(F.col("path"))).alias("directory"))
+    below = up.join(refs.filter("kind = 'directory'").select("repo_id", F.col("path").alias("directory")), ["repo_id", "directory"], "left_semi").select("repo_id", "path")
+    return single.unionByName(below).distinct()

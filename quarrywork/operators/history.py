@@ -161,3 +161,34 @@ def most_active_areas(commits: DataFrame, changes: DataFrame, most: int = 3) ->
     areas = F.filter(F.array(F.when(F.size(parts) > 1, F.get(parts, F.lit(0))), F.when(F.size(parts) > 2, F.array_join(F.slice(parts, 1, 2), "/"))), lambda x: x.isNotNull())
     by = own.withColumn("area", F.explode(areas)).groupBy("repo_id", "author_id", "area").agg(F.count("*").alias("files"))
     return by.withColumn("place", F.row_number().over(Window.partitionBy("repo_id", "author_id").orderBy(F.desc("files"), "area"))).filter(F.col("place") <= most)
+
+
+def files_active_in_window(commits: DataFrame, changes: DataFrame, cursor: Column, days: int) -> DataFrame:
+    """The latest change of each file within [cursor - days, cursor], both ends included."""
+    inside = commits.filter((F.col("date") >= cursor - F.make_dt_interval(F.lit(days))) & (F.col("date") <= cursor))
+    return changes.join(inside.select("repo_id", "sha", "date"), ["repo_id", "sha"]).groupBy("repo_id", "path").agg(F.max("date").alias("active"))
+
+
+def files_touched_by(commits: DataFrame, changes: DataFrame) -> DataFrame:
+    """repo_id, author_id, path: every file that an author has changed, once."""
+    authored = with_authors(commits).filter("author_id IS NOT NULL").select("repo_id", "sha", "author_id")
+    return changes.join(authored, ["repo_id", "sha"]).select("repo_id", "author_id", "path").distinct()
+
+
+def plan_timeline_ranges(span: DataFrame, most: int = 80) -> DataFrame:
+    """Ranges of the finest calendar unit of which at most `most` reach from created to end; the most recent years if even these are too many.
+
+    span: repo_id, created (null: a year before the end), end.
+    """
+    start = F.coalesce("created", F.col("end") - F.expr("INTERVAL 1 YEAR"))
+    units = (("week", "INTERVAL 7 DAYS"), ("month", "INTERVAL 1 MONTH"), ("quarter", "INTERVAL 3 MONTHS"), ("year", "INTERVAL 1 YEAR"))
+    starts = {u: F.sequence(F.date_trunc(u, start), F.date_trunc(u, "end"), F.expr(by)) for u, by in units}
+    chosen, unit = F.slice(starts["year"], F.greatest(F.lit(1), F.size(starts["year"]) - most + 1), F.lit(most)), F.lit("year")
+    for u, _ in reversed(units):
+        fits = F.size(starts[u]) <= most
+        chosen, unit = F.when(fits, starts[u]).otherwise(chosen), F.when(fits, u).otherwise(unit)
+    planned = span.select("repo_id", unit.alias("granularity"), F.explode(chosen).alias("start"))
+    after = F.when(F.col("granularity") == "week", F.col("start") + F.expr("INTERVAL 7 DAYS"))
+    for u, by in units[1:]:
+        after = F.when(F.col("granularity") == u, F.col("start") + F.expr(by)).otherwise(after)
+    return planned.withColumn("end", after)

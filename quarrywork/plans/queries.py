@@ -467,3 +467,33 @@ query("file_activity_stream", "SELECT c.repo_id, c.path, epoch_us(max(date)) AS
 query("check_references", """SELECT 'commit_files.sha' AS rule, (SELECT count(*) FROM fx_commit_files f ANTI JOIN fx_commits c ON c.repo_id = f.repo_id AND c.sha = f.sha) AS violations UNION ALL SELECT 'commit_files.path', (SELECT count(*) FROM fx_commit_files f ANTI JOIN inv d ON d.repo_id = f.repo_id AND d.path = f.path)
   UNION ALL SELECT 'symbols.path', (SELECT count(*) FROM fx_symbols f ANTI JOIN inv d ON d.repo_id = f.repo_id AND d.path = f.path) UNION ALL SELECT 'edges.self', (SELECT count(*) FROM fx_edges WHERE source = target)""", INV)(
     lambda v: R.check_references({"commit_files.sha": (v("fx_commit_files"), v("fx_commits"), ["repo_id", "sha"]), "commit_files.path": (v("fx_commit_files"), inventory(v), ["repo_id", "path"]), "symbols.path": (v("fx_symbols"), inventory(v), ["repo_id", "path"])}, {"edges.self": v("fx_edges").filter("source = target")}))
+
+# --- more ----------------------------------------------------------------------------------------------------------------
+
+query("hidden_characters", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END::BIGINT AS hidden FROM fx_docs")(
+    lambda v: v("fx_docs").select("doc_id", X.hidden_characters(F.concat("text", F.expr("CASE doc_id % 3 WHEN 0 THEN '‮ x ⁦' WHEN 1 THEN '‏' ELSE 'é' END"))).alias("hidden")))
+query("classify_repo_url", """SELECT page_id, CASE WHEN page_id < 1000000 THEN 'not-github' ELSE CASE (page_id - 1000000) % 6 WHEN 2 THEN 'ok' WHEN 4 THEN 'missing-repo' WHEN 5 THEN 'empty' ELSE 'ok' END END AS reason,
+  CASE WHEN page_id >= 1000000 THEN CASE (page_id - 1000000) % 6 WHEN 0 THEN concat('o', page_id - 1000000) WHEN 1 THEN 'o' WHEN 2 THEN 'about' WHEN 3 THEN 'o' END END AS owner,
+  CASE WHEN page_id >= 1000000 THEN CASE (page_id - 1000000) % 6 WHEN 0 THEN 'r' WHEN 1 THEN concat('r', page_id - 1000000) WHEN 2 THEN 'x' WHEN 3 THEN 'r' END END AS repo FROM fx_urls""")(
+    lambda v: (lambda c: v("fx_urls").select("page_id", c[0].alias("reason"), c[1].alias("owner"), c[2].alias("repo")))(X.classify_repo_url(F.col("url"))))
+query("files_active_in_window", "SELECT c.repo_id, c.path, epoch_us(max(date)) AS active FROM changes c JOIN fx_commits m ON m.repo_id = c.repo_id AND m.sha = c.sha WHERE date BETWEEN TIMESTAMP '2024-01-13' AND TIMESTAMP '2024-01-20' GROUP BY ALL", CHANGES)(
+    lambda v: micros(H.files_active_in_window(v("fx_commits"), changes(v), cursor(), 7), "active"))
+query("files_touched_by", "SELECT DISTINCT c.repo_id, author_id, path FROM changes c JOIN authored a ON a.repo_id = c.repo_id AND a.sha = c.sha WHERE author_id IS NOT NULL", AUTHORED, CHANGES)(lambda v: H.files_touched_by(v("fx_commits"), changes(v)))
+query("plan_timeline_ranges", """SELECT repo_id, 'month' AS granularity, epoch_us(m) AS start, epoch_us(m + INTERVAL 1 MONTH) AS end FROM (
+  SELECT repo_id, unnest(range(date_trunc('month', min(date) - INTERVAL 900 DAY)::TIMESTAMP, date_trunc('month', max(date))::TIMESTAMP + INTERVAL 1 MONTH, INTERVAL 1 MONTH)) AS m FROM fx_commits GROUP BY repo_id)""")(
+    lambda v: micros(H.plan_timeline_ranges(v("fx_commits").groupBy("repo_id").agg((F.min("date") - F.expr("INTERVAL 900 DAYS")).alias("created"), F.max("date").alias("end"))), "start", "end"))
+query("suggestions", """SELECT repo_id, 'file' AS kind, path, place FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY degree DESC, lines DESC, path) AS place FROM measured) WHERE place <= 8
+  UNION ALL SELECT repo_id, 'directory', path, place FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY file_count DESC, path) AS place FROM rolled WHERE path <> '' AND length(path) - length(replace(path, '/', '')) <= 1) WHERE place <= 5""", INV, *COUNTED, *SCORED, ROLLED)(
+    lambda v: G.suggestions(scored(v), R.directory_rollup(counted(v))))
+query("relation_role", f"""SELECT repo_id, file, CASE WHEN bool_or(o) AND bool_or(NOT o) THEN 'mutual' WHEN bool_or(o) THEN 'out' ELSE 'in' END AS role FROM (SELECT e.repo_id, target AS file, true AS o FROM fx_edges e SEMI JOIN ({SELECTED}) s ON e.repo_id = s.repo_id AND e.source = s.file
+  UNION ALL SELECT e.repo_id, source, false FROM fx_edges e SEMI JOIN ({SELECTED}) s ON e.repo_id = s.repo_id AND e.target = s.file) r ANTI JOIN ({SELECTED}) s USING (repo_id, file) GROUP BY repo_id, file""", ENDS, CONNECTED)(
+    lambda v: G.relation_roles(v("fx_edges"), G.rank_connectivity(v("fx_edges"), 3)))
+query("selection_files", "SELECT DISTINCT repo_id, path FROM fx_docs WHERE path LIKE 'src1/src/core/%' OR path LIKE 'src2/docs/%' OR doc_id % 10 = 3")(
+    lambda v: G.selection_files(picked(v), v("fx_docs").select("repo_id", "path")))
+
+
+def picked(v) -> DataFrame:
+    """Two directories of every repository, and one file in ten."""
+    repos = v("fx_docs").select("repo_id").distinct()
+    dirs = repos.select("repo_id", F.lit("directory").alias("kind"), F.explode(F.array(F.lit("src1/src/core"), F.lit("src2/docs"))).alias("path"))
+    return dirs.unionByName(v("fx_docs").filter("doc_id % 10 = 3").select("repo_id", F.lit("file").alias("kind"), "path"))
