@@ -191,9 +191,9 @@ WITH RECURSIVE words AS (
 shingled AS (
   SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
     ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' ')) END) AS s FROM words),
-flat AS (SELECT doc_id, hash(unnest(s)) AS h FROM shingled),
-sizes AS (SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles FROM shingled),
-links AS (
+flat AS MATERIALIZED (SELECT doc_id, hash(unnest(s)) AS h FROM shingled),
+sizes AS MATERIALIZED (SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles FROM shingled),
+links AS MATERIALIZED (
   SELECT a.doc_id AS a, b.doc_id AS b FROM flat a JOIN flat b ON a.h = b.h AND a.doc_id <> b.doc_id
   JOIN sizes x ON x.doc_id = a.doc_id JOIN sizes y ON y.doc_id = b.doc_id
   GROUP BY a.doc_id, b.doc_id, x.n_shingles, y.n_shingles
