@@ -35,29 +35,41 @@ BLOCK = 1 << 18
 _TOKEN = re.compile(r"\w+|[^\w\s]")
 
 
-class Tokens(dict):
-    """token -> (hash of its lower case, shape from 0 to 63) in one number."""
+class Codes(dict):
+    """token -> the hash of its lower case and its shape, from 0 to 63, in one number, as bytes."""
 
-    def __missing__(self, token: str) -> int:
+    def __missing__(self, token: str) -> bytes:
         if len(self) > KNOWN:
             self.clear()
         if not (token[0].isalnum() or token[0] == "_"):
             shape = 8 + xxhash.xxh32_intdigest(token) % 56
-        elif any(map(str.isdigit, token)):
+        elif not token.isalpha() and any(map(str.isdigit, token)):
             shape = 4
         else:
             shape = 0 if token.islower() else 1 if len(token) == 1 or token[1:].islower() else 2 if token.isupper() else 3
-        self[token] = n = xxhash.xxh64_intdigest(token.lower()) >> 8 << 6 & (1 << 63) - 1 | shape
+        self[token] = n = (xxhash.xxh64_intdigest(token.lower()) >> 8 << 6 & (1 << 63) - 1 | shape).to_bytes(8, "little")
         return n
 
 
+class Tokens(dict):
+    """Characters between white space -> the codes of their tokens."""
+
+    def __init__(self):
+        self.codes = Codes()
+
+    def __missing__(self, chunk: str) -> bytes:
+        if len(self) > KNOWN:
+            self.clear()
+        self[chunk] = codes = self.codes[chunk] if chunk.isalpha() else b"".join([self.codes[t] for t in _TOKEN.findall(chunk)])
+        return codes
+
+
 def ngrams(text: str | None, known: Tokens) -> np.ndarray:
     """The bucket of every n-gram, words' before shapes'."""
     found = []
-    tokens = _TOKEN.findall(text or "")
+    tokens = np.frombuffer(b"".join([known[c] for c in (text or "").split()]), np.uint64)
     for at in range(0, len(tokens), BLOCK):
-        part = tokens[max(0, at - 2) : at + BLOCK]
-        x = np.fromiter(map(known.__getitem__, part), np.uint64, len(part))
+        x = tokens[max(0, at - 2) : at + BLOCK]
         words, shapes = x >> np.uint64(6), (x & np.uint64(63)) << np.uint64(1)
         found.append(words * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - WORD_BITS))
         found.append((words[:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + words[1:]) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - WORD_BITS))
