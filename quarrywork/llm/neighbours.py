@@ -72,13 +72,14 @@ class Tree:
             todo += [(child, rows[near == i]) for i, child in enumerate(self.children[node]) if (near == i).any()]
         return out
 
-    def visits(self, q: np.ndarray, most: int) -> list[int]:
-        """The first `most` leaves, best bin first: a branch's priority is its centre's inner product with the query."""
-        queue, found = [(0.0, self.root)], []
-        while queue and len(found) < most:
+    def visits(self, q: np.ndarray, most: int, sizes: dict[int, int] | None = None, least: int = 0) -> list[int]:
+        """The first `most` leaves, or more until they hold `least` vectors, best bin first: a branch's priority is its centre's inner product with the query."""
+        queue, found, held = [(0.0, self.root)], [], 0
+        while queue and (len(found) < most or held < least):
             _, node = heapq.heappop(queue)
             if node < 0:
                 found.append(-1 - node)
+                held += sizes.get(-1 - node, 0) if sizes else 0
             else:
                 for p, child in zip(-(self.centres[node] @ q), self.children[node]):
                     heapq.heappush(queue, (float(p), child))
@@ -173,6 +174,7 @@ class Index:
         self.tree = Tree(np.stack(picked["embedding"].to_numpy())) if len(picked) else None
         self.rows = rows.limit(0).withColumn("leaf", F.lit(0).cast("long")) if self.tree is None else settle(self._placed(rows), "ann-rows")
         self.blocks = self.rows.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+        self.sizes = {r["leaf"]: r["count"] for r in self.rows.groupBy("leaf").count().collect()}  # one number for each leaf of the tree
 
     def _placed(self, rows: DataFrame) -> DataFrame:
         tree = rows.sparkSession.sparkContext.broadcast(self.tree)
@@ -202,11 +204,11 @@ class Index:
         if self.tree is None:
             return queries.limit(0).select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score"))
         leaves = leaves or self.calibrate(queries, k)
-        tree = queries.sparkSession.sparkContext.broadcast(self.tree)
+        tree, sizes = queries.sparkSession.sparkContext.broadcast(self.tree), self.sizes
 
         def visit(batches):
             for batch in batches:
-                ways = [tree.value.visits(v, leaves) for v in _matrix(batch.column(1))]
+                ways = [tree.value.visits(v, leaves, sizes, k + 1) for v in _matrix(batch.column(1))]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ways, pa.list_(pa.int64()))], ["vec_id", "embedding", "leaves"])
 
         asks = queries.select("vec_id", "embedding").mapInArrow(visit, schema("vec_id long, embedding array<double>, leaves array<long>"))

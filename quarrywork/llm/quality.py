@@ -163,8 +163,8 @@ class Sampler:
         return F.lit(True) if self.all else F.coalesce(up_to(self.cut, "order", ["doc_id"]), F.lit(False))
 
     def scores(self) -> DataFrame:
-        """doc_id, log_weight, key, selected of every document."""
-        return self.keys.withColumn("selected", self.selected()).drop("order")
+        """doc_id, log_weight, key, kept (whether it is in the sample) of every document."""
+        return self.keys.withColumn("kept", self.selected()).drop("order")
 
     def keep(self, docs: DataFrame) -> DataFrame:
         """The selected rows with the columns they had; weights are computed again where the texts are, so no text is shuffled."""

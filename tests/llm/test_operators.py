@@ -238,15 +238,15 @@ def test_language(spark, odd, none):
 def test_quality(spark, odd, none):
     labels = quality.quality_labels(spark, SMALL)
     got = quality.op9_quality(spark, SMALL).join(labels, "doc_id")
-    bad = {(r.label, r.selected): r.n for r in got.groupBy("label", "selected").agg(F.count("*").alias("n")).collect()}
+    bad = {(r.label, r.kept): r.n for r in got.groupBy("label", "kept").agg(F.count("*").alias("n")).collect()}
     assert bad.get((1, False), 0) <= 0.02 * bad[1, True] and bad.get((0, True), 0) <= 0.1 * bad[0, False]
     docs = common.table(spark, SMALL, "documents")
     sampler = quality.Sampler(docs, labels)
     kept = sampler.keep(docs)
-    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {r.doc_id for r in sampler.scores().filter("selected").collect()}
-    assert sampler.scores().filter("selected").count() == sampler.k
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {r.doc_id for r in sampler.scores().filter("kept").collect()}
+    assert sampler.scores().filter("kept").count() == sampler.k
     whole = quality.Sampler(odd, labels.limit(0))
-    assert whole.scores().filter("selected").count() == 11 and quality.Sampler(none, labels.limit(0)).scores().count() == 0
+    assert whole.scores().filter("kept").count() == 11 and quality.Sampler(none, labels.limit(0)).scores().count() == 0
 
 
 # --- packing ---
