@@ -2,7 +2,8 @@
 
 The tree is fitted on a bounded sample of the vectors; every vector is then dealt to a leaf. A query goes through the tree with a
 priority queue, always on at the most promising branch, and visits leaves in that order. How many leaves are visited is widened until a
-calibration on some queries, against brute force over all vectors, reaches the recall asked for. Leaves are cut into blocks of bounded size.
+calibration on some queries, against brute force over all vectors, reaches the recall asked for. Neighbouring leaves share a block of bounded size, and large
+ones are cut into several; a query gets one list of its best from each block, over the leaves of it that it visits.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ K, EVERY = 20, 20
 SAMPLE, BRANCHES, LEAF, ROUNDS = 20_000, 8, 200, 8
 #: Queries the number of leaves is calibrated on, and the share of true neighbours they must find.
 PROBES, RECALL = 200, 0.95
-#: Rows of a leaf that one task searches at once, and queries compared with them at once.
-BLOCK, QUERIES = 4096, 2048
+#: Rows that one task searches at once, of neighbouring leaves or a part of a large one, and queries compared with them at once.
+BLOCK, QUERIES = 8192, 512
 
 
 def kmeans(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
@@ -124,12 +125,14 @@ def _search(k: int):
         if not len(asks) or not len(own):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
         x, ids = np.stack(own["embedding"].to_numpy()), own["vec_id"].to_numpy()
+        leaves, of = np.unique([v[0] for v in own["leaves"]], return_inverse=True)
         out = []
         for at in range(0, len(asks), QUERIES):
             part = asks.iloc[at : at + QUERIES]
             q = part["vec_id"].to_numpy()
             scores = np.stack(part["embedding"].to_numpy()) @ x.T
-            scores[q[:, None] == ids[None, :]] = -np.inf
+            visited = np.array([np.isin(leaves, v) for v in part["leaves"]])
+            scores[(q[:, None] == ids[None, :]) | ~visited[:, of]] = -np.inf
             best, who = _best(scores, ids, min(k, len(ids)))
             out.append(pd.DataFrame({"query_id": np.repeat(q, best.shape[1]), "vec_id": who.ravel(), "score": best.ravel()}))
         found = pd.concat(out)
@@ -173,8 +176,16 @@ class Index:
         picked = rows.orderBy(F.xxhash64(F.lit(3), "vec_id"), "vec_id").limit(sample).select("embedding").toPandas()
         self.tree = Tree(np.stack(picked["embedding"].to_numpy())) if len(picked) else None
         self.rows = rows.limit(0).withColumn("leaf", F.lit(0).cast("long")) if self.tree is None else settle(self._placed(rows), "ann-rows")
-        self.blocks = self.rows.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
         self.sizes = {r["leaf"]: r["count"] for r in self.rows.groupBy("leaf").count().collect()}  # one number for each leaf of the tree
+        self.blocks, at, filled = {}, 0, 0
+        for leaf, n in sorted(self.sizes.items()):
+            parts = -(-n // BLOCK)
+            if filled and filled + n > BLOCK:
+                at, filled = at + 1, 0
+            self.blocks[leaf] = (at, parts)
+            filled += n
+            if parts > 1:
+                at, filled = at + parts, 0
 
     def _placed(self, rows: DataFrame) -> DataFrame:
         tree = rows.sparkSession.sparkContext.broadcast(self.tree)
@@ -204,18 +215,28 @@ class Index:
         if self.tree is None:
             return queries.limit(0).select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score"))
         leaves = leaves or self.calibrate(queries, k)
-        tree, sizes = queries.sparkSession.sparkContext.broadcast(self.tree), self.sizes
+        spark = queries.sparkSession
+        tree, sizes, blocks = spark.sparkContext.broadcast(self.tree), self.sizes, self.blocks
 
         def visit(batches):
             for batch in batches:
-                ways = [tree.value.visits(v, leaves, sizes, k + 1) for v in _matrix(batch.column(1))]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ways, pa.list_(pa.int64()))], ["vec_id", "embedding", "leaves"])
-
-        asks = queries.select("vec_id", "embedding").mapInArrow(visit, schema("vec_id long, embedding array<double>, leaves array<long>"))
-        asks = asks.select("vec_id", "embedding", F.explode("leaves").alias("leaf")).join(F.broadcast(self.blocks), "leaf")
-        asks = asks.select("leaf", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "vec_id", "embedding", F.lit(True).alias("is_query"))
-        own = self.rows.join(F.broadcast(self.blocks), "leaf").select("leaf", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int").alias("block"), "vec_id", "embedding", F.lit(False).alias("is_query"))
-        found = own.unionByName(asks).groupBy("leaf", "block").applyInPandas(_search(k), schema("query_id long, vec_id long, score double"))
+                ways = []
+                for v in _matrix(batch.column(1)):
+                    by: dict[int, list[int]] = {}
+                    for leaf in tree.value.visits(v, leaves, sizes, k + 1):
+                        first, parts = blocks.get(leaf, (0, 0))
+                        for block in range(first, first + parts):
+                            by.setdefault(block, []).append(leaf)
+                    ways.append([{"block": b, "leaves": x} for b, x in by.items()])
+                kind = pa.list_(pa.struct([("block", pa.int64()), ("leaves", pa.list_(pa.int64()))]))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ways, kind)], ["vec_id", "embedding", "ways"])
+
+        asks = queries.select("vec_id", "embedding").mapInArrow(visit, schema("vec_id long, embedding array<double>, ways array<struct<block: long, leaves: array<long>>>"))
+        asks = asks.select(F.explode("ways").alias("w"), "vec_id", "embedding").select("w.block", "vec_id", "embedding", "w.leaves", F.lit(True).alias("is_query"))
+        placed = spark.createDataFrame([(leaf, *b) for leaf, b in blocks.items()], "leaf long, first long, parts long")
+        part = F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("parts"))
+        own = self.rows.join(F.broadcast(placed), "leaf").select(part.alias("block"), "vec_id", "embedding", F.array("leaf").alias("leaves"), F.lit(False).alias("is_query"))
+        found = own.unionByName(asks).groupBy("block").applyInPandas(_search(k), schema("query_id long, vec_id long, score double"))
         return _top(found, k)
 
 
