@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +51,16 @@ def sentences(text: str | None) -> list[tuple[int, int, list[str]]]:
     return found
 
 
+class Known(dict):
+    """word -> its features."""
+
+    def __missing__(self, word: str) -> list[int]:
+        if len(self) > KNOWN // 10:
+            self.clear()
+        self[word] = found = features(word)
+        return found
+
+
 class Weights(dict):
     """word -> the sum of its features' weights."""
 
@@ -73,30 +84,27 @@ def train(texts: list[str], labels: list[int]) -> tuple[np.ndarray, float]:
 
     Features that are no more frequent in toxic documents stay at 0, the others start at their log ratio; full-batch Adam then fits both.
     """
-    index, ends, doc_ends = [], [], []
-    memo: dict[str, list[int]] = {}
-    for text in texts:
-        n = 0
-        for _, _, words in sentences(text):
-            index += [f for w in words for f in (memo.get(w) or memo.setdefault(w, features(w)))]
-            ends.append(len(index))
-            n += 1
-        if not n:
-            ends.append(len(index))
-            n = 1
-        doc_ends.append(len(ends))
-    x, y = np.array(index, np.int32), np.array(labels, bool)
-    del index, memo
-    counts, docs = np.diff(np.array([0, *ends])), np.diff(np.array([0, *doc_ends]))
-    of_sentence, of_doc = np.repeat(np.arange(len(counts), dtype=np.int32), counts), np.repeat(np.arange(len(docs)), docs)
-    seen = np.unique(of_doc[of_sentence].astype(np.int64) << BITS | x)
-    hit, feature = y[seen >> BITS], seen & ((1 << BITS) - 1)
-    one, zero = np.bincount(feature[hit], minlength=1 << BITS), np.bincount(feature[~hit], minlength=1 << BITS)
+    y, known = np.array(labels, bool), Known()
+    counts_of = np.zeros((2, 1 << BITS), np.int64)
+    for text, label in zip(texts, labels):
+        words = {w for _, _, part in sentences(text) for w in part}
+        counts_of[label, np.unique(np.array([f for w in words for f in known[w]], np.int64))] += 1
+    zero, one = counts_of
     n1, n0 = y.sum(), (~y).sum()
     ratio = np.log((one + 0.5) / (n1 + 1)) - np.log((zero + 0.5) / (n0 + 1))
     share = (one + zero) / (n1 + n0)
     chi = (one / n1 - zero / n0) ** 2 / np.maximum(share * (1 - share) * (1 / n1 + 1 / n0), 1e-12)
     used = (ratio > RATIO) & (chi > CHI)
+    chosen = set(np.flatnonzero(used).tolist())
+    index, ends, doc_ends = array("i"), array("q"), array("q")
+    for text in texts:
+        for _, _, words in sentences(text) or [(0, 0, [])]:
+            index.extend(f for w in words for f in known[w] if f in chosen)
+            ends.append(len(index))
+        doc_ends.append(len(ends))
+    x = np.array(index, np.int32)
+    counts, docs = np.diff(np.array([0, *ends])), np.diff(np.array([0, *doc_ends]))
+    of_sentence, of_doc = np.repeat(np.arange(len(counts), dtype=np.int32), counts), np.repeat(np.arange(len(docs)), docs)
     w, b, m, v = np.where(used, ratio, 0.0), BIAS, np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
     weight = np.where(y, 0.5 / max(1, y.sum()), 0.5 / max(1, (~y).sum()))
     for t in range(1, ROUNDS + 1):
