@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarrywork.llm.common import settle, table
 from quarrywork.llm.mixing import apply_mix
-from quarrywork.llm.near_dup import drop_near_duplicates
+from quarrywork.llm.near_dup import PIPELINE_PERCENT, drop_near_duplicates
 from quarrywork.llm.packing import pack_documents
 from quarrywork.llm.pii import mask_personal_data
 from quarrywork.llm.quality import Sampler, quality_labels
@@ -18,7 +18,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return drop_near_duplicates(docs)
+    """Texts are linked from a similarity of 0.8 on."""
+    return drop_near_duplicates(docs, PIPELINE_PERCENT)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,7 +8,9 @@ that are near their pivot costs its size, not the square of it, and no pair in a
 
 from __future__ import annotations
 
+import math
 from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -19,20 +21,39 @@ from pyspark.sql import functions as F
 from .common import hot_join, schema, settle, small_batches, table
 from .components import components
 
-WORDS, PERCENT = 5, 85
-#: A pair of Jaccard similarity 0.85 shares no band with probability (1 - 0.85 ** 8) ** 40 = 3e-6.
-BANDS, ROWS = 40, 8
-#: Of 1024 minima cut to 4 bits, two sets of similarity 0.85 share 880 on average; 813 is 6 standard deviations below.
-SKETCH, BITS, AGREE = 1024, 4, 813
+#: PERCENT is the contract of op4; the pipeline, which has none, links from PIPELINE_PERCENT.
+WORDS, PERCENT, PIPELINE_PERCENT = 5, 85, 80
+#: A pair at the threshold shares no band with at most this probability.
+MISS = 3.1e-6
+SKETCH, BITS = 1024, 4
 WIDE = SKETCH // 64
 #: Members compared with one copy of their pivot's set by one task.
 GROUP = 64
 _SEEDS = np.random.default_rng(20240229)
 _A = (_SEEDS.integers(0, 1 << 31, SKETCH, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
 _B = _SEEDS.integers(0, 1 << 32, SKETCH, dtype=np.uint32)
-_MIX = _SEEDS.integers(0, 1 << 63, ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BAND = _SEEDS.integers(0, 1 << 63, BANDS, dtype=np.uint64)
+_MIX = _SEEDS.integers(0, 1 << 63, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACE = _SEEDS.integers(0, 1 << 63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BAND = _SEEDS.integers(0, 1 << 63, SKETCH, dtype=np.uint64)
+
+
+class Plan(NamedTuple):
+    """What the threshold asks for: bands of so many rows, and how many of SKETCH minima cut to BITS bits have to agree."""
+
+    percent: int
+    bands: int
+    rows: int
+    agree: int
+
+
+def plan_of(percent: int) -> Plan:
+    """At 85, 40 bands of 8 and 813 minima; at 80, 54 bands of 7 and 757. The minima are 6 standard deviations below the average at the threshold."""
+    if not 60 <= percent <= 99:
+        raise ValueError(f"a threshold of {percent} percent is outside 60 to 99")
+    s = percent / 100
+    rows = 8 if percent >= 85 else 7 if percent >= 80 else 5
+    share = s + (1 - s) / (1 << BITS)
+    return Plan(percent, math.ceil(math.log(MISS) / math.log(1 - s**rows)), rows, math.floor(SKETCH * share - 6 * math.sqrt(SKETCH * share * (1 - share))))
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -54,7 +75,7 @@ def shingles(words: list[bytes]) -> np.ndarray:
     return np.unique(s * np.uint64(0xBF58476D1CE4E5B9))
 
 
-def minima(hashes: np.ndarray, n: int = BANDS * ROWS) -> np.ndarray:
+def minima(hashes: np.ndarray, n: int) -> np.ndarray:
     """For each of the first n universal hash functions (a * x + b) mod 2**32 its minimum over the set."""
     x = (hashes >> np.uint64(32)).astype(np.uint32)
     found = np.full(n, 0xFFFFFFFF, np.uint32)
@@ -63,21 +84,24 @@ def minima(hashes: np.ndarray, n: int = BANDS * ROWS) -> np.ndarray:
     return found
 
 
-def _signatures(batches):
-    for batch in batches:
-        ids, sizes, keys, bands = batch.column(0), [], [], []
-        for text in batch.column(1).to_pylist():
-            words = words_of(text)
-            s = shingles(words)
-            sizes.append(len(s))
-            if not len(s):
-                keys.append(None), bands.append([])
-                continue
-            keys.append(xxhash.xxh3_128_digest(b" ".join(words)))
-            m = minima(s)
-            b = (m.reshape(BANDS, ROWS).astype(np.uint64) * _MIX).sum(axis=1, dtype=np.uint64) ^ _BAND
-            bands.append((b ^ (b >> np.uint64(31))).view(np.int64))
-        yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "words_key", "bands"])
+def _signatures(plan: Plan):
+    def run(batches):
+        for batch in batches:
+            ids, sizes, keys, bands = batch.column(0), [], [], []
+            for text in batch.column(1).to_pylist():
+                words = words_of(text)
+                s = shingles(words)
+                sizes.append(len(s))
+                if not len(s):
+                    keys.append(None), bands.append([])
+                    continue
+                keys.append(xxhash.xxh3_128_digest(b" ".join(words)))
+                m = minima(s, plan.bands * plan.rows)
+                b = (m.reshape(plan.bands, plan.rows).astype(np.uint64) * _MIX[: plan.rows]).sum(axis=1, dtype=np.uint64) ^ _BAND[: plan.bands]
+                bands.append((b ^ (b >> np.uint64(31))).view(np.int64))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "words_key", "bands"])
+
+    return run
 
 
 def _names(side: str) -> list[str]:
@@ -95,25 +119,29 @@ def _sketches(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, columns)], ["node", *_names("s")])
 
 
-def _verify(batches):
+def _verify(percent: int):
     """Rows (pivot, part, is_member, doc_id, text) in order, each pivot's own row first -> pairs that are similar enough."""
-    at, base = None, None
-    for batch in batches:
-        a, b = [], []
-        for pivot, part, member, doc, text in zip(*(c.to_pylist() for c in batch.columns)):
-            s = shingles(words_of(text))
-            if not member:
-                at, base = (pivot, part), s
-                continue
-            if (pivot, part) != at:
-                raise ValueError(f"document {pivot} has no text here")
-            both = len(np.intersect1d(base, s, assume_unique=True))
-            if both and 100 * both >= PERCENT * (len(base) + len(s) - both):
-                a.append(pivot), b.append(doc)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-
-def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+
+    def run(batches):
+        at, base = None, None
+        for batch in batches:
+            a, b = [], []
+            for pivot, part, member, doc, text in zip(*(c.to_pylist() for c in batch.columns)):
+                s = shingles(words_of(text))
+                if not member:
+                    at, base = (pivot, part), s
+                    continue
+                if (pivot, part) != at:
+                    raise ValueError(f"document {pivot} has no text here")
+                both = len(np.intersect1d(base, s, assume_unique=True))
+                if both and 100 * both >= percent * (len(base) + len(s) - both):
+                    a.append(pivot), b.append(doc)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return run
+
+
+def verify(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets have the similarity asked for. texts: doc_id, text, one row for each id.
 
     A pivot's text goes once to each group of GROUP members, so that a pivot with many members is spread over many tasks.
@@ -123,7 +151,7 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     members = split.join(texts, F.col("b") == F.col("doc_id")).select("a", "part", F.lit(True).alias("member"), "doc_id", "text")
     pivots = counts.join(texts, F.col("a") == F.col("doc_id")).select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("member"), "doc_id", "text")
     both = pivots.unionByName(members).repartition("a", "part").sortWithinPartitions("a", "part", "member", "doc_id")
-    return settle(both.mapInArrow(_verify, schema("a long, b long")), "dup-links")
+    return settle(both.mapInArrow(_verify(percent), schema("a long, b long")), "dup-links")
 
 
 def _agreeing(one: str, two: str) -> Column:
@@ -132,15 +160,16 @@ def _agreeing(one: str, two: str) -> Column:
     return SKETCH - reduce(Column.__add__, (F.bit_count(differ(i)) for i in range(WIDE)))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of docs(doc_id, text).
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of docs(doc_id, text); two texts are linked from a similarity of `percent` on.
 
     Null, empty and blank texts have no shingles and stand alone. Rows that repeat an id belong to the component of that id. A null id has a
     null component and is not kept. No rows: no rows. Other columns are ignored.
     """
     small_batches(docs.sparkSession)
+    plan = plan_of(percent)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = settle(source.mapInArrow(_signatures, schema("doc_id long, n_shingles long, words_key binary, bands array<long>")), "dup-signatures")
+    signed = settle(source.mapInArrow(_signatures(plan), schema("doc_id long, n_shingles long, words_key binary, bands array<long>")), "dup-signatures")
     same = settle(signed.filter("words_key IS NOT NULL AND doc_id IS NOT NULL").groupBy("words_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "dup-copies")
     nodes = signed.join(same.select(F.col("rep").alias("doc_id"), "words_key"), ["doc_id", "words_key"], "left_semi").select(F.col("doc_id").alias("node"), "bands")
     buckets = settle(nodes.select("node", F.explode("bands").alias("band")), "dup-bands")
@@ -151,10 +180,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     one, two = sketches.toDF("a", *_names("sa")), sketches.toDF("b", *_names("sb"))
 
     def likely(pairs: DataFrame) -> DataFrame:
-        return pairs.join(two, "b").join(one, "a").filter(_agreeing("sa", "sb") >= AGREE).select("a", "b")
+        return pairs.join(two, "b").join(one, "a").filter(_agreeing("sa", "sb") >= plan.agree).select("a", "b")
 
     first = settle(likely(shared.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()), "dup-pairs")
-    links = verify(first, texts)
+    links = verify(first, texts, percent)
     joined = components(links)
 
     members = shared.select("band", "node").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -166,9 +195,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     left, right = (open_.select("band", F.col("node").alias(x), F.col("component").alias(f"c{x}"), F.col("bands").alias(f"bands_{x}"), *[F.col(f"s{i}").alias(f"s{x}{i}") for i in range(BITS * WIDE)]) for x in "ab")
     # a pair comes from the first band that its nodes share, and from no other
     once = F.element_at(F.array_intersect("bands_a", "bands_b"), 1) == F.col("band")
-    across = left.join(right, "band").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (_agreeing("sa", "sb") >= AGREE) & once)
+    across = left.join(right, "band").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (_agreeing("sa", "sb") >= plan.agree) & once)
     rest = settle(across.select("a", "b").join(first, ["a", "b"], "left_anti"), "dup-rest")
-    more = verify(rest, texts)
+    more = verify(rest, texts, percent)
     joined = components(links.unionByName(more)) if not more.isEmpty() else joined
 
     classes = same.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("words_key", F.coalesce("component", "rep").alias("component_id"), "copies")
@@ -176,9 +205,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, percent: int = PIPELINE_PERCENT) -> DataFrame:
     """One document of each component."""
-    return docs.join(near_duplicates(docs).filter("kept").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    return docs.join(near_duplicates(docs, percent).filter("kept").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
 
 
 def op4_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:

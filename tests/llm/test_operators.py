@@ -177,6 +177,51 @@ def test_near_duplicates_of_odd_rows(odd, none):
     assert near_dup.near_duplicates(none).count() == 0
 
 
+def families(seed, edits):
+    """Families of 80 words with a few of them changed."""
+    rng = random.Random(seed)
+    words = [f"v{i}" for i in range(400)]
+    texts = {}
+    for _ in range(12):
+        base = [rng.choice(words) for _ in range(80)]
+        for k in range(8):
+            own = list(base)
+            for _ in range(k and rng.randint(0, edits)):
+                own[rng.randrange(80)] = rng.choice(words)
+            texts[len(texts)] = " ".join(own)
+    return texts
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_near_duplicates_of_each_threshold(spark, percent):
+    texts = families(8, 3)
+    sets = {i: set(near_dup.shingles(near_dup.words_of(t)).tolist()) for i, t in texts.items()}
+    least = {i: i for i in sets}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+    for _ in sets:
+        for a, b in links:
+            least[a] = least[b] = min(least[a], least[b])
+    df = spark.createDataFrame(list(texts.items()), ["doc_id", "text"])
+    assert {r.doc_id: r.component_id for r in near_dup.near_duplicates(df, percent).collect()} == least
+
+
+def test_pipeline_drops_copies_between_the_thresholds(spark):
+    base = [f"w{i}" for i in range(50)]
+    near = list(base)
+    near[20] = "other"
+    sets = [set(near_dup.shingles(near_dup.words_of(" ".join(t))).tolist()) for t in (base, near)]
+    assert 0.8 <= len(sets[0] & sets[1]) / len(sets[0] | sets[1]) < 0.85
+    df = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(near))], ["doc_id", "text"])
+    assert [r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, SMALL).collect()] == [1]
+    assert near_dup.near_duplicates(df).filter("kept").count() == 2
+
+
+def test_bands_and_signatures_miss_few():
+    for percent, plan in ((85, (85, 40, 8, 813)), (80, (80, 54, 7, 757))):
+        assert near_dup.plan_of(percent) == plan
+        assert (1 - (percent / 100) ** plan[2]) ** plan[1] <= 3.1e-6
+
+
 # --- urls ---
 
 
