@@ -32,10 +32,21 @@ _CHAIN = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _PART = re.compile(r"[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN_START = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}")
+_IBAN_REST = re.compile(r"(?: ?[A-Z0-9]){11,30}")
+_TOKEN_END = re.compile(r"[A-Z0-9](?![A-Za-z0-9])")
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _WRITTEN = re.compile(r"(?<![A-Za-z0-9])[A-Za-z0-9]{2,32} ?[(\[]at[)\]] ?[A-Za-z0-9-]{2,32} ?[(\[]dot[)\]] ?[a-z]{2,8}(?![A-Za-z0-9])")
 _DIGIT = re.compile(r"[0-9]")
+#: Characters of an IBAN by country.
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BI": 27, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28,
+    "CZ": 24, "DE": 22, "DJ": 27, "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FK": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23,
+    "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32,
+    "LI": 21, "LT": 20, "LU": 20, "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MN": 20, "MR": 27, "MT": 31, "MU": 30, "NI": 28, "NL": 18,
+    "NO": 15, "OM": 23, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "RU": 33, "SA": 24, "SC": 31, "SD": 18, "SE": 24, "SI": 19,
+    "SK": 24, "SM": 27, "SO": 23, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20,
+}
 
 
 def luhn(digits: str) -> bool:
@@ -51,6 +62,31 @@ def mod97(iban: str) -> bool:
     return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+def _ibans(text: str):
+    """At each start the end of a token that makes the checksum hold: first those of the country's length, then, between these, the last one. 64 characters are looked at."""
+    tried, exact, done = [], [], 0
+    for start in _IBAN_START.finditer(text):
+        at = start.start()
+        if rest := _IBAN_REST.match(text, start.end()):
+            ends = [m.end() for m in _TOKEN_END.finditer(text, start.end(), rest.end() + 1) if m.end() <= rest.end()]
+            sized = [(e, n) for e in reversed(ends) if (n := e - at - text.count(" ", at, e)) >= 15]
+            tried.append((at, sized))
+            end = next((e for e, n in sized if n == IBAN_LENGTHS.get(start[0][:2])), None)
+            if at >= done and end and mod97(text[at:end]):
+                exact.append((at, end))
+                done = end
+    found, bounds = list(exact), [*exact, (len(text), len(text))]
+    done = i = 0
+    for at, sized in tried:
+        while bounds[i][1] <= at and bounds[i][0] < len(text):
+            done = max(done, bounds[i][1])
+            i += 1
+        if at >= done and at < bounds[i][0] and (end := next((e for e, _ in sized if e <= bounds[i][0] and mod97(text[at:e])), None)):
+            found.append((at, end))
+            done = end
+    yield from sorted(found)
+
+
 def _emails(text: str):
     """The pattern's matches, found from each @ so that long runs without one cost nothing."""
     end, at = 0, text.find("@")
@@ -92,16 +128,16 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def find_spans(text: str) -> list[tuple[str, int, int, float]]:
-    """(kind, start, end, score) by kind as in KINDS, then by start; ends exclusive. More kinds never replace a base span."""
+    """(kind, start, end, score) by kind as in KINDS, then by start; ends exclusive. More kinds never replace a base span; they may overlap one, but not lie within it."""
     found = [(k, s, e, CHECKED) for k, s, e in base_spans(text)]
     more = []
     if _DIGIT.search(text):
-        more += [("iban", *m.span(), CHECKED if mod97(m[0]) else 0.0) for m in _IBAN.finditer(text)]
+        more += [("iban", *s, CHECKED) for s in _ibans(text)]
         more += [("ssn", *m.span(), PRIOR + 0.1 * (m[0][:3] not in ("000", "666") and m[0][0] != "9" and m[0][4:6] != "00")) for m in _SSN.finditer(text)]
     if "at" in text and "dot" in text:
         more += [("written_email", *m.span(), PRIOR) for m in _WRITTEN.finditer(text)]
     taken = [(s, e) for _, s, e, _ in found]
-    found += [x for x in more if not any(x[1] < e and s < x[2] for s, e in taken)]
+    found += [x for x in more if not any(s <= x[1] and x[2] <= e for s, e in taken)]
     scored = []
     for kind, start, end, score in found:
         around = re.findall(r"[a-z-]+", text[max(0, start - NEAR) : start].lower() + " " + text[end : end + NEAR].lower())

@@ -112,6 +112,21 @@ def test_checks_and_context():
     assert pii.mask("a b@c.org d", pii.find_spans("a b@c.org d")) == "a [EMAIL] d"
 
 
+def test_ibans_with_tokens_around_them():
+    found = lambda t: [t[s:e] for k, s, e, _ in pii.find_spans(t) if k == "iban"]
+    for iban in ("DE89 3704 0044 0532 0130 00", "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "BE68 5390 0754 7034", "NO93 8601 1117 947"):
+        for text in ("{}", "IBAN: {} BIC: COBADEFFXXX", "{} 2024", "{} 12 3456 7890 ABC", "REF AB12 {}.", "AB12CD34 {} X"):
+            assert found(text.format(iban)) == [iban], text
+    assert found("two: DE89370400440532013000 GB82WEST12345698765432 end") == ["DE89370400440532013000", "GB82WEST12345698765432"]
+    assert found("DE88 3704 0044 0532 0130 00 BIC") == [] and found("DE89370400440532013000x") == [] and found("xDE89370400440532013000") == []
+
+
+def test_an_iban_over_a_card_is_masked_whole():
+    text = next(t for i in range(10**4) if pii.mod97((t := f"NO{i % 100:02} 8601 {i // 100:04} 947 ")[:-1]) and pii.luhn(pii._digits(t))) + "is the account"
+    kinds = [s[0] for s in pii.find_spans(text)]
+    assert kinds == ["card", "iban"] and pii.mask(text, pii.find_spans(text)) == "[IBAN] is the account"
+
+
 def test_personal_data_of_odd_rows(odd, none):
     assert pii.personal_data(odd).filter("size(spans) > 0").count() == 0
     kept = pii.mask_personal_data(odd)
