@@ -47,6 +47,15 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+def keyed_rows(docs: DataFrame, label: str) -> DataFrame:
+    """docs, written, with two columns more: _row, a number of its own for every row, and _hash, of all columns.
+
+    Ids can be null or repeated; stages that join rows with what they found about them do it by _row. Rows of the same id are told apart by
+    _hash, so results do not depend on the numbers, which follow the files.
+    """
+    return settle(docs.withColumns({"_row": F.monotonically_increasing_id(), "_hash": F.xxhash64(*docs.columns)}), label)
+
+
 def hot_join(left: DataFrame, right: DataFrame, key: str, count: str, how: str = "left") -> DataFrame:
     """Equi-join of a large left side with a right side that has one row for each key and the key's left rows in `count`.
 

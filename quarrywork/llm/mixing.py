@@ -8,11 +8,11 @@ is cut off where the total budget is used up. DataFrame operations only.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, cut_at, settle, table, up_to
+from .common import WORD, cut_at, keyed_rows, settle, table, up_to
 
 WEIGHTS, MOST = (5, 2, 1), 3
 #: Hex digits of the shuffle key that split a source's queue into parts (16 ** 3 of them), so that no task sorts a whole source.
@@ -34,14 +34,15 @@ def targets(sources: DataFrame, weights=WEIGHTS, most: float = MOST) -> DataFram
     return leveled.select("source_key", "source_size", F.least(F.col("level") * F.col("weight"), F.col("cap")).alias("target"))
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
+def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, shuffle: Column | None = None) -> DataFrame:
     """doc_id, size, source_size, target, taken, passes (the times the mix takes the document, 0 to `most`) of all rows of docs.
 
     Null text: size 0. Null source: a source of its own, after all others. Repeated rows count each. No rows: no rows. Other
-    columns are ignored.
+    columns are ignored. shuffle: a string of hex digits that orders a source's documents, by default of doc_id.
     """
+    shuffle = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) if shuffle is None else shuffle
     key = F.when(F.col("source").isNull(), "b").otherwise(F.concat(F.lit("a"), "source"))
-    slim = settle(docs.select("doc_id", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), key.alias("source_key"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("shuffle_key")), "mix-sizes")
+    slim = settle(docs.select("doc_id", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), key.alias("source_key"), shuffle.alias("shuffle_key")), "mix-sizes")
     slim = slim.withColumn("part", F.substring("shuffle_key", 1, PART_DIGITS))
     parts = slim.groupBy("source_key", "part").agg(F.sum("size").alias("part_size"))
     sources = targets(parts.groupBy("source_key").agg(F.sum("part_size").alias("source_size")), weights, most)
@@ -65,8 +66,12 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
 
 
 def apply_mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
-    """The mixed rows themselves, each as often as the mix takes it; ids are expected to be unique and not null."""
-    return docs.join(mix(docs, weights, most).filter("passes > 0").select("doc_id", "passes"), "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("passes")))).select(*docs.columns)
+    """The mixed rows themselves, each as often as the mix takes it. Every row counts by itself, whatever its id; rows without one are shuffled by what they hold."""
+    rows = keyed_rows(docs, "mix-rows")
+    digits = F.lower(F.hex("_hash"))
+    shuffle = F.concat(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("row "), digits))), digits)
+    taken = mix(rows.select(F.col("_row").alias("doc_id"), "text", "source", shuffle.alias("_shuffle")), weights, most, F.col("_shuffle"))
+    return rows.join(taken.filter("passes > 0").select(F.col("doc_id").alias("_row"), "passes"), "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("passes")))).select(*docs.columns)
 
 
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

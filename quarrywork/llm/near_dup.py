@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hot_join, schema, settle, small_batches, table
+from .common import hot_join, keyed_rows, schema, settle, small_batches, table
 from .components import components
 
 #: PERCENT is the contract of op4; the pipeline, which has none, links from PIPELINE_PERCENT.
@@ -206,8 +206,12 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = PIPELINE_PERCENT) -> DataFrame:
-    """One document of each component."""
-    return docs.join(near_duplicates(docs, percent).filter("kept").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    """One row of each component: the one with the smallest id, rows without an id last. Every row counts by itself, whatever its id."""
+    rows = keyed_rows(docs, "dup-rows")
+    found = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), percent).select(F.col("doc_id").alias("_row"), "component_id")
+    ranks = rows.select("_row", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_hash", "_row").alias("rank"))
+    kept = found.join(ranks, "_row").groupBy("component_id").agg(F.min("rank").alias("rank")).select("rank._row")
+    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
 
 
 def op4_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:

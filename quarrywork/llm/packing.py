@@ -15,7 +15,6 @@ from bisect import bisect_left, insort
 from functools import cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -204,16 +203,19 @@ def pack(parts: DataFrame, size: int = LENGTH, cell: int = CELL) -> DataFrame:
     names = [f.name for f in columns]
 
     def packed(last: bool, turn: int):
-        def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values(names, ignore_index=True)
-            lengths = pdf["length"].to_numpy(np.int64)
+        def run(key: tuple, rows: pa.Table) -> pa.Table:  # not pandas, where a null makes doubles of the ids
+            rows = rows.select(names).sort_by([(n, "ascending") for n in names])
+            lengths = rows["length"].to_numpy()
             bins = pack_cell(lengths, size)
-            number, offset, is_open = np.empty(len(pdf), np.int64), np.empty(len(pdf), np.int64), np.empty(len(pdf), bool)
+            number, offset, is_open = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64), np.empty(len(lengths), bool)
             for b, members in enumerate(bins):
                 m = np.array(members)
                 ends = lengths[m].cumsum()
                 number[m], offset[m], is_open[m] = b, ends - lengths[m], not last and ends[-1] < size - size // 512
-            return pdf[names].assign(sequence_id=(turn << 56) + (int(key[0]) << 20) + number, offset=offset, open=is_open)
+            added = {"sequence_id": (turn << 56) + (key[0].as_py() << 20) + number, "offset": offset, "open": is_open}
+            for name, values in added.items():
+                rows = rows.append_column(name, pa.array(values))
+            return rows
 
         return run
 
@@ -223,7 +225,7 @@ def pack(parts: DataFrame, size: int = LENGTH, cell: int = CELL) -> DataFrame:
         cells = max(1, -(-n // cell))
         last = cells == 1 or before == cells
         dealt = rest.withColumn("_cell", F.pmod(F.xxhash64(F.lit(turn), *names), F.lit(cells)))
-        result = settle(dealt.groupBy("_cell").applyInPandas(packed(last, turn), out), "pack-round")
+        result = settle(dealt.groupBy("_cell").applyInArrow(packed(last, turn), out), "pack-round")
         done.append(result.filter("NOT open").drop("open"))
         if last:
             break

@@ -397,6 +397,21 @@ def test_neighbours_of_odd_vectors(spark):
 # --- pipeline ---
 
 
+def test_stages_with_null_and_repeated_ids(spark):
+    text = lambda k: " ".join(f"{k}w{i}" for i in range(60))
+    big = (1 << 53) + 1
+    rows = [(None, text("a")), (None, text("b")), (None, text("c")), (4, text("c") + " x"), (5, text("c") + " y"), (5, text("d")), (6, text("e")), (6, text("e")), (6, text("e")), (big, text("f"))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    have = lambda df: sorted([(r.doc_id or 0, r.text) for r in df.collect()])
+    want = sorted((i or 0, t) for i, t in {rows[k] for k in (0, 1, 3, 5, 6, 9)})
+    assert have(corpus_pipeline.near_duplicates(spark, docs, SMALL)) == want
+    assert have(corpus_pipeline.mixing(spark, docs, SMALL)) == sorted((i or 0, t) for i, t in rows)  # of one source, all once
+    assert sorted(r.doc_id or 0 for r in corpus_pipeline.packing(spark, docs, SMALL).collect()) == sorted(i or 0 for i, _ in rows)
+    labels = spark.createDataFrame([(4, 1), (6, 0)], "doc_id long, label int")
+    sampler = quality.Sampler(docs, labels)
+    assert sampler.keep(docs).count() == sampler.scores().filter("kept").count() > 0
+
+
 def test_pipeline(spark):
     docs = common.table(spark, SMALL, "documents")
     at, columns = docs, docs.columns
