@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,8 +15,10 @@ from pyspark.sql.window import Window
 #: ASCII white space; everything else belongs to a word.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Rows of whole texts in one Arrow batch, so that a batch of long texts stays small.
-BATCH_ROWS = 512
+#: Rows and bytes that Python works on at a time, so that what it makes of a batch of long texts stays small.
+PART_ROWS, PART_BYTES = 512, 16 << 20
+#: A side with at most this many short rows may be broadcast.
+FEW = 200_000
 #: A key is hot from this share of all rows, so there are at most 1 / HOT_SHARE hot keys.
 HOT_SHARE = 0.001
 
@@ -24,24 +27,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Before Python runs on rows of texts: small Arrow batches, and this package on the workers' path (on a cluster, --py-files does that)."""
-    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
+def ship(spark: SparkSession) -> None:
+    """Before Python runs on rows in a local run: this package is on the workers' path. A cluster gets it by --py-files or an installed package."""
+    if spark.sparkContext.master.startswith("local["):
+        spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
+
+
+def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most PART_ROWS rows and, but for a single longer row, about PART_BYTES bytes."""
+    for batch in batches:
+        rows = max(1, min(PART_ROWS, batch.num_rows * PART_BYTES // max(1, batch.nbytes)))
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is set, as in local tests."""
+    """The cluster's shared folder. Where none is set, one in the warehouse, which executors share as well."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at
+    return at or f"{spark.conf.get('spark.sql.warehouse.dir')}/_steps"
 
 
 def settle(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and reread it: later jobs neither recompute it nor depend on executors."""
+    """Write df to the shared folder and reread it: later jobs neither recompute it nor depend on executors. The folder's owner clears it, as with checkpoints."""
     at = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
@@ -77,7 +84,7 @@ def cut_at(df: DataFrame, key: str, ties: list[str], weight: str, budget: float,
     """Where a global sort by the double `key` and then `ties` is truncated: the values of the last row whose running weight is within the budget.
 
     The sort is by ranges: each pass sums `bins` equal ranges of the key and goes on with the one that holds the cut, until at
-    most `last` rows, or the rows that share one key, are left to be sorted. Weights are not negative; df is read again in
+    most `last` rows, or the rows that share one key, are left; equal ones are summed, the rest is sorted. Weights are not negative; df is read again in
     each pass, so settle it first. (key, *ties): up to this row. (key,): the rows below this key. None: no row.
     """
     low, high, n = df.agg(F.min(key), F.max(key), F.count("*")).first()
@@ -90,6 +97,7 @@ def cut_at(df: DataFrame, key: str, ties: list[str], weight: str, budget: float,
             before += p["w"]
         low, high, n = p["low"], p["high"], p["n"]
         df = df.filter(F.col(key).between(low, high))
+    df = df.groupBy(key, *ties).agg(F.sum(weight).alias(weight))
     order = [F.col(key), *map(F.col, ties)]
     running = F.sum(weight).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) + F.lit(before)
     found = df.withColumn("_running", running).filter(F.col("_running") <= budget).orderBy(F.desc("_running"), *[c.desc() for c in order]).select(key, *ties).first()

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import schema, small_batches, table
+from .common import parts, schema, ship, table
 
 #: Payloads are padded with bytes 0 up to a positive multiple of this.
 BLOCK = 64
@@ -74,7 +74,7 @@ def fingerprint(samples: np.ndarray) -> np.ndarray:
 
 
 def _store(batches):
-    for batch in batches:
+    for batch in parts(batches):
         n, media = [], []
         for text in batch.column(1).to_pylist():
             raw = (text or "").encode("utf-8", "surrogatepass")
@@ -84,7 +84,7 @@ def _store(batches):
 
 
 def _read(batches):
-    for batch in batches:
+    for batch in parts(batches):
         payloads = [from_wav(m) for m in batch.column(2).to_pylist()]
         marks = [fingerprint(np.frombuffer(p, np.uint8)) for p in payloads]
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(payloads, pa.binary()), pa.array(marks, pa.list_(pa.int64()))], ["doc_id", "n_bytes", "media", "payload", "fingerprint"])
@@ -92,7 +92,7 @@ def _read(batches):
 
 def store_media(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, media: a WAV file of every row's text. Null and empty texts: one block of bytes 0. Other columns are ignored."""
-    small_batches(docs.sparkSession)
+    ship(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_store, schema("doc_id long, n_bytes long, media binary"))
 
 
@@ -101,7 +101,7 @@ def read_media(stored: DataFrame) -> DataFrame:
 
     Silence has no peaks and an empty fingerprint; equal files have equal fingerprints. No rows: no rows.
     """
-    small_batches(stored.sparkSession)
+    ship(stored.sparkSession)
     return stored.select("doc_id", "n_bytes", "media").mapInArrow(_read, schema("doc_id long, n_bytes long, media binary, payload binary, fingerprint array<long>"))
 
 

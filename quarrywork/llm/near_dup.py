@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hot_join, keyed_rows, schema, settle, small_batches, table
+from .common import hot_join, keyed_rows, parts, schema, settle, ship, table
 from .components import components
 
 #: PERCENT is the contract of op4; the pipeline, which has none, links from PIPELINE_PERCENT.
@@ -86,7 +86,7 @@ def minima(hashes: np.ndarray, n: int) -> np.ndarray:
 
 def _signatures(plan: Plan):
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches):
             ids, sizes, keys, bands = batch.column(0), [], [], []
             for text in batch.column(1).to_pylist():
                 words = words_of(text)
@@ -110,7 +110,7 @@ def _names(side: str) -> list[str]:
 
 def _sketches(batches):
     """BITS planes of SKETCH bits each: the low bits of a mix of every minimum."""
-    for batch in batches:
+    for batch in parts(batches):
         out = []
         for text in batch.column(1).to_pylist():
             m = minima(shingles(words_of(text)), SKETCH) * np.uint32(0x9E3779B1) >> np.uint32(32 - BITS)
@@ -124,7 +124,7 @@ def _verify(percent: int):
 
     def run(batches):
         at, base = None, None
-        for batch in batches:
+        for batch in parts(batches):
             a, b = [], []
             for pivot, part, member, doc, text in zip(*(c.to_pylist() for c in batch.columns)):
                 s = shingles(words_of(text))
@@ -166,7 +166,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     Null, empty and blank texts have no shingles and stand alone. Rows that repeat an id belong to the component of that id. A null id has a
     null component and is not kept. No rows: no rows. Other columns are ignored.
     """
-    small_batches(docs.sparkSession)
+    ship(docs.sparkSession)
     plan = plan_of(percent)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = settle(source.mapInArrow(_signatures(plan), schema("doc_id long, n_shingles long, words_key binary, bands array<long>")), "dup-signatures")

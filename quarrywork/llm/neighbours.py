@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import schema, settle, small_batches, table
+from .common import parts, schema, settle, ship, table
 
 K, EVERY = 20, 20
 #: Vectors the tree is fitted on, branches of a node, vectors of the sample in a leaf, rounds of each k-means.
@@ -153,7 +153,7 @@ def _exact(vectors: DataFrame, probes: np.ndarray, ids: np.ndarray, k: int) -> D
     def run(batches):
         q, who = shared.value
         best, got = np.full((len(q), 0), 0.0), np.full((len(q), 0), 0)
-        for batch in batches:
+        for batch in parts(batches):
             own = batch.column(0).to_numpy()
             scores = q @ _matrix(batch.column(1)).T
             scores[who[:, None] == own[None, :]] = -np.inf
@@ -171,7 +171,7 @@ class Index:
 
     def __init__(self, vectors: DataFrame, sample: int = SAMPLE):
         spark = vectors.sparkSession
-        small_batches(spark, 4096)
+        ship(spark)
         rows = usable(vectors)
         picked = rows.orderBy(F.xxhash64(F.lit(3), "vec_id"), "vec_id").limit(sample).select("embedding").toPandas()
         self.tree = Tree(np.stack(picked["embedding"].to_numpy())) if len(picked) else None
@@ -191,7 +191,7 @@ class Index:
         tree = rows.sparkSession.sparkContext.broadcast(self.tree)
 
         def run(batches):
-            for batch in batches:
+            for batch in parts(batches):
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tree.value.place(_matrix(batch.column(1))))], ["vec_id", "embedding", "leaf"])
 
         return rows.mapInArrow(run, schema("vec_id long, embedding array<double>, leaf long"))
@@ -219,7 +219,7 @@ class Index:
         tree, sizes, blocks = spark.sparkContext.broadcast(self.tree), self.sizes, self.blocks
 
         def visit(batches):
-            for batch in batches:
+            for batch in parts(batches):
                 ways = []
                 for v in _matrix(batch.column(1)):
                     by: dict[int, list[int]] = {}

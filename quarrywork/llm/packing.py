@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import schema, settle, small_batches, table
+from .common import parts, schema, settle, ship, table
 
 LENGTH, END = 4096, 1
 #: Pieces in a cell, about; a cell is packed by one task at a time.
@@ -92,12 +92,12 @@ def default_tokenizer() -> str:
 def pieces(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, end: int = END) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every row of docs(doc_id, text). Null text: empty, one piece with the end id alone."""
     path = tokenizer or default_tokenizer()
-    small_batches(docs.sparkSession)
+    ship(docs.sparkSession)
     tail = np.array([end], "<u4").tobytes()
 
     def cut(batches):
         known = word_ids(path)
-        for batch in batches:
+        for batch in parts(batches):
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids = known.text(text or "") + tail

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import schema, small_batches, table
+from .common import parts, schema, ship, table
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban", "ssn", "written_email")
@@ -161,13 +161,13 @@ _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end
 
 
 def _found(batches):
-    for batch in batches:
+    for batch in parts(batches):
         spans = [[dict(zip(("kind", "start", "end", "score"), x)) for x in find_spans(t or "")] for t in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, _SPANS)], ["doc_id", "spans"])
 
 
 def _masked(batches):
-    for batch in batches:
+    for batch in parts(batches):
         at = batch.schema.get_field_index("text")
         texts = [t and mask(t, find_spans(t)) for t in batch.column(at).to_pylist()]
         yield batch.set_column(at, "text", pa.array(texts, batch.schema.field(at).type))
@@ -178,13 +178,13 @@ def personal_data(docs: DataFrame) -> DataFrame:
 
     Null and empty texts have no spans. Repeated rows give repeated results, no rows none. Other columns are ignored.
     """
-    small_batches(docs.sparkSession)
+    ship(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_found, schema("doc_id long, spans array<struct<kind: string, start: long, end: long, score: double>>"))
 
 
 def mask_personal_data(docs: DataFrame) -> DataFrame:
     """The same rows and columns, every span in text replaced by its kind in brackets; null stays null."""
-    small_batches(docs.sparkSession)
+    ship(docs.sparkSession)
     return docs.mapInArrow(_masked, docs.schema)
 
 

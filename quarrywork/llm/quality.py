@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut_at, schema, settle, small_batches, table, up_to
+from .common import cut_at, parts, schema, settle, ship, table, up_to
 from .sampling import labelled_sample
 
 #: Labelled documents of each class that the target model and the cut are learned from.
@@ -84,11 +84,11 @@ def ngrams(text: str | None, known: Tokens) -> np.ndarray:
 
 def count_ngrams(docs: DataFrame) -> np.ndarray:
     """How often each bucket occurs in all texts: every task sums its own, Spark sums theirs, SIZE numbers reach the driver."""
-    small_batches(docs.sparkSession)
+    ship(docs.sparkSession)
 
     def run(batches):
         total, known = np.zeros(SIZE, np.int64), Tokens()
-        for batch in batches:
+        for batch in parts(batches):
             for text in batch.column(0).to_pylist():
                 total += np.bincount(ngrams(text, known), minlength=SIZE)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(SIZE)), pa.array(total)], ["bucket", "n"])
@@ -117,7 +117,7 @@ def best_cut(weights: np.ndarray, good: np.ndarray) -> float:
 def _weigh(ratios):
     def run(batches):
         known = Tokens()
-        for batch in batches:
+        for batch in parts(batches):
             at = batch.schema.get_field_index("text")
             weights = [float(ratios.value[ngrams(t, known)].sum()) for t in batch.column(at).to_pylist()]
             yield batch.append_column("log_weight", pa.array(weights, pa.float64()))
@@ -127,7 +127,7 @@ def _weigh(ratios):
 
 def weigh(docs: DataFrame, ratios) -> DataFrame:
     """docs with log_weight added; texts stay where they are."""
-    small_batches(docs.sparkSession)
+    ship(docs.sparkSession)
     return docs.mapInArrow(_weigh(ratios), T.StructType([*docs.schema.fields, T.StructField("log_weight", T.DoubleType())]))
 
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import settle
+from .common import FEW, settle
 
 
 def remainder(doc_id: Column, by: int) -> Column:
@@ -14,18 +15,16 @@ def remainder(doc_id: Column, by: int) -> Column:
 
 
 def labelled_sample(docs: DataFrame, ids: DataFrame, most: int, seed: int = 17) -> DataFrame:
-    """doc_id, label, text of at most `most` rows of each label, those first by a hash of the id.
+    """doc_id, label, text of at most `most` documents of each label, those first by a hash of the id.
 
-    ids: doc_id, label. The chosen ids are at most `most` times the number of labels, so they are broadcast. Labels are
-    few (flags, languages); each contributes a bounded top-k of its own.
+    ids: doc_id, label; null ones do not count. An id with several labels has its smallest one, an id with several texts its smallest text.
+    A label's rows are first thinned by the hash to about twice `most`, so only these are ranked together, however many there are.
     """
-    labels = [r[0] for r in ids.select("label").distinct().orderBy("label").collect()]
-    order = F.xxhash64(F.lit(seed), "doc_id")
-    picked = None
-    for label in labels:
-        some = ids.filter(F.col("label") == label).dropDuplicates(["doc_id"]).orderBy(order, "doc_id").limit(most)
-        picked = some if picked is None else picked.unionByName(some)
-    if picked is None:
-        return docs.select("doc_id", F.lit(None).cast("string").alias("label"), "text").limit(0)
-    picked = settle(picked.select("doc_id", "label"), "sample-ids")
-    return settle(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"]), "sample")
+    once = settle(ids.filter("doc_id IS NOT NULL AND label IS NOT NULL").groupBy("doc_id").agg(F.min("label").alias("label")), "sample-labels")
+    sizes = once.groupBy("label").agg(F.count("*").alias("n"))
+    share = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 11) / F.lit(float(1 << 53))).alias("share")
+    thin = once.join(sizes, "label").select("doc_id", "label", "n", share).filter(F.col("share") * F.col("n") <= 2 * most + 100)
+    place = F.row_number().over(Window.partitionBy("label").orderBy("share", "doc_id"))
+    picked = settle(thin.withColumn("place", place).filter(F.col("place") <= most).select("doc_id", "label"), "sample-ids")
+    picked = F.broadcast(picked) if picked.count() <= FEW else picked
+    return settle(docs.select("doc_id", "text").join(picked, "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")), "sample")
