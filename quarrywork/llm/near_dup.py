@@ -3,7 +3,8 @@
 Documents with the same words are one node from the start. In each band's bucket the smallest node is compared with all others
 first, which joins most groups with as many comparisons as members. Only buckets that still hold several components then give
 pairs across components, and only those whose longer signatures do not rule out the threshold. So a group of thousands of copies
-that are near their pivot costs its size, not the square of it, and no pair in a bucket is left out.
+that are near their pivot costs its size, not the square of it, and no pair in a bucket is left out. A bucket that stays open is cut
+by set size, as only sets of nearly the same size can be similar enough, and then in tiles of bounded size, so that no task holds more than a tile.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ SKETCH, BITS = 1024, 4
 WIDE = SKETCH // 64
 #: Members compared with one copy of their pivot's set by one task.
 GROUP = 64
+#: Members on each side of a tile of an open bucket.
+TILE = 512
 _SEEDS = np.random.default_rng(20240229)
 _A = (_SEEDS.integers(0, 1 << 31, SKETCH, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
 _B = _SEEDS.integers(0, 1 << 32, SKETCH, dtype=np.uint32)
@@ -60,6 +63,16 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
+def words_key(words: list[bytes]) -> bytes:
+    return xxhash.xxh3_128_digest(b" ".join(words))
+
+
+def _keyed(batches):
+    for batch in parts(batches):
+        keys = [words_key(words_of(t)) for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary())], ["key", "text", "words_key"])
+
+
 def shingles(words: list[bytes]) -> np.ndarray:
     """Sorted 64-bit hashes of the distinct five-word shingles; of fewer words, one hash of all."""
     if not words:
@@ -87,19 +100,19 @@ def minima(hashes: np.ndarray, n: int) -> np.ndarray:
 def _signatures(plan: Plan):
     def run(batches):
         for batch in parts(batches):
-            ids, sizes, keys, bands = batch.column(0), [], [], []
-            for text in batch.column(1).to_pylist():
+            sizes, keys, bands = [], [], []
+            for text in batch.column(2).to_pylist():
                 words = words_of(text)
                 s = shingles(words)
                 sizes.append(len(s))
                 if not len(s):
                     keys.append(None), bands.append([])
                     continue
-                keys.append(xxhash.xxh3_128_digest(b" ".join(words)))
+                keys.append(words_key(words))
                 m = minima(s, plan.bands * plan.rows)
                 b = (m.reshape(plan.bands, plan.rows).astype(np.uint64) * _MIX[: plan.rows]).sum(axis=1, dtype=np.uint64) ^ _BAND[: plan.bands]
                 bands.append((b ^ (b >> np.uint64(31))).view(np.int64))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "words_key", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["key", "doc_id", "n_shingles", "words_key", "bands"])
 
     return run
 
@@ -120,37 +133,37 @@ def _sketches(batches):
 
 
 def _verify(percent: int):
-    """Rows (pivot, part, is_member, doc_id, text) in order, each pivot's own row first -> pairs that are similar enough."""
+    """Rows (pivot, part, is_member, node, text) in order, each pivot's own row first -> pairs that are similar enough."""
 
     def run(batches):
         at, base = None, None
         for batch in parts(batches):
             a, b = [], []
-            for pivot, part, member, doc, text in zip(*(c.to_pylist() for c in batch.columns)):
+            for pivot, part, member, node, text in zip(*(c.to_pylist() for c in batch.columns)):
                 s = shingles(words_of(text))
                 if not member:
                     at, base = (pivot, part), s
                     continue
                 if (pivot, part) != at:
-                    raise ValueError(f"document {pivot} has no text here")
+                    raise ValueError(f"node {pivot} has no text here")
                 both = len(np.intersect1d(base, s, assume_unique=True))
                 if both and 100 * both >= percent * (len(base) + len(s) - both):
-                    a.append(pivot), b.append(doc)
+                    a.append(pivot), b.append(node)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return run
 
 
 def verify(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets have the similarity asked for. texts: doc_id, text, one row for each id.
+    """The pairs (a, b) whose full shingle sets have the similarity asked for. texts: node, text, one row for each node.
 
     A pivot's text goes once to each group of GROUP members, so that a pivot with many members is spread over many tasks.
     """
     counts = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts"))
     split = hot_join(pairs, counts.withColumn("n", F.col("parts").cast("long") * GROUP), "a", "n", "inner").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"))
-    members = split.join(texts, F.col("b") == F.col("doc_id")).select("a", "part", F.lit(True).alias("member"), "doc_id", "text")
-    pivots = counts.join(texts, F.col("a") == F.col("doc_id")).select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("member"), "doc_id", "text")
-    both = pivots.unionByName(members).repartition("a", "part").sortWithinPartitions("a", "part", "member", "doc_id")
+    members = split.join(texts, F.col("b") == F.col("node")).select("a", "part", F.lit(True).alias("member"), "node", "text")
+    pivots = counts.join(texts, F.col("a") == F.col("node")).select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("member"), "node", "text")
+    both = pivots.unionByName(members).repartition("a", "part").sortWithinPartitions("a", "part", "member", "node")
     return settle(both.mapInArrow(_verify(percent), schema("a long, b long")), "dup-links")
 
 
@@ -160,49 +173,91 @@ def _agreeing(one: str, two: str) -> Column:
     return SKETCH - reduce(Column.__add__, (F.bit_count(differ(i)) for i in range(WIDE)))
 
 
+def tiles(members: DataFrame, percent: int, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
+    """members (band, node, n_shingles, ...) -> (left, right), each with a tile; every two members of a bucket that can be similar enough meet in one tile, once or, within a part, in both orders.
+
+    A bucket's members are classed by the logarithm of their set size, so that those of a similarity of `percent` are in the same or the next class, and a
+    class is cut in parts of about `tile` members. A tile is two parts of one class, or of neighbouring ones.
+    """
+    level = F.floor(F.log(F.col("n_shingles").cast("double")) / F.lit(-math.log(percent / 100) * (1 + 1e-9))).cast("int")
+    placed = members.withColumn("level", level)
+    sizes = placed.groupBy("band", "level").agg(F.count("*").alias("n"), F.ceil(F.count("*") / tile).cast("int").alias("own"))
+    above = sizes.select("band", (F.col("level") - 1).alias("level"), F.col("own").alias("above"))
+    below = sizes.select("band", (F.col("level") + 1).alias("level"), F.col("own").alias("below"))
+    sizes = sizes.join(above, ["band", "level"], "left").join(below, ["band", "level"], "left").fillna(0, ["above", "below"])
+    cell = F.struct("band", "level")
+    placed = hot_join(placed.withColumn("cell", cell).drop("band", "level"), sizes.select(cell.alias("cell"), "own", "above", "below", "n"), "cell", "n", "inner")
+    placed = placed.withColumn("part", F.pmod(F.xxhash64(F.lit(1), "node"), F.col("own")).cast("int"))
+    at = lambda level, one, other, step: F.struct(F.col("cell.band").alias("band"), level.alias("level"), F.lit(step).alias("step"), one.alias("one"), other.alias("other"))
+    upto = lambda low, high: F.when(high >= low, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+    level, part, zero = F.col("cell.level"), F.col("part"), F.lit(0)
+    left = F.concat(F.transform(upto(part, F.col("own") - 1), lambda i: at(level, part, i, 0)), F.transform(upto(zero, F.col("above") - 1), lambda i: at(level, part, i, 1)))
+    right = F.concat(F.transform(upto(zero, part), lambda i: at(level, i, part, 0)), F.transform(upto(zero, F.col("below") - 1), lambda i: at(level - 1, i, part, 1)))
+    rest = [F.col("cell.band").alias("band"), *[c for c in members.columns if c != "band"]]
+    return placed.select(F.explode(left).alias("tile"), *rest), placed.select(F.explode(right).alias("tile"), *rest)
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs(doc_id, text); two texts are linked from a similarity of `percent` on.
 
-    Null, empty and blank texts have no shingles and stand alone. Rows that repeat an id belong to the component of that id. A null id has a
-    null component and is not kept. No rows: no rows. Other columns are ignored.
+    Null, empty and blank texts have no shingles and stand alone. Rows of one id are one document: its texts are linked, as are those of all rows with the
+    same words. A row without an id can link others; its component_id is the smallest id it reaches, null if there is none, and it is not kept. No rows: no
+    rows. Other columns are ignored.
     """
     ship(docs.sparkSession)
     plan = plan_of(percent)
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = settle(source.mapInArrow(_signatures(plan), schema("doc_id long, n_shingles long, words_key binary, bands array<long>")), "dup-signatures")
-    same = settle(signed.filter("words_key IS NOT NULL AND doc_id IS NOT NULL").groupBy("words_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "dup-copies")
-    nodes = signed.join(same.select(F.col("rep").alias("doc_id"), "words_key"), ["doc_id", "words_key"], "left_semi").select(F.col("doc_id").alias("node"), "bands")
+    # what finds a row's text again: its id, or a hash of the text where it has none
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("key", F.coalesce("doc_id", F.xxhash64("text")))
+    signed = source.select("key", "doc_id", "text").mapInArrow(_signatures(plan), schema("key long, doc_id long, n_shingles long, words_key binary, bands array<long>"))
+    signed = settle(signed.withColumn("row", F.monotonically_increasing_id()), "dup-signatures")
+    # a node is a text class; its number is that of its first row
+    same = settle(signed.filter("words_key IS NOT NULL").groupBy("words_key").agg(F.min("row").alias("node"), F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "dup-copies")
+    nodes = signed.join(same.select("node"), F.col("row") == F.col("node"), "left_semi").select(F.col("row").alias("node"), "key", "words_key", "n_shingles", "bands")
     buckets = settle(nodes.select("node", F.explode("bands").alias("band")), "dup-bands")
     groups = settle(buckets.groupBy("band").agg(F.min("node").alias("pivot"), F.max("node").alias("last"), F.count("*").alias("n")).filter("pivot < last").drop("last"), "dup-groups")
     shared = settle(hot_join(buckets, groups, "band", "n", "inner"), "dup-buckets")
-    texts = settle(source.join(shared.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "dup-texts")
+    wanted = settle(nodes.select("node", "key", "words_key").join(shared.select("node").distinct(), "node", "left_semi"), "dup-wanted")
+    texts = source.select("key", "text").join(wanted.select("key").distinct(), "key", "left_semi").mapInArrow(_keyed, schema("key long, text string, words_key binary"))
+    texts = settle(texts.join(wanted, ["key", "words_key"]).select("node", "text").dropDuplicates(["node"]), "dup-texts")
     sketches = settle(texts.mapInArrow(_sketches, schema("node long, " + ", ".join(f"{x} long" for x in _names("s")))), "dup-sketches")
     one, two = sketches.toDF("a", *_names("sa")), sketches.toDF("b", *_names("sb"))
 
-    def likely(pairs: DataFrame) -> DataFrame:
-        return pairs.join(two, "b").join(one, "a").filter(_agreeing("sa", "sb") >= plan.agree).select("a", "b")
-
-    first = settle(likely(shared.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()), "dup-pairs")
-    links = verify(first, texts, percent)
+    found = settle(shared.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "dup-proposed")
+    pivots = one.join(found.groupBy("a").agg(F.count("*").alias("n")), "a")
+    first = settle(hot_join(found.join(two, "b"), pivots, "a", "n", "inner").filter(_agreeing("sa", "sb") >= plan.agree).select("a", "b"), "dup-pairs")
+    links = verify(first, texts, percent).unionByName(_same_ids(signed, same))
     joined = components(links)
 
     members = shared.select("band", "node").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     members = settle(members, "dup-members")
-    mixed = members.groupBy("band").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least < most").select("band")
-    open_ = settle(members.join(mixed, "band", "left_semi"), "dup-open")
-    all_bands = signed.select(F.col("doc_id").alias("node"), "bands").join(open_.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    mixed = members.groupBy("band").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("n")).filter("least < most").select("band", "n")
+    open_ = settle(hot_join(members, mixed, "band", "n", "inner"), "dup-open")
+    all_bands = nodes.select("node", "n_shingles", "bands").join(open_.select("node").distinct(), "node", "left_semi")
     open_ = settle(open_.join(all_bands.join(sketches, "node"), "node"), "dup-open-signed")
-    left, right = (open_.select("band", F.col("node").alias(x), F.col("component").alias(f"c{x}"), F.col("bands").alias(f"bands_{x}"), *[F.col(f"s{i}").alias(f"s{x}{i}") for i in range(BITS * WIDE)]) for x in "ab")
-    # a pair comes from the first band that its nodes share, and from no other
-    once = F.element_at(F.array_intersect("bands_a", "bands_b"), 1) == F.col("band")
-    across = left.join(right, "band").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (_agreeing("sa", "sb") >= plan.agree) & once)
-    rest = settle(across.select("a", "b").join(first, ["a", "b"], "left_anti"), "dup-rest")
+    sides = zip("ab", tiles(open_, percent))
+    left, right = (side.select("tile", "band", F.col("node").alias(x), F.col("component").alias(f"c{x}"), F.col("bands").alias(f"bands_{x}"), *[F.col(f"s{i}").alias(f"s{x}{i}") for i in range(BITS * WIDE)]) for x, side in sides)
+    # a pair comes from the first band that its nodes share, and from no other; within one part, from one of its two orders
+    once = (F.element_at(F.array_intersect("bands_a", "bands_b"), 1) == F.col("band")) & ((F.col("tile.step") == 1) | (F.col("tile.one") != F.col("tile.other")) | (F.col("a") < F.col("b")))
+    across = left.join(right.drop("band"), "tile").filter((F.col("a") != F.col("b")) & (F.col("ca") != F.col("cb")) & (_agreeing("sa", "sb") >= plan.agree) & once)
+    rest = settle(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).join(first, ["a", "b"], "left_anti"), "dup-rest")
     more = verify(rest, texts, percent)
     joined = components(links.unionByName(more)) if not more.isEmpty() else joined
 
-    classes = same.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("words_key", F.coalesce("component", "rep").alias("component_id"), "copies")
+    classes = same.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = classes.groupBy("component").agg(F.min("rep").alias("component_id"), F.count("*").alias("n"))
+    classes = hot_join(classes, least, "component", "n", "inner").select("words_key", "component_id", "copies")
     found = hot_join(signed.select("doc_id", "n_shingles", "words_key"), classes, "words_key", "copies")
-    return found.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    component = F.when(F.col("words_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return found.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+
+
+def _same_ids(signed: DataFrame, same: DataFrame) -> DataFrame:
+    """Links between the texts of ids that stand under several ones: each with the smallest. Most tables have no such id."""
+    several = signed.filter("words_key IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1")
+    rows = signed.filter("words_key IS NOT NULL").select("doc_id", "words_key").join(several.select("doc_id"), "doc_id", "left_semi").distinct()
+    held = settle(rows.join(same.select("words_key", "node"), "words_key").select("doc_id", "node"), "dup-same-ids")
+    least = held.groupBy("doc_id").agg(F.min("node").alias("a"), F.count("*").alias("n")).filter("n > 1")
+    return hot_join(held, least, "doc_id", "n", "inner").filter("node <> a").select("a", F.col("node").alias("b"))
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = PIPELINE_PERCENT) -> DataFrame:

@@ -21,7 +21,8 @@ def labelled_sample(docs: DataFrame, ids: DataFrame, most: int, seed: int = 17)
     A label's rows are first thinned by the hash to about twice `most`, so only these are ranked together, however many there are.
     """
     once = settle(ids.filter("doc_id IS NOT NULL AND label IS NOT NULL").groupBy("doc_id").agg(F.min("label").alias("label")), "sample-labels")
-    sizes = once.groupBy("label").agg(F.count("*").alias("n"))
+    sizes = settle(once.groupBy("label").agg(F.count("*").alias("n")), "sample-sizes")
+    sizes = F.broadcast(sizes) if sizes.count() <= FEW else sizes
     share = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 11) / F.lit(float(1 << 53))).alias("share")
     thin = once.join(sizes, "label").select("doc_id", "label", "n", share).filter(F.col("share") * F.col("n") <= 2 * most + 100)
     place = F.row_number().over(Window.partitionBy("label").orderBy("share", "doc_id"))
