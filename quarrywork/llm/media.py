@@ -106,10 +106,11 @@ def read_media(stored: DataFrame) -> DataFrame:
 
 
 def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """feature: the number of peak pairs and a hash of them; fingerprint: the time-coded pairs themselves."""
     media = read_media(store_media(table(spark, sf_dir, "documents")))
     return media.select(
         "doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
         F.crc32(F.substring("payload", -BLOCK, BLOCK)).alias("tail_crc32"),
         F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"),
-        F.concat_ws(":", F.size("fingerprint"), F.lower(F.hex(F.xxhash64("fingerprint")))).alias("feature"),
+        F.concat_ws(":", F.size("fingerprint"), F.lower(F.hex(F.xxhash64("fingerprint")))).alias("feature"), "fingerprint",
     )

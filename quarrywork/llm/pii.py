@@ -1,12 +1,14 @@
 """Personal data: patterns propose spans, checksums confirm them, words nearby adjust the score.
 
 The four base kinds (email, ip, card, phone) are kept whenever their own check holds. Further kinds need more: an IBAN its mod-97
-checksum, a social security number and an address written out ("name at host dot com") a word nearby that speaks for them.
+checksum, a social security number, an address written out ("name at host dot com") and a long random-looking token a word nearby that speaks for them.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -15,12 +17,13 @@ from pyspark.sql import functions as F
 from .common import parts, schema, ship, table
 
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "iban", "ssn", "written_email")
+KINDS = (*BASE, "iban", "ssn", "written_email", "secret")
 #: Words near a span that speak for its kind, and how far away they count, in characters.
 CONTEXT = {
     "email": ("mail", "email", "e-mail", "contact", "write"), "ip": ("ip", "address", "server", "host"),
     "card": ("card", "visa", "credit", "payment"), "phone": ("phone", "call", "tel", "mobile", "fax"),
     "iban": ("iban", "account", "bank", "transfer"), "ssn": ("ssn", "social", "security"), "written_email": ("mail", "email", "e-mail", "contact", "write"),
+    "secret": ("token", "key", "apikey", "api-key", "secret", "password", "passwd", "credential", "credentials"),
 }
 NEAR = 40
 #: A kind's score before and after its checksum or range check, and what a word nearby adds; spans under LEAST are dropped.
@@ -37,6 +40,8 @@ _IBAN_REST = re.compile(r"(?: ?[A-Z0-9]){11,30}")
 _TOKEN_END = re.compile(r"[A-Z0-9](?![A-Za-z0-9])")
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _WRITTEN = re.compile(r"(?<![A-Za-z0-9])[A-Za-z0-9]{2,32} ?[(\[]at[)\]] ?[A-Za-z0-9-]{2,32} ?[(\[]dot[)\]] ?[a-z]{2,8}(?![A-Za-z0-9])")
+#: A token of an access key: 20 characters or more, letters and digits by turns.
+_SECRET = re.compile(r"(?<![A-Za-z0-9_])[A-Za-z0-9_]{20,128}(?![A-Za-z0-9_])")
 _DIGIT = re.compile(r"[0-9]")
 #: Characters of an IBAN by country.
 IBAN_LENGTHS = {
@@ -115,6 +120,12 @@ def _digits(text: str) -> str:
     return "".join(c for c in text if "0" <= c <= "9")
 
 
+def random_looking(token: str) -> bool:
+    """At least five times from a letter to a digit or back, and ten different characters."""
+    digit = [c.isdigit() for c in token]
+    return sum(a != b for a, b in zip(digit, digit[1:])) >= 5 and len(set(token)) >= 10
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     found = [("email", *s) for s in _emails(text)]
     if not _DIGIT.search(text):
@@ -134,10 +145,12 @@ def find_spans(text: str) -> list[tuple[str, int, int, float]]:
     if _DIGIT.search(text):
         more += [("iban", *s, CHECKED) for s in _ibans(text)]
         more += [("ssn", *m.span(), PRIOR + 0.1 * (m[0][:3] not in ("000", "666") and m[0][0] != "9" and m[0][4:6] != "00")) for m in _SSN.finditer(text)]
+        more += [("secret", *m.span(), PRIOR) for m in _SECRET.finditer(text) if random_looking(m[0])]
     if "at" in text and "dot" in text:
         more += [("written_email", *m.span(), PRIOR) for m in _WRITTEN.finditer(text)]
-    taken = [(s, e) for _, s, e, _ in found]
-    found += [x for x in more if not any(s <= x[1] and x[2] <= e for s, e in taken)]
+    taken = sorted((s, e) for _, s, e, _ in found)
+    starts, reach = [s for s, _ in taken], [0, *accumulate((e for _, e in taken), max)]  # how far the spans go that start up to here
+    found += [x for x in more if reach[bisect_right(starts, x[1])] < x[2]]
     scored = []
     for kind, start, end, score in found:
         around = re.findall(r"[a-z-]+", text[max(0, start - NEAR) : start].lower() + " " + text[end : end + NEAR].lower())
@@ -189,8 +202,10 @@ def mask_personal_data(docs: DataFrame) -> DataFrame:
 
 
 def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """scores: those of the spans, in the same order, after checksums and words nearby."""
     found = personal_data(table(spark, sf_dir, "documents"))
     of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    scores = F.array_join(F.transform("spans", lambda s: F.format_number(s["score"], 2)), ",")
     base = joined(F.filter("spans", lambda s: s["kind"].isin(*BASE)))
-    return found.select("doc_id", *map(of, BASE), F.sha2(base.cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *map(of, BASE), F.sha2(base.cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), scores.alias("scores"))

@@ -114,21 +114,24 @@ def best_cut(weights: np.ndarray, good: np.ndarray) -> float:
     return float(w[0] - 1 if i == 0 else w[-1] + 1 if i == len(w) else (w[i - 1] + w[i]) / 2)
 
 
-def _weigh(ratios):
+def _weigh(ratios, at: int):
+    """Adds the log weight of the text in column `at`."""
+
     def run(batches):
         known = Tokens()
         for batch in parts(batches):
-            at = batch.schema.get_field_index("text")
             weights = [float(ratios.value[ngrams(t, known)].sum()) for t in batch.column(at).to_pylist()]
-            yield batch.append_column("log_weight", pa.array(weights, pa.float64()))
+            yield batch.append_column("weight", pa.array(weights, pa.float64()))
 
     return run
 
 
-def weigh(docs: DataFrame, ratios) -> DataFrame:
-    """docs with log_weight added; texts stay where they are."""
+def weigh(docs: DataFrame, ratios, *columns: str) -> DataFrame:
+    """The given columns and log_weight, the log weight of text; texts stay where they are."""
     ship(docs.sparkSession)
-    return docs.mapInArrow(_weigh(ratios), T.StructType([*docs.schema.fields, T.StructField("log_weight", T.DoubleType())]))
+    plain = docs.select(*columns, "text").toDF(*[f"c{i}" for i in range(len(columns) + 1)])  # no name of the caller's can clash
+    weighed = plain.mapInArrow(_weigh(ratios, len(columns)), T.StructType([*plain.schema.fields, T.StructField("weight", T.DoubleType())]))
+    return weighed.drop(plain.columns[-1]).toDF(*columns, "log_weight")
 
 
 def gumbel(doc_id: Column, seed: int = SEED) -> Column:
@@ -139,7 +142,9 @@ def gumbel(doc_id: Column, seed: int = SEED) -> Column:
 class Sampler:
     """What resampling has learned from docs(doc_id, text) and labels(doc_id, label 1 or 0): the log ratios, k, and where the keys are cut.
 
-    Null and empty texts have a log weight of 0. Without labels of both kinds, or without documents, every document is selected.
+    Null and empty texts have a log weight of 0. Rows that repeat an id and a text have one key and are selected together or not at all; rows of one id with
+    different texts count each, and so do rows without an id, whose noise comes from a null. Without labels of both kinds, or without documents, every
+    document is selected.
     """
 
     def __init__(self, docs: DataFrame, labels: DataFrame, most: int = SAMPLE):
@@ -147,18 +152,27 @@ class Sampler:
         sample = labelled_sample(docs, labels, most)
         ratios = log_shares(count_ngrams(sample.filter("label = 1"))) - log_shares(count_ngrams(docs))
         self.ratios = spark.sparkContext.broadcast(ratios)
-        rows = weigh(sample.select("label", "text"), self.ratios).select("label", "log_weight").collect()
-        weights, good = np.array([r[1] for r in rows]), np.array([r[0] == 1 for r in rows], bool)
+        rows = weigh(sample, self.ratios, "label").collect()
+        weights, good = np.array([r["log_weight"] for r in rows]), np.array([r["label"] == 1 for r in rows], bool)
         self.all = len(set(good.tolist())) < 2
         self.threshold = 0.0 if self.all else best_cut(weights, good)
-        self.keys = settle(self._keyed(weigh(docs.select("doc_id", "text"), self.ratios)).select("doc_id", "log_weight", "key", "order"), "quality-keys")
-        self.k = self.keys.filter(F.col("log_weight") >= self.threshold).count()
-        self.cut = cut_at(self.keys.withColumn("one", F.lit(1)), "order", ["doc_id"], "one", self.k)
+        self.docs, self._keys = docs, None
+
+    @property
+    def keys(self) -> DataFrame:
+        """doc_id, log_weight, key, order of every document, written once; with k and the cut."""
+        if self._keys is None:
+            self._cut(settle(self._keyed(weigh(self.docs, self.ratios, "doc_id")), "quality-keys"))
+        return self._keys
 
     def _keyed(self, weighed: DataFrame) -> DataFrame:
         keyed = weighed.withColumn("key", F.col("log_weight") + TEMPERATURE * gumbel(F.col("doc_id")))
         return keyed.withColumn("order", -F.col("key"))
 
+    def _cut(self, keys: DataFrame) -> None:
+        self._keys, self.k = keys, keys.filter(F.col("log_weight") >= self.threshold).count()
+        self.cut = cut_at(keys.select("order", "doc_id", F.lit(1).alias("one")), "order", ["doc_id"], "one", self.k)
+
     def selected(self) -> Column:
         return F.lit(True) if self.all else F.coalesce(up_to(self.cut, "order", ["doc_id"]), F.lit(False))
 
@@ -166,9 +180,17 @@ class Sampler:
         """doc_id, log_weight, key, kept (whether it is in the sample) of every document."""
         return self.keys.withColumn("kept", self.selected()).drop("order")
 
-    def keep(self, docs: DataFrame) -> DataFrame:
-        """The selected rows with the columns they had; weights are computed again where the texts are, so no text is shuffled."""
-        return self._keyed(weigh(docs, self.ratios)).filter(self.selected()).select(*docs.columns)
+    def kept_rows(self) -> DataFrame:
+        """The selected rows of docs with all their columns. The rows are written with their weights once, so no text is shuffled, or tokenized again."""
+        columns = self.docs.columns
+        rows = self.docs.toDF(*[f"c{i}" for i in range(len(columns))])
+        at = {c: f"c{i}" for i, c in enumerate(columns)}
+        ship(rows.sparkSession)
+        weighed = rows.mapInArrow(_weigh(self.ratios, columns.index("text")), T.StructType([*rows.schema.fields, T.StructField("weight", T.DoubleType())]))
+        held = settle(weighed, "quality-rows")
+        keyed = self._keyed(held.withColumns({"doc_id": F.col(at["doc_id"]), "log_weight": F.col("weight")}))
+        self._cut(keyed.select("doc_id", "log_weight", "key", "order"))
+        return keyed.filter(self.selected()).select(*rows.columns).toDF(*columns)
 
 
 def quality_labels(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -302,7 +302,7 @@ def test_quality(spark, odd, none):
     assert bad.get((1, False), 0) <= 0.02 * bad[1, True] and bad.get((0, True), 0) <= 0.1 * bad[0, False]
     docs = common.table(spark, SMALL, "documents")
     sampler = quality.Sampler(docs, labels)
-    kept = sampler.keep(docs)
+    kept = sampler.kept_rows()
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {r.doc_id for r in sampler.scores().filter("kept").collect()}
     assert sampler.scores().filter("kept").count() == sampler.k
     whole = quality.Sampler(odd, labels.limit(0))
@@ -409,7 +409,7 @@ def test_stages_with_null_and_repeated_ids(spark):
     assert sorted(r.doc_id or 0 for r in corpus_pipeline.packing(spark, docs, SMALL).collect()) == sorted(i or 0 for i, _ in rows)
     labels = spark.createDataFrame([(4, 1), (6, 0)], "doc_id long, label int")
     sampler = quality.Sampler(docs, labels)
-    assert sampler.keep(docs).count() == sampler.scores().filter("kept").count() > 0
+    assert sampler.kept_rows().count() == sampler.scores().filter("kept").count() > 0
 
 
 def test_pipeline(spark):
