@@ -14,7 +14,7 @@ from quarrywork.llm.quality import Sampler, quality_labels
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return Sampler(docs, quality_labels(spark, sf_dir)).keep(docs)
+    return Sampler(docs, quality_labels(spark, sf_dir)).kept_rows()
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
