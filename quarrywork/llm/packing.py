@@ -2,8 +2,8 @@
 
 Documents are cut only where one is longer than a sequence. Pieces are dealt at random into cells of bounded size; each
 cell fills sequences by best fit and then improves them by local search: it moves a piece, or exchanges one for one or two for one,
-between underfull sequences whenever that increases the sum of squared fills, which fills some and empties others. What is
-left underfull in all cells is dealt anew to fewer cells until one cell holds it.
+between underfull sequences whenever that increases the sum of squared fills, which fills some and empties others, until nothing gains.
+Sequences of different cells that are still underfull then meet in new cells, first the emptier ones alone, then all, until none is emptied any more.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ import re
 import unicodedata
 import zlib
 from bisect import bisect_left, insort
-from functools import cache
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +24,10 @@ from .common import parts, schema, settle, ship, table
 LENGTH, END = 4096, 1
 #: Pieces in a cell, about; a cell is packed by one task at a time.
 CELL = 8192
-#: Underfull sequences that a local search works on at a time, and its rounds.
-WINDOW, ROUNDS = 96, 8
+#: Underfull sequences of a cell, once sequences are dealt.
+BINS = 512
 #: Words a worker remembers with their ids.
-KNOWN = 400_000
+KNOWN = 600_000
 
 #: White space of the tokenizer's patterns, and characters whose lower case and normal form are their own letters' (Latin with Latin Extended-A).
 _PLAIN = re.compile("[\x00-\x7f\xc0-\xd6\xd8-\xf6\xf8-įı-ſ]+")
@@ -54,7 +54,9 @@ class WordIds(dict):
     def __missing__(self, word: str) -> bytes:
         if len(self) > KNOWN:
             self.clear()
-        if _PLAIN.fullmatch(word) and "<|" not in word:
+        if word.isascii() and word.isalpha():
+            ids = self.piece(word.lower())
+        elif _PLAIN.fullmatch(word) and "<|" not in word:
             ids = b"".join(map(self.piece, _PIECE.findall(word.lower())))
         else:
             ids = self.direct(word)
@@ -127,117 +129,142 @@ def best_fit(lengths: np.ndarray, size: int) -> list[list[int]]:
     return bins
 
 
-def _gain(full: int, less: int, by: int) -> int:
-    """What the sum of squared fills gains if `by` goes from the sequence with fill `less` to the one with `full`."""
-    return 2 * by * (full - less + by)
+def _choices(members: list[int], n: list[int]) -> np.ndarray:
+    """What a sequence can give: every piece and every two pieces, by distinct lengths. Rows: length, first piece, second piece or -1."""
+    at: dict[int, list[int]] = {}
+    for i in members:
+        at.setdefault(n[i], []).append(i)
+    length, piece = np.array(sorted(at), np.int64), np.array([at[x][0] for x in sorted(at)], np.int64)
+    twice = [x for x in at if len(at[x]) > 1]
+    x, y = np.triu_indices(len(length), 1)
+    return np.concatenate([
+        [length, piece, np.full(len(piece), -1)], [length[x] + length[y], piece[x], piece[y]],
+        np.array([(2 * v, at[v][0], at[v][1]) for v in twice], np.int64).reshape(-1, 3).T], axis=1)
 
 
 def improve(bins: list[list[int]], lengths: np.ndarray, size: int) -> list[list[int]]:
-    """Local search on underfull bins: the best move, one-for-one or two-for-one exchange into each bin from emptier ones, while any gains."""
+    """Local search on all underfull bins: moves one or two pieces into a bin, or exchanges them for one of its own, from a bin that is no fuller, until no step gains.
+
+    A step that takes `by` tokens from a bin of fill g to one of fill f adds 2 * by * (f - g + by) to the sum of squared fills. In each pass every bin, fullest
+    first, takes the step that gains most, found among all bins' choices sorted by length; a bin takes part in one step a pass.
+    """
     n = lengths.tolist()
-    bins = [b for b in bins if b]
-    fill = [sum(n[i] for i in b) for b in bins]
-    for _ in range(ROUNDS):
-        changed = False
-        order = sorted((b for b in range(len(bins)) if bins[b]), key=lambda b: -fill[b])
-        for place, a in enumerate(order):
-            room = size - fill[a]
-            if room <= 0:
+    bins = {b: list(x) for b, x in enumerate(bins) if x}
+    fill = np.zeros(max(bins, default=-1) + 1, np.int64)
+    for b, members in bins.items():
+        fill[b] = sum(n[i] for i in members)
+    known: dict[int, np.ndarray] = {}
+    while True:
+        under = sorted((b for b in bins if fill[b] < size), key=lambda b: (-fill[b], b))
+        for b in under:
+            if b not in known:
+                known[b] = _choices(bins[b], n)
+        if not under:
+            break
+        length, first, second = np.concatenate([known[b] for b in under], axis=1)
+        of = np.repeat(under, [known[b].shape[1] for b in under])
+        order = np.argsort(length, kind="stable")
+        length, first, second, of = length[order], first[order], second[order], of[order]
+        touched = np.zeros(len(fill), bool)
+        for a in under:
+            if touched[a]:
                 continue
-            best, step = 0, None
-            for b in order[:place:-1]:
-                if not bins[b] or fill[b] > fill[a]:
+            room, best, step = size - fill[a], 0, None
+            for own in [0, *sorted({n[i] for i in bins[a]})]:
+                low, high = np.searchsorted(length, (own, own + room), "right")
+                if low == high:
                     continue
-                mine = sorted((n[i], i) for i in bins[a])
-                theirs = sorted(((n[i], i) for i in bins[b]), reverse=True)
-                for want, j in theirs:
-                    if want <= room and (g := _gain(fill[a], fill[b], want)) > best:
-                        best, step = g, (b, [j], [])
-                    # one for one: the longest of mine that is shorter, as far as the room goes
-                    k = bisect_left(mine, (want - room, -1))
-                    if k < len(mine) and 0 < (by := want - mine[k][0]) <= room and (g := _gain(fill[a], fill[b], by)) > best:
-                        best, step = g, (b, [j], [mine[k][1]])
-                lengths_b = [t[0] for t in theirs]
-                for x in range(len(theirs) - 1):
-                    if lengths_b[x] + lengths_b[x + 1] == 0:
-                        break
-                    for y in range(x + 1, len(theirs)):
-                        both = lengths_b[x] + lengths_b[y]
-                        k = bisect_left(mine, (both - room, -1))
-                        if k < len(mine) and 0 < (by := both - mine[k][0]) <= room and (g := _gain(fill[a], fill[b], by)) > best:
-                            best, step = g, (b, [theirs[x][1], theirs[y][1]], [mine[k][1]])
-                if best == _gain(fill[a], fill[b], room) and best:
-                    break
+                b, by = of[low:high], length[low:high] - own
+                gain = np.where((fill[b] <= fill[a]) & (b != a) & ~touched[b], 2 * by * (fill[a] - fill[b] + by), 0)
+                k = int(gain.argmax())
+                if gain[k] > best:
+                    best, step = gain[k], (int(b[k]), low + k, own)
             if step:
-                b, come, go = step
-                for i in come:
-                    bins[b].remove(i), bins[a].append(i)
-                for i in go:
-                    bins[a].remove(i), bins[b].append(i)
-                by = sum(n[i] for i in come) - sum(n[i] for i in go)
-                fill[a] += by
+                b, k, own = step
+                come = [i for i in (int(first[k]), int(second[k])) if i >= 0]
+                go = [next(i for i in bins[a] if n[i] == own)] if own else []
+                bins[a] = [i for i in bins[a] if i not in go] + come
+                bins[b] = [i for i in bins[b] if i not in come] + go
+                fill[a] += (by := int(length[k]) - own)
                 fill[b] -= by
-                changed = True
-        if not changed:
+                touched[a] = touched[b] = True
+                known.pop(a), known.pop(b)
+                if not bins[b]:
+                    del bins[b]
+        if not touched.any():
             break
-    return [b for b in bins if b]
+    return [bins[b] for b in sorted(bins)]
 
 
 def pack_cell(lengths: np.ndarray, size: int) -> list[list[int]]:
-    """Best fit, then local search on the emptiest sequences."""
+    """Best fit, then local search on all underfull sequences."""
     bins = best_fit(lengths, size)
-    fill = [int(lengths[b].sum()) for b in bins]
-    order = sorted(range(len(bins)), key=lambda b: fill[b])
-    under = [b for b in order if fill[b] < size][:WINDOW]
-    chosen = set(under)
-    return [bins[b] for b in range(len(bins)) if b not in chosen] + improve([bins[b] for b in under], lengths, size)
+    full = [int(lengths[b].sum()) == size for b in bins]
+    return [b for b, x in zip(bins, full) if x] + improve([b for b, x in zip(bins, full) if not x], lengths, size)
 
 
-def pack(parts: DataFrame, size: int = LENGTH, cell: int = CELL) -> DataFrame:
-    """Adds sequence_id and offset to pieces with a length of at most size.
+def pack(parts: DataFrame, size: int = LENGTH, cell: int = CELL, most: int = BINS) -> DataFrame:
+    """Adds sequence_id and offset to pieces with a length of at most size. parts: any columns but these two, with `length` among them.
 
-    A sequence id holds the round, the cell and the number in the cell. Repeated rows are packed each. No rows: no rows.
+    A sequence id holds the turn, the cell and the number in the cell. Rows are dealt by a number of their own, so repeated ones are packed each, and
+    do not crowd one cell. No rows: no rows.
     """
-    columns = [f for f in parts.schema.fields]
-    out = schema(", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in columns), "sequence_id long, offset long, open boolean"]))
-    names = [f.name for f in columns]
-
-    def packed(last: bool, turn: int):
+    names = parts.columns
+    inner = [f"c{i}" for i in range(len(names))]
+    at = inner[names.index("length")]
+    numbered = settle(parts.toDF(*inner).withColumn("nr", F.monotonically_increasing_id()), "pack-numbered")
+    kinds = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(inner, parts.schema.fields))
+    out = schema(f"{kinds}, nr long, sequence_id long, offset long, room long")
+    kept = [*inner, "nr"]
+
+    def turn_of(turn: int):
         def run(key: tuple, rows: pa.Table) -> pa.Table:  # not pandas, where a null makes doubles of the ids
-            rows = rows.select(names).sort_by([(n, "ascending") for n in names])
-            lengths = rows["length"].to_numpy()
-            bins = pack_cell(lengths, size)
-            number, offset, is_open = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64), np.empty(len(lengths), bool)
+            lengths = rows[at].to_numpy()
+            if turn:
+                places: dict[int, list[int]] = {}
+                for i, b in enumerate(rows["sequence_id"].to_pylist()):
+                    places.setdefault(b, []).append(i)
+                bins = improve([places[b] for b in sorted(places)], lengths, size)
+            else:
+                bins = pack_cell(lengths, size)
+            number, offset, room = (np.empty(len(lengths), np.int64) for _ in range(3))
             for b, members in enumerate(bins):
                 m = np.array(members)
                 ends = lengths[m].cumsum()
-                number[m], offset[m], is_open[m] = b, ends - lengths[m], not last and ends[-1] < size - size // 512
-            added = {"sequence_id": (turn << 56) + (key[0].as_py() << 20) + number, "offset": offset, "open": is_open}
-            for name, values in added.items():
+                number[m], offset[m], room[m] = b, ends - lengths[m], size - ends[-1]
+            rows = rows.select(kept)
+            for name, values in {"sequence_id": (turn << 56) + (key[0].as_py() << 20) + number, "offset": offset, "room": room}.items():
                 rows = rows.append_column(name, pa.array(values))
             return rows
 
         return run
 
-    rest, done, turn, before = parts, [], 0, None
-    while True:
-        n = rest.count()
-        cells = max(1, -(-n // cell))
-        last = cells == 1 or before == cells
-        dealt = rest.withColumn("_cell", F.pmod(F.xxhash64(F.lit(turn), *names), F.lit(cells)))
-        result = settle(dealt.groupBy("_cell").applyInArrow(packed(last, turn), out), "pack-round")
-        done.append(result.filter("NOT open").drop("open"))
-        if last:
-            break
-        rest, turn, before = result.filter("open").select(*names), turn + 1, cells
-    whole = done[0]
-    for more in done[1:]:
-        whole = whole.unionByName(more)
-    return whole
+    def dealt(rows: DataFrame, by: str, cells: int, turn: int) -> DataFrame:
+        return settle(rows.withColumn("cell", F.pmod(F.xxhash64(F.lit(turn), by), F.lit(cells))).groupBy("cell").applyInArrow(turn_of(turn), out), "pack-turn")
+
+    found = dealt(numbered, "nr", max(1, -(-numbered.count() // cell)), 0)
+    done, pool, turn = [found.filter("room = 0")], [found.filter("room > 0")], 0
+    for slack in (size // 512, 0):
+        rest, pool = reduce(DataFrame.unionByName, pool).filter(f"room > {slack}"), [p.filter(f"room <= {slack}") for p in pool if slack]
+        while True:
+            rows, before = rest.agg(F.count("*"), F.count_distinct("sequence_id")).first()
+            if not before:
+                break
+            cells, turn = max(-(-before // most), -(-rows // cell)), turn + 1
+            found = dealt(rest, "sequence_id", cells, turn)
+            after = found.agg(F.count_distinct("sequence_id")).first()[0]
+            done.append(found.filter("room = 0"))
+            rest = found.filter(f"room > {slack}")
+            if slack:
+                pool.append(found.filter(f"room BETWEEN 1 AND {slack}"))
+            if cells == 1 or after == before:
+                break
+        pool.append(rest)
+    return reduce(DataFrame.unionByName, [*done, *pool]).select(*inner, "sequence_id", "offset").toDF(*names, "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    return pack(settle(pieces(docs, tokenizer), "pack-pieces"))
+    return pack(pieces(docs, tokenizer))
 
 
 def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
