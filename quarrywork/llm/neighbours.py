@@ -1,18 +1,22 @@
 """Approximate nearest neighbours by largest inner product: a hierarchical k-means tree searched best bin first.
 
-The tree is fitted on a bounded sample of the vectors; every vector is then dealt to a leaf. A query goes through the tree with a
+The tree is fitted on a bounded sample of the vectors; every vector is then dealt to a leaf, and leaves that hold too many are fitted further, each
+on a bounded sample of its own. So leaves hold about as many vectors however many there are. A query goes through the tree with a
 priority queue, always on at the most promising branch, and visits leaves in that order. How many leaves are visited is widened until a
 calibration on some queries, against brute force over all vectors, reaches the recall asked for. Neighbouring leaves share a block of bounded size, and large
-ones are cut into several; a query gets one list of its best from each block, over the leaves of it that it visits.
+ones are cut into several; a query gets one list of its best from each block, over the leaves of it that it visits. The queries of a block are cut in
+parts as well, so a task holds a block and a part, whatever the number of either. Where vectors are spread evenly, a large share of all leaves has to be
+visited for the recall, and the work grows with queries times vectors.
 """
 
 from __future__ import annotations
 
 import heapq
+import pickle
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -20,12 +24,16 @@ from pyspark.sql.window import Window
 from .common import parts, schema, settle, ship, table
 
 K, EVERY = 20, 20
-#: Vectors the tree is fitted on, branches of a node, vectors of the sample in a leaf, rounds of each k-means.
-SAMPLE, BRANCHES, LEAF, ROUNDS = 20_000, 8, 200, 8
+#: Vectors a tree or subtree is fitted on, branches of a node, rounds of each k-means.
+SAMPLE, BRANCHES, ROUNDS = 20_000, 8, 8
+#: Vectors in a leaf, about, and leaves at most: with more vectors than both allow, leaves are larger. The tree, which is broadcast, has at most so many centres.
+LEAF, LEAVES = 256, 100_000
+#: Vectors of the sample in a leaf at least; what that leaves too large is fitted further.
+LEAST = 16
 #: Queries the number of leaves is calibrated on, and the share of true neighbours they must find.
 PROBES, RECALL = 200, 0.95
-#: Rows that one task searches at once, of neighbouring leaves or a part of a large one, and queries compared with them at once.
-BLOCK, QUERIES = 8192, 512
+#: Rows that one task searches at once, of neighbouring leaves or a part of a large one, and queries of a part of them, compared with the rows so many at once.
+BLOCK, PART, QUERIES = 4096, 2048, 512
 
 
 def kmeans(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
@@ -41,7 +49,7 @@ def kmeans(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
 class Tree:
     """centres: node -> the centres of its children; children: node -> their numbers, leaves as -1 - leaf."""
 
-    def __init__(self, x: np.ndarray, branches: int = BRANCHES, leaf: int = LEAF, seed: int = 5):
+    def __init__(self, x: np.ndarray, leaf: int, branches: int = BRANCHES, seed: int = 5):
         self.centres: list[np.ndarray] = []
         self.children: list[list[int]] = []
         self.leaves = 0
@@ -49,7 +57,7 @@ class Tree:
 
     def _grow(self, x, branches, leaf, rng) -> int:
         if len(x) > leaf:
-            centres = kmeans(x, branches, rng)
+            centres = kmeans(x, min(branches, len(x)), rng)
             near = (x @ centres.T - 0.5 * (centres**2).sum(1)).argmax(1)
             if len(np.unique(near)) > 1:
                 node = len(self.centres)
@@ -59,6 +67,22 @@ class Tree:
         self.leaves += 1
         return -self.leaves
 
+    def graft(self, leaf: int, tree: Tree) -> None:
+        """Puts a subtree in the place of a leaf: its first leaf keeps that number, the others get new ones."""
+        if tree.root < 0:
+            return
+        shift, name = len(self.centres), lambda n: -1 - leaf if n == -1 else n - self.leaves + 1
+        moved = [[c + shift if c >= 0 else name(c) for c in children] for children in tree.children]
+        for children in self.children:
+            for i, c in enumerate(children):
+                if c == -1 - leaf:
+                    children[i] = tree.root + shift
+        if self.root == -1 - leaf:
+            self.root = tree.root + shift
+        self.centres += tree.centres
+        self.children += moved
+        self.leaves += tree.leaves - 1
+
     def place(self, x: np.ndarray) -> np.ndarray:
         """The leaf of each vector: down the nearest centres."""
         out = np.zeros(len(x), np.int64)
@@ -118,25 +142,27 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.n
 
 
 def _search(k: int):
-    """Rows of one block: vectors (query false) and the queries that visit it -> each query's best of the block."""
+    """Rows of one block, with the leaf of each, and a part of the queries that visit it, with the leaves they visit -> each query's best of the block."""
+    out = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        asks, own = pdf[pdf["is_query"]], pdf[~pdf["is_query"]]
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        asks, own = (rows.filter(m) for m in (rows["is_query"], pc.invert(rows["is_query"])))
         if not len(asks) or not len(own):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-        x, ids = np.stack(own["embedding"].to_numpy()), own["vec_id"].to_numpy()
-        leaves, of = np.unique([v[0] for v in own["leaves"]], return_inverse=True)
-        out = []
+            return out.empty_table()
+        x, ids = _matrix(own["embedding"].combine_chunks()), own["vec_id"].to_numpy()
+        of = own["leaves"].combine_chunks().flatten().to_numpy()
+        queries, names, ways = _matrix(asks["embedding"].combine_chunks()), asks["vec_id"].to_numpy(), asks["leaves"].to_pylist()
+        found = []
         for at in range(0, len(asks), QUERIES):
-            part = asks.iloc[at : at + QUERIES]
-            q = part["vec_id"].to_numpy()
-            scores = np.stack(part["embedding"].to_numpy()) @ x.T
-            visited = np.array([np.isin(leaves, v) for v in part["leaves"]])
-            scores[(q[:, None] == ids[None, :]) | ~visited[:, of]] = -np.inf
+            q = names[at : at + QUERIES]
+            scores = queries[at : at + QUERIES] @ x.T
+            visited = np.array([np.isin(of, w) for w in ways[at : at + QUERIES]])
+            scores[(q[:, None] == ids[None, :]) | ~visited] = -np.inf
             best, who = _best(scores, ids, min(k, len(ids)))
-            out.append(pd.DataFrame({"query_id": np.repeat(q, best.shape[1]), "vec_id": who.ravel(), "score": best.ravel()}))
-        found = pd.concat(out)
-        return found[found["score"] > -np.inf]
+            ok = best.ravel() > -np.inf
+            found.append(pa.table([np.repeat(q, best.shape[1])[ok], who.ravel()[ok], best.ravel()[ok]], schema=out))
+        return pa.concat_tables(found)
 
     return run
 
@@ -166,26 +192,64 @@ def _exact(vectors: DataFrame, probes: np.ndarray, ids: np.ndarray, k: int) -> D
     return _top(vectors.select("vec_id", "embedding").mapInArrow(run, schema("query_id long, vec_id long, score double")), k)
 
 
+def _fit(leaf: int):
+    """Rows (at, embedding) of one leaf's sample -> its subtree, pickled."""
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        tree = Tree(_matrix(rows["embedding"].combine_chunks()), leaf)
+        return pa.table({"leaf": pa.array([key[0].as_py()], pa.int64()), "tree": pa.array([pickle.dumps((tree.centres, tree.children, tree.leaves, tree.root))], pa.binary())})
+
+    return run
+
+
 class Index:
-    """Every usable row of vectors(vec_id, embedding), dealt to the leaves of a tree."""
-
-    def __init__(self, vectors: DataFrame, sample: int = SAMPLE):
-        spark = vectors.sparkSession
-        ship(spark)
-        rows = usable(vectors)
-        picked = rows.orderBy(F.xxhash64(F.lit(3), "vec_id"), "vec_id").limit(sample).select("embedding").toPandas()
-        self.tree = Tree(np.stack(picked["embedding"].to_numpy())) if len(picked) else None
-        self.rows = rows.limit(0).withColumn("leaf", F.lit(0).cast("long")) if self.tree is None else settle(self._placed(rows), "ann-rows")
-        self.sizes = {r["leaf"]: r["count"] for r in self.rows.groupBy("leaf").count().collect()}  # one number for each leaf of the tree
+    """Every usable row of vectors(vec_id, embedding), dealt to the leaves of a tree. Rows that repeat an id count each."""
+
+    def __init__(self, vectors: DataFrame, sample: int = SAMPLE, leaf: int = LEAF, block: int = BLOCK):
+        ship(vectors.sparkSession)
+        rows = settle(usable(vectors), "ann-vectors")
+        n = rows.count()
+        self.leaf = max(leaf, -(-n // LEAVES))
+        share = F.shiftrightunsigned(F.xxhash64(F.lit(3), "vec_id"), 11) / F.lit(float(1 << 53))
+        picked = rows.filter(share * n <= 2 * sample).orderBy(F.xxhash64(F.lit(3), "vec_id"), "vec_id").limit(sample).select("embedding").toPandas()
+        self.tree = Tree(np.stack(picked["embedding"].to_numpy()), max(LEAST, self.leaf * len(picked) // n)) if len(picked) else None
+        if self.tree is None:
+            self.rows, self.sizes = rows.withColumn("leaf", F.lit(0).cast("long")), {}
+        else:
+            self.rows = settle(self._placed(rows), "ann-rows")
+            self.sizes = self._sizes()
+            while large := {k: m for k, m in self.sizes.items() if m > 4 * self.leaf} if self.tree.leaves * LEAST * 2 > len(picked) else {}:
+                before = self.tree.leaves
+                self._refine(large, sample)
+                if self.tree.leaves == before:  # what is left is alike
+                    break
+                self.rows = settle(self._placed(rows), "ann-rows")
+                self.sizes = self._sizes()
         self.blocks, at, filled = {}, 0, 0
-        for leaf, n in sorted(self.sizes.items()):
-            parts = -(-n // BLOCK)
-            if filled and filled + n > BLOCK:
+        for name, m in sorted(self.sizes.items()):
+            cut = -(-m // block)
+            if filled and filled + m > block:
                 at, filled = at + 1, 0
-            self.blocks[leaf] = (at, parts)
-            filled += n
-            if parts > 1:
-                at, filled = at + parts, 0
+            self.blocks[name] = (at, cut)
+            filled += m
+            if cut > 1:
+                at, filled = at + cut, 0
+
+    def _sizes(self) -> dict[int, int]:
+        """One number for each leaf of the tree."""
+        return {r["leaf"]: r["count"] for r in self.rows.groupBy("leaf").count().collect()}
+
+    def _refine(self, large: dict[int, int], sample: int) -> None:
+        """Fits each of these leaves further, on at most about `sample` of its vectors, in a group of its own."""
+        spark = self.rows.sparkSession
+        rates = F.broadcast(spark.createDataFrame([(k, min(1.0, sample / m)) for k, m in large.items()], "leaf long, rate double"))
+        share = F.shiftrightunsigned(F.xxhash64(F.lit(4), "vec_id"), 11) / F.lit(float(1 << 53))
+        own = self.rows.join(rates, "leaf").filter(share <= F.col("rate")).select("leaf", "embedding")
+        least = max(LEAST, self.leaf * min(sample, max(large.values())) // max(large.values()))
+        for r in own.groupBy("leaf").applyInArrow(_fit(least), schema("leaf long, tree binary")).orderBy("leaf").collect():
+            tree = Tree.__new__(Tree)
+            tree.centres, tree.children, tree.leaves, tree.root = pickle.loads(r["tree"])
+            self.tree.graft(r["leaf"], tree)
 
     def _placed(self, rows: DataFrame) -> DataFrame:
         tree = rows.sparkSession.sparkContext.broadcast(self.tree)
@@ -224,19 +288,22 @@ class Index:
                 for v in _matrix(batch.column(1)):
                     by: dict[int, list[int]] = {}
                     for leaf in tree.value.visits(v, leaves, sizes, k + 1):
-                        first, parts = blocks.get(leaf, (0, 0))
-                        for block in range(first, first + parts):
+                        first, cut = blocks.get(leaf, (0, 0))
+                        for block in range(first, first + cut):
                             by.setdefault(block, []).append(leaf)
                     ways.append([{"block": b, "leaves": x} for b, x in by.items()])
                 kind = pa.list_(pa.struct([("block", pa.int64()), ("leaves", pa.list_(pa.int64()))]))
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ways, kind)], ["vec_id", "embedding", "ways"])
 
         asks = queries.select("vec_id", "embedding").mapInArrow(visit, schema("vec_id long, embedding array<double>, ways array<struct<block: long, leaves: array<long>>>"))
-        asks = asks.select(F.explode("ways").alias("w"), "vec_id", "embedding").select("w.block", "vec_id", "embedding", "w.leaves", F.lit(True).alias("is_query"))
-        placed = spark.createDataFrame([(leaf, *b) for leaf, b in blocks.items()], "leaf long, first long, parts long")
-        part = F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("parts"))
-        own = self.rows.join(F.broadcast(placed), "leaf").select(part.alias("block"), "vec_id", "embedding", F.array("leaf").alias("leaves"), F.lit(False).alias("is_query"))
-        found = own.unionByName(asks).groupBy("block").applyInPandas(_search(k), schema("query_id long, vec_id long, score double"))
+        asks = settle(asks.select(F.explode("ways").alias("w"), "vec_id", "embedding").select("w.block", "vec_id", "embedding", "w.leaves", F.lit(True).alias("is_query")), "ann-visits")
+        crowds = F.broadcast(asks.groupBy("block").agg(F.ceil(F.count("*") / PART).cast("int").alias("crowd")))  # as many rows as blocks at most
+        placed = F.broadcast(spark.createDataFrame([(leaf, *b) for leaf, b in blocks.items()], "leaf long, first long, parts long"))
+        block = F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("parts"))
+        own = self.rows.join(placed, "leaf").select(block.alias("block"), "vec_id", "embedding", F.array("leaf").alias("leaves"), F.lit(False).alias("is_query")).join(crowds, "block")
+        own = own.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("crowd") - 1)))
+        asks = asks.join(crowds, "block").withColumn("part", F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.col("crowd")).cast("int"))
+        found = own.unionByName(asks).drop("crowd").groupBy("block", "part").applyInArrow(_search(k), schema("query_id long, vec_id long, score double"))
         return _top(found, k)
 
 

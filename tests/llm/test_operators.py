@@ -394,6 +394,32 @@ def test_neighbours_of_odd_vectors(spark):
     assert none.search(none.rows.select("vec_id", "embedding")).count() == 0
 
 
+def test_neighbours_over_many_blocks(spark):
+    """Recall over all queries of a table of many blocks, searched in part; no leaf much larger than asked for, and query parts."""
+    rng = np.random.default_rng(1)
+    x = (rng.normal(size=(500, 16))[rng.integers(0, 500, 50_000)] + 0.15 * rng.normal(size=(50_000, 16))).astype(np.float64)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(8)
+    index = neighbours.Index(df, sample=2000)
+    queries = index.rows.filter("vec_id % 20 = 0").select("vec_id", "embedding")
+    leaves = index.calibrate(queries)
+    assert max(index.sizes.values()) <= 8 * index.leaf and index.tree.leaves > 100 and leaves < index.tree.leaves / 4 and max(b for b, _ in index.blocks.values()) >= 8
+    got = index.search(queries, 20, leaves).toPandas()
+    asked = np.arange(0, 50_000, 20)
+    scores = x[asked] @ x.T
+    scores[np.arange(len(asked)), asked] = -np.inf
+    true = np.argpartition(-scores, 20, axis=1)[:, :20]
+    hits = sum(len(set(true[q // 20]) & set(g["vec_id"])) for q, g in got.groupby("query_id"))
+    assert len(got) == 20 * len(asked) and hits / true.size >= 0.9
+    assert np.allclose(got["score"], [x[q] @ x[v] for q, v in zip(got["query_id"], got["vec_id"])])
+
+
+def test_neighbours_with_ties_and_repeated_ids(spark):
+    rows = [(i, [1.0, 0.0]) for i in range(1, 60)] + [(7, [1.0, 0.0]), (0, [2.0, 0.0]), (0, [2.0, 0.0])]
+    index = neighbours.Index(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), block=8)
+    got = index.search(spark.createDataFrame([(0, [2.0, 0.0])], "vec_id long, embedding array<double>"), 8).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in got] == [(i, 2.0) for i in (1, 2, 3, 4, 5, 6, 7, 7)]
+
+
 # --- pipeline ---
 
 
