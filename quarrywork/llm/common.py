@@ -63,16 +63,19 @@ def keyed_rows(docs: DataFrame, label: str) -> DataFrame:
     return settle(docs.withColumns({"_row": F.monotonically_increasing_id(), "_hash": F.xxhash64(*docs.columns)}), label)
 
 
-def hot_join(left: DataFrame, right: DataFrame, key: str, count: str, how: str = "left") -> DataFrame:
+def hot_join(left: DataFrame, right: DataFrame, key: str, count: str, how: str = "left", written: bool = False) -> DataFrame:
     """Equi-join of a large left side with a right side that has one row for each key and the key's left rows in `count`.
 
     Keys with at least HOT_SHARE of all left rows, at most 1 / HOT_SHARE of them, are broadcast; only the rest is
-    shuffled, so no key of the shuffle holds more than that share. Rows with a null key match nothing. `how`: left or inner.
+    shuffled, so no key of the shuffle holds more than that share. Rows with a null key match nothing. `how`: left or inner. The right side is
+    written, unless it is already, so that counting does not compute it again and plans stay short.
     """
-    total = right.agg(F.coalesce(F.sum(count), F.lit(0)).cast("double").alias("_total"))
-    marked = right.crossJoin(F.broadcast(total)).withColumn("_hot", F.col(count) >= F.greatest(F.col("_total") * HOT_SHARE, F.lit(1000.0)))
-    hot = marked.filter("_hot").drop(count, "_total", "_hot")
-    cold = marked.filter("NOT _hot").drop(count, "_total", "_hot")
+    right = right if written else settle(right, "join-side")
+    total, most = right.agg(F.sum(count), F.max(count)).first()
+    least = max((total or 0) * HOT_SHARE, 1000.0)
+    if not most or most < least:
+        return left.join(right.drop(count), key, how)
+    hot, cold = right.filter(F.col(count) >= least).drop(count), right.filter(F.col(count) < least).drop(count)
     flagged = left.join(F.broadcast(hot.select(F.col(key).alias("_k"), F.lit(True).alias("_is_hot"))), F.col(key) == F.col("_k"), "left").drop("_k")
     return (
         flagged.filter("_is_hot").drop("_is_hot").join(F.broadcast(hot), key, how)

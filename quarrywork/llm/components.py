@@ -35,4 +35,4 @@ def components(links: DataFrame) -> DataFrame:
         if state == before or state[0] == 0:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
         before = state
-        edges = settle(_small_star(_large_star(edges)), "star-step")
+        edges = settle(_small_star(settle(_large_star(edges), "star-large")), "star-small")

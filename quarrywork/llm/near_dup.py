@@ -164,7 +164,7 @@ def verify(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     members = split.join(texts, F.col("b") == F.col("node")).select("a", "part", F.lit(True).alias("member"), "node", "text")
     pivots = counts.join(texts, F.col("a") == F.col("node")).select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("member"), "node", "text")
     both = pivots.unionByName(members).repartition("a", "part").sortWithinPartitions("a", "part", "member", "node")
-    return settle(both.mapInArrow(_verify(percent), schema("a long, b long")), "dup-links")
+    return both.mapInArrow(_verify(percent), schema("a long, b long"))
 
 
 def _agreeing(one: str, two: str) -> Column:
@@ -215,17 +215,17 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     nodes = signed.join(same.select("node"), F.col("row") == F.col("node"), "left_semi").select(F.col("row").alias("node"), "key", "words_key", "n_shingles", "bands")
     buckets = settle(nodes.select("node", F.explode("bands").alias("band")), "dup-bands")
     groups = settle(buckets.groupBy("band").agg(F.min("node").alias("pivot"), F.max("node").alias("last"), F.count("*").alias("n")).filter("pivot < last").drop("last"), "dup-groups")
-    shared = settle(hot_join(buckets, groups, "band", "n", "inner"), "dup-buckets")
+    shared = settle(hot_join(buckets, groups, "band", "n", "inner", written=True), "dup-buckets")
     wanted = settle(nodes.select("node", "key", "words_key").join(shared.select("node").distinct(), "node", "left_semi"), "dup-wanted")
     texts = source.select("key", "text").join(wanted.select("key").distinct(), "key", "left_semi").mapInArrow(_keyed, schema("key long, text string, words_key binary"))
     texts = settle(texts.join(wanted, ["key", "words_key"]).select("node", "text").dropDuplicates(["node"]), "dup-texts")
     sketches = settle(texts.mapInArrow(_sketches, schema("node long, " + ", ".join(f"{x} long" for x in _names("s")))), "dup-sketches")
     one, two = sketches.toDF("a", *_names("sa")), sketches.toDF("b", *_names("sb"))
 
-    found = settle(shared.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "dup-proposed")
-    pivots = one.join(found.groupBy("a").agg(F.count("*").alias("n")), "a")
-    first = settle(hot_join(found.join(two, "b"), pivots, "a", "n", "inner").filter(_agreeing("sa", "sb") >= plan.agree).select("a", "b"), "dup-pairs")
-    links = verify(first, texts, percent).unionByName(_same_ids(signed, same))
+    proposed = settle(shared.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "dup-proposed")
+    pivots = one.join(proposed.groupBy("a").agg(F.count("*").alias("n")), "a")
+    first = settle(hot_join(proposed.join(two, "b"), pivots, "a", "n", "inner").filter(_agreeing("sa", "sb") >= plan.agree).select("a", "b"), "dup-pairs")
+    links = settle(verify(first, texts, percent).unionByName(_same_ids(signed, same)), "dup-all-links")
     joined = components(links)
 
     members = shared.select("band", "node").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -240,10 +240,10 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     once = (F.element_at(F.array_intersect("bands_a", "bands_b"), 1) == F.col("band")) & ((F.col("tile.step") == 1) | (F.col("tile.one") != F.col("tile.other")) | (F.col("a") < F.col("b")))
     across = left.join(right.drop("band"), "tile").filter((F.col("a") != F.col("b")) & (F.col("ca") != F.col("cb")) & (_agreeing("sa", "sb") >= plan.agree) & once)
     rest = settle(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).join(first, ["a", "b"], "left_anti"), "dup-rest")
-    more = verify(rest, texts, percent)
+    more = settle(verify(rest, texts, percent), "dup-more-links")
     joined = components(links.unionByName(more)) if not more.isEmpty() else joined
 
-    classes = same.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    classes = settle(same.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node")), "dup-classes")
     least = classes.groupBy("component").agg(F.min("rep").alias("component_id"), F.count("*").alias("n"))
     classes = hot_join(classes, least, "component", "n", "inner").select("words_key", "component_id", "copies")
     found = hot_join(signed.select("doc_id", "n_shingles", "words_key"), classes, "words_key", "copies")

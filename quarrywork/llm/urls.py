@@ -20,6 +20,12 @@ FLOOR, Z = 0.5, 1.0
 #: Bounds of an estimated prior's strength, in pages.
 WEAKEST, STRONGEST = 2.0, 200.0
 
+#: Suffixes of two labels under which domains are registered. Fixed values.
+SUFFIXES = (
+    "ac.jp", "ac.uk", "co.in", "co.jp", "co.kr", "co.nz", "co.uk", "co.za", "com.ar", "com.au", "com.br", "com.cn", "com.hk", "com.mx", "com.sg", "com.tr",
+    "com.tw", "edu.au", "gov.uk", "ne.jp", "net.au", "or.jp", "org.au", "org.uk",
+)
+
 
 def host_of(url: Column) -> Column:
     after = F.when(F.locate("://", url) > 0, F.substr(url, F.locate("://", url) + 3))
@@ -31,6 +37,13 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(after, "^[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def suffix_and_domain(host: Column) -> tuple[Column, Column]:
+    """The public suffix of a host, two labels if it is one of SUFFIXES, and the registered domain, one label more; user and port do not count."""
+    name = F.regexp_replace(host, "^.*@|:[0-9]*$", "")
+    two = F.substring_index(name, ".", -2).isin(*SUFFIXES)
+    return F.when(two, F.substring_index(name, ".", -2)).otherwise(F.substring_index(name, ".", -1)), F.when(two, F.substring_index(name, ".", -3)).otherwise(F.substring_index(name, ".", -2))
+
+
 def rule_for(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     """The longest rule that fits, as host and path in one string, and its verdict; null where none fits."""
     rule = verdict = F.lit(None).cast("string")
@@ -46,7 +59,8 @@ def shrink(children: DataFrame, parents: DataFrame, key: str) -> DataFrame:
     strength is the moment estimate of a beta-binomial: with between-children variance v of the rates around the prior's mean m and
     binomial noise m(1-m)/n, it is m(1-m)/v' - 1, v' being v less the noise; within WEAKEST and STRONGEST.
     """
-    joined = children.join(parents.select(key, F.col("mean").alias("prior")), key, "left")
+    sizes = children.groupBy(key).agg(F.count("*").alias("children"))
+    joined = hot_join(children, parents.select(key, F.col("mean").alias("prior")).join(sizes, key), key, "children")
     noise = F.col("prior") * (1 - F.col("prior"))
     fit = joined.filter("n > 0").agg(
         F.sum(F.col("n") * F.pow(F.col("k") / F.col("n") - F.col("prior"), 2)).alias("spread"), F.sum(noise).alias("noise"), F.sum(F.col("n") * noise).alias("scale"), F.sum("n").alias("all"))
@@ -60,7 +74,8 @@ def shrink(children: DataFrame, parents: DataFrame, key: str) -> DataFrame:
 def reputations(pages: DataFrame) -> DataFrame:
     """host, pages, n, k -> one row for each host with its posterior: prior, strength, mean, variance. pages: host, good (0, 1 or null)."""
     hosts = pages.groupBy("host").agg(F.count("*").alias("pages"), F.count("good").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("k"))
-    hosts = settle(hosts.withColumn("domain", F.substring_index("host", ".", -2)).withColumn("suffix", F.substring_index("host", ".", -1)), "url-hosts")
+    suffix, domain = suffix_and_domain(F.col("host"))
+    hosts = settle(hosts.withColumns({"domain": domain, "suffix": suffix}), "url-hosts")
     total = lambda df, *by: df.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     domains = total(hosts, "domain", "suffix")
     suffixes = total(domains, "suffix").withColumn("top", F.lit(""))
@@ -118,7 +133,9 @@ parsed AS (
   FROM cutted LEFT JOIN labelled ON doc = doc_id),
 hosts AS (
   SELECT host, CAST(count(good) AS DOUBLE) AS n, CAST(coalesce(sum(good), 0) AS DOUBLE) AS k,
-    array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS domain, list_extract(string_split(host, '.'), -1) AS suffix
+    string_split(regexp_replace(host, '^.*@|:[0-9]*$', '', 'g'), '.') AS labels,
+    CASE WHEN array_to_string(list_slice(labels, -2, -1), '.') IN {SUFFIXES} THEN 2 ELSE 1 END AS w,
+    array_to_string(list_slice(labels, -1 - w, -1), '.') AS domain, array_to_string(list_slice(labels, -w, -1), '.') AS suffix
   FROM parsed GROUP BY host),
 domains AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM hosts GROUP BY domain, suffix),
 suffixes AS (SELECT suffix, '' AS top, sum(n) AS n, sum(k) AS k FROM domains GROUP BY suffix),

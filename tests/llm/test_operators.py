@@ -258,6 +258,20 @@ def test_reputation_shrinks(spark):
     assert got["good.a.com"].verdict == "allow" and got["bad.a.com"].verdict == "block" and got["bad.a.com"].mean < got["new.a.com"].mean < got["good.a.com"].mean
 
 
+def test_domains_and_suffixes(spark):
+    hosts = {"a.co.uk": ("co.uk", "a.co.uk"), "x.b.co.uk:80": ("co.uk", "b.co.uk"), "co.uk": ("co.uk", "co.uk"), "u@w.a.com:8080": ("com", "a.com"), "localhost": ("localhost", "localhost"), "": ("", "")}
+    df = spark.createDataFrame([(h,) for h in hosts], ["host"])
+    suffix, domain = urls.suffix_and_domain(F.col("host"))
+    assert {r[0]: (r[1], r[2]) for r in df.select("host", suffix, domain).collect()} == hosts
+
+
+def test_urls_of_odd_rows(spark):
+    rows = [(None, "http://a.com/1"), (None, "http://a.com/1"), (1, "http://a.com/" + "x" * 100_000), (1, "http://b.com/y"), (2, "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string").withColumns({"n": F.lit("n"), "good": F.lit("g"), "_hot": F.lit(1)})
+    got = urls.judge(pages, spark.createDataFrame([(1, 1), (1, 0), (None, 1)], "page_id long, good int")).collect()
+    assert len(got) == 5 and all(r.n == 1 and r.k == 0 for r in got if r.host == "b.com") and {r.n for r in got if r.host == "a.com"} == {1}
+
+
 # --- toxicity, language, quality ---
 
 
