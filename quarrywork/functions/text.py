@@ -1,18 +1,25 @@
-"""Column expressions over texts: cleaning, redaction, labels, urls, dates."""
+"""Column expressions over texts: cleaning, redaction, hidden characters, labels."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Characters that hide in text: bidirectional controls and invisible ones. Fixed values.
-BIDI = (0x061C, 0x200E, 0x200F, 0x202A, 0x202B, 0x202C, 0x202D, 0x202E, 0x2066, 0x2067, 0x2068, 0x2069)
+from . import values as V
+
+MASK = "[REDACTED]"
 
 
 def clean_single_line(text: Column, most: int) -> Column:
-    """Control characters and white space become one space; cut with an ellipsis at `most` characters."""
-    flat = F.trim(F.regexp_replace(F.regexp_replace(text, "[\\x00-\\x1f\\x7f]", " "), r"\s+", " "))
-    return F.when(F.length(flat) > most, F.concat(F.rtrim(F.substring(flat, 1, most - 1)), F.lit("…"))).otherwise(flat)
+    """Control characters go, white space becomes one space; cut with an ellipsis at `most` characters."""
+    flat = F.trim(F.regexp_replace(F.regexp_replace(text, r"[\x00-\x08\x0b-\x1f\x7f-\x9f]", ""), r"\s+", " "))
+    return truncate(flat, most)
+
+
+def truncate(text: Column, most: int) -> Column:
+    return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most - 1), F.lit("…"))).otherwise(text)
 
 
 def first_line(text: Column) -> Column:
@@ -20,69 +27,198 @@ def first_line(text: Column) -> Column:
 
 
 def normalize_iso_date(text: Column) -> Column:
-    return F.when(F.length(text) <= 64, F.try_to_timestamp(text))
-
-
-def redact_secrets(text: Column) -> Column:
-    """Tokens of known shapes, authorization headers, token parameters and passwords in urls are masked."""
-    for pattern, to in (
-        (r"\bgh[pousr]_[A-Za-z0-9]{16,}|\bgithub_pat_[A-Za-z0-9_]{20,}", "[REDACTED]"),
-        (r"(?i)\b(bearer|basic|token)\s+[A-Za-z0-9._~+/=-]{8,}", "$1 [REDACTED]"),
-        (r"(?i)\b(access_token|api_key|apikey|client_secret|password|secret|token)=[^&\s\"']+", "$1=[REDACTED]"),
-        (r"(?i)\b([a-z][a-z0-9+.-]*://)[^/\s:@]+:[^/\s@]+@", "$1[REDACTED]@"),
-    ):
-        text = F.regexp_replace(text, pattern, to)
-    return text
+    """An ISO-8601 date in UTC with milliseconds; null if it is none, empty or longer than 64 characters. The session's zone is UTC."""
+    return F.date_format(F.when(F.length(text).between(1, 64), F.try_to_timestamp(text)), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
 
+def normalize_signature(text: Column, most: int = 160) -> Column:
+    return truncate(F.nullif(F.trim(F.regexp_replace(text, r"\s+", " ")), F.lit("")), most)
 
-def redact_map(props: Column, sensitive: str = r"(?i)(token|secret|password|authorization|cookie|api[-_]?key)") -> Column:
-    return F.transform_values(props, lambda k, v: F.when(k.rlike(sensitive) & ~v.rlike(r"^(-?[0-9.]+|true|false)$"), "[REDACTED]").otherwise(v))
+
+def redact_secrets(text: Column, literals: Sequence[str] = ()) -> Column:
+    """Access tokens, authorization headers, parameters that carry credentials and passwords in urls are masked, and every literal of eight characters or more."""
+    for literal in literals:
+        if len(literal.strip()) >= 8:
+            text = F.replace(text, F.lit(literal.strip()), F.lit(MASK))
+    named = "|".join(V.SECRET_PARAMETERS)
+    for prefix in V.TOKEN_PREFIXES:
+        text = F.regexp_replace(text, rf"\b{prefix}\w+", MASK)
+    text = F.regexp_replace(text, r"(?i)\b(bearer|basic)(\s+)[^\s,;\"']+", f"$1$2{MASK}")
+    text = F.regexp_replace(text, rf"(?i)\b((?:{named})=)[^\s&#\"']+", f"$1{MASK}")
+    scheme, user, password = r"\b[a-z][-+.a-z0-9]*://", r"[^\s/:@]+", r"[^\s/@]+"  # the parts of a url before its host
+    return F.regexp_replace(text, rf"(?i)({scheme}){user}:{password}@", f"$1{MASK}@")
+
+
+def is_sensitive_key(key: Column) -> Column:
+    low = F.lower(key)
+    ends = [low.endswith(e) for e in V.SENSITIVE_ENDINGS]
+    within = [low.contains(e) for e in V.SENSITIVE_PARTS]
+    found = low.isin(*V.SENSITIVE_KEYS)
+    for c in [*ends, *within]:
+        found = found | c
+    return found
+
+
+def redact_map(props: Column) -> Column:
+    """Values under keys that name credentials are masked; numbers, booleans and nulls stay, other texts lose what looks like a secret."""
+    plain = lambda v: v.rlike(r"^(-?[0-9]+(\.[0-9]+)?([eE][-+]?[0-9]+)?|true|false)$")
+    return F.transform_values(props, lambda k, v: F.when(v.isNull() | plain(v), v).when(is_sensitive_key(k), MASK).otherwise(redact_secrets(v)))
 
 
 def initials(name: Column) -> Column:
-    parts = F.filter(F.split(F.trim(name), r"\s+"), lambda x: x != "")
-    one = F.upper(F.substring(F.get(parts, F.lit(0)), 1, 2))
-    two = F.upper(F.concat(F.substring(F.get(parts, F.lit(0)), 1, 1), F.substring(F.element_at(parts, -1), 1, 1)))
-    return F.when(F.size(parts) == 0, "?").when(F.size(parts) == 1, one).otherwise(two)
+    words = F.filter(F.split(F.trim(name), r"[\s._-]+"), lambda x: x != "")
+    first, last = F.get(words, F.lit(0)), F.element_at(words, -1)
+    return F.when(F.size(words) == 0, "?").when(F.size(words) == 1, F.upper(F.substring(first, 1, 2))).otherwise(F.upper(F.concat(F.substring(first, 1, 1), F.substring(last, 1, 1))))
+
+
+def _round(x: Column) -> Column:
+    """To whole numbers, halves up."""
+    return F.floor(x + 0.5)
+
+
+def _short(x: Column) -> Column:
+    """One decimal, none if it is 0."""
+    return F.regexp_replace(F.format_string("%.1f", x), r"\.0$", "")
+
+
+def format_compact(value: Column) -> Column:
+    """Three digits and one decimal with K, M, B or T."""
+    text = None
+    for power, unit in reversed(list(enumerate(("", "K", "M", "B", "T")))):
+        scaled = _round(value / float(1000**power) * 10) / 10
+        own = F.concat(_short(scaled), F.lit(unit))
+        text = own if text is None else F.when(scaled < 1000, own).otherwise(text)
+    return text
+
+
+def format_integer(value: Column) -> Column:
+    return F.format_number(_round(value), 0)
+
+
+def format_percent(share: Column) -> Column:
+    return F.when((share > 0) & (share < 0.01), "<1%").otherwise(F.concat(_round(share * 100), F.lit("%")))
 
 
 def format_bytes(size: Column) -> Column:
-    scaled = lambda k, unit: F.concat(F.regexp_replace(F.format_string("%.1f", size / float(1 << (10 * k))), r"\.0$", ""), F.lit(" " + unit))
-    return F.when(size < 1024, F.concat(size.cast("string"), F.lit(" B"))).when(size < 1 << 20, scaled(1, "KB")).when(size < 1 << 30, scaled(2, "MB")).otherwise(scaled(3, "GB"))
+    """From 10 of a unit on whole numbers, below with one decimal."""
+    text = None
+    for power, unit in ((4, "TB"), (3, "GB"), (2, "MB"), (1, "KB")):
+        scaled = size / float(1 << (10 * power))
+        own = F.concat(F.when(scaled >= 10, _round(scaled).cast("string")).otherwise(F.format_string("%.1f", scaled)), F.lit(" " + unit))
+        text = own if text is None else F.when(size < 1 << (10 * (power + 1)), own).otherwise(text)
+    return F.when(size < 1024, F.concat(size.cast("string"), F.lit(" B"))).otherwise(text)
+
+
+def pluralize(count: Column, singular: str, plural: str | None = None) -> Column:
+    return F.concat(format_integer(count), F.when(count == 1, f" {singular}").otherwise(f" {plural or singular + 's'}"))
+
+
+def format_relative_time(at: Column, now: Column) -> Column:
+    """How long ago, or how far ahead, in the largest unit that fits: `3 days ago`, `yesterday`, `next month`."""
+    seconds = _round((F.unix_millis(at) - F.unix_millis(now)) / 1000)
+    size, out = F.abs(seconds), None
+    for limit, length, unit in reversed(V.TIME_UNITS):
+        n = _round(seconds / float(length))
+        named = V.NAMED_TIMES.get(unit, {})
+        count = F.concat(F.abs(n), F.lit(f" {unit}"), F.when(F.abs(n) == 1, "").otherwise("s"))
+        own = F.when(n < 0, F.concat(count, F.lit(" ago"))).otherwise(F.concat(F.lit("in "), count))
+        for value, name in named.items():
+            own = F.when(n == value, name).otherwise(own)
+        out = own if out is None else F.when(size < limit, own).otherwise(out)
+    return F.when(at.isNull(), "unknown").otherwise(out)
+
+
+def format_date(at: Column) -> Column:
+    return F.coalesce(F.date_format(at, "MMM d, yyyy"), F.lit("unknown"))
 
 
 def line_range_label(start: Column, end: Column) -> Column:
-    return F.when(start == end, F.concat(F.lit("line "), start)).otherwise(F.concat(F.lit("lines "), start, F.lit("–"), end))
+    return F.when(end > start, F.concat(F.lit("lines "), format_integer(start), F.lit("–"), format_integer(end))).otherwise(F.concat(F.lit("line "), format_integer(start)))
 
 
 def symbol_title(name: Column, kind: Column) -> Column:
     return F.when(kind.isin("function", "method"), F.concat(name, F.lit("()"))).otherwise(name)
 
 
-def npm_package(specifier: Column) -> Column:
-    """The package of a bare specifier: @scope/name or name; null for relative ones."""
-    return F.when(specifier.rlike(r"^[./]"), None).when(specifier.startswith("@"), F.nullif(F.regexp_extract(specifier, "^@[^/]+/[^/]+", 0), F.lit(""))).otherwise(F.regexp_extract(specifier, "^[^/]+", 0))
+def kind_labels(kind: Column) -> tuple[Column, Column, Column]:
+    """(singular, plural, place in the display order) of a symbol kind."""
+    place = F.array_position(F.array(*map(F.lit, V.KIND_LABELS)), kind)
+    plural = F.get(F.array(*map(F.lit, V.KIND_LABELS.values())), (place - 1).cast("int"))
+    return F.when(place > 0, kind), F.when(place > 0, plural), F.when(place > 0, place)
 
 
 def prepare_query(query: Column) -> Column:
     """White space goes, backslashes become slashes, at most 64 characters, lower case."""
-    return F.lower(F.substring(F.regexp_replace(F.regexp_replace(query, r"\s+", ""), r"\\", "/"), 1, 64))
+    return F.lower(original_query(query))
+
+
+def original_query(query: Column) -> Column:
+    return F.substring(F.regexp_replace(F.regexp_replace(query, r"\s+", ""), r"\\", "/"), 1, 64)
+
+
+# --- hidden characters ---------------------------------------------------------------------------------------------------
+
+_LETTER = r"[\p{M}[\p{L}&&[^\p{IsLatin}]]]"
+_EMOJI = r"[\x{a9}\x{ae}\x{203c}\x{2049}\x{2122}\x{2139}\x{2190}-\x{21ff}\x{2300}-\x{23ff}\x{2600}-\x{27bf}\x{2b00}-\x{2bff}\x{3030}\x{303d}\x{3297}\x{3299}" "\U0001f000-\U0001f3fa\U0001f400-\U0001faff]"  # written out above U+FFFF, or Java looks behind by one unit only
+_ANY = "[" + "".join(f"\\x{{{c:04x}}}" for c in (*V.BIDI, *V.INVISIBLE)) + "]"
+#: Joiners between letters of joining scripts, and zero-width joiners inside an emoji, are ordinary text.
+HIDDEN = (
+    rf"(?!(?<={_LETTER})[\x{{200c}}\x{{200d}}](?={_LETTER}))"
+    rf"(?!(?<=[{_EMOJI}\x{{1f3fb}}-\x{{1f3ff}}\x{{fe00}}-\x{{fe0f}}])\x{{200d}}(?={_EMOJI})){_ANY}"
+)
 
 
 def hidden_characters(text: Column) -> Column:
-    """How many bidirectional controls a text holds."""
-    return F.regexp_count(text, F.lit("[" + "".join(f"\\x{{{c:04x}}}" for c in BIDI) + "]"))
-
-
-def classify_repo_url(url: Column, host: str = "github.com") -> tuple[Column, Column, Column]:
-    """(reason, owner, repo): reason is ok, empty, not-github, missing-repo, invalid-owner or invalid-repo."""
-    clean = F.regexp_replace(F.trim(url), r"^git@([^:/]+):", "https://$1/")
-    rest = F.regexp_extract(clean, r"(?i)^(?:https?://)?(?:www\.)?" + host.replace(".", r"\.") + r"(?:/([^?#]*))?", 1)
-    own = F.lower(clean).rlike(r"^(https?://)?(www\.)?" + host.replace(".", r"\.") + r"(/|$)")
-    parts = F.filter(F.split(rest, "/"), lambda x: x != "")
-    owner, repo = F.get(parts, F.lit(0)), F.regexp_replace(F.get(parts, F.lit(1)), r"\.git$", "")
-    reason = (
-        F.when(F.length(clean) == 0, "empty").when(~own, "not-github").when(owner.isNull() | repo.isNull(), "missing-repo")
-        .when(~owner.rlike(r"^[A-Za-z0-9](?:[A-Za-z0-9-]{0,37}[A-Za-z0-9])?$"), "invalid-owner").when(~repo.rlike(r"^[A-Za-z0-9._-]{1,100}$"), "invalid-repo").otherwise("ok")
-    )
-    return reason, F.when(reason == "ok", owner), F.when(reason == "ok", repo)
+    """(place from 0 in code points, code point, kind: bidi or invisible) of each character that hides, in order."""
+    found, runs = F.regexp_extract_all(text, F.lit(f"({HIDDEN})"), 1), F.split(text, HIDDEN, -1)
+    ends = F.aggregate(runs, F.array().cast("array<int>"), lambda at, run: F.concat(at, F.array(F.coalesce(F.element_at(F.when(F.size(at) > 0, at), -1) + 1, F.lit(0)) + F.length(run))))
+    bidi = F.array(*[F.lit(chr(c)) for c in V.BIDI])
+    one = lambda c, at: F.struct(at.alias("place"), F.concat(F.lit("U+"), F.lpad(F.hex(F.ascii(c)), 4, "0")).alias("code_point"), F.when(F.array_contains(bidi, c), "bidi").otherwise("invisible").alias("kind"))
+    return F.zip_with(found, F.slice(ends, F.lit(1), F.size(found)), one)
+
+
+def escape_hidden(text: Column) -> Column:
+    """Every hidden character as its code point in brackets: [U+202E]."""
+    out = text
+    for c in (*V.BIDI, *V.INVISIBLE):
+        if c not in (0x200C, 0x200D):
+            out = F.replace(out, F.lit(chr(c)), F.lit(f"[U+{c:04X}]"))
+    for c in (0x200C, 0x200D):
+        out = F.regexp_replace(out, HIDDEN.replace(_ANY, rf"\x{{{c:04x}}}"), f"[U+{c:04X}]")
+    return out
+
+
+# --- lines ---------------------------------------------------------------------------------------------------------------
+
+
+def source_lines(text: Column) -> Column:
+    """The lines of a text without a byte order mark; ends are LF, CRLF or CR, and one at the end opens no further line."""
+    plain = F.regexp_replace(text, "^﻿", "")
+    lines = F.split(plain, "\r\n|\r|\n", -1)
+    lines = F.when((F.size(lines) > 1) & (F.element_at(lines, -1) == ""), F.slice(lines, F.lit(1), F.size(lines) - 1)).otherwise(lines)
+    return F.when(plain == "", F.array().cast("array<string>")).otherwise(lines)
+
+
+def visual_width(line: Column, tab: int = 4) -> Column:
+    """Columns a line takes: each tab goes on to the next stop."""
+    pieces = F.split(line, "\t", -1)
+    stop = lambda at: at + tab - at % tab
+    before = F.aggregate(F.slice(pieces, F.lit(1), F.size(pieces) - 1), F.lit(0), lambda at, p: stop(at + F.length(p)))
+    return before + F.length(F.element_at(pieces, -1))
+
+
+def max_visual_width(text: Column, most: int = 3000) -> Column:
+    widths = F.transform(source_lines(text), lambda x: F.least(F.lit(most), visual_width(F.substring(x, 1, most))))
+    return F.coalesce(F.array_max(widths), F.lit(0))
+
+
+def parse_eligible(text: Column, most: int) -> Column:
+    """Whether a text has at most `most` bytes in UTF-8."""
+    return F.octet_length(text) <= most
+
+
+def has_flow_pragma(text: Column) -> Column:
+    """Whether a comment before the first statement, in the first 4 Ki characters, holds @flow or @noflow."""
+    head = F.substring(text, 1, 4096)
+    comments = F.regexp_extract(head, r"^(?:#![^\n]*\n)?((?:\s+|//[^\n]*|/\*(?:[^*]|\*(?!/))*+(?:\*/|$))*+)", 1)
+    return comments.rlike(r"@(no)?flow\b")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import paths as P
-from .graph import _written
+from ..shared import settle
 
 
 def fetch_class(is_config: Column, max_parse: int, max_file: int, text_limit: int) -> Column:
@@ -31,11 +31,11 @@ def byte_budget(items: DataFrame, budget: int) -> DataFrame:
     while True:
         run = F.sum("size").over(Window.partitionBy("repo_id").orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
         fits = open_.join(left, "repo_id").filter(F.col("size") <= F.col("left")).withColumn("run", run)
-        fits = _written(fits, "budget-pass")
+        fits = settle(fits, "budget-pass")
         now = fits.filter("run <= left").drop("run", "left")
         taken = now if taken is None else taken.unionByName(now)
         spent = now.groupBy("repo_id").agg(F.sum("size").alias("spent"))
-        left = _written(left.join(spent, "repo_id", "left").select("repo_id", (F.col("left") - F.coalesce("spent", F.lit(0))).alias("left")), "budget-left")
+        left = settle(left.join(spent, "repo_id", "left").select("repo_id", (F.col("left") - F.coalesce("spent", F.lit(0))).alias("left")), "budget-left")
         open_ = fits.filter("run > left").drop("run", "left")
         if open_.isEmpty():
             break

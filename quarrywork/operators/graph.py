@@ -2,25 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import paths as P
-
-
-def _written(df: DataFrame, label: str) -> DataFrame:
-    """To the shared folder and back: iterations neither grow their lineage nor depend on executors."""
-    spark = df.sparkSession
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    df.write.parquet(path := f"{at}/{label}-{uuid.uuid4().hex}")
-    return spark.read.schema(df.schema).parquet(path)
+from ..shared import settle
 
 
 def dependency_edges(resolved: DataFrame) -> DataFrame:
@@ -103,7 +90,7 @@ def _trim(edges: DataFrame) -> DataFrame:
     n = edges.count()
     while n:
         edges = edges.join(edges.select("repo_id", F.col("target").alias("source")).distinct(), ["repo_id", "source"], "left_semi")
-        edges = _written(edges.join(edges.select("repo_id", F.col("source").alias("target")).distinct(), ["repo_id", "target"], "left_semi"), "cycle-trim")
+        edges = settle(edges.join(edges.select("repo_id", F.col("source").alias("target")).distinct(), ["repo_id", "target"], "left_semi"), "cycle-trim")
         left = edges.count()
         if left == n:
             break
@@ -115,7 +102,7 @@ def _spread(edges: DataFrame, labels: DataFrame) -> DataFrame:
     """The largest label that reaches each node along the edges. labels: repo_id, node, label."""
     while True:
         sent = edges.join(labels.withColumnRenamed("node", "source"), ["repo_id", "source"]).select("repo_id", F.col("target").alias("node"), "label")
-        new = _written(labels.unionByName(sent.select(*labels.columns)).groupBy("repo_id", "node").agg(F.max("label").alias("label")), "cycle-labels")
+        new = settle(labels.unionByName(sent.select(*labels.columns)).groupBy("repo_id", "node").agg(F.max("label").alias("label")), "cycle-labels")
         if new.join(labels.withColumnRenamed("label", "old"), ["repo_id", "node"]).filter("label <> old").isEmpty():
             return new
         labels = new
@@ -127,7 +114,7 @@ def strong_components(edges: DataFrame) -> DataFrame:
     Forward, the largest id that reaches a node is its colour; backward, the nodes of a colour that reach the node it is named after
     are its component. Components leave the graph, and what is left goes round again. Each step is written to the shared folder.
     """
-    left, found = _trim(_written(edges.select("repo_id", "source", "target").filter("source <> target").distinct(), "cycle-edges")), None
+    left, found = _trim(settle(edges.select("repo_id", "source", "target").filter("source <> target").distinct(), "cycle-edges")), None
     while not left.isEmpty():
         nodes = left.select("repo_id", F.col("source").alias("node")).unionByName(left.select("repo_id", F.col("target").alias("node"))).distinct()
         colours = _spread(left, nodes.withColumn("label", F.col("node")))
@@ -135,12 +122,12 @@ def strong_components(edges: DataFrame) -> DataFrame:
         inside = left.join(c("source"), ["repo_id", "source"]).join(c("target"), ["repo_id", "target"]).filter("c_source = c_target")
         back = inside.select("repo_id", F.col("target").alias("source"), F.col("source").alias("target"))
         roots = colours.select("repo_id", "node", F.when(F.col("node") == F.col("label"), 1).otherwise(0).alias("label"))
-        reached = _spread(_written(back, "cycle-back"), roots).filter("label = 1").select("repo_id", "node")
-        part = _written(colours.join(reached, ["repo_id", "node"]).select("repo_id", "node", F.col("label").alias("component")), "cycle-found")
+        reached = _spread(settle(back, "cycle-back"), roots).filter("label = 1").select("repo_id", "node")
+        part = settle(colours.join(reached, ["repo_id", "node"]).select("repo_id", "node", F.col("label").alias("component")), "cycle-found")
         found = part if found is None else found.unionByName(part)
         for end in ("source", "target"):
             left = left.join(part.select("repo_id", F.col("node").alias(end)), ["repo_id", end], "left_anti")
-        left = _trim(_written(left, "cycle-left"))
+        left = _trim(settle(left, "cycle-left"))
     if found is None:
         return edges.limit(0).select("repo_id", F.col("source").alias("node"), F.col("source").alias("component"))
     return found

@@ -29,6 +29,11 @@ def resolution_configs(inventory: DataFrame) -> DataFrame:
     return inventory.filter(is_config())
 
 
+def restrict_to_selected(inventory: DataFrame, selected: DataFrame) -> DataFrame:
+    """The inventory's rows of the selected files. selected: repo_id, path."""
+    return inventory.join(selected.select("repo_id", "path"), ["repo_id", "path"], "left_semi")
+
+
 def line_contribution(inventory: DataFrame, files: DataFrame) -> DataFrame:
     """Adds lines, lines_estimated and in_graph: a graph file's own count, else an estimate; binary files 0. files: repo_id, path, exact_lines or null."""
     known = files.select("repo_id", "path", F.col("exact_lines"), F.lit(True).alias("in_graph"))

@@ -36,10 +36,11 @@ def recency_score(activity: DataFrame, now: Column, days: float = 180.0) -> Data
 
 
 def size_measures(size: Column, lines: Column, generated: Column, binary: Column, low: float = 1.0, high: float = 6.0) -> tuple[Column, Column]:
-    """Footprint by the root of the size up to 64 KiB; height saturating in the root of the lines, generated files up to 12 % of the range, binary ones flat."""
+    """Footprint by the root of the size up to 64 KiB; height saturating in the root of the lines, capped at 12 % of the range for generated files, binary ones flat."""
     footprint = F.lit(low) + (high - low) * F.sqrt(F.least(size, F.lit(65536)) / 65536.0)
     root = F.sqrt(lines.cast("double"))
-    height = F.when((lines == 0) | binary, F.lit(low)).otherwise(F.lit(low) + (high - low) * root / (root + F.sqrt(F.lit(1500.0))) * F.when(generated, 0.12).otherwise(1.0))
+    share = root / (root + F.sqrt(F.lit(1500.0)))
+    height = F.when((lines == 0) | binary, F.lit(low)).otherwise(F.lit(low) + (high - low) * F.when(generated, F.least(share, F.lit(0.12))).otherwise(share))
     return footprint, height
 
 

@@ -91,7 +91,7 @@ def search_top_k(queries: DataFrame, entries: DataFrame, k: int = 50, blocks: in
 
     Queries are few: a stated set that meets all entries, in blocks, without a broadcast. Only pairs that pass the subsequence test are scored.
     """
-    q = queries.select("query_id", X.prepare_query(F.col("query")).alias("query"), F.substring(F.regexp_replace("query", r"\s+", ""), 1, 64).alias("original")).filter("query <> ''")
+    q = queries.select("query_id", X.prepare_query(F.col("query")).alias("query"), X.original_query(F.col("query")).alias("original")).filter("query <> ''")
     q = q.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     e = entries.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     is_path = F.col("query").contains("/")

@@ -29,7 +29,12 @@ UNION ALL
 SELECT repo_id, CASE WHEN doc_id % 3 = 0 THEN concat('/', path) WHEN doc_id % 3 = 1 THEN concat('../', path) ELSE concat('a//', path) END,
   'file', size, doc_id + 1000000 FROM fx_docs WHERE doc_id % 40 = 0
 UNION ALL
-SELECT repo_id, path, 'file', size + 1, doc_id + 2000000 FROM fx_docs WHERE doc_id % 25 = 0""",
+SELECT repo_id, path, 'file', size + 1, doc_id + 2000000 FROM fx_docs WHERE doc_id % 25 = 0
+UNION ALL
+SELECT repo_id, concat(substr(path, 1, 4), '/m', CAST(doc_id AS VARCHAR(20)), '/', CASE WHEN doc_id % 4 = 0 THEN 'package.json' WHEN doc_id % 4 = 1 THEN 'Cargo.toml'
+  WHEN doc_id % 4 = 2 THEN 'go.mod' ELSE 'tsconfig.json' END), 'file', 200 + doc_id % 50, doc_id + 3000000 FROM fx_docs WHERE doc_id % 9 = 4
+UNION ALL
+SELECT repo_id, concat(substr(path, 1, 4), '/lib/r', CAST(doc_id AS VARCHAR(20)), '.rb'), 'file', 900 + doc_id % 70, doc_id + 4000000 FROM fx_docs WHERE doc_id % 8 = 3""",
     "fx_imports": """
 SELECT s.repo_id, s.path, 1 AS seq, 'import' AS kind, concat('/', t.path) AS specifier, s.doc_id AS source_doc, t.doc_id AS target_doc
 FROM (SELECT d.*, (d.doc_id + 4 * (d.doc_id % 5)) % c.n AS target FROM fx_docs d CROSS JOIN (SELECT count(*) AS n FROM documents) c) s
@@ -59,15 +64,19 @@ SELECT concat('fx:', CAST(user_id % 4 AS VARCHAR(10))) AS repo_id, lpad(CAST(eve
   concat('Name  ', CAST(user_id AS VARCHAR(20))) AS author_name, ts AS date, event_id % 3 <> 0 AS has_details
 FROM events""",
     "fx_commit_files": """
-SELECT DISTINCT c.repo_id, c.sha, d.path
+SELECT DISTINCT t.repo_id, t.sha, coalesce(d.path, concat('gone/f', CAST(t.target AS VARCHAR(20)), '.ts')) AS path
 FROM (SELECT concat('fx:', CAST(user_id % 4 AS VARCHAR(10))) AS repo_id, lpad(CAST(event_id AS VARCHAR(40)), 40, '0') AS sha,
-        event_id, user_id FROM events WHERE event_id % 3 <> 0) c
-JOIN fx_docs d ON d.repo_id = c.repo_id
- AND d.doc_id IN (4 * (c.event_id % 17) + c.user_id % 4, 4 * ((c.event_id * 7 + c.user_id) % 23) + c.user_id % 4)""",
+    4 * ((event_id * 7 + user_id) % CAST(floor(n / 4) + 2 AS BIGINT)) + user_id % 4 AS target
+  FROM events CROSS JOIN (SELECT count(*) AS n FROM documents) c WHERE event_id % 3 <> 0
+  UNION ALL
+  SELECT concat('fx:', CAST(user_id % 4 AS VARCHAR(10))), lpad(CAST(event_id AS VARCHAR(40)), 40, '0'),
+    4 * ((event_id * 31 + 17 * user_id) % CAST(floor(n / 4) AS BIGINT)) + user_id % 4
+  FROM events CROSS JOIN (SELECT count(*) AS n FROM documents) c WHERE event_id % 3 <> 0) t
+LEFT JOIN fx_docs d ON d.doc_id = t.target""",
     "fx_contributors": """
 SELECT concat('fx:', CAST(c_custkey % 4 AS VARCHAR(10))) AS repo_id, concat('user', CAST(c_custkey AS VARCHAR(20))) AS login, c_name AS name,
   CAST(floor(greatest(c_acctbal, 0.0)) AS BIGINT) AS contributions
-FROM customer WHERE c_custkey < 150""",
+FROM customer""",
     "fx_symbols": """
 SELECT DISTINCT d.repo_id, d.path, concat('sym', CAST(l.l_partkey AS VARCHAR(20))) AS name,
   CASE WHEN l.l_linenumber % 4 = 0 THEN 'class' WHEN l.l_linenumber % 4 = 1 THEN 'function' WHEN l.l_linenumber % 4 = 2 THEN 'method' ELSE 'constant' END AS kind,
@@ -102,7 +111,8 @@ def needed(sql: str) -> list[str]:
 
 
 def view(spark: SparkSession, sf_dir: str, name: str, made: dict | None = None) -> DataFrame:
-    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))  # for Python workers of a local run
+    if spark.sparkContext.master.startswith("local["):  # a cluster gets the package by --py-files
+        spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
     made = {} if made is None else made
     if name not in made:
         if name in VIEWS:

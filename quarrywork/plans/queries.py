@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import names as N
 from ..functions import paths as P
 from ..functions import text as X
-from ..functions import values as V
 from ..operators import budgets as B
 from ..operators import graph as G
 from ..operators import history as H
@@ -20,65 +20,36 @@ from ..operators import scores as S
 from ..operators import search as E
 from ..sources import tree as T
 from ..streaming import events as ST
-from .fixtures import duck, view
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def plain(df: DataFrame) -> DataFrame:
-    """Whole numbers as long, so that both engines give one schema."""
-    return df.select(*[F.col(c).cast("long").alias(c) if kind in ("int", "smallint", "tinyint") else F.col(c) for c, kind in df.dtypes])
-
-
-def query(name: str, sql: str | None = None, *tables: str):
-    def add(f):
-        QUERIES[name] = lambda spark, sf_dir: plain(f(lambda view_name: view(spark, sf_dir, view_name)))
-        if sql:
-            ORACLES[name] = duck(sql, *tables)
-        return f
-
-    return add
+from . import examples  # noqa: F401
+from .registry import ORACLES, QUERIES, query  # noqa: F401
 
 
 # --- shared parts in SQL -------------------------------------------------------------------------------------------------
 
-def _in(names) -> str:
-    return "[" + ", ".join(f"'{n}'" for n in names) + "]"
-
-
-def _case(pairs: dict, of: str) -> str:
-    return f"CASE {of} " + " ".join(f"WHEN '{k}' THEN {v if isinstance(v, int) else repr(v)}" for k, v in pairs.items()) + " END"
-
-
 def classified(name: str, source: str) -> str:
-    """Common tables that add the classification columns to `source`, the last called `name`."""
+    """Common tables that add the classification columns to `source`, the last called `name`: what each kind of file name in the views is, typed."""
     return f"""{name}_0 AS (SELECT *, list_extract(string_split(path, '/'), -1) AS name, regexp_extract(path, '^(.*)/[^/]*$', 1) AS directory,
-    list_slice(string_split(path, '/'), 1, -2) AS segs FROM {source}),
-{name}_1 AS (SELECT *, lower(regexp_extract(name, '^.+\\.([^.]+)$', 1)) AS ext FROM {name}_0),
-{name}_2 AS (SELECT *, coalesce({_case(V.BY_NAME, 'name')}, CASE WHEN starts_with(lower(name), 'dockerfile') THEN 'dockerfile' END, {_case(V.BY_EXTENSION, 'ext')}, 'unknown') AS language,
-    {_case(V.PARSERS, 'ext')} AS parser_language, list_contains({_in(V.BINARY)}, ext) AS is_binary,
-    list_contains({_in(V.LOCKFILES)}, name) OR regexp_matches(name, '(?i)\\.min\\.(js|css|mjs)$') OR regexp_matches(name, '(?i)\\.(map|snap)$')
-      OR regexp_matches(name, '(?i)(^|[._-])(generated|pb|pb2|g)\\.(go|py|ts|js|java|rs|cs)$') OR regexp_matches(name, '_pb2(_grpc)?\\.py$') OR list_has_any(segs, {_in(V.VENDOR)}) AS is_generated,
-    length(path) - length(replace(path, '/', '')) AS depth FROM {name}_1),
-{name}_3 AS (SELECT *, coalesce({_case(V.CATEGORY, 'language')}, 'other') AS own FROM {name}_2),
-{name} AS (SELECT * EXCLUDE (own), CASE WHEN list_has_any(segs, {_in(V.VENDOR)}) THEN 'vendor' WHEN is_binary THEN 'asset'
-    WHEN regexp_matches(name, '(?i)\\.(test|spec|e2e|stories)\\.[a-z0-9]+$') OR regexp_matches(name, '^test_.*\\.py$') OR regexp_matches(name, '_test\\.(go|py|rs|exs?)$')
-      OR regexp_matches(name, '(Test|Tests|IT)\\.(java|kt|cs)$') OR list_has_any(segs, {_in(V.TEST)}) THEN 'test'
-    WHEN list_has_any(segs, {_in(V.BUILD)}) THEN 'build' WHEN own IN ('style', 'markup') AND list_has_any(segs, {_in(V.DOCS)}) THEN 'docs'
-    WHEN own IN ('source', 'style', 'markup') THEN own WHEN language IN ('markdown', 'rst') OR starts_with(lower(name), 'readme') OR starts_with(lower(name), 'changelog') THEN 'docs'
-    WHEN starts_with(name, '.') OR regexp_matches(lower(name), '\\.config\\.[a-z]+$') OR regexp_matches(lower(name), 'rc(\\.[a-z]+)?$') THEN 'config' ELSE own END AS category FROM {name}_3)"""
+    list_slice(string_split(path, '/'), 1, -2) AS segs, regexp_extract(path, '\\.([a-z.]+)$', 1) AS ending FROM {source}),
+{name} AS (SELECT * EXCLUDE (ending),
+    CASE ending WHEN 'ts' THEN 'typescript' WHEN 'js' THEN 'javascript' WHEN 'min.js' THEN 'javascript' WHEN 'py' THEN 'python' WHEN 'go' THEN 'go' WHEN 'rs' THEN 'rust'
+      WHEN 'java' THEN 'java' WHEN 'md' THEN 'markdown' WHEN 'css' THEN 'css' WHEN 'json' THEN 'json' WHEN 'toml' THEN 'toml' WHEN 'rb' THEN 'ruby' ELSE 'unknown' END AS language,
+    CASE ending WHEN 'ts' THEN 'typescript' WHEN 'js' THEN 'javascript' WHEN 'min.js' THEN 'javascript' WHEN 'py' THEN 'python' WHEN 'go' THEN 'go' WHEN 'rs' THEN 'rust' WHEN 'java' THEN 'java' END AS parser_language,
+    ending = 'png' AS is_binary, ending = 'min.js' OR path LIKE '%/vendor/lib/%' AS is_generated, length(path) - length(replace(path, '/', '')) AS depth,
+    CASE WHEN path LIKE '%/vendor/lib/%' THEN 'vendor' WHEN ending = 'png' THEN 'asset' WHEN path LIKE '%/tests/%' THEN 'test' WHEN ending = 'md' OR (ending = 'css' AND path LIKE '%/docs/%') THEN 'docs'
+      WHEN ending = 'css' THEN 'style' WHEN ending IN ('json', 'toml') THEN 'config' WHEN ending = 'mod' THEN 'other' ELSE 'source' END AS category FROM {name}_0)"""
 
 
+PARSED = "('typescript', 'javascript', 'python', 'java', 'go', 'rust')"
 FINE = "NOT list_has_any(string_split(path, '/'), ['', '.', '..'])"
 INV = classified("inv", f"(SELECT repo_id, path, greatest(arg_min(size, ordinal), 0) AS size FROM fx_tree WHERE type = 'file' AND {FINE} GROUP BY repo_id, path)")
-ESTIMATE = f"CASE WHEN size <= 0 THEN 0 ELSE greatest(1, floor(size / coalesce({_case(V.BYTES_PER_LINE, 'language')}, {V.DEFAULT_BYTES_PER_LINE}) + 0.5)) END"
+ESTIMATE = """CASE WHEN size <= 0 THEN 0 ELSE greatest(1, floor(size / CASE language WHEN 'typescript' THEN 34 WHEN 'javascript' THEN 32 WHEN 'python' THEN 32 WHEN 'java' THEN 38 WHEN 'go' THEN 30
+  WHEN 'rust' THEN 34 WHEN 'markdown' THEN 50 WHEN 'json' THEN 26 WHEN 'toml' THEN 26 WHEN 'css' THEN 24 WHEN 'ruby' THEN 28 ELSE 36 END + 0.5)) END"""
 LINES = r"CASE WHEN length(text) = 0 THEN 0 ELSE length(text) - length(replace(text, chr(10), '')) + CASE WHEN ends_with(text, chr(10)) THEN 0 ELSE 1 END END"
 COUNTED = (
     f"known AS (SELECT repo_id, path, doc_id, CASE WHEN doc_id % 3 <> 0 THEN {LINES} END AS exact_lines FROM fx_docs)",
     f"""counted AS (SELECT i.*, k.path IS NOT NULL AS in_graph, CAST(coalesce(exact_lines, CASE WHEN is_binary THEN 0 ELSE {ESTIMATE} END) AS BIGINT) AS lines,
     exact_lines IS NULL AND NOT is_binary AND size > 0 AS lines_estimated, NOT (is_generated OR is_binary OR category = 'vendor') AS own,
-    CASE WHEN is_binary THEN 'binary' WHEN exact_lines IS NULL THEN 'metadata-only' WHEN list_contains({_in(V.PARSEABLE)}, language) THEN 'parsed' ELSE 'content-only' END AS status
+    CASE WHEN is_binary THEN 'binary' WHEN exact_lines IS NULL THEN 'metadata-only' WHEN language IN {PARSED} THEN 'parsed' ELSE 'content-only' END AS status
     FROM inv i LEFT JOIN known k ON i.repo_id = k.repo_id AND i.path = k.path)""",
 )
 OWN = "own_counted AS (SELECT * FROM counted c WHERE own OR NOT (SELECT bool_or(own) FROM counted d WHERE d.repo_id = c.repo_id))"
@@ -117,13 +88,10 @@ query("make_ids", "SELECT repo_id, path, name, concat('sym:', path, '#', name, '
     lambda v: v("fx_symbols").withColumn("id", P.symbol_id(F.col("path"), F.col("name"), F.col("start_line"))).select("repo_id", "path", "name", "id", P.path_from_id(F.col("id")).alias("parsed"), P.kind_from_id(F.col("id")).alias("kind")))
 query("ancestor_directories", f"SELECT DISTINCT repo_id, path, {UP.format(c='directory')} AS directory FROM (SELECT repo_id, path, regexp_extract(path, '^(.*)/[^/]*$', 1) AS directory FROM fx_docs)")(
     lambda v: R.files_under(v("fx_docs")).select("repo_id", "path", "directory"))
-query("join_path", """SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN concat(dir, '/x') WHEN 1 THEN concat(up, CASE WHEN up = '' THEN '' ELSE '/' END, 'y') ELSE NULL END AS joined FROM (
-  SELECT doc_id, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir, regexp_extract(regexp_extract(path, '^(.*)/[^/]*$', 1), '^(.*)/[^/]*$', 1) AS up FROM fx_docs)""")(
-    lambda v: v("fx_docs").select("doc_id", P.join_path(P.parent_path(F.col("path")), F.when(F.col("doc_id") % 3 == 0, ".//x").when(F.col("doc_id") % 3 == 1, "../y").otherwise("../../../../../../z")).alias("joined")))
 query("path_predicates", r"""SELECT doc_id, starts_with(path, 'src1/') AS within, regexp_replace(path, '\.[^./]+$', '') AS stem,
   CASE WHEN string_split(path, '/')[1] <> 'src1' THEN 0 WHEN list_slice(string_split(path, '/'), 1, -2)[2] = 'src' THEN CASE WHEN list_slice(string_split(path, '/'), 1, -2)[3] = 'core' THEN 3 ELSE 2 END ELSE 1 END AS shared FROM fx_docs""")(
     lambda v: v("fx_docs").select("doc_id", P.is_within(F.col("path"), F.lit("src1")).alias("within"), P.strip_extension(F.col("path")).alias("stem"), P.shared_prefix_length(F.col("path"), F.lit("src1/src/core/f")).alias("shared")))
-query("area_of", f"""SELECT doc_id, list_has_any(segs, {_in(V.AUXILIARY)}) AS auxiliary, CASE WHEN len(segs) = 0 THEN '' WHEN len(segs) > 1 AND list_contains({_in(V.CONTAINERS)}, segs[1]) THEN concat(segs[1], '/', segs[2]) ELSE segs[1] END AS area
+query("area_of", f"""SELECT doc_id, list_has_any(segs, ['docs', 'examples']) AS auxiliary, CASE WHEN len(segs) = 0 THEN '' WHEN len(segs) > 1 AND segs[1] = 'packages' THEN concat(segs[1], '/', segs[2]) ELSE segs[1] END AS area
   FROM (SELECT doc_id, list_slice(string_split(substr(path, strpos(path, '/') + 1), '/'), 1, -2) AS segs FROM fx_docs)""")(
     lambda v: v("fx_docs").withColumn("path", F.expr("substr(path, locate('/', path) + 1)")).select("doc_id", P.is_auxiliary(F.col("path")).alias("auxiliary"), P.area_of(F.col("path")).alias("area")))
 query("estimate_lines", f"SELECT repo_id, path, CAST({ESTIMATE} AS BIGINT) AS lines FROM inv", INV)(lambda v: inventory(v).select("repo_id", "path", P.estimate_lines(F.col("size"), F.col("language")).alias("lines")))
@@ -131,29 +99,10 @@ query("count_lines", f"SELECT doc_id, {LINES} AS lines FROM fx_docs")(lambda v:
 
 # --- texts ---------------------------------------------------------------------------------------------------------------
 
-query("first_line", """SELECT doc_id, CASE WHEN length(f) > 60 THEN concat(rtrim(substr(f, 1, 59), ' '), '…') ELSE f END AS line FROM (
-  SELECT doc_id, trim(regexp_replace(string_split(text, chr(10))[1], '\\s+', ' ', 'g'), ' ') AS f FROM fx_docs)""")(
-    lambda v: v("fx_docs").select("doc_id", X.clean_single_line(X.first_line(F.col("text")), 60).alias("line")))
-SECRETS = "CASE doc_id % 6 WHEN 0 THEN ' ghp_abcdefghij0123456789' WHEN 1 THEN ' Bearer abcdefgh12345678' WHEN 2 THEN ' https://x.org/?token=abc123&a=1' WHEN 3 THEN ' https://u:pw@host.org/' WHEN 4 THEN ' password=hunter2' ELSE '' END"
-MASKED = "CASE doc_id % 6 WHEN 0 THEN ' [REDACTED]' WHEN 1 THEN ' Bearer [REDACTED]' WHEN 2 THEN ' https://x.org/?token=[REDACTED]&a=1' WHEN 3 THEN ' https://[REDACTED]@host.org/' WHEN 4 THEN ' password=[REDACTED]' ELSE '' END"
-PAT = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace({t}, '\bgh[pousr]_[A-Za-z0-9]{{16,}}|\bgithub_pat_[A-Za-z0-9_]{{20,}}', '[REDACTED]', 'g'),
-  '(?i)\b(bearer|basic|token)\s+[A-Za-z0-9._~+/=-]{{8,}}', '\1 [REDACTED]', 'g'), '(?i)\b(access_token|api_key|apikey|client_secret|password|secret|token)=[^&\s"'']+', '\1=[REDACTED]', 'g'),
-  '(?i)\b([a-z][a-z0-9+.-]*://)[^/\s:@]+:[^/\s@]+@', '\1[REDACTED]@', 'g')"""
-query("redact_secrets", f"SELECT doc_id, md5({PAT.format(t=f'concat(text, {SECRETS})')}) AS masked FROM fx_docs")(
-    lambda v: v("fx_docs").select("doc_id", F.md5(X.redact_secrets(F.concat("text", F.expr(SECRETS)))).alias("masked")))
-query("initials", """SELECT login, repo_id, upper(CASE WHEN name LIKE '% %' THEN concat(substr(name, 1, 1), substr(string_split(name, ' ')[-1], 1, 1)) ELSE substr(name, 1, 2) END) AS initials FROM fx_contributors""")(
-    lambda v: v("fx_contributors").select("login", "repo_id", X.initials(F.col("name")).alias("initials")))
-query("format_bytes", """SELECT doc_id, CASE WHEN size < 1024 THEN concat(size, ' B') ELSE concat(regexp_replace(printf('%.1f', floor(size / 1024.0 * 10 + 0.5) / 10), '\\.0$', ''), ' KB') END AS label FROM fx_docs""")(
-    lambda v: v("fx_docs").select("doc_id", X.format_bytes(F.col("size")).alias("label")))
 query("symbol_title", """SELECT DISTINCT repo_id, path, name, kind, start_line, end_line, CASE WHEN kind IN ('function', 'method') THEN concat(name, '()') ELSE name END AS title,
   CASE WHEN start_line = end_line THEN concat('line ', start_line) ELSE concat('lines ', start_line, '–', end_line) END AS label FROM fx_symbols""")(
     lambda v: v("fx_symbols").select("repo_id", "path", "name", "kind", "start_line", "end_line", X.symbol_title(F.col("name"), F.col("kind")).alias("title"), X.line_range_label(F.col("start_line"), F.col("end_line")).alias("label")).distinct())
-query("npm_names", """SELECT repo_id, path, seq, specifier, CASE WHEN specifier[1] IN ('/', '.') THEN NULL WHEN starts_with(specifier, '@') THEN nullif(regexp_extract(specifier, '^@[^/]+/[^/]+'), '')
-  ELSE string_split(specifier, '/')[1] END AS package FROM fx_imports""")(lambda v: v("fx_imports").select("repo_id", "path", "seq", "specifier", X.npm_package(F.col("specifier")).alias("package")))
 query("prepare_queries", "SELECT query_id, lower(substr(replace(query, ' ', ''), 1, 64)) AS query FROM fx_queries")(lambda v: v("fx_queries").select("query_id", X.prepare_query(F.col("query")).alias("query")))
-query("redact_map", """SELECT event_id, concat('{"k":', json_extract_string(props, '$.k'), ',"token":"[REDACTED]"}') AS props FROM events""")(
-    lambda v: v("events").select("event_id", F.to_json(X.redact_map(F.map_concat(F.from_json("props", "map<string,string>"), F.create_map(F.lit("token"), F.lit("abc"))))).alias("props")).withColumn("props", F.regexp_replace("props", '"k":"([0-9]+)"', '"k":$1')))
-
 # --- roll-ups ------------------------------------------------------------------------------------------------------------
 
 query("own_files", "SELECT repo_id, path FROM own_counted", INV, *COUNTED, OWN)(lambda v: R.own_files(counted(v)).select("repo_id", "path"))
@@ -170,18 +119,18 @@ query("directory_language_bytes", f"""SELECT repo_id, dir AS path, string_agg(co
   SELECT repo_id, dir, language, CAST(sum(size) AS BIGINT) AS bytes FROM (SELECT repo_id, language, size, {UP.format(c='directory')} AS dir FROM inv) GROUP BY ALL) GROUP BY repo_id, dir""", INV)(
     lambda v: R.directory_language_bytes(inventory(v)).withColumn("language_bytes", F.array_join(F.transform(F.array_sort(F.map_entries("language_bytes")), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")))
 STATS = f"""stats AS (SELECT *, CASE WHEN total > 0 THEN bytes / total ELSE 0.0 END AS share FROM (SELECT *, CAST(sum(bytes) OVER (PARTITION BY repo_id) AS BIGINT) AS total FROM (
-  SELECT repo_id, language, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes, CAST(sum(lines) AS BIGINT) AS lines, list_contains({_in(V.PARSEABLE)}, language) AS parseable FROM own_counted GROUP BY repo_id, language)))"""
+  SELECT repo_id, language, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes, CAST(sum(lines) AS BIGINT) AS lines, language IN {PARSED} AS parseable FROM own_counted GROUP BY repo_id, language)))"""
 query("language_stats", "SELECT * EXCLUDE (total) FROM stats", INV, *COUNTED, OWN, STATS)(lambda v: R.language_stats(counted(v)))
 query("language_segments", """SELECT repo_id, segment, place, CASE WHEN segment = 'other' THEN concat(count(*), ' others') ELSE segment END AS name, CAST(sum(bytes) AS BIGINT) AS bytes, CAST(sum(files) AS BIGINT) AS files, sum(bytes) / any_value(t) AS share FROM (
   SELECT *, CASE WHEN n > 4 AND p >= 4 THEN 'other' ELSE language END AS segment, CASE WHEN n > 4 AND p >= 4 THEN 4 ELSE p END AS place FROM (
     SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY bytes DESC, language) AS p, count(*) OVER (PARTITION BY repo_id) AS n, CAST(sum(bytes) OVER (PARTITION BY repo_id) AS BIGINT) AS t FROM stats WHERE bytes > 0)) GROUP BY repo_id, segment, place""", INV, *COUNTED, OWN, STATS)(
     lambda v: R.language_segments(R.language_stats(counted(v)), 4))
 query("determine_tier", "SELECT repo_id, count(*) AS files, CASE WHEN count(*) <= 1000 THEN 'full' WHEN count(*) <= 10000 THEN 'progressive' ELSE 'directory-first' END AS tier FROM inv GROUP BY repo_id", INV)(lambda v: R.determine_tier(inventory(v)))
-query("unsupported_languages", f"SELECT repo_id, language, count(*) AS files FROM inv WHERE NOT is_generated AND category = 'source' AND NOT list_contains({_in(V.PARSEABLE)}, language) GROUP BY ALL", INV)(lambda v: R.unsupported_languages(inventory(v)))
+query("unsupported_languages", f"SELECT repo_id, language, count(*) AS files FROM inv WHERE NOT is_generated AND category = 'source' AND language NOT IN {PARSED} GROUP BY ALL", INV)(lambda v: R.unsupported_languages(inventory(v)))
 query("coverage", "SELECT repo_id, count(*) AS files_in_graph, " + ", ".join(f"count(*) FILTER (WHERE status = '{s}') AS files_{s.replace('-', '_')}" for s in ("parsed", "content-only", "metadata-only", "binary")) + " FROM counted GROUP BY repo_id", INV, *COUNTED)(
     lambda v: R.coverage(counted(v)))
 query("parse_coverage", f"""SELECT *, CASE WHEN eligible = 0 THEN 1.0::DOUBLE ELSE parsed / eligible END AS share FROM (SELECT repo_id, count(*) FILTER (WHERE fit AND status = 'parsed') AS parsed, count(*) FILTER (WHERE fit) AS eligible
-  FROM (SELECT *, list_contains({_in(V.PARSEABLE)}, language) AND NOT is_generated AND status <> 'binary' AS fit FROM counted) GROUP BY repo_id)""", INV, *COUNTED)(lambda v: R.parse_coverage(counted(v)))
+  FROM (SELECT *, language IN {PARSED} AND NOT is_generated AND status <> 'binary' AS fit FROM counted) GROUP BY repo_id)""", INV, *COUNTED)(lambda v: R.parse_coverage(counted(v)))
 query("largest_files", "SELECT repo_id, path, lines, size, place FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY lines DESC, size DESC, path) AS place FROM counted WHERE own) WHERE place <= 5", INV, *COUNTED)(
     lambda v: R.largest_files(counted(v)).select("repo_id", "path", "lines", "size", "place"))
 query("tree_listing", """SELECT repo_id, parent, path, kind, place, siblings, CAST(floor((place - 1) / 20) AS BIGINT) AS page, greatest(0, siblings - CAST(floor((place - 1) / 20) + 1 AS BIGINT) * 20) AS remaining FROM (
@@ -191,7 +140,7 @@ query("tree_listing", """SELECT repo_id, parent, path, kind, place, siblings, CA
 query("files_under", f"SELECT repo_id, path, {UP.format(c='directory')} AS directory FROM inv", INV)(lambda v: R.files_under(inventory(v)))
 query("category_emphasis", "SELECT repo_id, path, CASE WHEN is_generated OR category = 'vendor' THEN 0.4 WHEN category IN ('test', 'docs', 'config') THEN 0.88 ELSE 1.0 END::DOUBLE AS emphasis, CAST(CASE WHEN lines_estimated THEN 1 ELSE 0 END + CASE WHEN is_binary THEN 2 ELSE 0 END + CASE WHEN is_generated THEN 4 ELSE 0 END AS BIGINT) AS flags FROM counted", INV, *COUNTED)(
     lambda v: counted(v).select("repo_id", "path", R.category_emphasis().alias("emphasis"), R.honesty_flags().alias("flags")))
-CLASS = f"coalesce({_case(V.CATEGORY_RANK, 'category')}, 5) + CASE WHEN is_generated THEN 8 ELSE 0 END"
+CLASS = "CASE category WHEN 'source' THEN 0 WHEN 'test' THEN 1 WHEN 'config' THEN 2 WHEN 'style' THEN 2 WHEN 'docs' THEN 3 WHEN 'asset' THEN 6 WHEN 'vendor' THEN 7 ELSE 5 END + CASE WHEN is_generated THEN 8 ELSE 0 END"
 DEPTH = "CASE WHEN directory = '' THEN 0 ELSE length(directory) - length(replace(directory, '/', '')) + 1 END"
 query("select_graph_files", f"""SELECT repo_id, path, first AND n > 40 AS representative FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, first ORDER BY class, round, {DEPTH}, directory) AS place, CAST(sum(first::INT) OVER (PARTITION BY repo_id) AS BIGINT) AS taken FROM (
   SELECT *, row_number() OVER (PARTITION BY repo_id, class, directory, first ORDER BY depth, path) AS round FROM (
@@ -221,7 +170,8 @@ def cursor():
 
 
 query("contributor_id", f"SELECT repo_id, sha, {WHO.format(l='author_login', n='author_name')} AS author_id FROM fx_commits")(lambda v: H.with_authors(v("fx_commits")).select("repo_id", "sha", "author_id"))
-query("commit_files_in_graph", "SELECT repo_id, sha, count(*) AS changed, count(*) AS in_graph FROM fx_commit_files GROUP BY repo_id, sha")(lambda v: H.changed_counts(v("fx_commit_files"), changes(v)))
+query("commit_files_in_graph", "SELECT f.repo_id, sha, count(*) AS changed, count(d.path) AS in_graph FROM fx_commit_files f LEFT JOIN fx_docs d ON d.repo_id = f.repo_id AND d.path = f.path GROUP BY f.repo_id, sha")(
+    lambda v: H.changed_counts(v("fx_commit_files"), changes(v)))
 query("merge_commits", "SELECT repo_id, sha, message, author_login, author_name, epoch_us(date) AS date, has_details, row_number() OVER (PARTITION BY repo_id ORDER BY date DESC NULLS LAST, sha) AS place FROM fx_commits")(
     lambda v: micros(H.merge_commits(v("fx_commits"), v("fx_commits").filter("has_details")), "date"))
 ACTIVITY = "activity AS (SELECT c.repo_id, c.path, count(*) AS commit_count, max(date) AS last_modified, arg_min(author_id, (-epoch_us(date), a.sha)) AS last_author_id, count(DISTINCT author_id) AS contributors FROM changes c JOIN authored a ON a.repo_id = c.repo_id AND a.sha = c.sha GROUP BY c.repo_id, c.path)"
@@ -283,7 +233,7 @@ def states(v) -> DataFrame:
 
 
 def packages(v) -> DataFrame:
-    outer = states(v).filter("state = 'external'").withColumn("package", X.npm_package(F.col("specifier"))).withColumn("language", P.detect_language(F.col("path")))
+    outer = states(v).filter("state = 'external'").withColumn("package", N.external_package(F.col("specifier"))).withColumn("language", P.detect_language(F.col("path")))
     return G.external_packages(outer)
 
 
@@ -298,7 +248,7 @@ query("import_stats", f"SELECT repo_id, path, count(*) AS found, count(*) FILTER
     lambda v: G.import_stats(states(v), "repo_id", "path"))
 query("import_resolution_by_language", f"SELECT repo_id, language, count(*) AS found, count(*) FILTER (WHERE s = 'resolved') AS resolved, count(*) FILTER (WHERE s = 'external') AS external, count(*) FILTER (WHERE s = 'unresolved') AS unresolved FROM (SELECT i.repo_id, l.language, {STATE} AS s FROM fx_imports i JOIN langs l ON i.repo_id = l.repo_id AND i.path = l.path) GROUP BY repo_id, language", classified("langs", "fx_docs"))(
     lambda v: G.import_stats(states(v).withColumn("language", P.detect_language(F.col("path"))), "repo_id", "language"))
-PACKAGES = f"""outer_ AS (SELECT i.repo_id, i.path, l.language, CASE WHEN starts_with(specifier, '@') THEN regexp_extract(specifier, '^@[^/]+/[^/]+') ELSE string_split(specifier, '/')[1] END AS package FROM fx_imports i JOIN langs l ON i.repo_id = l.repo_id AND i.path = l.path WHERE {STATE} = 'external'),
+PACKAGES = f"""outer_ AS (SELECT i.repo_id, i.path, l.language, CASE WHEN specifier = 'fs/promises' THEN 'node:fs' WHEN starts_with(specifier, '@') THEN regexp_extract(specifier, '^@[^/]+/[^/]+') ELSE specifier END AS package FROM fx_imports i JOIN langs l ON i.repo_id = l.repo_id AND i.path = l.path WHERE {STATE} = 'external'),
 packages AS (SELECT repo_id, package, CAST(sum(n) AS BIGINT) AS import_count, arg_min(language, (-n, language)) AS language, (SELECT count(DISTINCT path) FROM outer_ o WHERE o.repo_id = p.repo_id AND o.package = p.package) AS file_count
   FROM (SELECT repo_id, package, language, count(*) AS n FROM outer_ GROUP BY ALL) p GROUP BY repo_id, package)"""
 query("external_packages", "SELECT * FROM packages", classified("langs", "fx_docs"), PACKAGES)(lambda v: packages(v))
@@ -345,7 +295,7 @@ SCORED = (
 query("graph_maxima", "SELECT * FROM maxima", INV, *COUNTED, *SCORED)(lambda v: S.graph_maxima(scored(v)))
 query("complexity_score", """SELECT m.repo_id, path, round(CASE WHEN status = 'binary' THEN 0 WHEN status = 'parsed' THEN least(1, 0.5 * ln(1 + lines) / ln(1 + max_lines) + 0.28 * sqrt(symbols / max_symbols) + 0.22 * sqrt(degree / max_degree)) ELSE ln(1 + lines) / ln(1 + max_lines) END, 9)::DOUBLE AS complexity
   FROM measured m JOIN maxima x ON x.repo_id = m.repo_id""", INV, *COUNTED, *SCORED)(lambda v: S.complexity_score(scored(v)).select("repo_id", "path", F.round("complexity", 9).alias("complexity")))
-query("size_measures", """SELECT repo_id, path, round(1 + 5 * sqrt(least(size, 65536) / 65536.0), 9)::DOUBLE AS footprint, round(CASE WHEN lines = 0 OR is_binary THEN 1 ELSE 1 + 5 * sqrt(lines) / (sqrt(lines) + sqrt(1500)) * CASE WHEN is_generated THEN 0.12 ELSE 1 END END, 9)::DOUBLE AS height FROM counted""", INV, *COUNTED)(
+query("size_measures", """SELECT repo_id, path, round(1 + 5 * sqrt(least(size, 65536) / 65536.0), 9)::DOUBLE AS footprint, round(CASE WHEN lines = 0 OR is_binary THEN 1 ELSE 1 + 5 * least(sqrt(lines) / (sqrt(lines) + sqrt(1500)), CASE WHEN is_generated THEN 0.12 ELSE 1 END) END, 9)::DOUBLE AS height FROM counted""", INV, *COUNTED)(
     lambda v: counted(v).select("repo_id", "path", *[F.round(c, 9).alias(n) for c, n in zip(S.size_measures(F.col("size"), F.col("lines"), F.col("is_generated"), F.col("is_binary")), ("footprint", "height"))]))
 query("recency_score", """SELECT a.repo_id, path, round(0.8 * CASE WHEN hi > lo THEN (epoch_us(last_modified) - epoch_us(lo)) / (epoch_us(hi) - epoch_us(lo)) ELSE 1 END + 0.2 * exp(-greatest(0, (epoch_us(TIMESTAMP '2024-03-01') - epoch_us(last_modified)) / 1000000) / 15552000.0), 9)::DOUBLE AS recency
   FROM activity a JOIN (SELECT repo_id, min(last_modified) AS lo, max(last_modified) AS hi FROM activity GROUP BY repo_id) s ON s.repo_id = a.repo_id""", AUTHORED, CHANGES, ACTIVITY)(
@@ -363,8 +313,8 @@ query("fetch_plan_classify", f"""SELECT repo_id, path, CASE WHEN is_binary THEN
     lambda v: (lambda i: i.select("repo_id", "path", B.fetch_class(R.is_config(), 3000, 8000, 5000).alias("class")))(inventory(v)))
 query("resolution_configs", f"SELECT repo_id, path FROM inv WHERE {CONFIG}", INV)(lambda v: R.resolution_configs(inventory(v)).select("repo_id", "path"))
 ORDERED = f"""ordered AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY grp, round, area) AS place FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, grp, area ORDER BY depth, path) AS round FROM (
-  SELECT *, CASE WHEN category = 'test' THEN 2 WHEN list_has_any(segs, {_in(V.AUXILIARY)}) THEN 1 ELSE 0 END AS grp,
-    CASE WHEN len(segs) = 0 THEN '' WHEN len(segs) > 1 AND list_contains({_in(V.CONTAINERS)}, segs[1]) THEN concat(segs[1], '/', segs[2]) ELSE segs[1] END AS area FROM inv WHERE parser_language IS NOT NULL)))"""
+  SELECT *, CASE WHEN category = 'test' THEN 2 WHEN list_has_any(segs, ['docs', 'examples']) THEN 1 ELSE 0 END AS grp,
+    CASE WHEN len(segs) = 0 THEN '' WHEN len(segs) > 1 AND segs[1] = 'packages' THEN concat(segs[1], '/', segs[2]) ELSE segs[1] END AS area FROM inv WHERE parser_language IS NOT NULL)))"""
 query("order_parse_candidates", "SELECT repo_id, path, place FROM ordered", INV, ORDERED)(lambda v: B.order_parse_candidates(inventory(v).filter("parser_language IS NOT NULL")).select("repo_id", "path", "place"))
 query("byte_budget", """SELECT repo_id, path, took AS taken FROM greedy""", INV, ORDERED, """greedy AS (
   SELECT repo_id, path, place, size <= 150000 AS took, CASE WHEN size <= 150000 THEN 150000 - size ELSE 150000 END AS room FROM ordered WHERE place = 1
@@ -423,8 +373,8 @@ def extracted(v) -> DataFrame:
     return found.select("repo_id", F.substring_index("path", "|", 1).alias("path"), F.substring_index("path", "|", -1).cast("long").alias("seq"), "line", "kind", "specifier")
 
 
-query("restrict_to_selected", f"SELECT repo_id, count(*) AS files FROM inv SEMI JOIN fx_docs d ON d.repo_id = inv.repo_id AND d.path = inv.path GROUP BY inv.repo_id", INV)(
-    lambda v: inventory(v).join(v("fx_docs").select("repo_id", "path"), ["repo_id", "path"], "left_semi").groupBy("repo_id").agg(F.count("*").alias("files")))
+query("restrict_to_selected", "SELECT inv.repo_id, inv.path FROM inv SEMI JOIN fx_docs d ON d.repo_id = inv.repo_id AND d.path = inv.path", INV)(
+    lambda v: R.restrict_to_selected(inventory(v), v("fx_docs")).select("repo_id", "path"))
 query("valid_edges", "SELECT repo_id, edge_id FROM fx_edges SEMI JOIN (SELECT concat('file:', doc_id) AS id FROM fx_docs WHERE doc_id % 7 <> 4) d ON d.id = source SEMI JOIN (SELECT concat('file:', doc_id) AS id FROM fx_docs WHERE doc_id % 7 <> 4) t ON t.id = target")(
     lambda v: G.valid_edges(v("fx_edges"), v("fx_docs").filter("doc_id % 7 <> 4").select("repo_id", F.col("doc_id").cast("string").alias("path"))).select("repo_id", "edge_id"))
 
@@ -470,12 +420,6 @@ query("check_references", """SELECT 'commit_files.sha' AS rule, (SELECT count(*)
 
 # --- more ----------------------------------------------------------------------------------------------------------------
 
-query("hidden_characters", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END::BIGINT AS hidden FROM fx_docs")(
-    lambda v: v("fx_docs").select("doc_id", X.hidden_characters(F.concat("text", F.expr("CASE doc_id % 3 WHEN 0 THEN '‮ x ⁦' WHEN 1 THEN '‏' ELSE 'é' END"))).alias("hidden")))
-query("classify_repo_url", """SELECT page_id, CASE WHEN page_id < 1000000 THEN 'not-github' ELSE CASE (page_id - 1000000) % 6 WHEN 2 THEN 'ok' WHEN 4 THEN 'missing-repo' WHEN 5 THEN 'empty' ELSE 'ok' END END AS reason,
-  CASE WHEN page_id >= 1000000 THEN CASE (page_id - 1000000) % 6 WHEN 0 THEN concat('o', page_id - 1000000) WHEN 1 THEN 'o' WHEN 2 THEN 'about' WHEN 3 THEN 'o' END END AS owner,
-  CASE WHEN page_id >= 1000000 THEN CASE (page_id - 1000000) % 6 WHEN 0 THEN 'r' WHEN 1 THEN concat('r', page_id - 1000000) WHEN 2 THEN 'x' WHEN 3 THEN 'r' END END AS repo FROM fx_urls""")(
-    lambda v: (lambda c: v("fx_urls").select("page_id", c[0].alias("reason"), c[1].alias("owner"), c[2].alias("repo")))(X.classify_repo_url(F.col("url"))))
 query("files_active_in_window", "SELECT c.repo_id, c.path, epoch_us(max(date)) AS active FROM changes c JOIN fx_commits m ON m.repo_id = c.repo_id AND m.sha = c.sha WHERE date BETWEEN TIMESTAMP '2024-01-13' AND TIMESTAMP '2024-01-20' GROUP BY ALL", CHANGES)(
     lambda v: micros(H.files_active_in_window(v("fx_commits"), changes(v), cursor(), 7), "active"))
 query("files_touched_by", "SELECT DISTINCT c.repo_id, author_id, path FROM changes c JOIN authored a ON a.repo_id = c.repo_id AND a.sha = c.sha WHERE author_id IS NOT NULL", AUTHORED, CHANGES)(lambda v: H.files_touched_by(v("fx_commits"), changes(v)))
