@@ -72,10 +72,34 @@ def related_files(edges: DataFrame, selection: DataFrame) -> DataFrame:
     return both.join(selection.select("repo_id", "file"), ["repo_id", "file"], "left_anti")
 
 
-def budget_edges(edges: DataFrame, most: int = 1500) -> DataFrame:
-    """The heaviest edges of each repository, ties by id."""
+def budget_edges(edges: DataFrame, most: int = 1500, selection: DataFrame | None = None, focus: DataFrame | None = None, drawable: DataFrame | None = None, most_selected: int = 4000, most_focused: int = 5000) -> DataFrame:
+    """The heaviest edges of each repository, ties by id, with their role; self-edges and those of files that are not drawable go.
+
+    selection (repo_id, file): its edges, outgoing, incoming or internal. Else focus (repo_id, file): the edges inside it. Else the top of all.
+    """
+    own = edges.filter("source <> target")
+    for end in ("source", "target") if drawable is not None else ():
+        own = own.join(drawable.select("repo_id", F.col("file").alias(end)), ["repo_id", end], "left_semi")
+    marked = selection if selection is not None else focus
+    role = F.lit("top")
+    if marked is not None:
+        marked = marked.select("repo_id", "file").distinct()
+        for end in ("source", "target"):
+            own = own.join(marked.select("repo_id", F.col("file").alias(end), F.lit(True).alias(f"has_{end}")), ["repo_id", end], "left")
+        both, any_ = F.col("has_source").isNotNull() & F.col("has_target").isNotNull(), F.col("has_source").isNotNull() | F.col("has_target").isNotNull()
+        own = own.filter(any_ if selection is not None else both)
+        role = F.when(both, "internal").when(F.col("has_source").isNotNull(), "outgoing").otherwise("incoming") if selection is not None else F.lit("focus")
+        most = most_selected if selection is not None else most_focused
     place = F.row_number().over(Window.partitionBy("repo_id").orderBy(F.desc("weight"), "edge_id"))
-    return edges.withColumn("place", place).filter(F.col("place") <= most)
+    return own.withColumn("role", role).withColumn("place", place).filter(F.col("place") <= most).drop("has_source", "has_target")
+
+
+def distinct_imports(imports: DataFrame) -> DataFrame:
+    """imports (repo_id, path, seq, specifier, external, target: a graph file or null) -> one row for each target or specifier of a file: label, state, place; internal ones first, then external, then unresolved."""
+    state = F.when(F.col("target").isNotNull(), "internal").when(F.col("external"), "external").otherwise("unresolved")
+    rows = imports.select("repo_id", "path", F.coalesce("target", "specifier").alias("label"), state.alias("state")).distinct()
+    order = F.when(F.col("state") == "internal", 0).when(F.col("state") == "external", 1).otherwise(2)
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("repo_id", "path").orderBy(order, "label")))
 
 
 def intra_directory_adjacency(edges: DataFrame) -> DataFrame:
@@ -85,17 +109,47 @@ def intra_directory_adjacency(edges: DataFrame) -> DataFrame:
     return both.groupBy("repo_id", "a", "b").agg(F.greatest(F.lit(1), F.sum("weight")).alias("weight"))
 
 
+#: Fewer nodes of one way in and one way out than this are not contracted.
+FEW = 64
+
+
 def _trim(edges: DataFrame) -> DataFrame:
-    """Without edges at nodes that have none in or none out, again and again: those lie on no cycle."""
+    """Without edges at nodes that have none in or none out: those lie on no cycle."""
+    edges = edges.join(edges.select("repo_id", F.col("target").alias("source")).distinct(), ["repo_id", "source"], "left_semi")
+    return settle(edges.join(edges.select("repo_id", F.col("source").alias("target")).distinct(), ["repo_id", "target"], "left_semi"), "cycle-trim")
+
+
+def _contract(edges: DataFrame, turn: int) -> tuple[DataFrame, DataFrame, int]:
+    """Takes some of the nodes with one way in and one way out off their chains, no two that are neighbours: (edges, what was taken, such nodes before).
+
+    Taken: repo_id, node, p and s, its neighbours on both sides. A coin for each node and turn picks about a quarter, so chains of any length
+    are gone after a number of turns that grows with the logarithm of the length.
+    """
+    out = edges.groupBy("repo_id", F.col("source").alias("node")).agg(F.count("*").alias("outs"), F.max("target").alias("s"))
+    into = edges.groupBy("repo_id", F.col("target").alias("node")).agg(F.count("*").alias("ins"), F.max("source").alias("p"))
+    chain = settle(out.join(into, ["repo_id", "node"]).filter("outs = 1 AND ins = 1").select("repo_id", "node", "p", "s"), "cycle-chains")
+    coin = lambda c: F.pmod(F.xxhash64(F.lit(turn), "repo_id", c), F.lit(2))
+    taken = settle(chain.filter((coin("node") == 1) & (coin("p") == 0)), "cycle-taken")
+    for end in ("source", "target"):
+        edges = edges.join(taken.select("repo_id", F.col("node").alias(end)), ["repo_id", end], "left_anti")
+    edges = edges.select("repo_id", "source", "target").unionByName(taken.filter("p <> s").select("repo_id", F.col("p").alias("source"), F.col("s").alias("target")))
+    return settle(edges.distinct(), "cycle-edges"), taken, chain.count()
+
+
+def _shrink(edges: DataFrame, turn: int) -> tuple[DataFrame, list[DataFrame], int]:
+    """Trims and contracts by turns until neither does much."""
+    gone: list[DataFrame] = []
     n = edges.count()
     while n:
-        edges = edges.join(edges.select("repo_id", F.col("target").alias("source")).distinct(), ["repo_id", "source"], "left_semi")
-        edges = settle(edges.join(edges.select("repo_id", F.col("source").alias("target")).distinct(), ["repo_id", "target"], "left_semi"), "cycle-trim")
-        left = edges.count()
-        if left == n:
+        edges = _trim(edges)
+        trimmed = edges.count()
+        edges, taken, chains = _contract(edges, turn)
+        gone.append(taken)
+        turn += 1
+        if trimmed == n and chains < FEW:
             break
-        n = left
-    return edges
+        n = edges.count()
+    return edges, gone, turn
 
 
 def _spread(edges: DataFrame, labels: DataFrame) -> DataFrame:
@@ -109,12 +163,15 @@ def _spread(edges: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def strong_components(edges: DataFrame) -> DataFrame:
-    """repo_id, node, component for nodes on a cycle, by trimming and forward-backward colouring.
+    """repo_id, node, component (its largest node) for nodes on a cycle: chains are contracted, the rest is found by trimming and forward-backward colouring.
 
     Forward, the largest id that reaches a node is its colour; backward, the nodes of a colour that reach the node it is named after
-    are its component. Components leave the graph, and what is left goes round again. Each step is written to the shared folder.
+    are its component. Components leave the graph, and what is left goes round again. Then the nodes of the chains come back, last taken first: one whose
+    neighbours are of one component, or are one node, belongs to it. Each step is written to the shared folder.
     """
-    left, found = _trim(settle(edges.select("repo_id", "source", "target").filter("source <> target").distinct(), "cycle-edges")), None
+    all_edges = settle(edges.select("repo_id", "source", "target").filter("source <> target").distinct(), "cycle-edges")
+    left, gone, turn = _shrink(all_edges, 0)
+    found = left.limit(0).select("repo_id", F.col("source").alias("node"), F.col("source").alias("component"))
     while not left.isEmpty():
         nodes = left.select("repo_id", F.col("source").alias("node")).unionByName(left.select("repo_id", F.col("target").alias("node"))).distinct()
         colours = _spread(left, nodes.withColumn("label", F.col("node")))
@@ -124,13 +181,22 @@ def strong_components(edges: DataFrame) -> DataFrame:
         roots = colours.select("repo_id", "node", F.when(F.col("node") == F.col("label"), 1).otherwise(0).alias("label"))
         reached = _spread(settle(back, "cycle-back"), roots).filter("label = 1").select("repo_id", "node")
         part = settle(colours.join(reached, ["repo_id", "node"]).select("repo_id", "node", F.col("label").alias("component")), "cycle-found")
-        found = part if found is None else found.unionByName(part)
+        found = found.unionByName(part)
         for end in ("source", "target"):
             left = left.join(part.select("repo_id", F.col("node").alias(end)), ["repo_id", end], "left_anti")
-        left = _trim(settle(left, "cycle-left"))
-    if found is None:
-        return edges.limit(0).select("repo_id", F.col("source").alias("node"), F.col("source").alias("component"))
-    return found
+        left, more, turn = _shrink(settle(left, "cycle-left"), turn)
+        gone += more
+    found = settle(found, "cycle-components")
+    for taken in reversed(gone):
+        if taken.isEmpty():
+            continue
+        of = lambda end: found.select("repo_id", F.col("node").alias(end), F.col("component").alias(f"c_{end}"))
+        ends = taken.join(of("p"), ["repo_id", "p"], "left").join(of("s"), ["repo_id", "s"], "left")
+        joined = ends.filter("p = s OR c_p = c_s").withColumn("component", F.coalesce("c_p", "p"))
+        back = joined.select("repo_id", "node", "component").unionByName(joined.filter("c_p IS NULL").select("repo_id", F.col("p").alias("node"), "component"))
+        found = settle(found.unionByName(back).distinct(), "cycle-components")
+    largest = found.groupBy("repo_id", "component").agg(F.max("node").alias("largest"))
+    return found.join(largest, ["repo_id", "component"]).select("repo_id", "node", F.col("largest").alias("component"))
 
 
 def import_cycles(edges: DataFrame, most: int = 50) -> DataFrame:

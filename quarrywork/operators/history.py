@@ -43,11 +43,38 @@ def merge_commits(listed: DataFrame, detailed: DataFrame) -> DataFrame:
     return merged.withColumn("place", F.row_number().over(Window.partitionBy("repo_id").orderBy(F.desc_nulls_last("date"), "sha")))
 
 
-def file_activity(commits: DataFrame, changes: DataFrame) -> DataFrame:
-    """Commits, last change and its author of each changed file. Ties of time go to the smallest sha. Sums and maxima only, combined before the shuffle."""
+def file_activity(commits: DataFrame, changes: DataFrame, lookups: DataFrame | None = None) -> DataFrame:
+    """Commits, last change and its author of each changed file. Ties of time go to the smallest sha. Sums and maxima only, combined before the shuffle.
+
+    lookups (repo_id, path, last_modified, author_id), a last commit known from elsewhere: a newer one wins, and one inside the window of the listed commits
+    counts as one commit where no change is known.
+    """
     own = changes.join(with_authors(commits).select("repo_id", "sha", "date", "author_id"), ["repo_id", "sha"])
     last = F.min_by("author_id", F.struct((-F.unix_micros("date")).alias("t"), "sha"))
-    return own.groupBy("repo_id", "path").agg(F.count("*").alias("commit_count"), F.max("date").alias("last_modified"), last.alias("last_author_id"), F.count_distinct("author_id").alias("contributors"))
+    found = own.groupBy("repo_id", "path").agg(F.count("*").alias("commit_count"), F.max("date").alias("last_modified"), last.alias("last_author_id"), F.count_distinct("author_id").alias("contributors"))
+    if lookups is None:
+        return found
+    start = commits.groupBy("repo_id").agg(F.min("date").alias("window_start"))
+    known = lookups.groupBy("repo_id", "path").agg(F.max("last_modified").alias("looked_up"), F.max_by("author_id", "last_modified").alias("looked_up_author"))
+    both = found.join(known, ["repo_id", "path"], "full_outer").join(start, "repo_id", "left")
+    inside = F.coalesce((F.col("looked_up") >= F.col("window_start")).cast("int"), F.lit(0))
+    newer = F.col("looked_up").isNotNull() & (F.col("last_modified").isNull() | (F.col("looked_up") > F.col("last_modified")))
+    return both.select(
+        "repo_id", "path", F.coalesce("commit_count", inside).alias("commit_count"), F.when(newer, F.col("looked_up")).otherwise(F.col("last_modified")).alias("last_modified"),
+        F.when(newer, F.col("looked_up_author")).otherwise(F.col("last_author_id")).alias("last_author_id"),
+        F.greatest(F.coalesce("contributors", F.lit(0)), F.col("looked_up_author").isNotNull().cast("int")).alias("contributors"))
+
+
+def derive_file_activity(commits: DataFrame, changes: DataFrame) -> DataFrame:
+    """The last commit that touches each path: repo_id, path, last_modified, author_login, author_name."""
+    own = changes.join(commits.select("repo_id", "sha", "date", "author_login", "author_name"), ["repo_id", "sha"])
+    last = F.min_by(F.struct("date", "author_login", "author_name"), F.struct((-F.unix_micros("date")).alias("t"), "sha"))
+    return own.groupBy("repo_id", "path").agg(last.alias("c")).select("repo_id", "path", F.col("c.date").alias("last_modified"), "c.author_login", "c.author_name")
+
+
+def contributor_files(commits: DataFrame, changes: DataFrame) -> DataFrame:
+    """repo_id, id, paths: the files each contributor has changed, in order."""
+    return files_touched_by(commits, changes).groupBy("repo_id", F.col("author_id").alias("id")).agg(F.array_sort(F.collect_list("path")).alias("paths"))
 
 
 def contributors(commits: DataFrame, provider: DataFrame, changes: DataFrame, most: int = MAX_CONTRIBUTORS) -> DataFrame:
@@ -85,8 +112,10 @@ def rank_contributors(people: DataFrame) -> DataFrame:
 
 
 def derive_contributors(commits: DataFrame) -> DataFrame:
-    who = F.coalesce(F.col("author_login"), F.col("author_name"))
-    return commits.groupBy("repo_id", who.alias("who")).agg(F.count("*").alias("commits"))
+    """Commits by login or, without one, by name, whatever the case; named as in the newest of them."""
+    key = F.coalesce(F.concat(F.lit("login:"), F.lower("author_login")), F.concat(F.lit("name:"), F.lower(F.trim("author_name"))))
+    name = F.min_by(F.coalesce("author_login", "author_name"), F.struct((-F.unix_micros("date")).alias("t"), "sha"))
+    return commits.groupBy("repo_id", key.alias("who")).agg(F.count("*").alias("commits"), name.alias("name"))
 
 
 def history_summary(commits: DataFrame, activity: DataFrame) -> DataFrame:
@@ -99,22 +128,66 @@ def commits_in_window(commits: DataFrame, cursor: Column, days: int) -> DataFram
     return commits.filter((F.col("date") > cursor - F.make_dt_interval(F.lit(max(1, days)))) & (F.col("date") <= cursor))
 
 
-def bucket_commits(commits: DataFrame) -> DataFrame:
-    """Contiguous UTC buckets of each repository, empty ones too: days up to a span of 45 days, weeks up to a year, months up to four, then quarters."""
+#: Calendar units, finest first, with their steps; and buckets of a timeline at most.
+UNITS = {"day": "INTERVAL 1 DAY", "week": "INTERVAL 7 DAYS", "month": "INTERVAL 1 MONTH", "quarter": "INTERVAL 3 MONTHS", "year": "INTERVAL 1 YEAR"}
+BUCKETS = 2000
+
+
+def _by_unit(unit: Column, make) -> Column:
+    """make(name, step) of the unit that a row has."""
+    out = None
+    for name, step in UNITS.items():
+        out = F.when(unit == name, make(name, step)) if out is None else out.when(unit == name, make(name, step))
+    return out
+
+
+def bucket_commits(commits: DataFrame, granularity: str | None = None) -> DataFrame:
+    """Contiguous UTC buckets of each repository, empty ones too: days up to a span of 45 days, weeks up to a year, months up to four, then quarters.
+
+    A given granularity holds for all. Where one would give more than BUCKETS buckets, the next coarser one that does not is taken.
+    """
     span = commits.filter("date IS NOT NULL").groupBy("repo_id").agg(F.min("date").alias("first"), F.max("date").alias("last"))
     days = (F.unix_micros("last") - F.unix_micros("first")) / 86_400_000_000
-    span = span.withColumn("granularity", F.when(days <= 45, "day").when(days <= 365, "week").when(days <= 4 * 365, "month").otherwise("quarter"))
-    step = {"day": "INTERVAL 1 DAY", "week": "INTERVAL 7 DAYS", "month": "INTERVAL 1 MONTH", "quarter": "INTERVAL 3 MONTHS"}
-    floor = lambda c: F.when(F.col("granularity") == "day", F.date_trunc("day", c)).when(F.col("granularity") == "week", F.date_trunc("week", c)).when(F.col("granularity") == "month", F.date_trunc("month", c)).otherwise(F.date_trunc("quarter", c))
-    spine = None
-    for unit, by in step.items():
-        part = span.filter(F.col("granularity") == unit).select("repo_id", "granularity", F.explode(F.sequence(F.date_trunc(unit, "first"), F.date_trunc(unit, "last"), F.expr(by))).alias("bucket_start"))
-        part = part.withColumn("bucket_end", F.col("bucket_start") + F.expr(by))
-        spine = part if spine is None else spine.unionByName(part)
+    asked = F.lit(granularity) if granularity else F.when(days <= 45, "day").when(days <= 365, "week").when(days <= 4 * 365, "month").otherwise("quarter")
+    names = F.array(*map(F.lit, UNITS))
+    d = F.datediff("last", "first")
+    months = lambda c: F.year(c) * 12 + F.month(c)
+    sizes = F.array(d + 1, F.datediff(F.date_trunc("week", "last"), F.date_trunc("week", "first")) / 7 + 1, months("last") - months("first") + 1, (F.year("last") * 4 + F.quarter("last")) - (F.year("first") * 4 + F.quarter("first")) + 1, F.lit(1))
+    fits = F.filter(names, lambda u: (F.array_position(names, u) >= F.array_position(names, F.col("asked"))) & (F.get(sizes, (F.array_position(names, u) - 1).cast("int")) <= BUCKETS))
+    span = span.withColumn("asked", asked).withColumn("granularity", F.coalesce(F.get(fits, F.lit(0)), F.lit("year")))
+    unit = F.col("granularity")
+    floor = lambda c: _by_unit(unit, lambda name, _: F.date_trunc(name, c))
+    spine = span.select("repo_id", "granularity", F.explode(_by_unit(unit, lambda name, step: F.sequence(F.date_trunc(name, "first"), F.date_trunc(name, "last"), F.expr(step)))).alias("bucket_start"))
+    spine = spine.withColumn("bucket_end", _by_unit(unit, lambda _, step: F.col("bucket_start") + F.expr(step)))
     counted = commits.filter("date IS NOT NULL").join(span.select("repo_id", "granularity"), "repo_id").groupBy("repo_id", floor(F.col("date")).alias("bucket_start")).agg(F.count("*").alias("commits"))
     return spine.join(counted, ["repo_id", "bucket_start"], "left").fillna(0, ["commits"])
 
 
+def build_timeline(exact: DataFrame, commits: DataFrame) -> DataFrame:
+    """Exact counts where a repository has them (repo_id, granularity, bucket_start, bucket_end, commits), else its commits in buckets; with coverage, start and end."""
+    counted = exact.filter("bucket_start IS NOT NULL AND bucket_end IS NOT NULL").withColumn("coverage", F.lit("full-history"))
+    sampled = bucket_commits(commits.join(exact.select("repo_id").distinct(), "repo_id", "left_anti")).withColumn("coverage", F.lit("sampled"))
+    both = counted.select("repo_id", "granularity", "coverage", "bucket_start", "bucket_end", "commits").unionByName(sampled.select("repo_id", "granularity", "coverage", "bucket_start", "bucket_end", "commits"))
+    return both.join(both.groupBy("repo_id").agg(F.min("bucket_start").alias("start"), F.max_by("bucket_end", "bucket_start").alias("end")), "repo_id")
+
+
+def axis_ticks(extent: DataFrame, most: int = 6) -> DataFrame:
+    """extent (repo_id, start, end) -> repo_id, time, label, position of calendar ticks: years, quarters, months, weeks or days, thinned to `most`, none at the edges."""
+    days = (F.unix_micros("end") - F.unix_micros("start")) / 86_400_000_000
+    upto = lambda low, step: F.filter(F.when(low <= F.col("end"), F.sequence(low, F.col("end"), F.expr(step))).otherwise(F.array().cast("array<timestamp>")), lambda t: t <= F.col("end"))
+    next_month, next_year = (F.date_trunc(u, "start") + F.expr(UNITS[u]) for u in ("month", "year"))
+    day = F.date_trunc("day", F.col("start") + F.expr("INTERVAL 86399999999 MICROSECONDS"))
+    years, months = upto(next_year, UNITS["year"]), upto(next_month, UNITS["month"])
+    quarters = F.filter(months, lambda t: (F.month(t) - 1) % 3 == 0)
+    times = F.when(days > 3 * 365, years).when(days > 540, quarters).when(days > 45, months).when(days > 14, upto(day, UNITS["week"])).otherwise(upto(day, UNITS["day"]))
+    rows = extent.withColumn("days", days).withColumn("times", times)
+    stride = F.greatest(F.lit(1), F.ceil(F.size("times") / float(max(1, most))))
+    rows = rows.withColumn("stride", stride).select("repo_id", "start", "end", "days", "stride", F.posexplode("times").alias("i", "time")).filter("i % stride = 0")
+    label = F.when(F.col("days") > 3 * 365, F.date_format("time", "yyyy")).when(F.col("days") > 45, F.when(F.month("time") == 1, F.date_format("time", "yyyy")).otherwise(F.date_format("time", "MMM"))).otherwise(F.date_format("time", "MMM d"))
+    at = (F.unix_micros("time") - F.unix_micros("start")) / (F.unix_micros("end") - F.unix_micros("start"))
+    return rows.select("repo_id", "time", label.alias("label"), at.alias("position")).filter("position > 0.02 AND position < 0.98")
+
+
 def histogram_bars(buckets: DataFrame) -> DataFrame:
     most = F.max("commits").over(Window.partitionBy("repo_id"))
     return buckets.withColumn("height", F.when((most == 0) | (F.col("commits") == 0), 0.0).otherwise(F.greatest(F.lit(0.06), F.col("commits") / most)))
@@ -127,13 +200,31 @@ def timeline_extent(buckets: DataFrame, commits: DataFrame) -> DataFrame:
     return out.withColumn("end", F.greatest(F.col("end"), F.col("start") + F.expr("INTERVAL 1 DAY")))
 
 
-def window_stats(commits: DataFrame, changes: DataFrame, cursor: Column, days: int) -> DataFrame:
-    """Commits, distinct authors, commits with details and changed files of a trailing window."""
+def window_stats(commits: DataFrame, changes: DataFrame, cursor: Column, days: int, activity: DataFrame | None = None, truncated: DataFrame | None = None) -> DataFrame:
+    """A row for each repository: commits, distinct authors, commits with details and changed files of a trailing window, what these rest on, and how much of it the commits cover.
+
+    basis is commits where any commit of the window has details, else activity: files are then those last changed in it (activity: repo_id, path,
+    last_modified). coverage is full, partial or none; truncated (repo_id) names the repositories of which older commits exist.
+    """
     inside = with_authors(commits_in_window(commits, cursor, days))
     author = F.coalesce("author_id", F.concat(F.lit("name:"), F.col("author_name")))
     total = inside.groupBy("repo_id").agg(F.count("*").alias("commits"), F.count_distinct(author).alias("contributors"), F.count_if("has_details").alias("with_details"))
-    files = changes.join(inside.filter("has_details").select("repo_id", "sha"), ["repo_id", "sha"], "left_semi").groupBy("repo_id").agg(F.count_distinct("path").alias("files_changed"))
-    return total.join(files, "repo_id", "left").fillna(0, ["files_changed"])
+    files = changes.join(inside.filter("has_details").select("repo_id", "sha"), ["repo_id", "sha"], "left_semi").groupBy("repo_id").agg(F.count_distinct("path").alias("changed"))
+    start = cursor - F.make_dt_interval(F.lit(max(1, days)))
+    oldest = commits.groupBy("repo_id").agg(F.min("date").alias("oldest"))
+    out = oldest.join(total, "repo_id", "left").join(files, "repo_id", "left").fillna(0, ["commits", "contributors", "with_details", "changed"])
+    if activity is not None:
+        touched = activity.filter((F.col("last_modified") > start) & (F.col("last_modified") <= cursor)).groupBy("repo_id").agg(F.count("*").alias("active"))
+        out = out.join(touched, "repo_id", "left").fillna(0, ["active"])
+    else:
+        out = out.withColumn("active", F.lit(0))
+    cut = truncated.select("repo_id", F.lit(True).alias("cut")).distinct() if truncated is not None else oldest.select("repo_id", F.lit(False).alias("cut"))
+    out = out.join(cut, "repo_id", "left")
+    covered = F.when(~F.coalesce("cut", F.lit(False)), "full").when(cursor < F.col("oldest"), "none").when(start < F.col("oldest"), "partial").otherwise("full")
+    detailed = F.col("with_details") > 0
+    return out.select(
+        "repo_id", "commits", "contributors", "with_details", F.when(detailed, F.col("changed")).otherwise(F.col("active")).alias("files_changed"),
+        F.when(detailed, "commits").otherwise("activity").alias("basis"), covered.alias("coverage"))
 
 
 def window_top_files(commits: DataFrame, changes: DataFrame, cursor: Column, days: int, most: int = 5) -> DataFrame:
@@ -142,16 +233,34 @@ def window_top_files(commits: DataFrame, changes: DataFrame, cursor: Column, day
     return by.withColumn("place", F.row_number().over(Window.partitionBy("repo_id").orderBy(F.desc("changes"), "path"))).filter(F.col("place") <= most)
 
 
-def count_commits_in_ranges(ranges: DataFrame, commits: DataFrame) -> DataFrame:
-    """Commits with start <= date < end of each range, none included. Both sides meet by day, so no join compares all pairs.
+def count_commits_in_ranges(ranges: DataFrame, commits: DataFrame, explicit: DataFrame | None = None) -> DataFrame:
+    """Commits with start <= date < end of each range, none included; an explicit count (repo_id, start, end, commits) of the same range wins.
 
-    ranges: repo_id, start, end. A range's inner days take the day's sum; only its first and last day compare single commits.
+    ranges: repo_id, start, end. A range's whole days take the sums of days, which meet them by day; only its first and last day, where they are not whole, look at
+    single commits, which meet them by day as well.
     """
-    day = F.date_trunc("day", F.col("date"))
-    spread = ranges.select("repo_id", "start", "end", F.explode(F.sequence(F.date_trunc("day", "start"), F.date_trunc("day", F.col("end") - F.expr("INTERVAL 1 MICROSECOND")), F.expr("INTERVAL 1 DAY"))).alias("day"))
-    found = spread.join(commits.filter("date IS NOT NULL").select("repo_id", day.alias("day"), "date"), ["repo_id", "day"]).filter("date >= start AND date < end")
-    n = found.groupBy("repo_id", "start", "end").agg(F.count("*").alias("commits"))
-    return ranges.join(n, ["repo_id", "start", "end"], "left").fillna(0, ["commits"])
+    first, last = F.date_trunc("day", "start"), F.date_trunc("day", F.col("end") - F.expr("INTERVAL 1 MICROSECOND"))
+    once = ranges.select("repo_id", "start", "end").distinct()
+    days = once.filter("start < end").withColumn("day", F.explode(F.sequence(first, last, F.expr("INTERVAL 1 DAY"))))
+    whole = (F.col("day") >= F.col("start")) & (F.col("day") + F.expr("INTERVAL 1 DAY") <= F.col("end"))
+    dated = commits.filter("date IS NOT NULL").select("repo_id", F.date_trunc("day", "date").alias("day"), "date")
+    sums = dated.groupBy("repo_id", "day").agg(F.count("*").alias("n"))
+    inner = days.filter(whole).join(sums, ["repo_id", "day"]).select("repo_id", "start", "end", "n")
+    edges = days.filter(~whole).join(dated, ["repo_id", "day"]).filter("date >= start AND date < end").select("repo_id", "start", "end", F.lit(1).cast("long").alias("n"))
+    n = inner.unionByName(edges).groupBy("repo_id", "start", "end").agg(F.sum("n").alias("counted"))
+    out = ranges.join(n, ["repo_id", "start", "end"], "left").withColumn("commits", F.coalesce("counted", F.lit(0))).drop("counted")
+    if explicit is not None:
+        out = out.join(explicit.select("repo_id", "start", "end", F.col("commits").alias("given")), ["repo_id", "start", "end"], "left").withColumn("commits", F.coalesce("given", "commits")).drop("given")
+    return out
+
+
+def full_history_counts(span: DataFrame, commits: DataFrame, most: int = 80) -> DataFrame:
+    """Commits in the planned ranges of each repository; where some are older than its plan, the plan begins with the first year that has commits. span: repo_id, created, end."""
+    first = plan_timeline_ranges(span, most).groupBy("repo_id").agg(F.min("start").alias("first"))
+    older = commits.join(first, "repo_id").filter((F.col("date") >= F.expr("TIMESTAMP '1970-01-01 00:00:00'")) & (F.col("date") < F.col("first")))
+    earliest = older.groupBy("repo_id").agg(F.date_trunc("year", F.min("date")).alias("earliest"))
+    span = span.join(earliest, "repo_id", "left").select("repo_id", F.coalesce("earliest", "created").alias("created"), "end")
+    return count_commits_in_ranges(plan_timeline_ranges(span, most), commits)
 
 
 def most_active_areas(commits: DataFrame, changes: DataFrame, most: int = 3) -> DataFrame:
@@ -178,9 +287,9 @@ def files_touched_by(commits: DataFrame, changes: DataFrame) -> DataFrame:
 def plan_timeline_ranges(span: DataFrame, most: int = 80) -> DataFrame:
     """Ranges of the finest calendar unit of which at most `most` reach from created to end; the most recent years if even these are too many.
 
-    span: repo_id, created (null: a year before the end), end.
+    span: repo_id, created (null: 365 days before the end; later than the end: the end), end.
     """
-    start = F.coalesce("created", F.col("end") - F.expr("INTERVAL 1 YEAR"))
+    start = F.least(F.coalesce("created", F.col("end") - F.expr("INTERVAL 365 DAYS")), F.col("end"))
     units = (("week", "INTERVAL 7 DAYS"), ("month", "INTERVAL 1 MONTH"), ("quarter", "INTERVAL 3 MONTHS"), ("year", "INTERVAL 1 YEAR"))
     starts = {u: F.sequence(F.date_trunc(u, start), F.date_trunc(u, "end"), F.expr(by)) for u, by in units}
     chosen, unit = F.slice(starts["year"], F.greatest(F.lit(1), F.size(starts["year"]) - most + 1), F.lit(most)), F.lit("year")

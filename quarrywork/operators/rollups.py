@@ -116,6 +116,13 @@ def largest_files(files: DataFrame, most: int = 5) -> DataFrame:
     return files.filter(is_own()).withColumn("place", rank).filter(F.col("place") <= most)
 
 
+def largest_files_below(files: DataFrame, most: int = 5) -> DataFrame:
+    """The largest hand-written files of every directory and all below it: repo_id, directory, path, lines, size, place."""
+    own = files.filter(is_own()).select("repo_id", "path", "lines", "size", F.explode(P.ancestors(F.col("path"))).alias("directory"))
+    place = F.row_number().over(Window.partitionBy("repo_id", "directory").orderBy(F.desc("lines"), F.desc("size"), "path"))
+    return own.withColumn("place", place).filter(F.col("place") <= most)
+
+
 def largest_directories(directories: DataFrame, most: int = 20) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("repo_id").orderBy(F.desc("total_lines"), "path"))
     return directories.withColumn("place", place).filter(F.col("place") <= most)
@@ -163,10 +170,6 @@ def select_graph_files(inventory: DataFrame, most: int) -> DataFrame:
     return c.filter((F.col("n") <= most) | F.col("first") | (F.col("place") <= most - F.col("taken"))).select("repo_id", "path", (F.col("first") & (F.col("n") > most)).alias("representative"))
 
 
-def skip_reason_counts(skipped: DataFrame) -> DataFrame:
-    return skipped.groupBy("repo_id", "reason").agg(F.count("*").alias("files"))
-
-
 def check_references(keys: dict[str, tuple[DataFrame, DataFrame, list[str]]], wrong: dict[str, DataFrame]) -> DataFrame:
     """rule, violations: for each key the rows without a partner (child, parent, columns), for each other rule its rows."""
     out = None

@@ -15,6 +15,10 @@ def graph_maxima(files: DataFrame) -> DataFrame:
     return files.groupBy("repo_id").agg(top("lines"), top("symbols"), top("degree"))
 
 
+def activity_range(activity: DataFrame) -> DataFrame:
+    return activity.groupBy("repo_id").agg(F.min("last_modified").alias("first"), F.max("last_modified").alias("last"))
+
+
 def complexity_score(files: DataFrame) -> DataFrame:
     """Lines on a log scale, symbols and degree, each against its repository's largest; lines alone where nothing was parsed; binary files 0.
 

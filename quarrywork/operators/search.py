@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,6 +13,7 @@ from pyspark.sql.window import Window
 
 from ..functions import paths as P
 from ..functions import text as X
+from ..shared import settle
 
 # Fixed values of the score.
 MATCH, GAP, FURTHER, CASE, CONSECUTIVE, FIRST = 16, -3, -1, 1, 5, 2
@@ -19,6 +22,8 @@ DELIMITERS = " #$(,-.:<@_"
 LONGEST = 256
 PRIORS = {"class": 4, "interface": 4, "struct": 4, "trait": 4, "enum": 3, "type": 3, "function": 3, "module": 2, "method": 2, "constant": 1, "variable": 0}
 LOW = -(10**9)
+#: Queries that are broadcast at most.
+FEW_QUERIES = 2000
 
 
 def search_entries(directories: DataFrame, files: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -34,10 +39,29 @@ def search_entries(directories: DataFrame, files: DataFrame, symbols: DataFrame)
     return d.unionByName(f).unionByName(s).withColumn("bias", F.col("prior") - length * 0.01)
 
 
-def subsequence(query: Column, target: Column) -> Column:
+def character_mask(lower: Column) -> Column:
+    """Which characters a lower-case text holds: a bit for each letter, five for digits by their remainder, one for a slash. A query whose bits a target lacks is not in it."""
+    groups = [*"abcdefghijklmnopqrstuvwxyz", "05", "16", "27", "38", "49", "/"]
+    bits = [F.when(reduce(Column.__or__, [lower.contains(c) for c in chars]), 1 << i).otherwise(0) for i, chars in enumerate(groups)]
+    return reduce(Column.bitwiseOR, bits).cast("long")
+
+
+def is_subsequence(query: str, target: str) -> bool:
     """Whether the query's characters occur in the target in order."""
-    pattern = F.regexp_replace(F.regexp_replace(query, r"([\\.\[\]{}()*+?^$|])", r"\\$1"), r"(\\?.)", "$1.*")
-    return F.regexp_like(target, F.concat(F.lit("(?s)"), pattern))
+    rest = iter(target)
+    return all(c in rest for c in query)
+
+
+def position_bonuses(target: str) -> np.ndarray:
+    """What a match at each place is worth for standing at a boundary."""
+    t = np.array([ord(c) for c in target])
+    before = np.concatenate([[0], t[:-1]])
+    digit, was_digit = (t >= 48) & (t <= 57), (before >= 48) & (before <= 57)
+    bonus = np.where((t >= 65) & (t <= 90) & (before >= 97) & (before <= 122) | digit & ~was_digit, CAMEL, 0)
+    bonus = np.where(np.isin(before, [ord(c) for c in DELIMITERS]), DELIMITER, bonus)
+    bonus = np.where((before == 47) | (before == 92), SEPARATOR, bonus)
+    bonus[0] = START
+    return bonus
 
 
 def best_alignment(query: str, original: str, target: str) -> float:
@@ -50,12 +74,7 @@ def best_alignment(query: str, original: str, target: str) -> float:
     t, low = np.array([ord(c) for c in target]), np.array([ord(c) for c in target.lower()[: len(target)]])
     if not len(query) or len(t) != len(low):
         return 0.0 if not len(query) else -np.inf
-    before = np.concatenate([[0], t[:-1]])
-    digit, was_digit = (t >= 48) & (t <= 57), (before >= 48) & (before <= 57)
-    bonus = np.where((t >= 65) & (t <= 90) & (before >= 97) & (before <= 122) | digit & ~was_digit, CAMEL, 0)
-    bonus = np.where(np.isin(before, [ord(c) for c in DELIMITERS]), DELIMITER, bonus)
-    bonus = np.where((before == 47) | (before == 92), SEPARATOR, bonus)
-    bonus[0] = START
+    bonus = position_bonuses(target)
     at = np.arange(len(t))
     score = run = None
     for i, c in enumerate(query):
@@ -74,9 +93,52 @@ def best_alignment(query: str, original: str, target: str) -> float:
     return float(best) if best > LOW / 2 else -np.inf
 
 
+def _score(query: str, original: str, target: str) -> float:
+    return best_alignment(query, original, target) if is_subsequence(query, target[-LONGEST:].lower()) else -np.inf
+
+
 @F.pandas_udf(T.DoubleType())
 def fuzzy_score(query: pd.Series, original: pd.Series, target: pd.Series) -> pd.Series:
-    return pd.Series([best_alignment(q, o, t) for q, o, t in zip(query, original, target)])
+    return pd.Series([_score(q, o, t) for q, o, t in zip(query, original, target)])
+
+
+def alignment(query: str, original: str, target: str) -> list[int]:
+    """The places in the target of the query's characters in their best alignment; none without a match. Of equal ones that with the earliest end."""
+    cut = max(0, len(target) - LONGEST)
+    t = target[cut:]
+    if not query or not is_subsequence(query, t.lower()):
+        return []
+    bonus = position_bonuses(t).tolist()
+    rows: list[dict[int, tuple[int, int, int]]] = []  # for each character: place -> score, bonus of its run, place of the character before
+    for i, c in enumerate(query):
+        row: dict[int, tuple[int, int, int]] = {}
+        for k in (k for k in range(i, len(t)) if t[k].lower() == c):
+            own = (t[k] == original[i]) * CASE
+            if i == 0:
+                row[k] = (MATCH + bonus[k] * FIRST + own, bonus[k], -1)
+                continue
+            apart = max(((s + GAP + (k - 2 - j) * FURTHER, j) for j, (s, _, _) in rows[-1].items() if j <= k - 2), default=None)
+            near = rows[-1].get(k - 1)
+            if near:
+                run = max(near[1], bonus[k])
+                joined = near[0] + MATCH + max(run, CONSECUTIVE)
+                if apart is None or joined >= apart[0] + MATCH + bonus[k]:
+                    row[k] = (joined + own, run, k - 1)
+                    continue
+            if apart:
+                row[k] = (apart[0] + MATCH + bonus[k] + own, bonus[k], apart[1])
+        rows.append(row)
+    at = min(rows[-1], key=lambda k: (-rows[-1][k][0], k))
+    places = []
+    for row in reversed(rows):
+        places.append(at + cut)
+        at = row[at][2]
+    return places[::-1]
+
+
+@F.pandas_udf("array<int>")
+def match_positions(query: pd.Series, original: pd.Series, target: pd.Series) -> pd.Series:
+    return pd.Series([alignment(q, o, t) for q, o, t in zip(query, original, target)])
 
 
 def rank_tier(by_name: Column) -> Column:
@@ -86,19 +148,51 @@ def rank_tier(by_name: Column) -> Column:
     return F.when(by_name, F.when(name == q, 40_000).when(F.col("stem") == q, 35_000).when(name.startswith(q), 30_000).otherwise(20_000)).otherwise(F.when(suffix, 30_000).otherwise(0))
 
 
-def search_top_k(queries: DataFrame, entries: DataFrame, k: int = 50, blocks: int = 16) -> DataFrame:
-    """query_id, repo_id, id, title, score, place: the k best entries of each query in each repository. Empty queries find nothing here.
+def candidate_pairs(queries: DataFrame, entries: DataFrame) -> DataFrame:
+    """Queries and entries whose name or path holds all the query's characters, whatever their order: entries' columns, query_id, query, original, is_path, by_name, by_path.
 
-    Queries are few: a stated set that meets all entries, in blocks, without a broadcast. Only pairs that pass the subsequence test are scored.
+    Queries are few: a stated set that meets all entries. Up to FEW_QUERIES, counted here, they go to every task; more of them are dealt in blocks that all entries visit.
     """
     q = queries.select("query_id", X.prepare_query(F.col("query")).alias("query"), X.original_query(F.col("query")).alias("original")).filter("query <> ''")
-    q = q.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    e = entries.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    is_path = F.col("query").contains("/")
-    by_name = ~is_path & subsequence(F.col("query"), F.lower("name"))
-    pairs = q.join(e, "block").withColumn("by_name", by_name).filter(F.col("by_name") | subsequence(F.col("query"), F.lower("path")))
-    target = F.when(F.col("by_name"), F.col("name")).otherwise(F.col("path"))
-    scored = pairs.withColumn("tier", rank_tier(F.col("by_name"))).withColumn("dp", fuzzy_score("query", "original", target)).filter(F.col("dp") > float("-inf"))
-    scored = scored.withColumn("score", F.col("tier") + F.col("dp") + F.col("bias"))
+    q = settle(q.withColumn("asked", character_mask(F.col("query"))).withColumn("is_path", F.col("query").contains("/")), "search-queries")
+    e = entries.withColumn("name_mask", character_mask(F.lower("name"))).withColumn("path_mask", character_mask(F.lower("path")))
+    lacks = lambda mask: F.col("asked").bitwiseAND(F.bitwise_not(mask)) == 0
+    by_name, by_path = ~F.col("is_path") & lacks("name_mask"), (F.col("path") != "") & lacks("path_mask")
+    n = q.count()
+    if n <= FEW_QUERIES:
+        pairs = e.join(F.broadcast(q), by_name | by_path)
+    else:
+        blocks = -(-n // FEW_QUERIES)
+        q = q.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
+        spread = e.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64)).cast("int"))
+        pairs = spread.join(q.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(63)))), ["block", "salt"]).filter(by_name | by_path).drop("block", "salt")
+    return pairs.withColumn("by_name", by_name).withColumn("by_path", by_path).drop("asked", "name_mask", "path_mask")
+
+
+def search_top_k(queries: DataFrame, entries: DataFrame, k: int = 50, kinds: tuple[str, ...] = (), suggested: DataFrame | None = None) -> DataFrame:
+    """query_id, repo_id, kind, id, title, score, place, positions (in the title, of the characters that matched): the k best entries of each query in each repository.
+
+    kinds: only these. An empty query gets the repository's suggestions (repo_id, kind, id, title, place), if given, without score.
+    The path is looked at only where the name does not match.
+    """
+    if kinds:
+        entries = entries.filter(F.col("kind").isin(*kinds))
+    pairs = candidate_pairs(queries, entries)
+    none = F.lit(float("-inf"))
+    named = pairs.withColumn("dp_name", F.when(F.col("by_name"), fuzzy_score("query", "original", F.when(F.col("by_name"), F.col("name")).otherwise(""))).otherwise(none))
+    needs = F.col("by_path") & (F.col("dp_name") == none)
+    both = named.withColumn("dp_path", F.when(needs, fuzzy_score("query", "original", F.when(needs, F.col("path")).otherwise(""))).otherwise(none)).withColumn("by_name", F.col("dp_name") > none)
+    scored = both.withColumn("dp", F.greatest("dp_name", "dp_path")).filter(F.col("dp") > none).withColumn("score", rank_tier(F.col("by_name")) + F.col("dp") + F.col("bias"))
     place = F.row_number().over(Window.partitionBy("query_id", "repo_id").orderBy(F.desc("score"), "title", "id"))
-    return scored.withColumn("place", place).filter(F.col("place") <= k).select("query_id", "repo_id", "kind", "id", "title", "score", "place")
+    top = scored.withColumn("place", place).filter(F.col("place") <= k)
+    at = match_positions("query", "original", F.when(F.col("by_name"), F.col("name")).otherwise(F.col("path")))
+    offset = F.when(F.col("by_name"), 0).otherwise(F.length("path") - F.length("name"))
+    found = top.withColumn("found", at).withColumn("offset", offset)
+    found = found.withColumn("positions", F.transform(F.filter("found", lambda p: p >= F.col("offset")), lambda p: p - F.col("offset")))
+    out = found.select("query_id", "repo_id", "kind", "id", "title", "score", "place", "positions")
+    if suggested is None:
+        return out
+    empty = queries.filter(F.coalesce(X.prepare_query(F.col("query")), F.lit("")) == "").select("query_id")
+    own = suggested.filter(F.col("kind").isin(*kinds)) if kinds else suggested
+    own = own.withColumn("place", F.row_number().over(Window.partitionBy("repo_id").orderBy(F.desc("kind"), "place"))).filter(F.col("place") <= k)
+    return out.unionByName(own.crossJoin(F.broadcast(empty)).select("query_id", "repo_id", "kind", "id", "title", F.lit(None).cast("double").alias("score"), "place", F.array().cast("array<int>").alias("positions")))

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..shared import shared_dir
+
 EVENT = "type string, run_id string, stage string, status string, progress double, message string"
 TYPES = ("stage", "warning", "preview", "complete", "error")
 
@@ -27,6 +32,101 @@ def active_stage(events: DataFrame) -> DataFrame:
     return latest.groupBy("run_id").agg(F.max_by(F.when(~ended, F.col("stage")), F.when(~ended, F.col("seq"))).alias("active"), F.count_if(ended).alias("finished"))
 
 
+#: Stages in order. Fixed values. A run that says nothing for this long is forgotten, in milliseconds.
+STAGES = ("connect", "tree", "languages", "fetch", "parse", "dependencies", "history", "construct")
+FORGET = 120_000
+RUN = "run_id string, status string, stages string, finished int, progress double, warnings int, ended boolean"
+
+
+def _after(state: dict, event: dict) -> dict:
+    """The state of a run after one more event; what comes after the end changes nothing."""
+    if state["status"] in ("complete", "error"):
+        return state
+    kind = event["type"]
+    if kind == "preview":
+        state["status"] = "preview"
+    elif kind == "error":
+        state["status"] = "error"
+    elif kind == "complete":
+        state["status"] = "complete"
+        state["stages"] = {k: ("done", 1.0) if s in ("start", "progress") else (s, p) for k, (s, p) in state["stages"].items()}
+    elif kind == "stage":
+        before = state["stages"].get(event["stage"], (None, None))[1]
+        status, progress = event["status"], event["progress"]
+        state["stages"][event["stage"]] = (status, 1.0 if status == "done" else progress if status == "start" else before if progress is None or status != "progress" else progress)
+        if status == "warning" and event["message"] and event["message"] not in state["warnings"]:
+            state["warnings"] = [*state["warnings"], event["message"]][-20:]
+    return state
+
+
+def _shown(run: str, state: dict) -> tuple:
+    known = [s for s in STAGES if s in state["stages"]] + sorted(s for s in state["stages"] if s not in STAGES)
+    shares = [p if p is not None else 0.0 for _, p in state["stages"].values()]
+    ended = sum(s in ("done", "skipped", "warning") for s, _ in state["stages"].values())
+    return run, state["status"], ",".join(f"{s}={state['stages'][s][0]}" for s in known), ended, float(sum(shares) / len(shares)) if shares else 0.0, len(state["warnings"]), state["status"] in ("complete", "error")
+
+
+def run_state(events: DataFrame) -> DataFrame:
+    """events (run_id, seq, type, stage, status, progress, message) -> a row for each run and batch: its status, its stages' statuses, how many have ended, mean progress, warnings.
+
+    The state of a run is that of its stages; it goes once the run has said nothing for two minutes. In a batch the rows of a run are taken in the order of seq.
+    Events after the end of a run change nothing; stages that still run when it completes are done.
+    """
+    fields = ("type", "stage", "status", "progress", "message")
+
+    def take(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        now = json.loads(state.get[0]) if state.exists else {"status": "loading", "stages": {}, "warnings": []}
+        now["stages"] = {k: tuple(v) for k, v in now["stages"].items()}
+        rows = pd.concat(list(parts)).sort_values("seq")
+        for values in rows[list(fields)].itertuples(index=False, name=None):
+            now = _after(now, {k: None if v is None or v != v else v for k, v in zip(fields, values)})
+        state.update((json.dumps(now),))
+        state.setTimeoutDuration(FORGET)
+        yield pd.DataFrame([_shown(key[0], now)], columns=[c.split()[0] for c in RUN.split(", ")])
+
+    return events.groupBy("run_id").applyInPandasWithState(take, RUN, "state string", "update", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def run_state_batch(events: DataFrame) -> DataFrame:
+    """The last state of each run of a finished log."""
+    fields = ("type", "stage", "status", "progress", "message")
+
+    def take(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        now = {"status": "loading", "stages": {}, "warnings": []}
+        for values in rows.sort_values("seq")[list(fields)].itertuples(index=False, name=None):
+            now = _after(now, {k: None if v is None or v != v else v for k, v in zip(fields, values)})
+        return pd.DataFrame([_shown(key[0], now)], columns=[c.split()[0] for c in RUN.split(", ")])
+
+    return events.groupBy("run_id").applyInPandas(take, RUN)
+
+
+def replay(df: DataFrame, stream, key: str, mode: str = "append") -> DataFrame:
+    """What a stream over df's rows gives: they are written to the shared folder, read as a stream until all are taken, and what it wrote is reread.
+
+    mode append: the stream appends files. mode update or complete: every batch replaces the rows with the same key columns, comma-joined in `key`, as an upserting sink does.
+    """
+    spark = df.sparkSession
+    base = f"{shared_dir(spark)}/replay-{uuid.uuid4().hex}"
+    df.write.parquet(f"{base}/in")
+    source = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/in")
+    made = stream(source)
+    writer = made.writeStream.option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True)
+    if mode == "append":
+        query = writer.format("parquet").option("path", f"{base}/out").outputMode("append").start()
+    else:
+        query = writer.outputMode(mode).foreachBatch(lambda batch, n: batch.withColumn("_batch", F.lit(n).cast("long")).write.mode("append").parquet(f"{base}/out")).start()
+    query.awaitTermination()
+    out = spark.read.schema(made.schema if mode == "append" else T.StructType([*made.schema.fields, T.StructField("_batch", T.LongType())])).parquet(f"{base}/out")
+    if mode == "append":
+        return out
+    keys = key.split(",")
+    rest = [c for c in made.columns if c not in keys]
+    return out.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_batch").alias("r")).select(*keys, "r.*")
+
+
 def commit_counts(commits: DataFrame, unit: str = "1 day", late: str = "7 days") -> DataFrame:
     """Commits of each repository and UTC bucket; weeks (7 days) start on Monday. commits: repo_id, date."""
     offset = "4 days" if unit == "7 days" else "0 seconds"
