@@ -81,9 +81,9 @@ def order_parse_candidates(files: DataFrame, configs: DataFrame | None = None) -
     group = F.when(F.col("category") == "test", 3).when((F.col("category") == "source") & ~P.is_auxiliary(F.col("path")), 1).otherwise(2)
     f = files
     if configs is not None:
-        f = f.join(configs.select("repo_id", "path", F.lit(True).alias("config")), ["repo_id", "path"], "left")
-        group = F.when(F.col("config"), 0).otherwise(group)
-    f = f.withColumn("group", group).withColumn("area", F.when(F.col("group") == 0, "").otherwise(P.area_of(F.col("path")))).drop("config")
+        f = f.join(configs.select("repo_id", "path", F.lit(True).alias("_config")), ["repo_id", "path"], "left")
+        group = F.when(F.col("_config"), 0).otherwise(group)
+    f = f.withColumn("group", group).withColumn("area", F.when(F.col("group") == 0, "").otherwise(P.area_of(F.col("path")))).drop("_config")
     f = f.withColumn("round", F.row_number().over(Window.partitionBy("repo_id", "group", "area").orderBy("depth", "path")))
     return f.withColumn("place", F.row_number().over(Window.partitionBy("repo_id").orderBy("group", "round", "area")))
 

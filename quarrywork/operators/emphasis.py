@@ -52,7 +52,7 @@ def mode_emphasis(files: DataFrame, mode: str) -> DataFrame:
         files = files.join(activity_range(files.filter("last_modified IS NOT NULL")), "repo_id", "left")
         millis = lambda c: F.unix_millis(F.col(c)).cast("double")
         span = F.greatest(F.lit(1.0), millis("last") - millis("first"))
-        level = F.coalesce(0.2 + 0.8 * clamp((millis("last_modified") - millis("first")) / span), F.lit(DIMMED))
+        level = F.when(F.col("last_modified").isNull(), DIMMED).otherwise(0.2 + 0.8 * clamp((millis("last_modified") - millis("first")) / span))
         return files.withColumn("emphasis", level).drop("first", "last")
     elif mode == "complexity":
         level = 0.2 + 0.8 * F.least(F.lit(1.0), F.col("lines") / F.greatest(F.lit(1), "max_lines"))

@@ -98,12 +98,6 @@ def unsupported_languages(inventory: DataFrame) -> DataFrame:
     return missing.groupBy("repo_id", "language").agg(F.count("*").alias("files"))
 
 
-def coverage(files: DataFrame) -> DataFrame:
-    """Files in each status, one row per repository. files: repo_id, status, exact (of graph files)."""
-    of = lambda s: F.count_if(F.col("status") == s).alias("files_" + s.replace("-", "_"))
-    return files.groupBy("repo_id").agg(F.count("*").alias("files_in_graph"), *map(of, ("parsed", "content-only", "metadata-only", "binary")))
-
-
 def parse_coverage(files: DataFrame) -> DataFrame:
     fit = P.is_parseable(F.col("language")) & ~F.col("is_generated") & (F.col("status") != "binary")
     done = files.groupBy("repo_id").agg(F.count_if(fit & F.col("status").isin("parsed", "partial")).alias("parsed"), F.count_if(fit).alias("eligible"))

@@ -136,7 +136,7 @@ def alignment(query: str, original: str, target: str) -> list[int]:
     return places[::-1]
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
 def match_positions(query: pd.Series, original: pd.Series, target: pd.Series) -> pd.Series:
     return pd.Series([alignment(q, o, t) for q, o, t in zip(query, original, target)])
 

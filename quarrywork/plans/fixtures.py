@@ -92,6 +92,14 @@ UNION ALL
 SELECT page_id + 1000000, CASE WHEN page_id % 6 = 0 THEN concat('https://github.com/o', CAST(page_id AS VARCHAR(20)), '/r.git')
   WHEN page_id % 6 = 1 THEN concat('git@github.com:o/r', CAST(page_id AS VARCHAR(20)), '.git') WHEN page_id % 6 = 2 THEN 'github.com/about/x'
   WHEN page_id % 6 = 3 THEN 'https://github.com/o/r/tree/main/src/a.ts' WHEN page_id % 6 = 4 THEN 'https://github.com/o' ELSE '' END FROM pages""",
+    "fx_runs": """
+SELECT o_orderkey AS run_id, concat('fx:', CAST(o_orderkey % 4 AS VARCHAR(10))) AS repo_id, CASE WHEN o_orderkey % 7 = 0 THEN 'error' WHEN o_orderkey % 11 = 0 THEN 'cancelled' ELSE 'complete' END AS outcome,
+  o_orderkey % 3 = 0 AS cached, o_custkey % 500 AS files, o_custkey % 5 AS failures, CAST(o_totalprice AS DOUBLE) AS duration_ms, o_orderkey % 1000 AS remaining, 5000 AS quota,
+  CASE WHEN o_orderkey % 9 = 0 THEN 'HISTORY_UNAVAILABLE' WHEN o_orderkey % 9 = 1 THEN 'FETCH_FAILURES' WHEN o_orderkey % 9 = 2 THEN 'HISTORY_LIMITED' WHEN o_orderkey % 9 = 3 THEN 'PARSE_LIMIT' ELSE 'TREE_TRUNCATED' END AS code,
+  CASE WHEN o_orderkey % 9 = 1 THEN 'rateLimited' WHEN o_orderkey % 9 = 2 THEN 'reason' WHEN o_orderkey % 9 = 3 THEN 'stoppedEarly' ELSE 'x' END AS detail_key,
+  CASE WHEN o_orderkey % 9 = 1 THEN CAST(o_orderkey % 2 AS VARCHAR(5)) WHEN o_orderkey % 9 = 2 THEN CASE WHEN o_orderkey % 2 = 0 THEN 'low-quota' ELSE 'unauthenticated' END WHEN o_orderkey % 9 = 3 THEN '1' ELSE '0' END AS detail_value,
+  o_orderkey % 60 AS minutes_ago
+FROM orders""",
     "fx_queries": """
 SELECT item_id AS query_id, CASE WHEN item_id % 5 = 0 THEN concat('f', CAST(item_id AS VARCHAR(20))) WHEN item_id % 5 = 1 THEN 'core/f'
   WHEN item_id % 5 = 2 THEN 'srcts' WHEN item_id % 5 = 3 THEN concat('sym', CAST(item_id AS VARCHAR(20))) ELSE '' END AS query

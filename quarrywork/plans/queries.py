@@ -127,8 +127,6 @@ query("language_segments", """SELECT repo_id, segment, place, CASE WHEN segment
     lambda v: R.language_segments(R.language_stats(counted(v)), 4))
 query("determine_tier", "SELECT repo_id, count(*) AS files, CASE WHEN count(*) <= 1000 THEN 'full' WHEN count(*) <= 10000 THEN 'progressive' ELSE 'directory-first' END AS tier FROM inv GROUP BY repo_id", INV)(lambda v: R.determine_tier(inventory(v)))
 query("unsupported_languages", f"SELECT repo_id, language, count(*) AS files FROM inv WHERE NOT is_generated AND category = 'source' AND language NOT IN {PARSED} GROUP BY ALL", INV)(lambda v: R.unsupported_languages(inventory(v)))
-query("coverage", "SELECT repo_id, count(*) AS files_in_graph, " + ", ".join(f"count(*) FILTER (WHERE status = '{s}') AS files_{s.replace('-', '_')}" for s in ("parsed", "content-only", "metadata-only", "binary")) + " FROM counted GROUP BY repo_id", INV, *COUNTED)(
-    lambda v: R.coverage(counted(v)))
 query("parse_coverage", f"""SELECT *, CASE WHEN eligible = 0 THEN 1.0::DOUBLE ELSE parsed / eligible END AS share FROM (SELECT repo_id, count(*) FILTER (WHERE fit AND status = 'parsed') AS parsed, count(*) FILTER (WHERE fit) AS eligible
   FROM (SELECT *, language IN {PARSED} AND NOT is_generated AND status <> 'binary' AS fit FROM counted) GROUP BY repo_id)""", INV, *COUNTED)(lambda v: R.parse_coverage(counted(v)))
 query("largest_files", "SELECT repo_id, path, lines, size, place FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY lines DESC, size DESC, path) AS place FROM counted WHERE own) WHERE place <= 5", INV, *COUNTED)(
@@ -191,15 +189,11 @@ query("file_top_contributors", """SELECT * FROM (SELECT *, row_number() OVER (PA
     lambda v: H.file_top_contributors(v("fx_commits"), changes(v)))
 query("recent_commits", "SELECT repo_id, author_id, sha, place FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, author_id ORDER BY date DESC NULLS LAST, sha) AS place FROM authored WHERE author_id IS NOT NULL) WHERE place <= 8", AUTHORED)(
     lambda v: H.recent_commits(v("fx_commits")).select("repo_id", "author_id", "sha", "place"))
-query("derive_contributors", "SELECT repo_id, coalesce(author_login, author_name) AS who, count(*) AS commits FROM fx_commits GROUP BY ALL")(lambda v: H.derive_contributors(v("fx_commits")))
 query("history_summary", """SELECT c.repo_id, count(*) AS commits, count(*) FILTER (WHERE has_details) AS with_details, epoch_us(min(date)) AS oldest, epoch_us(max(date)) AS newest,
   (SELECT count(last_modified) FROM activity a WHERE a.repo_id = c.repo_id) AS files_with_activity FROM fx_commits c GROUP BY c.repo_id""", AUTHORED, CHANGES, ACTIVITY)(
     lambda v: micros(H.history_summary(v("fx_commits"), H.file_activity(v("fx_commits"), changes(v))), "oldest", "newest"))
 IN30 = "date > TIMESTAMP '2024-01-20' - INTERVAL 7 DAY AND date <= TIMESTAMP '2024-01-20'"
 query("commits_in_window", f"SELECT repo_id, sha FROM fx_commits WHERE {IN30}")(lambda v: H.commits_in_window(v("fx_commits"), cursor(), 7).select("repo_id", "sha"))
-query("window_stats", f"""SELECT a.repo_id, count(*) AS commits, count(DISTINCT coalesce(author_id, concat('name:', author_name))) AS contributors, count(*) FILTER (WHERE has_details) AS with_details,
-  coalesce((SELECT count(DISTINCT path) FROM changes c SEMI JOIN (SELECT * FROM authored WHERE {IN30} AND has_details) w ON w.repo_id = c.repo_id AND w.sha = c.sha WHERE c.repo_id = a.repo_id), 0) AS files_changed
-  FROM authored a WHERE {IN30} GROUP BY a.repo_id""", AUTHORED, CHANGES)(lambda v: H.window_stats(v("fx_commits"), changes(v), cursor(), 7))
 query("window_top_files", f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY changes DESC, path) AS place FROM (SELECT c.repo_id, path, count(*) AS changes FROM changes c
   SEMI JOIN (SELECT * FROM authored WHERE {IN30} AND has_details) w ON w.repo_id = c.repo_id AND w.sha = c.sha GROUP BY ALL)) WHERE place <= 5""", AUTHORED, CHANGES)(lambda v: H.window_top_files(v("fx_commits"), changes(v), cursor(), 7))
 BUCKETS = """spans AS (SELECT repo_id, min(date) AS lo, max(date) AS hi, (epoch_us(max(date)) - epoch_us(min(date))) / 86400000000 AS days FROM fx_commits GROUP BY repo_id),
@@ -313,7 +307,7 @@ query("fetch_plan_classify", f"""SELECT repo_id, path, CASE WHEN is_binary THEN
     lambda v: (lambda i: i.select("repo_id", "path", B.fetch_class(R.is_config(), 3000, 8000, 5000).alias("class")))(inventory(v)))
 query("resolution_configs", f"SELECT repo_id, path FROM inv WHERE {CONFIG}", INV)(lambda v: R.resolution_configs(inventory(v)).select("repo_id", "path"))
 ORDERED = f"""ordered AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY grp, round, area) AS place FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, grp, area ORDER BY depth, path) AS round FROM (
-  SELECT *, CASE WHEN category = 'test' THEN 2 WHEN list_has_any(segs, ['docs', 'examples']) THEN 1 ELSE 0 END AS grp,
+  SELECT *, CASE WHEN category = 'test' THEN 3 WHEN category = 'source' AND NOT list_has_any(segs, ['docs', 'examples']) THEN 1 ELSE 2 END AS grp,
     CASE WHEN len(segs) = 0 THEN '' WHEN len(segs) > 1 AND segs[1] = 'packages' THEN concat(segs[1], '/', segs[2]) ELSE segs[1] END AS area FROM inv WHERE parser_language IS NOT NULL)))"""
 query("order_parse_candidates", "SELECT repo_id, path, place FROM ordered", INV, ORDERED)(lambda v: B.order_parse_candidates(inventory(v).filter("parser_language IS NOT NULL")).select("repo_id", "path", "place"))
 query("byte_budget", """SELECT repo_id, path, took AS taken FROM greedy""", INV, ORDERED, """greedy AS (
@@ -326,8 +320,6 @@ ITEMS = "SELECT repo_id, path, name, kind, start_line, end_line, CASE WHEN kind
 query("cap_extraction", f"""SELECT r.repo_id, r.path, seq, place <= 20 AND place <= greatest(0, 1500 - coalesce(before, 0)) AS kept FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, path ORDER BY depth, seq) AS place FROM ({ITEMS})) r
   JOIN (SELECT repo_id, path, sum(n) OVER (PARTITION BY repo_id ORDER BY path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM (SELECT repo_id, path, least(20, count(*)) AS n FROM fx_symbols GROUP BY ALL)) b ON b.repo_id = r.repo_id AND b.path = r.path""")(
     lambda v: B.cap_extraction(numbered(v), 20, 1500).select("repo_id", "path", "seq", "kept"))
-query("symbol_counts", """SELECT repo_id, path, count(*) FILTER (WHERE kind IN ('function', 'method')) AS functions, count(*) FILTER (WHERE kind IN ('class', 'struct')) AS classes, count(*) AS total FROM fx_symbols GROUP BY ALL""")(
-    lambda v: v("fx_symbols").groupBy("repo_id", "path").agg(F.count_if(F.col("kind").isin("function", "method")).alias("functions"), F.count_if(F.col("kind").isin("class", "struct")).alias("classes"), F.count("*").alias("total")))
 query("export_names", """SELECT repo_id, path, string_agg(name, ',' ORDER BY first) AS exports FROM (SELECT repo_id, path, name, min(seq) AS first FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, path ORDER BY start_line, end_line, name, kind, exported) AS seq FROM fx_symbols) WHERE exported AND kind <> 'method' GROUP BY ALL) GROUP BY ALL""")(
     lambda v: numbered(v).filter("exported AND kind <> 'method'").groupBy("repo_id", "path", "name").agg(F.min("seq").alias("first")).groupBy("repo_id", "path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first", "name"))), lambda s: s["name"]), ",").alias("exports")))
 
@@ -402,18 +394,9 @@ def event_lines(v) -> DataFrame:
     return v("conversations").select("conv_id", "turn", F.expr(LINE).alias("value"))
 
 
-query("parse_event_stream", """SELECT bad AS reason, count(*) AS lines, round(sum(CASE WHEN bad IS NULL THEN least(1, turn + 0.5) END), 3)::DOUBLE AS progress FROM (
-  SELECT *, CASE WHEN (conv_id * 31 + turn) % 13 = 0 THEN 'malformed' WHEN turn % 5 = 4 THEN 'unknown-type' END AS bad FROM conversations) GROUP BY bad""")(
-    lambda v: ST.parse_events(event_lines(v).select("value")).groupBy("reason").agg(F.count("*").alias("lines"), F.round(F.sum(F.when(F.col("reason").isNull(), F.col("progress"))), 3).alias("progress")))
 query("active_stage", """SELECT run_id, arg_max(stage, seq) FILTER (WHERE status = 'running') AS active, count(*) FILTER (WHERE status = 'complete') AS finished FROM (
   SELECT CAST(conv_id AS VARCHAR) AS run_id, concat('s', turn % 4) AS stage, max(turn) AS seq, arg_max(CASE WHEN turn % 3 = 2 THEN 'running' ELSE 'complete' END, turn) AS status FROM conversations GROUP BY ALL) GROUP BY run_id""")(
     lambda v: ST.active_stage(v("conversations").select(F.col("conv_id").cast("string").alias("run_id"), F.concat(F.lit("s"), F.col("turn") % 4).alias("stage"), F.col("turn").alias("seq"), F.when(F.col("turn") % 3 == 2, "running").otherwise("complete").alias("status"))))
-query("commit_counts_stream", "SELECT repo_id, epoch_us(date_trunc('week', date)::TIMESTAMP) AS bucket_start, count(*) AS commits FROM fx_commits GROUP BY ALL")(lambda v: micros(ST.commit_counts(v("fx_commits"), "7 days"), "bucket_start"))
-query("trailing_windows_stream", "SELECT repo_id, epoch_us(date_trunc('day', date)::TIMESTAMP + to_days(CAST(k AS INT))) AS cursor, count(*) AS commits FROM fx_commits, (SELECT unnest(range(1, 8)) AS k) GROUP BY ALL")(
-    lambda v: micros(ST.trailing_windows(v("fx_commits"), 7), "cursor").select("repo_id", "cursor", "commits"))
-query("dedupe_commits_stream", "SELECT repo_id, sha FROM fx_commits")(lambda v: ST.dedupe_commits(v("fx_commits").unionByName(v("fx_commits"))).select("repo_id", "sha"))
-query("file_activity_stream", "SELECT c.repo_id, c.path, epoch_us(max(date)) AS last_modified, count(*) AS commit_count FROM fx_commit_files c JOIN fx_commits m ON m.repo_id = c.repo_id AND m.sha = c.sha GROUP BY ALL")(
-    lambda v: micros(ST.latest_activity(v("fx_commit_files").join(v("fx_commits").select("repo_id", "sha", "date", F.col("author_name").alias("author")), ["repo_id", "sha"])), "last_modified").drop("last_author"))
 query("check_references", """SELECT 'commit_files.sha' AS rule, (SELECT count(*) FROM fx_commit_files f ANTI JOIN fx_commits c ON c.repo_id = f.repo_id AND c.sha = f.sha) AS violations UNION ALL SELECT 'commit_files.path', (SELECT count(*) FROM fx_commit_files f ANTI JOIN inv d ON d.repo_id = f.repo_id AND d.path = f.path)
   UNION ALL SELECT 'symbols.path', (SELECT count(*) FROM fx_symbols f ANTI JOIN inv d ON d.repo_id = f.repo_id AND d.path = f.path) UNION ALL SELECT 'edges.self', (SELECT count(*) FROM fx_edges WHERE source = target)""", INV)(
     lambda v: R.check_references({"commit_files.sha": (v("fx_commit_files"), v("fx_commits"), ["repo_id", "sha"]), "commit_files.path": (v("fx_commit_files"), inventory(v), ["repo_id", "path"]), "symbols.path": (v("fx_symbols"), inventory(v), ["repo_id", "path"])}, {"edges.self": v("fx_edges").filter("source = target")}))
@@ -441,3 +424,6 @@ def picked(v) -> DataFrame:
     repos = v("fx_docs").select("repo_id").distinct()
     dirs = repos.select("repo_id", F.lit("directory").alias("kind"), F.explode(F.array(F.lit("src1/src/core"), F.lit("src2/docs"))).alias("path"))
     return dirs.unionByName(v("fx_docs").filter("doc_id % 10 = 3").select("repo_id", F.lit("file").alias("kind"), "path"))
+
+
+from . import more  # noqa: E402, F401

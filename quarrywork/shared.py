@@ -3,9 +3,15 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Where the steps made inside `recorded` are noted.
+_NOTED: ContextVar[list[str] | None] = ContextVar("noted", default=None)
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder. Where none is set, one in the warehouse, which executors share as well."""
@@ -14,7 +20,30 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def settle(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and reread it: later jobs neither recompute it nor depend on executors. The folder's owner clears it, as with checkpoints."""
+    """Write df to the shared folder and reread it: later jobs neither recompute it nor depend on executors.
+
+    The files stay, as results may still be read from them; `recorded` and `remove` take away those of work that is done.
+    """
     at = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    if (noted := _NOTED.get()) is not None:
+        noted.append(at)
     df.write.parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
+@contextmanager
+def recorded(steps: list[str]) -> Iterator[None]:
+    """Notes the steps that are written inside."""
+    token = _NOTED.set(steps)
+    try:
+        yield
+    finally:
+        _NOTED.reset(token)
+
+
+def remove(spark: SparkSession, steps: list[str]) -> None:
+    """Deletes steps of which no result is read any more, and empties the list."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while steps:
+        path = jvm.org.apache.hadoop.fs.Path(steps.pop())
+        path.getFileSystem(conf).delete(path, True)

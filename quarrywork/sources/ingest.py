@@ -10,8 +10,8 @@ from ..functions import paths as P
 from ..functions import text as X
 
 COMMIT = (
-    "sha string, html_url string, commit struct<message: string, author: struct<name: string, date: string>, committer: struct<date: string>>, "
-    "author: struct<login: string>, stats: struct<additions: bigint, deletions: bigint>, files: array<struct<filename: string>>"
+    "struct<sha: string, html_url: string, commit: struct<message: string, author: struct<name: string, date: string>, committer: struct<date: string>>, "
+    "author: struct<login: string>, stats: struct<additions: bigint, deletions: bigint>, files: array<struct<filename: string>>>"
 )
 #: Bytes that are looked at, and the share of control bytes above which content is binary.
 SNIFF, CONTROL = 8192, 0.3

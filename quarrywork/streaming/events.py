@@ -148,8 +148,8 @@ def dedupe_commits(commits: DataFrame, late: str = "7 days") -> DataFrame:
 
 
 def latest_activity(changes: DataFrame) -> DataFrame:
-    """Last change and number of commits of each path; in update mode a sink upserts the rows. changes: repo_id, path, date, author."""
-    return changes.groupBy("repo_id", "path").agg(F.max("date").alias("last_modified"), F.max_by("author", "date").alias("last_author"), F.count("*").alias("commit_count"))
+    """Last change and number of commits of each path; in update mode a sink upserts the rows. changes: repo_id, path, sha, date, author; ties of time go to the largest sha."""
+    return changes.groupBy("repo_id", "path").agg(F.max("date").alias("last_modified"), F.max_by("author", F.struct("date", "sha")).alias("last_author"), F.count("*").alias("commit_count"))
 
 
 def late_commits(commits: DataFrame, window_start) -> tuple[DataFrame, DataFrame]:
