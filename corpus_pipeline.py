@@ -2,36 +2,58 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrywork.llm.common import settle, table
+from quarrywork.llm.common import table
 from quarrywork.llm.mixing import apply_mix
 from quarrywork.llm.near_dup import PIPELINE_PERCENT, drop_near_duplicates
 from quarrywork.llm.packing import pack_documents
 from quarrywork.llm.pii import mask_personal_data
 from quarrywork.llm.quality import Sampler, quality_labels
+from quarrywork.shared import recorded, remove, settle
+
+#: Steps that the stage called last has written; they go when the next one is called, as its docs are the reread result.
+_STEPS: list[str] = []
+
+
+def stage(f: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    @wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        remove(spark, _STEPS)
+        with recorded(_STEPS):
+            return f(spark, docs, sf_dir)
+
+    return run_stage
 
 
+@stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return Sampler(docs, quality_labels(spark, sf_dir)).kept_rows()
 
 
+@stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts are linked from a similarity of 0.8 on."""
     return drop_near_duplicates(docs, PIPELINE_PERCENT)
 
 
+@stage
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Spans are masked; n_chars follows the text."""
     return mask_personal_data(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
+@stage
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A document stands as often as the mix takes it: not at all, once, or up to three times."""
     return apply_mix(docs)
 
 
+@stage
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack_documents(docs)
 
@@ -44,6 +66,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = settle(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+    for name, apply in STAGES:
+        docs = settle(apply(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+    remove(spark, _STEPS)
     return docs
