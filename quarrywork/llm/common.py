@@ -42,13 +42,15 @@ def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, rows)
 
 
-def keyed_rows(docs: DataFrame, label: str) -> DataFrame:
-    """docs, written, with two columns more: _row, a number of its own for every row, and _hash, of all columns.
+def keyed_rows(docs: DataFrame, label: str) -> tuple[DataFrame, dict[str, str]]:
+    """docs, written, under names by position, with two columns more: _row, a number of its own for every row, and _hash, of all columns; and the new name of each column.
 
     Ids can be null or repeated; stages that join rows with what they found about them do it by _row. Rows of the same id are told apart by
-    _hash, so results do not depend on the numbers, which follow the files.
+    _hash, so results do not depend on the numbers, which follow the files. No name of the caller's can clash with one of ours.
     """
-    return settle(docs.withColumns({"_row": F.monotonically_increasing_id(), "_hash": F.xxhash64(*docs.columns)}), label)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    rows = settle(plain.withColumns({"_row": F.monotonically_increasing_id(), "_hash": F.xxhash64(*plain.columns)}), label)
+    return rows, dict(zip(docs.columns, plain.columns, strict=True))
 
 
 def hot_join(left: DataFrame, right: DataFrame, key: str, count: str, how: str = "left", written: bool = False) -> DataFrame:

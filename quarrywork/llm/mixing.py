@@ -66,12 +66,14 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, shuffle: Column | No
 
 
 def apply_mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
-    """The mixed rows themselves, each as often as the mix takes it. Every row counts by itself, whatever its id; rows without one are shuffled by what they hold."""
-    rows = keyed_rows(docs, "mix-rows")
-    digits = F.lower(F.hex("_hash"))
-    shuffle = F.concat(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("row "), digits))), digits)
-    taken = mix(rows.select(F.col("_row").alias("doc_id"), "text", "source", shuffle.alias("_shuffle")), weights, most, F.col("_shuffle"))
-    return rows.join(taken.filter("passes > 0").select(F.col("doc_id").alias("_row"), "passes"), "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("passes")))).select(*docs.columns)
+    """The mixed rows themselves, each as often as the mix takes it. Every row counts by itself, whatever its id; rows without one are shuffled by what they hold. No rows: no rows."""
+    rows, at = keyed_rows(docs, "mix-rows")
+    digits, doc_id = F.lower(F.hex("_hash")), F.col(at["doc_id"])
+    shuffle = F.concat(F.md5(F.coalesce(doc_id.cast("string"), F.concat(F.lit("row "), digits))), digits)
+    asked = rows.select(F.col("_row").alias("doc_id"), F.col(at["text"]).alias("text"), F.col(at["source"]).alias("source"), shuffle.alias("_shuffle"))
+    taken = mix(asked, weights, most, F.col("_shuffle"))
+    copies = rows.join(taken.filter("passes > 0").select(F.col("doc_id").alias("_row"), "passes"), "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("passes"))))
+    return copies.select(*at.values()).toDF(*at)
 
 
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

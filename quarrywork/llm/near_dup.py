@@ -261,12 +261,13 @@ def _same_ids(signed: DataFrame, same: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = PIPELINE_PERCENT) -> DataFrame:
-    """One row of each component: the one with the smallest id, rows without an id last. Every row counts by itself, whatever its id."""
-    rows = keyed_rows(docs, "dup-rows")
-    found = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), percent).select(F.col("doc_id").alias("_row"), "component_id")
-    ranks = rows.select("_row", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_hash", "_row").alias("rank"))
+    """One row of each component: the one with the smallest id, rows without an id last. Every row counts by itself, whatever its id; of equal rows one stays."""
+    rows, at = keyed_rows(docs, "dup-rows")
+    found = near_duplicates(rows.select(F.col("_row").alias("doc_id"), F.col(at["text"]).alias("text")), percent).select(F.col("doc_id").alias("_row"), "component_id")
+    doc_id = F.col(at["doc_id"])
+    ranks = rows.select("_row", F.struct(doc_id.isNull().alias("no_id"), doc_id.alias("id"), "_hash", "_row").alias("rank"))
     kept = found.join(ranks, "_row").groupBy("component_id").agg(F.min("rank").alias("rank")).select("rank._row")
-    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
+    return rows.join(kept, "_row", "left_semi").select(*at.values()).toDF(*at)
 
 
 def op4_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:

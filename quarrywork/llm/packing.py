@@ -3,7 +3,7 @@
 Documents are cut only where one is longer than a sequence. Pieces are dealt at random into cells of bounded size; each
 cell fills sequences by best fit and then improves them by local search: it moves a piece, or exchanges one for one or two for one,
 between underfull sequences whenever that increases the sum of squared fills, which fills some and empties others, until nothing gains.
-Sequences of different cells that are still underfull then meet in new cells, first the emptier ones alone, then all, until none is emptied any more.
+Sequences of different cells that are still underfull then meet in new cells, first the emptiest alone, then the emptier ones, then all, until none is emptied any more.
 """
 
 from __future__ import annotations
@@ -244,7 +244,7 @@ def pack(parts: DataFrame, size: int = LENGTH, cell: int = CELL, most: int = BIN
 
     found = dealt(numbered, "nr", max(1, -(-numbered.count() // cell)), 0)
     done, pool, turn = [found.filter("room = 0")], [found.filter("room > 0")], 0
-    for slack in (size // 512, 0):
+    for slack in (size // 4, size // 512, 0):
         rest, pool = reduce(DataFrame.unionByName, pool).filter(f"room > {slack}"), [p.filter(f"room <= {slack}") for p in pool if slack]
         while True:
             rows, before = rest.agg(F.count("*"), F.count_distinct("sequence_id")).first()

@@ -2,7 +2,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, log_weight string, component_id long"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, log_weight string, component_id long, passes int, key string, order int, _copy int, _row int, _hash string, c0 string"
 
 
 @pytest.fixture(scope="session")
@@ -14,7 +14,7 @@ def odd(spark):
         (7, long + " x", "de", "b"), (8, "The same words here again and again.", "en", "c"), (8, "The same words here again and again.", "en", "c"),
         (9, "...!!! 123", "en", ""), (10, "caf\u00e9 \U0001f600 \x00 end", "fr", "c"),
     ]
-    return spark.createDataFrame([(*r, None, "x", 7) for r in rows], SCHEMA)
+    return spark.createDataFrame([(*r, None, "x", 7, 5, "k", 1, 2, 3, "h", "c") for r in rows], SCHEMA)
 
 
 @pytest.fixture(scope="session")
