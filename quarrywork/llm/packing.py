@@ -27,7 +27,7 @@ CELL = 8192
 #: Underfull sequences of a cell, once sequences are dealt.
 BINS = 512
 #: Words a worker remembers with their ids.
-KNOWN = 600_000
+KNOWN = 400_000
 
 #: White space of the tokenizer's patterns, and characters whose lower case and normal form are their own letters' (Latin with Latin Extended-A).
 _PLAIN = re.compile("[\x00-\x7f\xc0-\xd6\xd8-\xf6\xf8-įı-ſ]+")
