@@ -9,6 +9,8 @@ from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows and bytes that Spark hands to Python at a time while a step is written, so that two tasks of an executor stay small beside its heap.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1024", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
 #: Where the steps made inside `recorded` are noted.
 _NOTED: ContextVar[list[str] | None] = ContextVar("noted", default=None)
 
@@ -19,6 +21,19 @@ def shared_dir(spark: SparkSession) -> str:
     return at or f"{spark.conf.get('spark.sql.warehouse.dir')}/_steps"
 
 
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """For the jobs started inside; the session's own settings stand again afterwards."""
+    before = {k: spark.conf.get(k) for k in BATCHES}
+    try:
+        for k, v in BATCHES.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def settle(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and reread it: later jobs neither recompute it nor depend on executors.
 
@@ -27,7 +42,8 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     at = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     if (noted := _NOTED.get()) is not None:
         noted.append(at)
-    df.write.parquet(at)
+    with _small_batches(df.sparkSession):
+        df.write.parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 

@@ -111,3 +111,69 @@ def test_sink_replaces_one_key(spark, tmp_path):
     for n, sha in ((3, "a"), (2, "b"), (1, "a")):
         write_graph({"files": rows(n, sha)}, str(tmp_path))
     assert {(r.commit_sha, r["count"]) for r in spark.read.parquet(f"{tmp_path}/files").groupBy("commit_sha").agg(F.count("*").alias("count")).collect()} == {("a", 1), ("b", 2)}
+
+
+def test_run_state_as_a_stream(spark):
+    rows = []
+    for run in range(12):
+        events = [("stage", "tree", "start", 0.0, None), ("stage", "tree", "done", None, None), ("stage", "fetch", "progress", 0.4, None), ("stage", "parse", "warning", None, "slow"), ("preview", None, None, None, None)]
+        events += [("complete", None, None, None, None), ("stage", "fetch", "start", 0.0, None)] if run % 3 == 0 else [("error", None, None, None, None), ("complete", None, None, None, None)] if run % 3 == 1 else []
+        rows += [(str(run), i, *e) for i, e in enumerate(events)]
+    df = spark.createDataFrame(rows, "run_id string, seq long, type string, stage string, status string, progress double, message string").repartition(1)
+    batch = {r.run_id: r for r in ST.run_state_batch(df).collect()}
+    assert batch["0"].stages == "tree=done,fetch=done,parse=warning" and batch["0"].status == "complete" and batch["0"].finished == 3 and batch["1"].status == "error" and batch["2"].status == "preview" and batch["2"].warnings == 1
+    source = spark.sparkContext.getConf().get("spark.checkpoint.dir") + f"/runs-{random.randint(0, 10**9)}"
+    df.write.parquet(source)
+    q = ST.run_state(spark.readStream.schema(df.schema).parquet(source)).writeStream.format("memory").queryName("runs").outputMode("update").start()
+    for _ in range(90):
+        if q.exception() or spark.table("runs").count() >= 12:
+            break
+        time.sleep(1)
+    q.stop()
+    assert q.exception() is None and {r.run_id: tuple(r) for r in spark.table("runs").collect()} == {k: tuple(r) for k, r in batch.items()}
+
+
+def test_positions_explain_the_score():
+    rng = random.Random(11)
+    for _ in range(300):
+        target = "".join(rng.choice("abAB/._1x") for _ in range(rng.randint(1, 14)))
+        query = "".join(rng.choice("abAB1x") for _ in range(rng.randint(1, 4)))
+        at, best = E.alignment(query.lower(), query, target), slow_score(query, target)
+        assert bool(at) == (best > float("-inf"))
+        if at:
+            assert at == sorted(set(at)) and [target[i].lower() for i in at] == list(query.lower())
+            bonus, score, run = E.position_bonuses(target), 0, 0
+            for n, (i, c) in enumerate(zip(at, query)):
+                own = int(bonus[i])
+                if n == 0:
+                    score, run = 16 + 2 * own, own
+                elif i == at[n - 1] + 1:
+                    run = max(run, own)
+                    score += 16 + max(run, 5)
+                else:
+                    score, run = score - 3 - (i - at[n - 1] - 2) + 16 + own, own
+                score += target[i] == c
+            assert score == best
+
+
+def test_masks_and_many_queries(spark, monkeypatch):
+    entries = spark.createDataFrame([("r", "file", str(i), f"n{i}.ts", f"n{i}.ts", f"n{i}", f"src/n{i}.ts", 5, 4.9) for i in range(30)], "repo_id string, kind string, id string, title string, name string, stem string, path string, prior int, bias double")
+    queries = spark.createDataFrame([(i, f"n{i}") for i in range(12)] + [(50, " ")], ["query_id", "query"])
+    suggested = spark.createDataFrame([("r", "file", "9", "n9.ts", 1), ("r", "directory", "d", "src/", 1)], "repo_id string, kind string, id string, title string, place int")
+    few = sorted(map(str, E.search_top_k(queries, entries, 3, suggested=suggested).collect()))
+    assert sum("query_id=50" in r for r in few) == 2
+    monkeypatch.setattr(E, "FEW_QUERIES", 5)
+    assert sorted(map(str, E.search_top_k(queries, entries, 3, suggested=suggested).collect())) == few
+    assert {r.kind for r in E.search_top_k(queries, entries, 3, ("directory",), suggested).collect()} == {"directory"}
+
+
+def test_a_long_ring_and_its_tails(spark):
+    """A ring of 3,000, a tail into it and one out of it, and a small cycle beside; the number of steps does not follow the length."""
+    from quarrywork.operators import graph as G
+
+    name = lambda i: f"n{i:05}"
+    edges = [(name(i), name((i + 1) % 3000)) for i in range(3000)] + [(name(5000 + i), name(5001 + i) if i < 199 else name(7)) for i in range(200)] + [(name(9), name(6000))] + [(name(6000 + i), name(6001 + i)) for i in range(200)] + [("a", "b"), ("b", "c"), ("c", "a"), ("b", "d"), ("d", "b")]
+    df = spark.createDataFrame([("r", a, b, 1) for a, b in edges], "repo_id string, source string, target string, weight int")
+    began = time.time()
+    got = {(r.component, r["size"], r["first"], r["edges"]) for r in G.import_cycles(df).collect()}
+    assert got == {(name(2999), 3000, name(0), 3000), ("d", 4, "a", 5)} and time.time() - began < 600
