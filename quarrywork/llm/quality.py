@@ -29,7 +29,7 @@ SMOOTH = 0.1
 #: How much worse it is to reject a good document than to keep a bad one, in setting the cut.
 COST = 4.0
 TEMPERATURE, SEED = 1.0, 97
-KNOWN = 500_000
+KNOWN = 250_000
 #: Tokens taken at once, so that memory does not follow the length of a text.
 BLOCK = 1 << 18
 _TOKEN = re.compile(r"\w+|[^\w\s]")
