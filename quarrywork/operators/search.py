@@ -93,13 +93,52 @@ def best_alignment(query: str, original: str, target: str) -> float:
     return float(best) if best > LOW / 2 else -np.inf
 
 
-def _score(query: str, original: str, target: str) -> float:
-    return best_alignment(query, original, target) if is_subsequence(query, target[-LONGEST:].lower()) else -np.inf
+def best_alignments(query: str, original: str, targets: list[str]) -> np.ndarray:
+    """best_alignment of one query with many targets: the same rows of the table, for all targets at once."""
+    out = np.full(len(targets), -np.inf)
+    cut = [t[-LONGEST:] for t in targets]
+    lows = [t.lower() for t in cut]
+    use = [i for i, (t, low) in enumerate(zip(cut, lows)) if len(t) == len(low) and is_subsequence(query, low)]
+    if not use or not query:
+        out[use] = 0.0
+        return out
+    size = max(len(cut[i]) for i in use)
+    codes = lambda texts: np.array(texts, f"<U{size}").view(np.uint32).reshape(len(texts), size).astype(np.int64)
+    t, low = codes([cut[i] for i in use]), codes([lows[i] for i in use])
+    before = np.hstack([np.zeros((len(t), 1), np.int64), t[:, :-1]])
+    digit, was_digit = (t >= 48) & (t <= 57), (before >= 48) & (before <= 57)
+    bonus = np.where((t >= 65) & (t <= 90) & (before >= 97) & (before <= 122) | digit & ~was_digit, CAMEL, 0)
+    bonus = np.where(np.isin(before, [ord(c) for c in DELIMITERS]), DELIMITER, bonus)
+    bonus = np.where((before == 47) | (before == 92), SEPARATOR, bonus)
+    bonus[:, 0] = START
+    at, edge = np.arange(size), np.full((len(t), 2), LOW)
+    score = run = None
+    for i, c in enumerate(query):
+        hit, own = low == ord(c), (t == ord(original[i])) * CASE
+        if i == 0:
+            new, kept = MATCH + bonus * FIRST + own, bonus
+        else:
+            near, near_run = np.hstack([edge[:, :1], score[:, :-1]]), np.hstack([edge[:, :1] * 0, run[:, :-1]])
+            far = np.hstack([edge, np.maximum.accumulate(score - at * FURTHER, axis=1)[:, :-2]])[:, :size] + GAP + (at - 2) * FURTHER
+            best_run = np.maximum(near_run, bonus)
+            joined, apart = near + MATCH + np.maximum(best_run, CONSECUTIVE), far + MATCH + bonus
+            new, kept = np.maximum(joined, apart) + own, np.where(joined >= apart, best_run, bonus)
+        score, run = np.where(hit & (at >= i), new, LOW), np.where(hit, kept, 0)
+        score = np.where(score > LOW / 2, score, LOW)
+    best = score.max(axis=1)
+    out[use] = np.where(best > LOW / 2, best, -np.inf)
+    return out
 
 
 @F.pandas_udf(T.DoubleType())
 def fuzzy_score(query: pd.Series, original: pd.Series, target: pd.Series) -> pd.Series:
-    return pd.Series([_score(q, o, t) for q, o, t in zip(query, original, target)])
+    """The rows of one query are scored together, each different target once."""
+    out = np.full(len(query), -np.inf)
+    rows = pd.DataFrame({"q": query.to_numpy(), "o": original.to_numpy(), "t": target.to_numpy()})
+    for (q, o), at in rows.groupby(["q", "o"], sort=False).indices.items():
+        names, of = np.unique(rows["t"].to_numpy()[at].astype(str), return_inverse=True)
+        out[at] = best_alignments(q, o, names.tolist())[of]
+    return pd.Series(out)
 
 
 def alignment(query: str, original: str, target: str) -> list[int]:

@@ -94,7 +94,9 @@ def test_alignment():
     for _ in range(400):
         target = "".join(rng.choice("abAB/._1x") for _ in range(rng.randint(1, 14)))
         query = "".join(rng.choice("abAB1x") for _ in range(rng.randint(1, 4)))
+        others = ["".join(rng.choice("abAB/._1x") for _ in range(rng.randint(1, 30))) for _ in range(5)]
         assert E.best_alignment(query.lower(), query, target) == slow_score(query, target), (query, target)
+        assert E.best_alignments(query.lower(), query, [target, *others]).tolist() == [slow_score(query, t) for t in (target, *others)]
 
 
 def test_search_order(spark):
