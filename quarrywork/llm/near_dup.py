@@ -174,27 +174,35 @@ def _agreeing(one: str, two: str) -> Column:
 
 
 def tiles(members: DataFrame, percent: int, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
-    """members (band, node, n_shingles, ...) -> (left, right), each with a tile; every two members of a bucket that can be similar enough meet in one tile, once or, within a part, in both orders.
+    """members (band, node, n_shingles, minor, ...) -> (left, right), each with a tile; every minor member of a bucket meets every member that can be similar enough in one tile.
 
-    A bucket's members are classed by the logarithm of their set size, so that those of a similarity of `percent` are in the same or the next class, and a
-    class is cut in parts of about `tile` members. A tile is two parts of one class, or of neighbouring ones.
+    Minor members are those outside the bucket's largest component: of two members of different components one is minor. A bucket's members are classed by
+    the logarithm of their set size, so that those of a similarity of `percent` are in the same or the next class, and a class is cut in parts of about `tile`
+    members on each side. A tile is a part of minor members and a part of all; members of classes without minor ones near them are in none.
     """
     level = F.floor(F.log(F.col("n_shingles").cast("double")) / F.lit(-math.log(percent / 100) * (1 + 1e-9))).cast("int")
     placed = members.withColumn("level", level)
-    sizes = placed.groupBy("band", "level").agg(F.count("*").alias("n"), F.ceil(F.count("*") / tile).cast("int").alias("own"))
-    above = sizes.select("band", (F.col("level") - 1).alias("level"), F.col("own").alias("above"))
-    below = sizes.select("band", (F.col("level") + 1).alias("level"), F.col("own").alias("below"))
-    sizes = sizes.join(above, ["band", "level"], "left").join(below, ["band", "level"], "left").fillna(0, ["above", "below"])
+    part_count = lambda n: F.ceil(n / tile).cast("int")
+    sizes = placed.groupBy("band", "level").agg(F.count("*").alias("n"), part_count(F.count_if("minor")).alias("l0"), part_count(F.count("*")).alias("r0"))
+    for step, name in ((-1, "below"), (1, "above")):
+        near = sizes.select("band", (F.col("level") - step).alias("level"), F.col("l0").alias(f"l_{name}"), F.col("r0").alias(f"r_{name}"))
+        sizes = sizes.select("band", "level", *[c for c in sizes.columns if c not in ("band", "level")]).join(near, ["band", "level"], "left")
+    sizes = settle(sizes.fillna(0), "dup-classes-of-sizes")
     cell = F.struct("band", "level")
-    placed = hot_join(placed.withColumn("cell", cell).drop("band", "level"), sizes.select(cell.alias("cell"), "own", "above", "below", "n"), "cell", "n", "inner")
-    placed = placed.withColumn("part", F.pmod(F.xxhash64(F.lit(1), "node"), F.col("own")).cast("int"))
-    at = lambda level, one, other, step: F.struct(F.col("cell.band").alias("band"), level.alias("level"), F.lit(step).alias("step"), one.alias("one"), other.alias("other"))
-    upto = lambda low, high: F.when(high >= low, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
-    level, part, zero = F.col("cell.level"), F.col("part"), F.lit(0)
-    left = F.concat(F.transform(upto(part, F.col("own") - 1), lambda i: at(level, part, i, 0)), F.transform(upto(zero, F.col("above") - 1), lambda i: at(level, part, i, 1)))
-    right = F.concat(F.transform(upto(zero, part), lambda i: at(level, i, part, 0)), F.transform(upto(zero, F.col("below") - 1), lambda i: at(level - 1, i, part, 1)))
+    counts = ["l0", "l_below", "l_above", "r0", "r_below", "r_above"]
+    placed = hot_join(placed.withColumn("cell", cell).drop("band", "level"), sizes.select(cell.alias("cell"), *counts, "n"), "cell", "n", "inner")
+    level = F.col("cell.level")
+    at = lambda low, i, high, j: F.struct(F.col("cell.band").alias("band"), low.alias("left_level"), i.alias("left_part"), high.alias("right_level"), j.alias("right_part"))
+    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    own = lambda n: F.pmod(F.xxhash64(F.lit(1), "node"), F.greatest(F.lit(1), n)).cast("int")
+    steps = (("below", -1), ("0", 0), ("above", 1))
+    name = lambda side, n: F.col(f"{side}0" if n == "0" else f"{side}_{n}")
+    to_right = lambda d: lambda j: at(level, own(F.col("l0")), level + d, j)
+    to_left = lambda d: lambda i: at(level + d, i, level, own(F.col("r0")))
+    left = F.concat(*[F.transform(upto(name("r", n)), to_right(d)) for n, d in steps])
+    right = F.concat(*[F.transform(upto(name("l", n)), to_left(d)) for n, d in steps])
     rest = [F.col("cell.band").alias("band"), *[c for c in members.columns if c != "band"]]
-    return placed.select(F.explode(left).alias("tile"), *rest), placed.select(F.explode(right).alias("tile"), *rest)
+    return placed.filter("minor").select(F.explode(left).alias("tile"), *rest), placed.select(F.explode(right).alias("tile"), *rest)
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -230,15 +238,16 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     members = shared.select("band", "node").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     members = settle(members, "dup-members")
-    mixed = members.groupBy("band").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("n")).filter("least < most").select("band", "n")
+    held = members.groupBy("band", "component").agg(F.count("*").alias("held"))
+    mixed = held.groupBy("band").agg(F.max_by("component", F.struct("held", "component")).alias("major"), F.count("*").alias("components"), F.sum("held").alias("n")).filter("components > 1").select("band", "major", "n")
     open_ = settle(hot_join(members, mixed, "band", "n", "inner"), "dup-open")
     all_bands = nodes.select("node", "n_shingles", "bands").join(open_.select("node").distinct(), "node", "left_semi")
-    open_ = settle(open_.join(all_bands.join(sketches, "node"), "node"), "dup-open-signed")
+    open_ = settle(open_.join(all_bands.join(sketches, "node"), "node").withColumn("minor", F.col("component") != F.col("major")).drop("major"), "dup-open-signed")
     sides = zip("ab", tiles(open_, percent))
-    left, right = (side.select("tile", "band", F.col("node").alias(x), F.col("component").alias(f"c{x}"), F.col("bands").alias(f"bands_{x}"), *[F.col(f"s{i}").alias(f"s{x}{i}") for i in range(BITS * WIDE)]) for x, side in sides)
-    # a pair comes from the first band that its nodes share, and from no other; within one part, from one of its two orders
-    once = (F.element_at(F.array_intersect("bands_a", "bands_b"), 1) == F.col("band")) & ((F.col("tile.step") == 1) | (F.col("tile.one") != F.col("tile.other")) | (F.col("a") < F.col("b")))
-    across = left.join(right.drop("band"), "tile").filter((F.col("a") != F.col("b")) & (F.col("ca") != F.col("cb")) & (_agreeing("sa", "sb") >= plan.agree) & once)
+    left, right = (side.select("tile", "band", F.col("minor").alias(f"minor_{x}"), F.col("node").alias(x), F.col("component").alias(f"c{x}"), F.col("bands").alias(f"bands_{x}"), *[F.col(f"s{i}").alias(f"s{x}{i}") for i in range(BITS * WIDE)]) for x, side in sides)
+    # a pair comes from the first band that its nodes share, and from no other; two minor members, which meet twice, from one of their two orders
+    once = (F.element_at(F.array_intersect("bands_a", "bands_b"), 1) == F.col("band")) & (~F.col("minor_b") | (F.col("a") < F.col("b")))
+    across = left.drop("minor_a").join(right.drop("band"), "tile").filter((F.col("ca") != F.col("cb")) & (_agreeing("sa", "sb") >= plan.agree) & once)
     rest = settle(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).join(first, ["a", "b"], "left_anti"), "dup-rest")
     more = settle(verify(rest, texts, percent), "dup-more-links")
     joined = components(links.unionByName(more)) if not more.isEmpty() else joined

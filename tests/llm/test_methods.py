@@ -161,15 +161,16 @@ def test_ids_under_several_texts_lose_no_link(spark):
     assert got == [(0, 0, False), (0, 0, False), (0, 5, False), (5, 5, True), (7, 5, False), (9, 5, False), (9, 5, False)]
 
 
-def test_tiles_hold_every_pair_that_can_be_similar(spark):
+@pytest.mark.parametrize("minor", [3, 300])
+def test_tiles_hold_every_pair_that_can_be_similar(spark, minor):
     rng = random.Random(4)
-    rows = [(1, i, rng.randint(20, 60)) for i in range(300)] + [(2, 1000 + i, 50) for i in range(40)]
-    left, right = near_dup.tiles(spark.createDataFrame(rows, "band long, node long, n_shingles long"), 85, tile=16)
-    assert left.groupBy("tile").count().agg(F.max("count")).first()[0] <= 60
-    pairs = left.select("tile", F.col("node").alias("a")).join(right.select("tile", F.col("node").alias("b")), "tile").filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    got = {(r.a, r.b) for r in pairs.collect()}
-    want = {(a, b) for x, a, m in rows for y, b, n in rows if x == y and a < b and 100 * min(m, n) >= 85 * max(m, n)}
-    assert want <= got
+    rows = [(1, i, rng.randint(20, 60), i < minor) for i in range(300)] + [(2, 1000 + i, 50, i % 2 == 0) for i in range(40)]
+    left, right = near_dup.tiles(spark.createDataFrame(rows, "band long, node long, n_shingles long, minor boolean"), 85, tile=16)
+    for side in (left, right):
+        assert side.groupBy("tile").count().agg(F.max("count")).first()[0] <= 60
+    met = left.select("tile", F.col("node").alias("a")).join(right.select("tile", F.col("node").alias("b")), "tile").groupBy("a", "b").count().collect()
+    want = {(a, b) for x, a, m, s in rows for y, b, n, _ in rows if s and x == y and 100 * min(m, n) >= 85 * max(m, n)}
+    assert want <= {(r.a, r.b) for r in met} and all(r["count"] == 1 for r in met)
 
 
 def test_a_bucket_of_unlike_members(spark):
