@@ -73,16 +73,16 @@ def _keyed(batches):
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary())], ["key", "text", "words_key"])
 
 
-def shingles(words: list[bytes]) -> np.ndarray:
-    """Sorted 64-bit hashes of the distinct five-word shingles; of fewer words, one hash of all."""
+def shingles(words: list[bytes], size: int = WORDS) -> np.ndarray:
+    """Sorted 64-bit hashes of the distinct shingles of `size` words, up to five; of fewer words, one hash of all."""
     if not words:
         return np.empty(0, np.uint64)
-    if len(words) < WORDS:
+    if len(words) < size:
         return np.array([xxhash.xxh64_intdigest(b" ".join(words), seed=1)], np.uint64)
     h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-    n = len(h) - WORDS + 1
+    n = len(h) - size + 1
     s = h[:n] * _PLACE[0]
-    for i in range(1, WORDS):
+    for i in range(1, size):
         s += h[i : i + n] * _PLACE[i]
     s ^= s >> np.uint64(29)
     return np.unique(s * np.uint64(0xBF58476D1CE4E5B9))
@@ -132,7 +132,7 @@ def _sketches(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, columns)], ["node", *_names("s")])
 
 
-def _verify(percent: int):
+def _verify(percent: int, size: int):
     """Rows (pivot, part, is_member, node, text) in order, each pivot's own row first -> pairs that are similar enough."""
 
     def run(batches):
@@ -140,7 +140,7 @@ def _verify(percent: int):
         for batch in parts(batches):
             a, b = [], []
             for pivot, part, member, node, text in zip(*(c.to_pylist() for c in batch.columns)):
-                s = shingles(words_of(text))
+                s = shingles(words_of(text), size)
                 if not member:
                     at, base = (pivot, part), s
                     continue
@@ -154,7 +154,7 @@ def _verify(percent: int):
     return run
 
 
-def verify(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def verify(pairs: DataFrame, texts: DataFrame, percent: int, size: int = WORDS) -> DataFrame:
     """The pairs (a, b) whose full shingle sets have the similarity asked for. texts: node, text, one row for each node.
 
     A pivot's text goes once to each group of GROUP members, so that a pivot with many members is spread over many tasks.
@@ -164,7 +164,7 @@ def verify(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     members = split.join(texts, F.col("b") == F.col("node")).select("a", "part", F.lit(True).alias("member"), "node", "text")
     pivots = counts.join(texts, F.col("a") == F.col("node")).select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("member"), "node", "text")
     both = pivots.unionByName(members).repartition("a", "part").sortWithinPartitions("a", "part", "member", "node")
-    return both.mapInArrow(_verify(percent), schema("a long, b long"))
+    return both.mapInArrow(_verify(percent, size), schema("a long, b long"))
 
 
 def _agreeing(one: str, two: str) -> Column:
@@ -252,6 +252,11 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     more = settle(verify(rest, texts, percent), "dup-more-links")
     joined = components(links.unionByName(more)) if not more.isEmpty() else joined
 
+    return by_document(signed, same, joined)
+
+
+def by_document(signed: DataFrame, same: DataFrame, joined: DataFrame) -> DataFrame:
+    """The component of each document: signed has its rows, same the text classes with their smallest ids, joined the components of classes."""
     classes = settle(same.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node")), "dup-classes")
     least = classes.groupBy("component").agg(F.min("rep").alias("component_id"), F.count("*").alias("n"))
     classes = hot_join(classes, least, "component", "n", "inner").select("words_key", "component_id", "copies")
