@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their SQL."""
 
-from . import clustering, language, media, mixing, near_dup, neighbours, packing, part_enum, pii, quality, toxicity, urls
+from . import clustering, language, media, mixing, near_dup, neighbours, packing, part_enum, pii, prefix_trie, quality, toxicity, urls
 
 QUERIES = {
     "op1_media": media.op1_media,
@@ -15,5 +15,6 @@ QUERIES = {
     "op10_neighbours": neighbours.op10_neighbours,
     "op11_centroids": clustering.op11_centroids,
     "op12_jaccard_join": part_enum.op12_jaccard_join,
+    "op13_prefix_trie": prefix_trie.op13_prefix_trie,
 }
-ORACLES = {"op3_mix": mixing.SQL, "op4_near_dup": near_dup.SQL, "op5_url_filter": urls.SQL, "op11_centroids": clustering.SQL, "op12_jaccard_join": part_enum.SQL}
+ORACLES = {"op3_mix": mixing.SQL, "op4_near_dup": near_dup.SQL, "op5_url_filter": urls.SQL, "op11_centroids": clustering.SQL, "op12_jaccard_join": part_enum.SQL, "op13_prefix_trie": prefix_trie.SQL}
