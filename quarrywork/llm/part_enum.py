@@ -174,9 +174,9 @@ def _small(df: DataFrame) -> DataFrame:
 
 
 def _across(pairs: DataFrame, joined: DataFrame) -> DataFrame:
-    """The pairs (a, b, ...) whose nodes are in different components."""
+    """The pairs (a, b) whose nodes are in different components."""
     side = lambda x: joined.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
-    return pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).drop("ca", "cb")
+    return pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select(*pairs.columns)
 
 
 def jaccard_classes(docs: DataFrame, percent: int = PERCENT, size: int = WORDS) -> DataFrame:
