@@ -50,7 +50,7 @@ def _cells(k1: np.ndarray, k2: np.ndarray, width: int) -> list[np.ndarray]:
     return found
 
 
-def _counted(width: int):
+def _counted(width: int, together: int):
     """Digests (k1, k2) -> (block, counts): a task's counters, up to two, in blocks that are not all zero."""
 
     def run(batches):
@@ -59,10 +59,10 @@ def _counted(width: int):
             for cells in _cells(batch.column(0).to_numpy(), batch.column(1).to_numpy(), width):
                 at, n = np.unique(cells, return_counts=True)
                 counts[at] = np.minimum(counts[at] + np.minimum(n, 2), 2)
-        blocks = counts.reshape(-1, CELLS)
+        blocks = counts.reshape(-1, together)
         used = np.flatnonzero(blocks.any(axis=1))
-        for i in range(0, len(used), CELLS):
-            some = used[i : i + CELLS]
+        for i in range(0, len(used), 1024):
+            some = used[i : i + 1024]
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([blocks[b].tobytes() for b in some], pa.binary())], ["block", "counts"])
 
     return run
@@ -77,7 +77,7 @@ def _merged(batches):
             if block != at:
                 if at is not None:
                     blocks.append(at), bits.append(np.packbits(total >= 2).tobytes())
-                at, total = block, np.zeros(CELLS, np.uint8)
+                at, total = block, np.zeros(len(counts), np.uint8)
             total = np.minimum(total + np.frombuffer(counts, np.uint8), 2)
         yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array(bits, pa.binary())], ["block", "bits"])
     if at is not None:
@@ -86,9 +86,10 @@ def _merged(batches):
 
 def sketch(prefixes: DataFrame, width: int) -> np.ndarray:
     """Of every counter of the sketch over prefixes(k1, k2) one bit: whether it counts two or more."""
-    counted = prefixes.select("k1", "k2").mapInArrow(_counted(width), schema("block int, counts binary"))
+    together = min(CELLS, width)
+    counted = prefixes.select("k1", "k2").mapInArrow(_counted(width, together), schema("block int, counts binary"))
     merged = counted.repartition("block").sortWithinPartitions("block").mapInArrow(_merged, schema("block int, bits binary"))
-    bits = np.zeros((ROWS * width // CELLS, CELLS // 8), np.uint8)
+    bits = np.zeros((ROWS * width // together, together // 8), np.uint8)
     for r in merged.collect():
         bits[r.block] = np.frombuffer(r.bits, np.uint8)
     return bits.ravel()
@@ -114,25 +115,24 @@ def _screened(bits: np.ndarray):
     return run
 
 
-def _pieces(batches):
-    """Rows (k1, k2, conv) in order -> (k1, k2, first, ids): up to IDS ids joined."""
-    at, ids, out = None, [], []
+def _pieces(most: int):
+    """Rows (k1, k2, conv) in order -> (k1, k2, first, ids): up to `most` ids joined."""
 
-    def close():
-        out.append((*at, ids[0], ",".join(map(str, ids))))
+    def run(batches):
+        at, ids = None, []
+        for batch in batches:
+            out = []
+            for k1, k2, conv in zip(*(c.to_pylist() for c in batch.columns)):
+                if (k1, k2) != at or len(ids) >= most:
+                    if ids:
+                        out.append((*at, ids[0], ",".join(map(str, ids))))
+                    at, ids = (k1, k2), []
+                ids.append(conv)
+            yield _table(out, _PIECES)
+        if ids:
+            yield _table([(*at, ids[0], ",".join(map(str, ids)))], _PIECES)
 
-    for batch in batches:
-        for k1, k2, conv in zip(*(c.to_pylist() for c in batch.columns)):
-            if (k1, k2) != at or len(ids) >= IDS:
-                if ids:
-                    close()
-                at, ids = (k1, k2), []
-            ids.append(conv)
-        yield _table(out, _PIECES)
-        out.clear()
-    if ids:
-        close()
-    yield _table(out, _PIECES)
+    return run
 
 
 _PIECES = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("first", pa.int64()), ("ids", pa.string())])
@@ -234,7 +234,7 @@ def _ends_hash(nodes: DataFrame, ends: DataFrame) -> DataFrame:
     """key, hash for the nodes at which several conversations end."""
     several = nodes.filter("n_ends > 1").select("key", "n_ends")
     ids = hot_join(ends, several, "key", "n_ends", "inner").select("key.k1", "key.k2", "conv")
-    pieces = ids.repartitionByRange("k1", "k2", "conv").sortWithinPartitions("k1", "k2", "conv").mapInArrow(_pieces, schema("k1 long, k2 long, first long, ids string"))
+    pieces = ids.repartitionByRange("k1", "k2", "conv").sortWithinPartitions("k1", "k2", "conv").mapInArrow(_pieces(IDS), schema("k1 long, k2 long, first long, ids string"))
     hashes = pieces.repartition("k1", "k2").sortWithinPartitions("k1", "k2", "first").mapInArrow(_hashed, schema("k1 long, k2 long, hash string"))
     return hashes.select(F.struct("k1", "k2").alias("key"), "hash")
 
