@@ -35,10 +35,14 @@ def family(lang: str) -> str:
 
 
 def vector(text: str) -> np.ndarray:
-    """Counts of hashed letter groups of one to three, lower case, everything that is no letter as one space; of unit length."""
-    counts = np.zeros(SIZE)
+    """Counts of hashed letter groups of one to three, lower case, everything that is no letter as one space; of unit length.
+
+    A block sees the two letters before it and counts the groups that end inside it.
+    """
+    counts, text = np.zeros(SIZE), text.lower()
     for at in range(0, len(text), BLOCK):
-        block = text[max(0, at - 2) : at + BLOCK].lower()
+        lead = min(at, 2)
+        block = text[at - lead : at + BLOCK]
         c = np.frombuffer(block.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
         plain = ((c < 97) | ((c > 122) & (c < 0xAA)) | (c == 0xD7) | (c == 0xF7) | ((c >= 0x2000) & (c < 0x2C00)) | ((c >= 0x3000) & (c < 0x3040))).astype(bool)
         c[plain] = 32
@@ -49,8 +53,8 @@ def vector(text: str) -> np.ndarray:
             hashes.append(two)
         if len(c) > 2:
             hashes.append((two[:-1] ^ (c[2:] + np.uint64(0x2F))) * np.uint64(0x165667B19E3779F9))
-        for h in hashes:
-            counts += np.bincount((h >> np.uint64(64 - BITS)).astype(np.int64), minlength=SIZE)
+        for n, h in enumerate(hashes):
+            counts += np.bincount((h[max(0, lead - n) :] >> np.uint64(64 - BITS)).astype(np.int64), minlength=SIZE)
     counts = np.sqrt(counts)
     return counts / (np.linalg.norm(counts) or 1.0)
 

@@ -34,13 +34,19 @@ def targets(sources: DataFrame, weights=WEIGHTS, most: float = MOST) -> DataFram
     return leveled.select("source_key", "source_size", F.least(F.col("level") * F.col("weight"), F.col("cap")).alias("target"))
 
 
+def shuffle_key() -> Column:
+    no_id = F.concat_ws(" ", F.lit("row"), F.xxhash64("text").cast("string"), F.monotonically_increasing_id().cast("string"))
+    return F.md5(F.coalesce(F.col("doc_id").cast("string"), no_id))
+
+
 def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, shuffle: Column | None = None) -> DataFrame:
     """doc_id, size, source_size, target, taken, passes (the times the mix takes the document, 0 to `most`) of all rows of docs.
 
     Null text: size 0. Null source: a source of its own, after all others. Repeated rows count each. No rows: no rows. Other
-    columns are ignored. shuffle: a string of hex digits that orders a source's documents, by default of doc_id.
+    columns are ignored. shuffle: a string of hex digits that orders a source's documents, by default of doc_id; rows without one are shuffled by
+    their text and place in the files, so that they spread over the parts of the queue however many they are.
     """
-    shuffle = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) if shuffle is None else shuffle
+    shuffle = shuffle_key() if shuffle is None else shuffle
     key = F.when(F.col("source").isNull(), "b").otherwise(F.concat(F.lit("a"), "source"))
     slim = settle(docs.select("doc_id", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), key.alias("source_key"), shuffle.alias("shuffle_key")), "mix-sizes")
     slim = slim.withColumn("part", F.substring("shuffle_key", 1, PART_DIGITS))

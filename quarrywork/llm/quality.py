@@ -65,20 +65,22 @@ class Tokens(dict):
 
 
 def ngrams(text: str | None, known: Tokens) -> np.ndarray:
-    """The bucket of every n-gram, words' before shapes'."""
+    """The bucket of every n-gram. A block sees the three tokens before it, and gives the n-grams that end inside it."""
     found = []
     tokens = np.frombuffer(b"".join([known[c] for c in (text or "").split()]), np.uint64)
     for at in range(0, len(tokens), BLOCK):
-        x = tokens[max(0, at - 2) : at + BLOCK]
+        lead = min(at, 3)
+        x = tokens[at - lead : at + BLOCK]
         words, shapes = x >> np.uint64(6), (x & np.uint64(63)) << np.uint64(1)
-        found.append(words * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - WORD_BITS))
-        found.append((words[:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + words[1:]) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - WORD_BITS))
+        pairs = (words[:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + words[1:]) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - WORD_BITS)
+        found += [words[lead:] * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - WORD_BITS), pairs[max(0, lead - 1) :]]
         shapes[1:] |= words[1:] == words[:-1]
         for n in (1, 2, 3):
             h = np.full(max(0, len(shapes) - n + 1), n, np.uint64)
             for i in range(n):
                 h = h * np.uint64(131) + shapes[i : len(shapes) - n + 1 + i]
-            found.append((h * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - SHAPE_BITS)) + np.uint64(1 << WORD_BITS))
+            buckets = (h * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - SHAPE_BITS)) + np.uint64(1 << WORD_BITS)
+            found.append(buckets[max(0, lead - n + 1) :])
     return np.concatenate(found).astype(np.int64) if found else np.empty(0, np.int64)
 
 

@@ -3,6 +3,8 @@
 import hashlib
 import math
 import random
+import re
+import threading
 import time
 import zlib
 
@@ -252,3 +254,56 @@ def test_pipeline_of_odd_rows(spark, odd, none):
 
 def test_hashes_are_the_library_s():
     assert near_dup.words_key([b"a", b"b"]) == xxhash.xxh3_128_digest(b"a b")
+
+
+def test_blocks_of_a_text_count_as_the_whole(monkeypatch):
+    rng = random.Random(8)
+    text = " ".join(rng.choice(["one", "two", "two", "Three", "İst", "ΟΣ", "4", "!"]) for _ in range(2500))
+    whole, letters = np.bincount(quality.ngrams(text, quality.Tokens()), minlength=quality.SIZE), language.vector(text)
+    tokens = len(re.findall(r"\w+|[^\w\s]", text))
+    for block in (1, 2, 3, 4, tokens // 5 * 2):
+        monkeypatch.setattr(quality, "BLOCK", block), monkeypatch.setattr(language, "BLOCK", block)
+        assert (np.bincount(quality.ngrams(text, quality.Tokens()), minlength=quality.SIZE) == whole).all()
+        assert (language.vector(text) == letters).all()
+
+
+def test_rows_without_an_id_spread_over_the_queue(spark):
+    docs = spark.range(100_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("one two").alias("text"), F.lit("a").alias("source"))
+    taken = mixing.mix(docs).groupBy("taken").count().collect()
+    assert {r.taken: r["count"] for r in taken} == {2: 100_000}
+    held = docs.groupBy(F.substring(mixing.shuffle_key(), 1, mixing.PART_DIGITS).alias("part")).count().agg(F.max("count"), F.count("*")).first()
+    assert held[0] < 100 and held[1] == 4096
+
+
+def _chained(spark, docs):
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, SMALL)
+    return sorted((r.doc_id, r.piece, r.length) for r in docs.collect())
+
+
+def test_stages_chain_without_writing_in_between(spark, odd):
+    """Each stage reads the former's lazy result; a result that is still held is there after later stages."""
+    docs = common.table(spark, SMALL, "documents")
+    first = corpus_pipeline.quality(spark, docs, SMALL)
+    kept = first.count()
+    mixed = corpus_pipeline.mixing(spark, corpus_pipeline.near_duplicates(spark, first, SMALL), SMALL)
+    assert mixed.count() > 0 and first.count() == kept
+    assert _chained(spark, docs) == sorted((r.doc_id, r.piece, r.length) for r in corpus_pipeline.run(spark, SMALL).collect())
+
+
+def test_two_pipelines_at_once(spark, odd):
+    docs, found, failed = common.table(spark, SMALL, "documents"), {}, []
+
+    def work(name):
+        try:
+            found[name] = _chained(spark, docs)
+        except Exception as e:
+            failed.append(e)
+
+    threads = [threading.Thread(target=work, args=(i,)) for i in range(2)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert not failed and found[0] == found[1]
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000"
