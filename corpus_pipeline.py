@@ -1,7 +1,14 @@
-"""The corpus pipeline: quality, near-duplicates, personal data, mixing, packing. Each stage works on all that the one before kept."""
+"""The corpus pipeline: quality, near-duplicates, personal data, mixing, packing. Each stage works on all that the one before kept.
+
+A stage writes its result to the shared folder and deletes the steps that led to it, so stages can be chained as they are or read and written in between,
+and several pipelines can run side by side. A result stands at least as long as the DataFrame that the stage returned, and while the next stage reads it;
+results that nothing holds any more go when the same thread calls a stage again.
+"""
 
 from __future__ import annotations
 
+import threading
+import weakref
 from collections.abc import Callable
 from functools import wraps
 
@@ -14,18 +21,38 @@ from quarrywork.llm.near_dup import PIPELINE_PERCENT, drop_near_duplicates
 from quarrywork.llm.packing import pack_documents
 from quarrywork.llm.pii import mask_personal_data
 from quarrywork.llm.quality import Sampler, quality_labels
-from quarrywork.shared import recorded, remove, settle
+from quarrywork.shared import Steps, settle
+
+#: The results of this thread's stages: what was returned, and its files.
+_RESULTS = threading.local()
+
 
-#: Steps that the stage called last has written; they go when the next one is called, as its docs are the reread result.
-_STEPS: list[str] = []
+def _sweep(docs: DataFrame) -> None:
+    """Deletes the results of former stages that are neither held nor read by docs."""
+    read = {part for f in docs.inputFiles() for part in f.split("/")}
+    held = []
+    for found, result in getattr(_RESULTS, "kept", []):
+        if found() is not None or any(p.rsplit("/", 1)[-1] in read for p in result.paths):
+            held.append((found, result))
+        else:
+            result.close()
+    _RESULTS.kept = held
 
 
 def stage(f: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
     @wraps(f)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        remove(spark, _STEPS)
-        with recorded(_STEPS):
-            return f(spark, docs, sf_dir)
+        _sweep(docs)
+        work, result = Steps(spark), Steps(spark)
+        try:
+            with work:
+                found = f(spark, docs, sf_dir)
+            with result:
+                found = settle(found, f"pipeline-{f.__name__}")
+        finally:
+            work.close()
+        _RESULTS.kept.append((weakref.ref(found), result))
+        return found
 
     return run_stage
 
@@ -66,7 +93,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, apply in STAGES:
-        docs = settle(apply(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
-    remove(spark, _STEPS)
+    for _, apply in STAGES:
+        docs = apply(spark, docs, sf_dir)
+    _sweep(docs)
     return docs
