@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import characters as C
 from . import values as V
 
 # --- packages ------------------------------------------------------------------------------------------------------------
@@ -15,8 +18,8 @@ def _head(text: Column, mark: str = "/") -> Column:
 
 
 def _is_name(text: Column) -> Column:
-    """A part of a package name: letters and digits first."""
-    return F.coalesce(text.rlike(r"(?i)^[a-z0-9][-~._a-z0-9]*$"), F.lit(False))
+    """A part of a package name: characters that a url takes as they are, a letter or digit first."""
+    return C.only(text, C.ALNUM + "-._~") & C.begins_with(text, C.ALNUM)
 
 
 def node_builtin(specifier: Column) -> Column:
@@ -38,9 +41,11 @@ def npm_subpath(specifier: Column) -> Column:
 
 def protocol_name(specifier: Column) -> Column:
     """What a specifier with a scheme names: the host of a url, the package of npm: and jsr: without its version, else scheme:first part; null without a scheme."""
-    scheme, rest = F.lower(F.regexp_extract(specifier, r"^([A-Za-z][-+.A-Za-z0-9]*):", 1)), F.regexp_extract(specifier, "^[^:]*:(.*)$", 1)
+    scheme, rest = F.coalesce(F.lower(C.scheme(specifier)), F.lit("")), F.substr(specifier, F.instr(specifier, ":") + 1)
     host = F.nullif(F.lower(F.regexp_replace(F.regexp_extract(rest, r"^//([^/?#]*)", 1), "^.*@", "")), F.lit(""))
-    unversioned = F.regexp_replace(rest, r"^(@[^/@]+/[^/@]+|[^/@]+)@[^/]*", "$1")
+    # the name is the first part, the second below a scope; its version follows an at sign
+    named_at = F.when(rest.startswith("@"), 1).otherwise(0)
+    unversioned = F.array_join(F.transform(F.split(rest, "/"), lambda part, i: F.when((i == named_at) & ~part.startswith("@"), _head(part, "@")).otherwise(part)), "/")
     other = F.when(_head(rest) == "", scheme).otherwise(F.concat_ws(":", scheme, _head(rest)))
     named = F.when(scheme.isin("http", "https"), host).when(scheme == "npm", npm_package(unversioned)).when(scheme == "jsr", F.concat(F.lit("jsr:"), npm_package(unversioned)))
     return F.when(scheme == "", None).when(scheme.isin("http", "https", "npm", "jsr"), named).otherwise(other)
@@ -97,31 +102,48 @@ def classify_repo_url(url: Column, host: str = "github.com") -> Column:
     """
     name = host.replace(".", r"\.")
     typed = F.trim(url)
-    has_scheme = typed.rlike(r"(?i)^[a-z][-+.a-z0-9]*://")
+    has_scheme = C.scheme(typed).isNotNull() & F.substr(typed, F.instr(typed, ":") + 1).startswith("//")
     is_url = has_scheme | typed.rlike(rf"(?i)^(www\.)?{name}/")
     rest = F.when(has_scheme, F.regexp_replace(typed, r"^[^:]*://", "")).otherwise(typed)
     web = ~has_scheme | F.lower(F.substring_index(typed, ":", 1)).isin("http", "https")
     on_host = web & F.regexp_extract(rest, "^[^/?#]*", 0).rlike(rf"(?i)^(www\.)?{name}(:(443|80)?)?$")
     ssh = F.regexp_extract(typed, rf"(?i)^git@{name}:(.+)$", 1)
-    plain = typed.rlike(r"^[^/\s:]+/[^/\s:]+") & ~typed.contains("://")
+    # owner/name: two parts, the first without a blank or a colon, the second beginning with neither
+    part = lambda i: F.split_part(typed, F.lit("/"), F.lit(i))
+    clean = lambda x: (x != "") & ~C.blank(x) & ~x.contains(":")
+    plain = clean(part(1)) & clean(C.first(part(2))) & ~typed.contains("://")
     where = F.when(ssh != "", ssh).when(is_url, F.when(on_host, F.regexp_replace(rest, "^[^/?#]*", ""))).when(plain, typed)
     encoded = F.filter(F.split(F.regexp_extract(where, "^[^?#]*", 0), "/"), lambda x: x != "")
     parts = F.transform(encoded, lambda x: F.try_url_decode(F.replace(x, F.lit("+"), F.lit("%2B"))))
-    broken = where.isNull() | F.exists(parts, lambda x: x.isNull())
+    return F.when(url.isNotNull(), let(F.struct(typed.alias("typed"), parts.alias("parts")), lambda x: _judged(x["typed"], x["parts"])))
+
+
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with the value computed once however often f names it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def _judged(typed: Column, parts: Column) -> Column:
+    """What the parts of an address come to; they are null where it is none of the host's."""
+    broken = parts.isNull() | F.exists(parts, lambda x: x.isNull())
     owner, typed_repo, kind = (F.get(parts, F.lit(i)) for i in range(3))
     repo = F.regexp_replace(typed_repo, r"(?i)\.git$", "")
-    good_owner = owner.rlike(r"^[A-Za-z0-9](-?[A-Za-z0-9])*$") & (F.length(owner) <= 39) & ~F.lower(owner).isin(*V.RESERVED_OWNERS)
-    good_repo = repo.rlike(r"^[-._A-Za-z0-9]{1,100}$") & ~repo.isin(".", "..") & ~F.lower(repo).endswith(".git")
+    good_owner = C.only(owner, C.ALNUM + "-") & ~(owner.startswith("-") | owner.endswith("-") | owner.contains("--")) & (F.length(owner) <= 39) & ~F.lower(owner).isin(*V.RESERVED_OWNERS)
+    good_repo = C.only(repo, C.ALNUM + "-_.") & F.length(repo).between(1, 100) & ~repo.isin(".", "..") & ~F.lower(repo).endswith(".git")
     reason = (
         F.when(typed == "", "empty").when((F.length(typed) > 2048) | broken | (F.size(parts) == 0), "not-github").when(F.size(parts) == 1, "missing-repo")
         .when(~good_owner, "invalid-owner").when(~good_repo, "invalid-repo").otherwise("ok")
     )
-    named = F.get(parts, F.lit(3))
-    fine_ref = named.rlike(r"^[-._/A-Za-z0-9]{1,200}$") & ~(named.contains("..") | named.contains("//") | named.startswith("/") | named.endswith("/") | named.endswith(".lock"))
-    ref = F.when((reason == "ok") & kind.isin("tree", "blob", "commit") & fine_ref, named)
-    below = F.slice(parts, F.lit(5), F.greatest(F.lit(0), F.size(parts) - 4))
-    path = F.when(ref.isNotNull() & (F.size(below) > 0) & ~F.arrays_overlap(below, F.array(F.lit("."), F.lit(".."))), F.array_join(below, "/"))
-    return F.when(url.isNotNull(), F.struct(reason.alias("reason"), F.when(reason == "ok", owner).alias("owner"), F.when(reason == "ok", repo).alias("repo"), ref.alias("ref"), path.alias("path")))
+    named, below = F.get(parts, F.lit(3)), F.slice(parts, F.lit(5), F.greatest(F.lit(0), F.size(parts) - 4))
+    fine_ref = C.only(named, C.ALNUM + "-_./") & (F.length(named) <= 200) & ~(named.contains("..") | named.contains("//") | named.startswith("/") | named.endswith("/") | named.endswith(".lock"))
+    fine_path = (F.size(below) > 0) & ~F.arrays_overlap(below, F.array(F.lit("."), F.lit("..")))
+
+    def shown(reason: Column) -> Column:
+        ok = reason == "ok"
+        ref = F.when(ok & kind.isin("tree", "blob", "commit") & fine_ref, named)
+        return F.struct(reason.alias("reason"), F.when(ok, owner).alias("owner"), F.when(ok, repo).alias("repo"), ref.alias("ref"), F.when(ref.isNotNull() & fine_path, F.array_join(below, "/")).alias("path"))
+
+    return let(reason, shown)
 
 
 def _encoded(text: Column) -> Column:

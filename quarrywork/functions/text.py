@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import characters as C
 from . import values as V
 
 MASK = "[REDACTED]"
@@ -40,13 +41,68 @@ def redact_secrets(text: Column, literals: Sequence[str] = ()) -> Column:
     for literal in literals:
         if len(literal.strip()) >= 8:
             text = F.replace(text, F.lit(literal.strip()), F.lit(MASK))
-    named = "|".join(V.SECRET_PARAMETERS)
     for prefix in V.TOKEN_PREFIXES:
         text = F.regexp_replace(text, rf"\b{prefix}\w+", MASK)
-    text = F.regexp_replace(text, r"(?i)\b(bearer|basic)(\s+)[^\s,;\"']+", f"$1$2{MASK}")
-    text = F.regexp_replace(text, rf"(?i)\b((?:{named})=)[^\s&#\"']+", f"$1{MASK}")
-    scheme, user, password = r"\b[a-z][-+.a-z0-9]*://", r"[^\s/:@]+", r"[^\s/@]+"  # the parts of a url before its host
-    return F.regexp_replace(text, rf"(?i)({scheme}){user}:{password}@", f"$1{MASK}@")
+    return _without_url_passwords(_without_parameters(_without_authorization(text)))
+
+
+def _runs(text: Column, separators: str) -> Column:
+    """The text cut between its separators and the rest; each separator is a run of its own."""
+    return F.regexp_extract_all(text, F.lit(f"([{separators}]|[^{separators}]+)"), 1)
+
+
+def _last_word(text: Column) -> Column:
+    """The letters, digits and underscores that a text ends in, in lower case."""
+    return F.lower(F.regexp_extract(text, r"(\w*)$", 1))
+
+
+def _without_authorization(text: Column) -> Column:
+    """What follows the name of an authorization scheme and white space is masked, up to a blank, comma, semicolon or quote."""
+    words = F.regexp_extract_all(text, F.lit(r"(\s+|\S+)"), 1)
+
+    def shown(word: Column, before: Column) -> Column:
+        credential = F.substring_index(F.translate(word, ";\"'", ",,,"), ",", 1)
+        named = _last_word(before).isin(*V.AUTHORIZATION_SCHEMES) & (F.trim(word) != "")
+        return F.when(named & (credential != ""), F.concat(F.lit(MASK), F.substr(word, F.length(credential) + 1))).otherwise(word)
+
+    none = F.lit(None).cast("string")
+    found = F.array_join(F.zip_with(words, F.concat(F.array(none, none), words), lambda w, b: F.when(w.isNotNull(), shown(w, b))), "")
+    return F.when(_mentions(text, V.AUTHORIZATION_SCHEMES), found).otherwise(text)
+
+
+def _without_parameters(text: Column) -> Column:
+    """Of a run without blanks, quotes, & and #, what follows the first credential's name and an equals sign is masked."""
+    runs = _runs(text, r"\s&#\"'")
+
+    def shown(run: Column) -> Column:
+        parts = F.split(run, "=")
+        at = F.array_position(F.transform(parts, lambda p, i: _last_word(p).isin(*V.SECRET_PARAMETERS) & (i < F.size(parts) - 1)), True).cast("int")
+        value = F.array_join(F.slice(parts, at + 1, F.size(parts)), "=")
+        return F.when(run.contains("=") & (at > 0) & (value != ""), F.concat(F.array_join(F.slice(parts, F.lit(1), F.greatest(at, F.lit(0))), "="), F.lit("=" + MASK))).otherwise(run)
+
+    return F.when(text.contains("=") & _mentions(text, V.SECRET_PARAMETERS), F.array_join(F.transform(runs, shown), "")).otherwise(text)
+
+
+def _without_url_passwords(text: Column) -> Column:
+    """A url's authority that names a user and a password before its at sign loses both."""
+    pieces = F.split(text, "://")
+
+    def shown(piece: Column, before: Column) -> Column:
+        authority = F.regexp_extract(piece, r"^[^\s/]*", 0)
+        user = F.substring_index(authority, ":", 1)
+        secret = F.substring_index(F.substr(authority, F.length(user) + 2), "@", 1)
+        named = C.begins_with(F.right(before, F.lit(1)), C.ALNUM + "+-.")
+        given = authority.contains("@") & (user != "") & ~user.contains("@") & (secret != "") & (F.length(user) + F.length(secret) + 1 < F.length(authority))
+        return F.when(named & given, F.concat(F.lit(MASK), F.substr(piece, F.length(user) + F.length(secret) + 2))).otherwise(piece)
+
+    return F.when(text.contains("://"), F.array_join(F.zip_with(pieces, F.concat(F.array(F.lit(None).cast("string")), pieces), lambda p, b: F.when(p.isNotNull(), shown(p, b))), "://")).otherwise(text)
+
+
+def _mentions(text: Column, words: Sequence[str]) -> Column:
+    low, found = F.lower(text), F.lit(False)
+    for w in words:
+        found = found | low.contains(w)
+    return found
 
 
 def is_sensitive_key(key: Column) -> Column:

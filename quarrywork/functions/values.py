@@ -130,6 +130,7 @@ BIDI = (0x061C, 0x200E, 0x200F, 0x202A, 0x202B, 0x202C, 0x202D, 0x202E, 0x2066,
 INVISIBLE = (0x115F, 0x1160, 0x200B, 0x200C, 0x200D, 0x2028, 0x2029, 0x2060, 0x2061, 0x2062, 0x2063, 0x2064, 0x3164, 0xFEFF, 0xFFA0)
 # Credentials: how tokens begin, parameters that carry them, and keys of maps that do: whole, by their ending, by a part.
 TOKEN_PREFIXES = ("github_pat_", "ghp_", "gho_", "ghu_", "ghs_", "ghr_")
+AUTHORIZATION_SCHEMES = ("bearer", "basic")
 SECRET_PARAMETERS = (
     "access_token", "refresh_token", "id_token", "token", "client_secret", "api_key", "apikey", "password", "secret", "sig", "signature",
 )

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
+from ..functions.jsonc import plain_json
 from ..operators import budgets as B
 from ..operators import ecmascript as ES
 from ..operators import emphasis as M
@@ -365,11 +368,14 @@ def shown(df: DataFrame) -> DataFrame:
 
 
 def es_configs(v) -> DataFrame:
-    """A configuration at the root of every repository, which inherits one of its aliases, and a workspace package in each source."""
+    """A configuration at the root of every repository, which inherits one of its aliases, and a workspace package in each source; all with comments and stray commas."""
     repos = v("fx_docs").select("repo_id").distinct()
-    own = repos.select("repo_id", F.explode(F.create_map(F.lit("tsconfig.json"), F.lit('{"extends": "./base.json"}'), F.lit("base.json"), F.lit('{"compilerOptions": {"paths": {"~/*": ["./*"]}}}'))).alias("path", "text"))
+    own = repos.select("repo_id", F.explode(F.create_map(
+        F.lit("tsconfig.json"), F.lit('\ufeff{ // inherits "paths": {} /* only\n  "extends": "./base.json", /* and , } nothing else */ }'),
+        F.lit("base.json"), F.lit('{"compilerOptions": {"paths": {"~/*": ["./*", /* all */],},}, }'))).alias("path", "text"))
     tops = v("fx_docs").select("repo_id", F.substring_index("path", "/", 1).alias("top")).distinct()
-    return own.unionByName(tops.select("repo_id", F.concat("top", F.lit("/package.json")).alias("path"), F.concat(F.lit('{"name": "@w/'), "top", F.lit('", "exports": {"./*": "./*"}}')).alias("text")))
+    package = F.concat(F.lit('{"name": "@w/'), "top", F.lit('", // {"name": "no"}\n "exports": {"./*": "./*",}, "homepage": "https://example.org//x/*y*/",}'))
+    return own.unionByName(tops.select("repo_id", F.concat("top", F.lit("/package.json")).alias("path"), package.alias("text")))
 
 
 def es_statements(v) -> DataFrame:
@@ -399,12 +405,21 @@ query("resolve_python_imports", f"""SELECT repo_id, path, seq, CASE WHEN {PY} TH
   FROM ({JOINED}) WHERE path LIKE '%.py' AND seq < 3""")(lambda v: shown(MO.resolve_python(python_statements(v), all_paths(v))))
 
 
+def java_sources(v) -> DataFrame:
+    """Java files with a license, an annotation and the row's own words around the declaration."""
+    package = F.replace(P.parent_path(F.col("path")), F.lit("/"), F.lit("."))
+    words = F.translate(F.substring("text", 1, 200), "*/\n\r", "    ")
+    text = F.concat(F.lit("/* package wrong.one;\n * "), words, F.lit(" */\n// package wrong.two;\n@Made(\"by; hand)\") package "), package, F.lit(" ;\nimport java.util.List;\nclass A { String s = \"package wrong.three;\"; }\n"))
+    return v("fx_docs").filter("path LIKE '%.java'").select("repo_id", "path", text.alias("text"))
+
+
 def java_packages(v) -> DataFrame:
-    return v("fx_docs").filter("path LIKE '%.java'").select("repo_id", "path", F.replace(P.parent_path(F.col("path")), F.lit("/"), F.lit(".")).alias("package"))
+    return MO.java_packages(java_sources(v))
 
 
+query("java_packages", "SELECT repo_id, path, replace(regexp_extract(path, '^(.*)/[^/]*$', 1), '/', '.') AS package FROM fx_docs WHERE path LIKE '%.java'")(java_packages)
 query("resolve_java_imports", f"""SELECT repo_id, path, seq, CASE WHEN tpath LIKE '%.java' THEN 'internal' ELSE 'external' END AS state, CASE WHEN tpath LIKE '%.java' THEN tpath END AS target, CASE WHEN tpath NOT LIKE '%.java' THEN 'org.out' END AS name FROM ({JOINED}) WHERE path LIKE '%.java' AND seq < 3""")(
-    lambda v: shown(MO.resolve_java(asked(v, "java").filter("seq < 3").select("repo_id", "path", "seq", F.when(F.col("tpath").endswith(".java"), F.concat(F.replace(F.regexp_replace("tpath", r"\.java$", ""), F.lit("/"), F.lit(".")), F.lit(".Inner"))).otherwise("org.out.Thing").alias("specifier"), F.array(F.lit("Inner")).alias("names")), all_paths(v), java_packages(v))))
+    lambda v: shown(MO.resolve_java(java_statements(v), all_paths(v), java_packages(v))))
 
 
 def go_mods(v) -> DataFrame:
@@ -413,7 +428,7 @@ def go_mods(v) -> DataFrame:
 
 query("resolve_go_imports", """SELECT i.repo_id, i.path, i.seq, CASE WHEN i.seq = 1 THEN 'internal' ELSE 'external' END AS state, CASE WHEN i.seq = 1 THEN (SELECT min(g.path) FROM fx_docs g WHERE g.repo_id = i.repo_id AND g.path LIKE '%.go' AND regexp_extract(g.path, '^(.*)/[^/]*$', 1) = regexp_extract(i.path, '^(.*)/[^/]*$', 1)) END AS target,
   CASE WHEN i.seq <> 1 THEN 'github.com/a/b' END AS name FROM (SELECT repo_id, path, unnest([1, 2]) AS seq FROM fx_docs WHERE path LIKE '%.go') i""")(
-    lambda v: shown(MO.resolve_go(v("fx_docs").filter("path LIKE '%.go'").select("repo_id", "path", F.explode(F.array(F.struct(F.lit(1).alias("seq"), F.concat(F.lit('"example.org/'), P.parent_path(F.col("path")), F.lit('"')).alias("specifier")), F.struct(F.lit(2).alias("seq"), F.lit("github.com/a/b/c").alias("specifier")))).alias("s")).select("repo_id", "path", "s.*"), all_paths(v), go_mods(v))))
+    lambda v: shown(MO.resolve_go(go_statements(v), all_paths(v), go_mods(v))))
 
 
 def rust_statements(v) -> DataFrame:
@@ -424,26 +439,74 @@ def rust_statements(v) -> DataFrame:
     return i.select("repo_id", "path", "seq", F.when(F.col("tpath").endswith(".rs"), F.concat(top, F.lit("::"), inner, F.lit("::{Item, self}"))).otherwise("std::fmt::{self, Write}").alias("specifier"), F.lit("use").alias("kind"), F.array().cast("array<string>").alias("names"))
 
 
+def cargo_texts(v) -> DataFrame:
+    """A crate in each source, with a library file beside its directories; a line of each manifest is broken."""
+    tops = v("fx_docs").select("repo_id", F.substring_index("path", "/", 1).alias("top")).distinct()
+    text = F.concat(F.lit("# [lib]\n[package]\nname = \""), "top", F.lit('" # the name\nedition = \'2021\'\nbroken = = 1\n\n[dependencies]\nserde = { version = "1.0", features = ["derive", "rc"] }\n[bad header\nname = "no"\n[lib]\npath = "lib.rs"\n'))
+    return tops.select("repo_id", F.concat("top", F.lit("/Cargo.toml")).alias("path"), text.alias("text"))
+
+
 def rust_manifests(v) -> DataFrame:
-    """A crate in each source, with a library file beside its directories."""
+    return MO.cargo_manifests(cargo_texts(v))
+
+
+TOPS = "(SELECT DISTINCT repo_id, string_split(path, '/')[1] AS top FROM fx_docs)"
+query("cargo_manifests", f"SELECT repo_id, concat(top, '/Cargo.toml') AS path, top AS name, CAST(NULL AS VARCHAR) AS lib_name, 'lib.rs' AS lib_path FROM {TOPS}")(rust_manifests)
+
+
+def python_projects(v) -> DataFrame:
+    """In each source a pyproject.toml, a setup.cfg and a setup.py that declare where their code is."""
     tops = v("fx_docs").select("repo_id", F.substring_index("path", "/", 1).alias("top")).distinct()
-    return tops.select("repo_id", F.concat("top", F.lit("/Cargo.toml")).alias("path"), F.col("top").alias("name"), F.lit(None).cast("string").alias("lib_name"), F.lit("lib.rs").alias("lib_path"))
+    texts = {
+        "pyproject.toml": '[tool.setuptools.packages.find]\nwhere = [\n  "src", # more, ["no"]\n  "lib",\n]\n[tool.setuptools]\npackage-dir = {"" = "own"}\n[[tool.poetry.packages]]\ninclude = "x"\nfrom = "poet"\n[tool.hatch.build.targets.wheel]\npackages = ["hatch/pkg", """\n../outside/pkg"""]\n',
+        "a/setup.cfg": "[options]\r\npackage_dir =\r\n    = code # here\r\n[options.packages.find]\r\nwhere = in-ner\r\n", "b/setup.py": "setup(name='b', package_dir = {\n '': 'old'})\nwhere = [1]\n",
+    }
+    return tops.select("repo_id", "top", F.explode(F.create_map(*[F.lit(x) for pair in texts.items() for x in pair])).alias("name", "text")).select("repo_id", F.concat_ws("/", "top", "name").alias("path"), "text")
 
 
+query("declared_roots", f"SELECT repo_id, concat(top, '/', r) AS root FROM {TOPS}, (SELECT unnest(['src', 'lib', 'own', 'poet', 'hatch', 'a/code', 'a/in-ner', 'b/old']) AS r) UNION SELECT repo_id, 'outside' FROM {TOPS}")(
+    lambda v: MO.declared_roots(python_projects(v)))
 query("resolve_rust_imports", f"""SELECT repo_id, path, seq, CASE WHEN tpath LIKE '%.rs' THEN 'internal' ELSE 'external' END AS state, CASE WHEN tpath LIKE '%.rs' THEN tpath END AS target, CASE WHEN tpath NOT LIKE '%.rs' THEN 'std' END AS name FROM ({JOINED}) WHERE path LIKE '%.rs' AND seq < 3""")(
     lambda v: shown(MO.resolve_rust(rust_statements(v), all_paths(v).unionByName(rust_manifests(v).select("repo_id", F.concat("name", F.lit("/lib.rs")).alias("path"), F.lit(True).alias("in_graph"))), rust_manifests(v))))
 
 
+def java_statements(v) -> DataFrame:
+    named = F.when(F.col("tpath").endswith(".java"), F.concat(F.replace(F.regexp_replace("tpath", r"\.java$", ""), F.lit("/"), F.lit(".")), F.lit(".Inner"))).otherwise("org.out.Thing")
+    return asked(v, "java").filter("seq < 3").select("repo_id", "path", "seq", named.alias("specifier"), F.array(F.lit("Inner")).alias("names"))
+
+
+def go_statements(v) -> DataFrame:
+    own = F.struct(F.lit(1).alias("seq"), F.concat(F.lit('"example.org/'), P.parent_path(F.col("path")), F.lit('"')).alias("specifier"))
+    return v("fx_docs").filter("path LIKE '%.go'").select("repo_id", "path", F.explode(F.array(own, F.struct(F.lit(2).alias("seq"), F.lit("github.com/a/b/c").alias("specifier")))).alias("s")).select("repo_id", "path", "s.*")
+
+
 def dispatched(v) -> DataFrame:
+    """The statements of all five languages, with raw configurations."""
     none = F.array().cast("array<string>")
-    parts = [es_statements(v).withColumn("language", F.lit("typescript")), python_statements(v).withColumn("language", F.lit("python")), rust_statements(v).withColumn("language", F.lit("rust"))]
-    rows = [p.select("repo_id", "path", "seq", "specifier", F.lit("import").alias("kind"), F.col("names") if "names" in p.columns else none.alias("names"), "language") for p in parts]
+    parts = {"typescript": es_statements(v), "python": python_statements(v), "rust": rust_statements(v), "java": java_statements(v), "go": go_statements(v)}
+    rows = [p.select("repo_id", "path", "seq", "specifier", F.lit("import").alias("kind"), F.col("names") if "names" in p.columns else none.alias("names"), F.lit(name).alias("language")) for name, p in parts.items()]
     paths = all_paths(v).unionByName(rust_manifests(v).select("repo_id", F.concat("name", F.lit("/lib.rs")).alias("path"), F.lit(True).alias("in_graph")))
-    return MO.dispatch_resolution(rows[0].unionByName(rows[1]).unionByName(rows[2]), paths, es_configs(v), java_packages(v), rust_manifests(v))
+    configs = es_configs(v).unionByName(cargo_texts(v)).unionByName(go_mods(v))
+    return MO.dispatch_resolution(reduce(DataFrame.unionByName, rows), paths, configs, java_packages(v))
+
+
+STATE_OF = "CASE WHEN {} THEN 'internal' ELSE 'external' END"
+query("dispatch_resolution", f"""SELECT repo_id, state, count(*) AS statements FROM (SELECT repo_id, state FROM ({ES_SQL}) UNION ALL SELECT repo_id, {STATE_OF.format(PY)} FROM ({JOINED}) WHERE path LIKE '%.py' AND seq < 3
+  UNION ALL SELECT repo_id, {STATE_OF.format("tpath LIKE '%.rs'")} FROM ({JOINED}) WHERE path LIKE '%.rs' AND seq < 3 UNION ALL SELECT repo_id, {STATE_OF.format("tpath LIKE '%.java'")} FROM ({JOINED}) WHERE path LIKE '%.java' AND seq < 3
+  UNION ALL SELECT repo_id, unnest(['internal', 'external']) FROM fx_docs WHERE path LIKE '%.go') GROUP BY repo_id, state""")(lambda v: dispatched(v).groupBy("repo_id", "state").agg(F.count("*").alias("statements")))
+
+
+def commented(v) -> DataFrame:
+    """Each document's text as a string in a configuration with comments, in which it also stands."""
+    text = F.coalesce("text", F.lit(""))
+    plain = F.to_json(F.struct(text.alias("text"), F.array(F.col("doc_id"), F.lit(7)).alias("list")))
+    aside = F.concat(F.lit(" /* "), F.replace(text, F.lit("*/"), F.lit("")), F.lit(" */ // "), F.regexp_replace(text, r"[\r\n]", " "), F.lit("\n"))
+    raw = F.concat(F.lit("\ufeff"), aside, F.replace(F.left(plain, F.length(plain) - 2), F.lit(',"list"'), F.concat(F.lit(","), aside, F.lit('"list"'))), F.lit(", "), aside, F.lit("], }"))
+    return v("documents").select("doc_id", F.from_json(plain_json(raw), "text string, list array<long>").alias("j"))
 
 
-query("dispatch_resolution", f"""SELECT repo_id, state, count(*) AS statements FROM (SELECT repo_id, state FROM ({ES_SQL}) UNION ALL SELECT repo_id, CASE WHEN {PY} THEN 'internal' ELSE 'external' END FROM ({JOINED}) WHERE path LIKE '%.py' AND seq < 3
-  UNION ALL SELECT repo_id, CASE WHEN tpath LIKE '%.rs' THEN 'internal' ELSE 'external' END FROM ({JOINED}) WHERE path LIKE '%.rs' AND seq < 3) GROUP BY repo_id, state""")(lambda v: dispatched(v).groupBy("repo_id", "state").agg(F.count("*").alias("statements")))
+query("plain_json", "SELECT doc_id, md5(coalesce(text, '')) AS text, CAST(doc_id + 7 AS BIGINT) AS total FROM documents")(
+    lambda v: commented(v).select("doc_id", F.md5("j.text").alias("text"), F.aggregate("j.list", F.lit(0).cast("long"), lambda a, x: a + x).alias("total")))
 
 # --- streams, run through ------------------------------------------------------------------------------------------------
 
@@ -459,9 +522,12 @@ def run_events(v) -> DataFrame:
 
 query("run_state", """SELECT run_id, CASE WHEN run_id::BIGINT % 3 = 0 THEN 'complete' WHEN run_id::BIGINT % 5 = 0 THEN 'error' ELSE 'loading' END AS status, CAST(count(*) FILTER (WHERE last % 2 = 0 OR run_id::BIGINT % 3 = 0) AS BIGINT) AS finished, run_id::BIGINT % 3 = 0 OR run_id::BIGINT % 5 = 0 AS ended
   FROM (SELECT CAST(conv_id AS VARCHAR) AS run_id, turn % 8 AS stage, max(turn) AS last FROM conversations GROUP BY ALL) GROUP BY run_id""")(lambda v: ST.run_state_batch(run_events(v)).select("run_id", "status", "finished", "ended"))
-query("parse_event_stream", """SELECT bad AS reason, count(*) AS lines, round(sum(CASE WHEN bad IS NULL THEN least(1, turn + 0.5) END), 3)::DOUBLE AS progress FROM (
-  SELECT *, CASE WHEN (conv_id * 31 + turn) % 13 = 0 THEN 'malformed' WHEN turn % 5 = 4 THEN 'unknown-type' END AS bad FROM conversations) GROUP BY bad""")(
-    lambda v: ST.replay(event_lines(v).select("value"), ST.parse_events, "value").groupBy("reason").agg(F.count("*").alias("lines"), F.round(F.sum(F.when(F.col("reason").isNull(), F.col("progress"))), 3).alias("progress")))
+query("parse_event_stream", """SELECT bad AS reason, count(*) AS lines, round(sum(CASE WHEN bad IS NULL THEN least(1, (turn % 9) / 8.0) END), 3)::DOUBLE AS progress, max(CASE WHEN bad IS NULL THEN length(m) END) AS longest FROM (
+  SELECT *, CASE WHEN (conv_id * 31 + turn) % 13 = 0 THEN 'malformed' WHEN turn % 7 = 6 THEN NULL WHEN turn % 5 = 4 THEN 'unknown-type' WHEN turn % 8 = 5 THEN 'unknown-stage' WHEN turn % 6 = 0 THEN 'unknown-status' END AS bad,
+    CASE WHEN length(flat) > 160 THEN concat(left(flat, 159), '…') ELSE nullif(flat, '') END AS m
+  FROM (SELECT *, trim(regexp_replace(coalesce(text, ''), '[\\x00-\\x1f\\x7f]+', ' ', 'g')) AS flat FROM conversations)) GROUP BY bad""")(
+    lambda v: ST.replay(event_lines(v).select("value"), ST.parse_events, "value").groupBy("reason").agg(
+        F.count("*").alias("lines"), F.round(F.sum(F.when(F.col("reason").isNull(), F.col("progress"))), 3).alias("progress"), F.max(F.when(F.col("reason").isNull(), F.length("message"))).alias("longest")))
 query("commit_counts_stream", "SELECT repo_id, epoch_us(date_trunc('week', date)::TIMESTAMP) AS bucket_start, count(*) AS commits FROM fx_commits GROUP BY ALL")(
     lambda v: micros(ST.replay(v("fx_commits").select("repo_id", "date"), lambda s: ST.commit_counts(s, "7 days"), "repo_id,bucket_start", "complete"), "bucket_start"))
 query("trailing_windows_stream", "SELECT repo_id, epoch_us(date_trunc('day', date)::TIMESTAMP + to_days(CAST(k AS INT))) AS cursor, count(*) AS commits FROM fx_commits, (SELECT unnest(range(1, 8)) AS k) GROUP BY ALL")(

@@ -387,16 +387,24 @@ query("search_top_k")(lambda v: E.search_top_k(v("fx_queries"), entries(v), 50))
 
 # --- events and streams --------------------------------------------------------------------------------------------------
 
-LINE = """CASE WHEN (conv_id * 31 + turn) % 13 = 0 THEN '{"type":"st' ELSE concat('{"type":"', CASE WHEN turn % 5 = 4 THEN 'note' ELSE 'stage' END, '","run_id":"', conv_id, '","stage":"s', turn % 4, '","status":"', CASE WHEN turn % 3 = 2 THEN 'running' ELSE 'complete' END, '","progress":', turn, '.5}') END"""
+STAGE_AT = "element_at(array('connect', 'tree', 'languages', 'fetch', 'parse', 'dependencies', 'history', 'construct'), CAST(turn % 8 + 1 AS INT))"
 
 
 def event_lines(v) -> DataFrame:
-    return v("conversations").select("conv_id", "turn", F.expr(LINE).alias("value"))
-
-
-query("active_stage", """SELECT run_id, arg_max(stage, seq) FILTER (WHERE status = 'running') AS active, count(*) FILTER (WHERE status = 'complete') AS finished FROM (
-  SELECT CAST(conv_id AS VARCHAR) AS run_id, concat('s', turn % 4) AS stage, max(turn) AS seq, arg_max(CASE WHEN turn % 3 = 2 THEN 'running' ELSE 'complete' END, turn) AS status FROM conversations GROUP BY ALL) GROUP BY run_id""")(
-    lambda v: ST.active_stage(v("conversations").select(F.col("conv_id").cast("string").alias("run_id"), F.concat(F.lit("s"), F.col("turn") % 4).alias("stage"), F.col("turn").alias("seq"), F.when(F.col("turn") % 3 == 2, "running").otherwise("complete").alias("status"))))
+    """A line for each turn: heartbeats, stages and unknown kinds, stages and statuses by turns, and some that are cut off."""
+    stage = F.expr(f"CASE WHEN turn % 8 = 5 THEN 'nowhere' ELSE {STAGE_AT} END")
+    kind = F.expr("CASE WHEN turn % 7 = 6 THEN 'heartbeat' WHEN turn % 5 = 4 THEN 'note' ELSE 'stage' END")
+    status = F.expr("CASE WHEN turn % 6 = 0 THEN 'bogus' WHEN turn % 3 = 2 THEN 'progress' ELSE 'done' END")
+    line = F.to_json(F.struct(kind.alias("type"), F.col("conv_id").cast("string").alias("run_id"), stage.alias("stage"), status.alias("status"), F.expr("CAST(turn % 9 AS DOUBLE) / 8").alias("progress"), F.coalesce("text", F.lit("")).alias("message")))
+    return v("conversations").select("conv_id", "turn", F.when((F.col("conv_id") * 31 + F.col("turn")) % 13 == 0, F.left(line, F.lit(12))).otherwise(line).alias("value"))
+
+
+query("active_stage", """SELECT run_id, ['connect', 'tree', 'languages', 'fetch', 'parse', 'dependencies', 'history', 'construct'][max(k + 1) FILTER (WHERE status = 'progress' OR status = 'start')] AS active,
+    count(*) FILTER (WHERE status IN ('done', 'warning', 'skipped')) AS finished
+  FROM (SELECT CAST(conv_id AS VARCHAR) AS run_id, turn % 8 AS k, arg_max(['done', 'progress', 'warning', 'start', 'skipped'][CAST((conv_id + turn) % 5 + 1 AS INT)], turn) AS status FROM conversations GROUP BY ALL) GROUP BY run_id""")(
+    lambda v: ST.active_stage(v("conversations").select(
+        F.col("conv_id").cast("string").alias("run_id"), F.expr(STAGE_AT).alias("stage"), F.col("turn").alias("seq"),
+        F.expr("element_at(array('done', 'progress', 'warning', 'start', 'skipped'), CAST((conv_id + turn) % 5 + 1 AS INT))").alias("status"))))
 query("check_references", """SELECT 'commit_files.sha' AS rule, (SELECT count(*) FROM fx_commit_files f ANTI JOIN fx_commits c ON c.repo_id = f.repo_id AND c.sha = f.sha) AS violations UNION ALL SELECT 'commit_files.path', (SELECT count(*) FROM fx_commit_files f ANTI JOIN inv d ON d.repo_id = f.repo_id AND d.path = f.path)
   UNION ALL SELECT 'symbols.path', (SELECT count(*) FROM fx_symbols f ANTI JOIN inv d ON d.repo_id = f.repo_id AND d.path = f.path) UNION ALL SELECT 'edges.self', (SELECT count(*) FROM fx_edges WHERE source = target)""", INV)(
     lambda v: R.check_references({"commit_files.sha": (v("fx_commit_files"), v("fx_commits"), ["repo_id", "sha"]), "commit_files.path": (v("fx_commit_files"), inventory(v), ["repo_id", "path"]), "symbols.path": (v("fx_symbols"), inventory(v), ["repo_id", "path"])}, {"edges.self": v("fx_edges").filter("source = target")}))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import characters as C
 from ..functions import paths as P
 from ..functions import text as X
 
@@ -19,7 +20,8 @@ SNIFF, CONTROL = 8192, 0.3
 
 def valid_login(login: Column) -> Column:
     """A login of an account or an app; else null."""
-    return F.when(login.rlike(r"^[A-Za-z0-9][-A-Za-z0-9]{0,38}(\[bot\])?$"), login)
+    account = F.when(login.endswith("[bot]"), F.left(login, F.length(login) - 5)).otherwise(login)
+    return F.when(C.only(account, C.ALNUM + "-") & ~account.startswith("-") & F.length(account).between(1, 39), login)
 
 
 def flatten_commits(raw: DataFrame) -> DataFrame:

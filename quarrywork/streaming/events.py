@@ -7,33 +7,51 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions.text import truncate
 from ..shared import shared_dir
 
+# Stages in order; the statuses of a stage, those of one that runs and those of one that has ended; the kinds of events; characters of a message kept.
+STAGES = ("connect", "tree", "languages", "fetch", "parse", "dependencies", "history", "construct")
+RUNNING, ENDED = ("start", "progress"), ("done", "skipped", "warning")
+TYPES = ("stage", "warning", "preview", "complete", "error", "heartbeat")
+MESSAGE = 160
 EVENT = "type string, run_id string, stage string, status string, progress double, message string"
-TYPES = ("stage", "warning", "preview", "complete", "error")
+
+
+def clean_message(message: Column) -> Column:
+    """Runs of control characters become a space; cut with an ellipsis; null if nothing is left."""
+    flat = F.trim(F.regexp_replace(message, r"[\x00-\x1f\x7f]+", " "))
+    return F.nullif(truncate(flat, MESSAGE), F.lit(""))
 
 
 def parse_events(lines: DataFrame) -> DataFrame:
-    """value (one JSON event a line) -> the event's fields and reason, which says why a line goes to the dead letters; null for good ones."""
+    """value (one JSON event a line) -> the event's fields and reason, which says why a line goes to the dead letters; null for good ones.
+
+    A stage's event has a known stage and status; other kinds say nothing of either.
+    """
     read = lines.withColumn("e", F.from_json("value", EVENT))
-    reason = F.when(F.col("e").isNull() | F.col("e.type").isNull(), "malformed").when(~F.col("e.type").isin(*TYPES), "unknown-type").when((F.col("e.type") == "stage") & F.col("e.stage").isNull(), "no-stage")
-    return read.select("value", "e.type", "e.run_id", "e.stage", "e.status", F.greatest(F.lit(0.0), F.least(F.lit(1.0), "e.progress")).alias("progress"), F.substring("e.message", 1, 160).alias("message"), reason.alias("reason"))
+    is_stage, known = F.col("e.type") == "stage", lambda c, names: F.coalesce(F.col(c).isin(*names), F.lit(False))
+    reason = (
+        F.when(F.col("e").isNull() | F.col("e.type").isNull(), "malformed").when(~F.col("e.type").isin(*TYPES), "unknown-type")
+        .when(is_stage & ~known("e.stage", STAGES), "unknown-stage").when(is_stage & ~known("e.status", RUNNING + ENDED), "unknown-status")
+    )
+    progress = F.when(~F.isnan("e.progress"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), "e.progress")))
+    return read.select("value", "e.type", "e.run_id", "e.stage", "e.status", progress.alias("progress"), clean_message(F.col("e.message")).alias("message"), reason.alias("reason"))
 
 
 def active_stage(events: DataFrame) -> DataFrame:
-    """events (run_id, seq, stage, status) -> the latest stage that has not ended and the number that have, by run."""
-    latest = events.groupBy("run_id", "stage").agg(F.max("seq").alias("seq"), F.max_by("status", "seq").alias("status"))
-    ended = F.col("status").isin("complete", "skipped", "error")
-    return latest.groupBy("run_id").agg(F.max_by(F.when(~ended, F.col("stage")), F.when(~ended, F.col("seq"))).alias("active"), F.count_if(ended).alias("finished"))
+    """events (run_id, seq, stage, status) -> the last of the stages, in their order, that runs, and the number that have ended, by run. Unknown stages do not count."""
+    latest = events.filter(F.col("stage").isin(*STAGES)).groupBy("run_id", "stage").agg(F.max_by("status", "seq").alias("status"))
+    runs, place = F.col("status").isin(*RUNNING), F.array_position(F.array(*map(F.lit, STAGES)), F.col("stage"))
+    return latest.groupBy("run_id").agg(F.max_by(F.when(runs, F.col("stage")), F.when(runs, place)).alias("active"), F.count_if(F.col("status").isin(*ENDED)).alias("finished"))
 
 
-#: Stages in order. Fixed values. A run that says nothing for this long is forgotten, in milliseconds.
-STAGES = ("connect", "tree", "languages", "fetch", "parse", "dependencies", "history", "construct")
+#: A run that says nothing for this long is forgotten, in milliseconds.
 FORGET = 120_000
 RUN = "run_id string, status string, stages string, finished int, progress double, warnings int, ended boolean"
 
@@ -49,7 +67,7 @@ def _after(state: dict, event: dict) -> dict:
         state["status"] = "error"
     elif kind == "complete":
         state["status"] = "complete"
-        state["stages"] = {k: ("done", 1.0) if s in ("start", "progress") else (s, p) for k, (s, p) in state["stages"].items()}
+        state["stages"] = {k: ("done", 1.0) if s in RUNNING else (s, p) for k, (s, p) in state["stages"].items()}
     elif kind == "stage":
         before = state["stages"].get(event["stage"], (None, None))[1]
         status, progress = event["status"], event["progress"]
@@ -62,7 +80,7 @@ def _after(state: dict, event: dict) -> dict:
 def _shown(run: str, state: dict) -> tuple:
     known = [s for s in STAGES if s in state["stages"]] + sorted(s for s in state["stages"] if s not in STAGES)
     shares = [p if p is not None else 0.0 for _, p in state["stages"].values()]
-    ended = sum(s in ("done", "skipped", "warning") for s, _ in state["stages"].values())
+    ended = sum(s in ENDED for s, _ in state["stages"].values())
     return run, state["status"], ",".join(f"{s}={state['stages'][s][0]}" for s in known), ended, float(sum(shares) / len(shares)) if shares else 0.0, len(state["warnings"]), state["status"] in ("complete", "error")
 
 

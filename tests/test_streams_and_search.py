@@ -24,14 +24,23 @@ def through(spark, df, stream, tmp_path, mode="append"):
 
 
 def test_events(spark, tmp_path):
-    lines = ['{"type":"stage","run_id":"1","stage":"tree","progress":7}', '{"type":"st', '{"type":"other"}', '{"type":"stage"}', "", '{"type":"error","message":"%s"}' % ("x" * 300)]
+    lines = [
+        '{"type":"stage","run_id":"1","stage":"tree","status":"progress","progress":7}', '{"type":"st', '{"type":"other"}', '{"type":"stage"}', "", '{"type":"error","message":"%s"}' % ("x" * 300),
+        '{"type":"heartbeat"}', '{"type":"stage","stage":"tree","status":"bogus"}', '{"type":"warning","message":" a\\u0000\\n b "}',
+    ]
     df = spark.createDataFrame([(x,) for x in lines], ["value"])
     batch = {r.value: r for r in ST.parse_events(df).collect()}
-    assert [batch[x].reason for x in lines] == [None, "malformed", "unknown-type", "no-stage", "malformed", None]
-    assert batch[lines[0]].progress == 1.0 and len(batch[lines[5]].message) == 160
+    assert [batch[x].reason for x in lines] == [None, "malformed", "unknown-type", "unknown-stage", "malformed", None, None, "unknown-status", None]
+    assert batch[lines[0]].progress == 1.0 and batch[lines[5]].message == "x" * 159 + "…" and batch[lines[8]].message == "a  b"
     assert sorted(map(str, through(spark, df, ST.parse_events, tmp_path).collect())) == sorted(map(str, batch.values()))
 
 
+def test_active_stage(spark):
+    rows = [("a", 1, "tree", "done"), ("a", 2, "fetch", "start"), ("a", 5, "fetch", "progress"), ("a", 3, "parse", "start"), ("a", 4, "parse", "done"), ("a", 6, "history", "warning"), ("a", 7, "made-up", "start"), ("b", 1, "parse", "start"), ("b", 2, "tree", "start"), ("c", 1, "tree", "skipped")]
+    df = spark.createDataFrame(rows, "run_id string, seq int, stage string, status string")
+    assert {r.run_id: (r.active, r.finished) for r in ST.active_stage(df).collect()} == {"a": ("fetch", 3), "b": ("parse", 0), "c": (None, 1)}
+
+
 def test_counts_and_dedupe(spark, tmp_path):
     rows = [("r", f"s{i % 40}", (pd.Timestamp("2024-01-01") + pd.Timedelta(hours=7 * (i % 40))).to_pydatetime()) for i in range(80)]
     df = spark.createDataFrame(rows, "repo_id string, sha string, date timestamp")
