@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from ..functions import paths as P
 from ..functions import text as X
+from ..functions.names import let
 from ..shared import settle
 
 # Fixed values of the score.
@@ -22,8 +23,8 @@ DELIMITERS = " #$(,-.:<@_"
 LONGEST = 256
 PRIORS = {"class": 4, "interface": 4, "struct": 4, "trait": 4, "enum": 3, "type": 3, "function": 3, "module": 2, "method": 2, "constant": 1, "variable": 0}
 LOW = -(10**9)
-#: Queries that are broadcast at most.
-FEW_QUERIES = 2000
+#: Queries that are broadcast at most; more of them meet the index in a shuffled join.
+FEW_QUERIES = 20_000
 
 
 def search_entries(directories: DataFrame, files: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -187,25 +188,74 @@ def rank_tier(by_name: Column) -> Column:
     return F.when(by_name, F.when(name == q, 40_000).when(F.col("stem") == q, 35_000).when(name.startswith(q), 30_000).otherwise(20_000)).otherwise(F.when(suffix, 30_000).otherwise(0))
 
 
-def candidate_pairs(queries: DataFrame, entries: DataFrame) -> DataFrame:
-    """Queries and entries whose name or path holds all the query's characters, whatever their order: entries' columns, query_id, query, original, is_path, by_name, by_path.
+def pairs_in_order(text: Column) -> Column:
+    """The index keys of a text: its characters, and each two of them of which the first stands before the other, once each."""
+    chars = F.transform(F.array_distinct(F.split(text, "")), lambda c: F.struct(c.alias("c"), F.instr(text, c).alias("first"), F.instr(F.reverse(text), c).alias("from_end")))
+    two = lambda some: F.flatten(F.transform(some, lambda x: F.transform(F.filter(some, lambda y: x["first"] + y["from_end"] <= F.length(text)), lambda y: F.concat(x["c"], y["c"]))))
+    return let(F.filter(chars, lambda x: x["c"] != ""), lambda some: F.concat(F.transform(some, lambda x: x["c"]), two(some)))
 
-    Queries are few: a stated set that meets all entries. Up to FEW_QUERIES, counted here, they go to every task; more of them are dealt in blocks that all entries visit.
+
+def query_keys(query: Column) -> Column:
+    """The keys that a text must have to hold the query: its neighbouring characters, or its only one."""
+    size = F.length(query)
+    return F.when(size == 1, F.array(query)).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), size - 1)), lambda i: F.substring(query, i, F.lit(2))))
+
+
+def _in_order(query: Column) -> Column:
+    """A pattern for LIKE: the query's characters in order, whatever stands between."""
+    return F.concat(F.lit("%"), F.array_join(F.transform(F.split(query, ""), lambda c: F.when(c.isin("%", "_", "\\"), F.concat(F.lit("\\"), c)).otherwise(c)), "%"), F.lit("%"))
+
+
+def matches(queries: DataFrame, texts: DataFrame) -> DataFrame:
+    """queries (query_id, query, ...), texts (text: each once) -> the queries' columns and text, of each query with each text that holds its characters in order.
+
+    An index with the texts' ordered pairs of characters as its keys: a query looks under the one of its keys that fewest texts have. Only the keys that queries ask for leave
+    a task, counted; then the texts meet the queries under these, in a hash join, and what they find is checked in whole.
     """
+    low = F.lower("text")
+    asked = queries.select("query_id", F.explode(query_keys(F.col("query"))).alias("key"))
+    few = queries.count() <= FEW_QUERIES
+    side = F.broadcast if few else (lambda df: df)
+    posted = texts.select(F.explode(pairs_in_order(low)).alias("key")).join(side(asked.select("key").distinct()), "key", "left_semi")
+    counts = settle(posted.groupBy("key").agg(F.count("*").alias("n")), "search-counts")
+    best = asked.join(counts, "key", "left").groupBy("query_id").agg(F.min_by("key", F.struct(F.coalesce("n", F.lit(0)), "key")).alias("key"), F.min(F.coalesce("n", F.lit(0))).alias("n"))
+    best = settle(queries.join(best.filter("n > 0").drop("n"), "query_id").withColumn("pattern", _in_order(F.col("query"))), "search-keys")
+    wanted = side(best.select("key").distinct())
+    found = texts.select("text", F.explode(pairs_in_order(low)).alias("key")).join(wanted, "key", "left_semi").join(side(best), "key")
+    holds = F.col("asked").bitwiseAND(F.bitwise_not(character_mask(low))) == 0
+    return found.filter(holds).filter(F.like(low, F.col("pattern"))).drop("key", "pattern")
+
+
+def prepared(queries: DataFrame) -> DataFrame:
+    """query_id, query, original, asked (mask), is_path of the queries that ask for something."""
     q = queries.select("query_id", X.prepare_query(F.col("query")).alias("query"), X.original_query(F.col("query")).alias("original")).filter("query <> ''")
-    q = settle(q.withColumn("asked", character_mask(F.col("query"))).withColumn("is_path", F.col("query").contains("/")), "search-queries")
-    e = entries.withColumn("name_mask", character_mask(F.lower("name"))).withColumn("path_mask", character_mask(F.lower("path")))
-    lacks = lambda mask: F.col("asked").bitwiseAND(F.bitwise_not(mask)) == 0
-    by_name, by_path = ~F.col("is_path") & lacks("name_mask"), (F.col("path") != "") & lacks("path_mask")
-    n = q.count()
-    if n <= FEW_QUERIES:
-        pairs = e.join(F.broadcast(q), by_name | by_path)
-    else:
-        blocks = -(-n // FEW_QUERIES)
-        q = q.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
-        spread = e.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64)).cast("int"))
-        pairs = spread.join(q.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(63)))), ["block", "salt"]).filter(by_name | by_path).drop("block", "salt")
-    return pairs.withColumn("by_name", by_name).withColumn("by_path", by_path).drop("asked", "name_mask", "path_mask")
+    return settle(q.withColumn("asked", character_mask(F.col("query"))).withColumn("is_path", F.col("query").contains("/")), "search-queries")
+
+
+def candidate_pairs(queries: DataFrame, entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(by name, by path): query_id, query, original, text and the entries' columns, for entries whose name (of queries without a slash) or path holds the query in order."""
+    q = prepared(queries)
+    named = matches(q.filter("NOT is_path"), entries.select(F.col("name").alias("text")).distinct())
+    pathed = matches(q, entries.filter("path <> ''").select(F.col("path").alias("text")).distinct())
+    both = []
+    for found, column in ((named, "name"), (pathed, "path")):
+        found = settle(found.select("query_id", "query", "original", "text"), f"search-{column}s")
+        both.append(entries.filter(F.col(column) != "").join(found, F.col(column) == F.col("text")))
+    return both[0], both[1]
+
+
+def scored_pairs(queries: DataFrame, entries: DataFrame) -> DataFrame:
+    """Candidates with by_name and score; the path counts only where the name does not match. Each query and text is aligned once, however many entries have the text."""
+    none, key = F.lit(float("-inf")), ["query_id", "repo_id", "kind", "id"]
+    by_name, by_path = candidate_pairs(queries, entries)
+
+    def aligned(pairs: DataFrame, label: str) -> DataFrame:
+        texts = pairs.select("query_id", "query", "original", "text").distinct().withColumn("dp", fuzzy_score("query", "original", "text"))
+        return pairs.join(settle(texts.filter(F.col("dp") > none).select("query_id", "text", "dp"), label), ["query_id", "text"])
+
+    names = aligned(by_name, "search-name-scores").withColumn("by_name", F.lit(True))
+    paths = aligned(by_path.join(names.select(*key), key, "left_anti"), "search-path-scores").withColumn("by_name", F.lit(False))
+    return names.unionByName(paths).drop("text").withColumn("score", rank_tier(F.col("by_name")) + F.col("dp") + F.col("bias"))
 
 
 def search_top_k(queries: DataFrame, entries: DataFrame, k: int = 50, kinds: tuple[str, ...] = (), suggested: DataFrame | None = None) -> DataFrame:
@@ -216,12 +266,7 @@ def search_top_k(queries: DataFrame, entries: DataFrame, k: int = 50, kinds: tup
     """
     if kinds:
         entries = entries.filter(F.col("kind").isin(*kinds))
-    pairs = candidate_pairs(queries, entries)
-    none = F.lit(float("-inf"))
-    named = pairs.withColumn("dp_name", F.when(F.col("by_name"), fuzzy_score("query", "original", F.when(F.col("by_name"), F.col("name")).otherwise(""))).otherwise(none))
-    needs = F.col("by_path") & (F.col("dp_name") == none)
-    both = named.withColumn("dp_path", F.when(needs, fuzzy_score("query", "original", F.when(needs, F.col("path")).otherwise(""))).otherwise(none)).withColumn("by_name", F.col("dp_name") > none)
-    scored = both.withColumn("dp", F.greatest("dp_name", "dp_path")).filter(F.col("dp") > none).withColumn("score", rank_tier(F.col("by_name")) + F.col("dp") + F.col("bias"))
+    scored = scored_pairs(queries, entries)
     place = F.row_number().over(Window.partitionBy("query_id", "repo_id").orderBy(F.desc("score"), "title", "id"))
     top = scored.withColumn("place", place).filter(F.col("place") <= k)
     at = match_positions("query", "original", F.when(F.col("by_name"), F.col("name")).otherwise(F.col("path")))
@@ -234,4 +279,5 @@ def search_top_k(queries: DataFrame, entries: DataFrame, k: int = 50, kinds: tup
     empty = queries.filter(F.coalesce(X.prepare_query(F.col("query")), F.lit("")) == "").select("query_id")
     own = suggested.filter(F.col("kind").isin(*kinds)) if kinds else suggested
     own = own.withColumn("place", F.row_number().over(Window.partitionBy("repo_id").orderBy(F.desc("kind"), "place"))).filter(F.col("place") <= k)
-    return out.unionByName(own.crossJoin(F.broadcast(empty)).select("query_id", "repo_id", "kind", "id", "title", F.lit(None).cast("double").alias("score"), "place", F.array().cast("array<int>").alias("positions")))
+    # every suggestion answers every empty query: both sides are few, the suggestions of a repository at most k
+    return out.unionByName(own.withColumn("_all", F.lit(1)).join(empty.withColumn("_all", F.lit(1)), "_all").select("query_id", "repo_id", "kind", "id", "title", F.lit(None).cast("double").alias("score"), "place", F.array().cast("array<int>").alias("positions")))

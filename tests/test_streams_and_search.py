@@ -188,3 +188,17 @@ def test_a_long_ring_and_its_tails(spark):
     began = time.time()
     got = {(r.component, r["size"], r["first"], r["edges"]) for r in G.import_cycles(df).collect()}
     assert got == {(name(2999), 3000, name(0), 3000), ("d", 4, "a", 5)} and time.time() - began < 600
+
+
+def test_index_finds_what_a_scan_finds(spark, monkeypatch):
+    rng = random.Random(12)
+    texts = ["".join(rng.choice("abcAB_%/.1\\é") for _ in range(rng.randrange(0, 14))) for _ in range(300)]
+    asked = ["a", "ab", "aa", "bab", "%", "_a", "/", "é1", "zz", "a.b/1", "\\", "abcabc"]
+    df = spark.createDataFrame([(t,) for t in set(texts)], "text string")
+    want = sorted((i, t) for i, q in enumerate(asked) for t in set(texts) if E.is_subsequence(q, t.lower()))
+    queries = spark.createDataFrame(list(enumerate(asked)), "query_id long, query string").withColumn("original", F.col("query")).withColumn("asked", E.character_mask(F.col("query")))
+    for few in (E.FEW_QUERIES, 0):
+        monkeypatch.setattr(E, "FEW_QUERIES", few)
+        got = E.matches(queries, df)
+        assert sorted((r.query_id, r.text) for r in got.select("query_id", "text").collect()) == want
+    assert "NestedLoop" not in got._jdf.queryExecution().toString() and "Cartesian" not in got._jdf.queryExecution().toString()
