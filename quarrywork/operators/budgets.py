@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import paths as P
 from ..shared import settle
+from .ordered import ranged, running
 
 
 def fetch_class(is_config: Column, max_parse: int, max_file: int, text_limit: int) -> Column:
@@ -20,29 +21,58 @@ def fetch_class(is_config: Column, max_parse: int, max_file: int, text_limit: in
     )
 
 
+#: Repositories whose state is broadcast at most.
+FEW = 200_000
+SEGMENT = "struct<until: bigint, most: bigint, last: boolean>"
+
+
 def byte_budget(items: DataFrame, budget: int | DataFrame) -> DataFrame:
     """items (repo_id, place, size, ...) in the order of place: an item is taken if it still fits, else skipped, and the next one is tried. Adds taken.
 
-    budget: bytes for every repository, or repo_id and left.
+    budget: bytes for every repository, or repo_id and left; one without a budget takes nothing. Sizes are not negative; places are whole numbers, each once.
 
-    Each pass takes the longest prefix that fits and rejects all that is larger than what is left; that only falls, so both are final.
-    The passes end when every item is decided. Open items are written to the shared folder after each pass.
+    A repository goes through segments of its items, two in a round. In the first all that is not larger than the room left is taken, up to the first item that no longer
+    fits. In the second, with b the largest power of two within the room, items under b are taken as they come, and larger ones pass until one fits or the
+    room falls under b. So the room loses a binary digit in each round: there are at most as many rounds as the budget has digits, however many items there are
+    and however their sizes stand. A round is two sums over the items; what is kept of it is where a segment ends, what it takes, and whether its last item is taken.
     """
-    left = budget.select("repo_id", "left") if isinstance(budget, DataFrame) else items.select("repo_id").distinct().withColumn("left", F.lit(budget).cast("long"))
-    open_, taken = items, None
-    while True:
-        run = F.sum("size").over(Window.partitionBy("repo_id").orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
-        fits = open_.join(left, "repo_id").filter(F.col("size") <= F.col("left")).withColumn("run", run)
-        fits = settle(fits, "budget-pass")
-        now = fits.filter("run <= left").drop("run", "left")
-        taken = now if taken is None else taken.unionByName(now)
-        spent = now.groupBy("repo_id").agg(F.sum("size").alias("spent"))
-        left = settle(left.join(spent, "repo_id", "left").select("repo_id", (F.col("left") - F.coalesce("spent", F.lit(0))).alias("left")), "budget-left")
-        open_ = fits.filter("run > left").drop("run", "left")
-        if open_.isEmpty():
-            break
-    keys = taken.select("repo_id", "place", F.lit(True).alias("taken"))
-    return items.join(keys, ["repo_id", "place"], "left").withColumn("taken", F.coalesce("taken", F.lit(False)))
+    rows = ranged(items.select("repo_id", F.col("place").cast("long").alias("place"), F.col("size").cast("long").alias("size")), "repo_id", [F.col("place")], "budget-items")
+    given = budget.select("repo_id", "left") if isinstance(budget, DataFrame) else rows.select("repo_id").distinct().withColumn("left", F.lit(budget))
+    none = F.array().cast(f"array<{SEGMENT}>")
+    state = settle(given.filter("left >= 0").select("repo_id", F.col("left").cast("long").alias("left"), F.lit(None).cast("long").alias("at"), F.lit(False).alias("done"), none.alias("segments")), "budget-state")
+    few = state.count() <= FEW
+    side = F.broadcast if few else (lambda df: df)
+    while not state.filter("NOT done").isEmpty():
+        for step in (_all_that_fit, _under_a_power):
+            now = side(state.filter("NOT done").select("repo_id", "left", "at"))
+            open_ = rows.join(now, "repo_id").filter((F.col("at").isNull() | (F.col("place") > F.col("at"))) & (F.col("size") <= F.col("left")))
+            state = settle(state.join(step(open_), "repo_id", "left").select(
+                "repo_id", (F.col("left") - F.coalesce("spent", F.lit(0))).alias("left"), F.coalesce("until", "at").alias("at"), (F.col("done") | F.col("until").isNull()).alias("done"),
+                F.when(F.col("done") | F.col("most").isNull(), F.col("segments")).otherwise(F.concat("segments", F.array(F.struct("until", "most", "last").cast(SEGMENT)))).alias("segments")), "budget-state")
+    found = items.join(side(state.select("repo_id", "segments")), "repo_id", "left")
+    own = F.get(F.filter("segments", lambda s: s["until"].isNull() | (F.col("place") <= s["until"])), F.lit(0))
+    last = own["until"].eqNullSafe(F.col("place"))
+    taken = F.when(last, own["last"]).otherwise(F.col("size") <= own["most"])
+    return found.withColumn("taken", F.coalesce(taken, F.lit(False))).drop("segments")
+
+
+def _all_that_fit(open_: DataFrame) -> DataFrame:
+    """repo_id, until (the first item that no longer fits, null if there is none), most (size taken), last (whether the item there is taken), spent."""
+    summed = running(open_, "repo_id", [F.col("place")], F.col("size"), "run")
+    fits = F.col("run") <= F.col("left")
+    return summed.groupBy("repo_id").agg(F.min(F.when(~fits, F.col("place"))).alias("until"), F.max("left").alias("most"), F.lit(False).alias("last"), F.max(F.when(fits, F.col("run"))).alias("spent"))
+
+
+def _under_a_power(open_: DataFrame) -> DataFrame:
+    """The same for items under the largest power of two within the room, up to the first larger one that fits or where the room falls under the power."""
+    power = F.when(F.col("left") > 0, F.pow(F.lit(2.0), F.length(F.bin("left")) - 1).cast("long")).otherwise(1)
+    marked = open_.withColumn("power", power).withColumn("small", F.col("size") < F.col("power"))
+    summed = running(marked, "repo_id", [F.col("place")], F.when(F.col("small"), F.col("size")).otherwise(0), "run")
+    ends = F.when(F.col("small"), (F.col("left") > 0) & (F.col("left") - F.col("run") < F.col("power"))).otherwise(F.col("size") + F.col("run") <= F.col("left"))
+    until = F.min(F.when(ends, F.struct("place", "small", "size", "run")))
+    found = summed.groupBy("repo_id").agg(until.alias("end"), F.max("power").alias("power"), F.max("run").alias("all"))
+    spent = F.when(F.col("end").isNull(), F.col("all")).otherwise(F.col("end.run") + F.when(F.col("end.small"), 0).otherwise(F.col("end.size")))
+    return found.select("repo_id", F.col("end.place").alias("until"), (F.col("power") - 1).alias("most"), F.lit(True).alias("last"), spent.alias("spent"))
 
 
 def cap_extraction(items: DataFrame, per_file: int, per_repo: int) -> DataFrame:

@@ -1,9 +1,14 @@
 """Small hand-made cases of the operators."""
 
+import random
+
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quarrywork.functions import paths as P
+from quarrywork.operators import budgets as B
 from quarrywork.operators import graph as G
+from quarrywork.operators import ordered
 from quarrywork.operators import rollups as R
 from quarrywork.sources import tree as T
 
@@ -66,3 +71,48 @@ def test_cycles(spark):
 def test_no_cycles(spark):
     edges = spark.createDataFrame([("r", "a", "b"), ("r", "b", "c")], ["repo_id", "source", "target"])
     assert G.import_cycles(edges).count() == 0
+
+
+def greedy(sizes, left):
+    taken = []
+    for x in sizes:
+        taken.append(x <= left)
+        left -= x * taken[-1]
+    return taken
+
+
+def test_byte_budget_takes_what_fits(spark, monkeypatch):
+    rng, rows, want = random.Random(3), [], {}
+    cases = [[], [0, 0, 5, 0], [7, 7, 7], [x for k in range(200, 0, -1) for x in (1, k)], [1 << 40, 3, 1 << 33, 2]]
+    cases += [[rng.choice((rng.randrange(4), rng.randrange(50), rng.randrange(3000))) for _ in range(rng.randrange(1, 120))] for _ in range(25)]
+    budgets = {}
+    for i, sizes in enumerate(cases):
+        budgets[f"r{i}"] = rng.choice((0, 1, 7, 300, 5000, sum(sizes)))
+        rows += [(f"r{i}", 3 * j - 5, x, "z") for j, x in enumerate(sizes)]
+        want |= {(f"r{i}", 3 * j - 5): t for j, (x, t) in enumerate(zip(sizes, greedy(sizes, budgets[f"r{i}"])))}
+    df = spark.createDataFrame([*rows, ("no budget", 1, 1, "z")], "repo_id string, place int, size long, left string").drop("left")
+    left = spark.createDataFrame(list(budgets.items()), "repo_id string, left long")
+    want["no budget", 1] = False
+    for few in (B.FEW, 0):
+        monkeypatch.setattr(B, "FEW", few)
+        assert {(r.repo_id, r.place): r.taken for r in B.byte_budget(df, left).collect()} == want
+    assert {(r.place, r.taken) for r in B.byte_budget(df.filter("repo_id = 'r2'"), 15).collect()} == {(-5, True), (-2, True), (1, False)}
+
+
+def test_byte_budget_rounds_do_not_grow_with_the_items(spark, monkeypatch):
+    """Sizes 1, k, 1, k - 1, ... with room for half of them: every larger item just misses."""
+    rounds = []
+    monkeypatch.setattr(B, "_all_that_fit", lambda df, f=B._all_that_fit: rounds.append(1) or f(df))
+    n = 100_000
+    items = spark.range(2 * n).select(F.lit("r").alias("repo_id"), F.col("id").alias("place"), F.when(F.col("id") % 2 == 0, 1).otherwise(n - F.col("id") / 2).cast("long").alias("size"))
+    got = B.byte_budget(items, n).filter("taken").agg(F.count("*"), F.sum("size")).first()
+    sizes = [x for j in range(n) for x in (1, int(n - (2 * j + 1) / 2))]
+    taken = [x for x, t in zip(sizes, greedy(sizes, n)) if t]
+    assert got[:] == (len(taken), sum(taken)) and len(rounds) <= n.bit_length()
+
+
+def test_places_over_ranges(spark):
+    rows = spark.range(5000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("g"), F.col("id") % 50)).alias("g"), (F.col("id") * 7919 % 5003).alias("x"))
+    got = ordered.placed(rows, "g", [F.desc("x")])
+    plain = rows.withColumn("place", F.row_number().over(Window.partitionBy("g").orderBy(F.desc("x"))))
+    assert sorted(map(tuple, got.select("g", "x", "place").collect())) == sorted(map(tuple, plain.collect()))
