@@ -10,23 +10,25 @@ beyond the number that the count needs. A set with more such parts than are spar
 one give all. Of two similar sets the one with fewer such parts decides, so nothing is lost.
 
 The smallest set of a signature is its pivot. Each set is verified against the pivot with which it shares most signatures, then pairs with other pivots
-across components, then what still has several components under one signature meets in tiles of bounded size.
+across components, then what still has several components under one signature meets in tiles of bounded size. Before whole sets are compared, a pair has to
+pass a bound that loses nothing: a set's parities say for each of BITS cells whether it holds an odd number of features, and two sets differ in at least as
+many features as their parities do in cells.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
+from functools import lru_cache, reduce
 from itertools import combinations
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import FEW, parts, schema, settle, ship, table
+from .common import FEW, hot_join, parts, schema, settle, ship, table
 from .components import components
 from .near_dup import SQL as FIVE_WORDS
 from .near_dup import _same_ids, by_document, shingles, tiles, verify, words_key, words_of
@@ -41,6 +43,9 @@ _DEAL = _RNG.integers(0, 1 << 63, DEALINGS, dtype=np.uint64) * np.uint64(2) + np
 _VALUE, _CELL, _CLASS = (_RNG.integers(0, 1 << 63, 3, dtype=np.uint64) * np.uint64(2) + np.uint64(1)).tolist()
 #: Signatures of a batch that Python hands back.
 ROWS = 1 << 16
+#: Cells of the parities, in words of 64.
+WORDS_64 = 16
+BITS = 64 * WORDS_64
 
 
 class SizeClass(NamedTuple):
@@ -168,6 +173,33 @@ def _with_node(apart: dict[bytes, int]):
     return run
 
 
+def parities(s: np.ndarray) -> np.ndarray:
+    """WORDS_64 longs: the parity of the number of features in each cell."""
+    cell = (s * np.uint64(_VALUE) >> np.uint64(64 - BITS.bit_length() + 1)).astype(np.int64)
+    return np.packbits((np.bincount(cell, minlength=BITS) & 1).astype(np.uint8)).view(np.int64)
+
+
+def _names(side: str) -> list[str]:
+    return [f"{side}{i}" for i in range(WORDS_64)]
+
+
+def _sketched(size: int):
+    def run(batches):
+        for batch in parts(batches):
+            sets = [shingles(words_of(t), size) for t in batch.column(1).to_pylist()]
+            columns = np.array([parities(s) for s in sets], np.int64).reshape(-1, WORDS_64).T
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), *map(pa.array, columns)], ["node", "size", *_names("s")])
+
+    return run
+
+
+def _may_be_similar(one: str, two: str, percent: int) -> Column:
+    """Whether two sets, by their sizes and parities, can be similar enough."""
+    differ = reduce(Column.__add__, (F.bit_count(F.col(f"s{one}{i}").bitwiseXOR(F.col(f"s{two}{i}"))) for i in range(WORDS_64)))
+    a, b = F.col(f"size_{one}"), F.col(f"size_{two}")
+    return (100 * F.least(a, b) >= percent * F.greatest(a, b)) & (differ * (100 + percent) <= (100 - percent) * (a + b))
+
+
 def _small(df: DataFrame) -> DataFrame:
     """A written table of short rows, broadcast if it is small."""
     return F.broadcast(df) if df.count() <= FEW else df
@@ -206,11 +238,16 @@ def jaccard_classes(docs: DataFrame, percent: int = PERCENT, size: int = WORDS)
     proposed = settle(shared.groupBy(F.col("pivot").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("n")), "join-proposed")
     texts = _texts(source, same, proposed.select(F.explode(F.array("a", "b")).alias("node")).distinct(), apart)
 
+    sketches = settle(texts.mapInArrow(_sketched(size), schema("node long, size long, " + ", ".join(f"{x} long" for x in _names("s")))), "join-sketches")
+    one, two = (sketches.toDF(x, f"size_{x}", *_names(f"s{x}")) for x in "ab")
+    pivots = one.join(proposed.groupBy("a").agg(F.count("*").alias("members")), "a")
+    likely = settle(hot_join(proposed.join(two, "b"), pivots, "a", "members", "inner").filter(_may_be_similar("a", "b", percent)).select("a", "b", "n"), "join-likely")
+
     check = lambda pairs, label: settle(verify(settle(pairs, f"{label}-pairs"), texts, percent, size), label)
-    best = settle(proposed.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b"), "join-best")
+    best = settle(likely.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b"), "join-best")
     links = check(best, "join-links").unionByName(_same_ids(signed, same))
     joined = components(links)
-    rest = settle(_across(proposed.select("a", "b").join(best, ["a", "b"], "left_anti"), joined), "join-rest")
+    rest = settle(_across(likely.select("a", "b").join(best, ["a", "b"], "left_anti"), joined), "join-rest")
     if not rest.isEmpty():
         links = links.unionByName(check(rest, "join-more-links"))
         joined = components(links)
@@ -222,10 +259,12 @@ def jaccard_classes(docs: DataFrame, percent: int = PERCENT, size: int = WORDS)
         members = held.select("sig", "node").unionByName(held.select("sig", F.col("pivot").alias("node"))).distinct()
         members = settle(members.join(joined, "node", "left").join(same.select("node", "n_shingles"), "node").withColumn("component", F.coalesce("component", "node")), "join-members")
         largest = members.groupBy("sig", "component").agg(F.count("*").alias("n")).groupBy("sig").agg(F.max_by("component", F.struct("n", "component")).alias("major"))
-        open_ = settle(members.join(largest, "sig").select(F.col("sig").alias("band"), "node", "n_shingles", "component", (F.col("component") != F.col("major")).alias("minor")), "join-open-members")
-        left, right = (side.select("tile", F.col("node").alias(x), F.col("component").alias(f"c{x}"), F.col("n_shingles").alias(f"n{x}")) for x, side in zip("ab", tiles(open_, percent)))
-        fits = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-        pairs = left.join(right, "tile").filter((F.col("ca") != F.col("cb")) & fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        open_ = members.join(largest, "sig").join(sketches.drop("size"), "node").withColumn("minor", F.col("component") != F.col("major"))
+        open_ = settle(open_.select(F.col("sig").alias("band"), "node", "n_shingles", "component", "minor", *_names("s")), "join-open-members")
+        sides = zip("ab", tiles(open_, percent))
+        named = lambda x: [F.col("node").alias(x), F.col("component").alias(f"c{x}"), F.col("n_shingles").alias(f"size_{x}"), *[F.col(f"s{i}").alias(f"s{x}{i}") for i in range(WORDS_64)]]
+        left, right = (side.select("tile", *named(x)) for x, side in sides)
+        pairs = left.join(right, "tile").filter((F.col("ca") != F.col("cb")) & _may_be_similar("a", "b", percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         pairs = settle(pairs.join(proposed.select("a", "b"), ["a", "b"], "left_anti"), "join-last")
         if not pairs.isEmpty():
             joined = components(links.unionByName(check(pairs, "join-last-links")))

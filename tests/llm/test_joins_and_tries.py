@@ -245,3 +245,12 @@ def test_screen_never_hides_a_shared_prefix(spark):
 
 def test_trie_of_nothing(spark):
     assert prefix_trie.conversation_trie(spark.createDataFrame([], TURNS)).count() == 0
+
+
+def test_parities_never_differ_more_than_the_sets():
+    rng = np.random.default_rng(5)
+    for n in (1, 20, 300, 4000):
+        a, b = rng.integers(0, 1 << 63, n, dtype=np.uint64), rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        b[: n // 2] = a[: n // 2]
+        apart = sum(int(x).bit_count() for x in (part_enum.parities(a) ^ part_enum.parities(b)).view(np.uint64))
+        assert apart <= 2 * (n - n // 2) and (n > 300 or apart > (n - n // 2))
