@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -162,17 +163,83 @@ def _spread(edges: DataFrame, labels: DataFrame) -> DataFrame:
         labels = new
 
 
+#: Edges of a repository that one task works on at most.
+SMALL = 100_000
+
+
+def components_of(sources: list, targets: list) -> dict:
+    """node -> the largest node of its strong component, for components of two nodes or more: a depth-first walk with a stack of its own."""
+    after: dict = {}
+    for a, b in zip(sources, targets):
+        after.setdefault(a, []).append(b)
+    number: dict = {}
+    low: dict = {}
+    open_: list = []
+    held: set = set()
+    out: dict = {}
+    for start in after:
+        if start in number:
+            continue
+        walk = [(start, iter(after[start]))]
+        number[start] = low[start] = len(number)
+        open_.append(start), held.add(start)
+        while walk:
+            node, rest = walk[-1]
+            for n in rest:
+                if n not in number:
+                    number[n] = low[n] = len(number)
+                    open_.append(n), held.add(n)
+                    walk.append((n, iter(after.get(n, ()))))
+                    break
+                if n in held:
+                    low[node] = min(low[node], number[n])
+            else:
+                walk.pop()
+                if walk:
+                    low[walk[-1][0]] = min(low[walk[-1][0]], low[node])
+                if low[node] == number[node]:
+                    part = []
+                    while not part or part[-1] != node:
+                        part.append(open_.pop())
+                    held.difference_update(part)
+                    if len(part) > 1:
+                        out |= dict.fromkeys(part, max(part))
+    return out
+
+
+def _in_tasks(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(repo_id, node, component of the repositories with at most SMALL edges, each found by one task; the edges of the others, of which there are few)."""
+    big = settle(edges.groupBy("repo_id").agg(F.count("*").alias("n")).filter(F.col("n") > SMALL).select("repo_id"), "cycle-large")
+    kinds = {f.name: f.dataType.simpleString() for f in edges.schema}
+
+    def solve(rows: pa.Table) -> pa.Table:
+        found = components_of(rows["source"].to_pylist(), rows["target"].to_pylist())
+        kind = rows["source"].type
+        return pa.table([rows["repo_id"].take(pa.array([0] * len(found), pa.int64())), pa.array(list(found), kind), pa.array(list(found.values()), kind)], ["repo_id", "node", "component"])
+
+    small = edges.join(F.broadcast(big), "repo_id", "left_anti").groupBy("repo_id")
+    found = settle(small.applyInArrow(solve, f"repo_id {kinds['repo_id']}, node {kinds['source']}, component {kinds['source']}"), "cycle-small")
+    return found, edges.join(F.broadcast(big), "repo_id", "left_semi")
+
+
 def strong_components(edges: DataFrame) -> DataFrame:
-    """repo_id, node, component (its largest node) for nodes on a cycle: chains are contracted, the rest is found by trimming and forward-backward colouring.
+    """repo_id, node, component (its largest node) for nodes on a cycle. A repository with at most SMALL edges is the work of one task.
 
-    Forward, the largest id that reaches a node is its colour; backward, the nodes of a colour that reach the node it is named after
+    Of larger ones, chains are contracted, which may make them small; the rest is found by trimming and forward-backward colouring. Forward, the largest id that reaches a node is its colour; backward, the nodes of a colour that reach the node it is named after
     are its component. Components leave the graph, and what is left goes round again. Then the nodes of the chains come back, last taken first: one whose
     neighbours are of one component, or are one node, belongs to it. Each step is written to the shared folder.
     """
     all_edges = settle(edges.select("repo_id", "source", "target").filter("source <> target").distinct(), "cycle-edges")
-    left, gone, turn = _shrink(all_edges, 0)
-    found = left.limit(0).select("repo_id", F.col("source").alias("node"), F.col("source").alias("component"))
+    found, large = _in_tasks(all_edges)
+    if large.isEmpty():
+        return found
+    left, gone, turn = _shrink(settle(large, "cycle-edges"), 0)
     while not left.isEmpty():
+        part, left = _in_tasks(left)
+        found = found.unionByName(part)
+        if left.isEmpty():
+            break
+        left = settle(left, "cycle-left")
         nodes = left.select("repo_id", F.col("source").alias("node")).unionByName(left.select("repo_id", F.col("target").alias("node"))).distinct()
         colours = _spread(left, nodes.withColumn("label", F.col("node")))
         c = lambda end: colours.select("repo_id", F.col("node").alias(end), F.col("label").alias(f"c_{end}"))

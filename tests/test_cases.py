@@ -116,3 +116,40 @@ def test_places_over_ranges(spark):
     got = ordered.placed(rows, "g", [F.desc("x")])
     plain = rows.withColumn("place", F.row_number().over(Window.partitionBy("g").orderBy(F.desc("x"))))
     assert sorted(map(tuple, got.select("g", "x", "place").collect())) == sorted(map(tuple, plain.collect()))
+
+
+def reachable(edges):
+    after = {}
+    for a, b in edges:
+        after.setdefault(a, set()).add(b)
+    reach = {}
+    for n in {x for e in edges for x in e}:
+        seen, todo = set(), [n]
+        while todo:
+            for b in after.get(todo.pop(), ()):
+                if b not in seen:
+                    seen.add(b), todo.append(b)
+        reach[n] = seen
+    return reach
+
+
+def test_components_in_tasks_and_over_tasks(spark, monkeypatch):
+    rng = random.Random(21)
+    want, rows = {}, []
+    for repo in range(6):
+        edges = {(f"n{rng.randrange(40):02}", f"n{rng.randrange(40):02}") for _ in range(20 + 12 * repo)}
+        edges = {(a, b) for a, b in edges if a != b}
+        reach = reachable(edges)
+        for n, seen in reach.items():
+            own = {m for m in seen if n in reach[m]}
+            if len(own) > 1:
+                want[f"r{repo}", n] = max(own)
+        rows += [(f"r{repo}", a, b) for a, b in edges]
+    df = spark.createDataFrame(rows, "repo_id string, source string, target string")
+    for small in (G.SMALL, 45):
+        monkeypatch.setattr(G, "SMALL", small)
+        got = {(r.repo_id, r.node): r.component for r in G.strong_components(df).collect()}
+        sizes = {}
+        for (repo, _), c in got.items():
+            sizes[repo, c] = sizes.get((repo, c), 0) + 1
+        assert {k: c for k, c in got.items() if sizes[k[0], c] > 1} == want

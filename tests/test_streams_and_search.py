@@ -178,10 +178,11 @@ def test_masks_and_many_queries(spark, monkeypatch):
     assert {r.kind for r in E.search_top_k(queries, entries, 3, ("directory",), suggested).collect()} == {"directory"}
 
 
-def test_a_long_ring_and_its_tails(spark):
+def test_a_long_ring_and_its_tails(spark, monkeypatch):
     """A ring of 3,000, a tail into it and one out of it, and a small cycle beside; the number of steps does not follow the length."""
     from quarrywork.operators import graph as G
 
+    monkeypatch.setattr(G, "SMALL", 20)
     name = lambda i: f"n{i:05}"
     edges = [(name(i), name((i + 1) % 3000)) for i in range(3000)] + [(name(5000 + i), name(5001 + i) if i < 199 else name(7)) for i in range(200)] + [(name(9), name(6000))] + [(name(6000 + i), name(6001 + i)) for i in range(200)] + [("a", "b"), ("b", "c"), ("c", "a"), ("b", "d"), ("d", "b")]
     df = spark.createDataFrame([("r", a, b, 1) for a, b in edges], "repo_id string, source string, target string, weight int")
