@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from ..shared import settle
+from .forest import any_below, depths, least_above
 
 
 def rehome_orphans(directories: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -28,37 +29,27 @@ def content_districts(directories: DataFrame, files: DataFrame) -> DataFrame:
     """directories (repo_id, id, path, parent_id, omitted: files left out below it, direct: files in it) and files (repo_id, directory_id) -> repo_id, id, level, direct_omitted of those with content.
 
     Directories that the root does not reach, on rings of parents, hang below the root from the first of them by path on. A directory has content if it, or
-    one below, holds files or leaves some out. Parents come from rehome_orphans. One join for each level, down and up.
+    one below, holds files or leaves some out. Parents come from rehome_orphans. Levels and contents are found by doubling, so a chain of any length takes few steps.
     """
+    group = ["repo_id"]
     d = settle(directories, "district-rows")
-    level = settle(d.filter("parent_id IS NULL").select("repo_id", "id", "parent_id", F.lit(0).alias("level")), "district-level")
-    levels, left = [level], settle(d.filter("parent_id IS NOT NULL").select("repo_id", "id", "path", "parent_id"), "district-left")
-    roots = level.select("repo_id", F.col("id").alias("root"))
-    while not left.isEmpty():
-        found = left.join(level.select("repo_id", F.col("id").alias("parent_id"), (F.col("level") + 1).alias("level")), ["repo_id", "parent_id"]).select("repo_id", "id", "parent_id", "level")
-        level = settle(found, "district-level")
-        if level.isEmpty():  # a ring: its first directory goes below the root
-            first = left.groupBy("repo_id").agg(F.min_by("id", F.struct("path", "id")).alias("id"))
-            level = settle(first.join(roots, "repo_id").select("repo_id", "id", F.col("root").alias("parent_id"), F.lit(1).alias("level")), "district-level")
-        levels.append(level)
-        left = settle(left.join(level.select("repo_id", "id"), ["repo_id", "id"], "left_anti"), "district-left")
-    tree = levels[0]
-    for more in levels[1:]:
-        tree = tree.unionByName(more)
+    tree = d.select("repo_id", "id", F.col("parent_id").alias("up"))
+    levels, lost = depths(tree, group)
+    if not lost.isEmpty():
+        # taken in the order of paths, a directory is hung up if none above it comes before it
+        ranked = lost.join(d.select("repo_id", "id", "path"), ["repo_id", "id"])
+        first = least_above(ranked, group, F.struct("path", "id")).filter(F.col("least.id") == F.col("id")).select("repo_id", "id")
+        roots = d.filter("parent_id IS NULL").groupBy("repo_id").agg(F.min("id").alias("root"))
+        hung = first.join(roots, "repo_id").select("repo_id", "id", "root")
+        tree = settle(tree.join(hung, ["repo_id", "id"], "left").select("repo_id", "id", F.coalesce("root", "up").alias("up")), "district-tree")
+        levels, _ = depths(tree, group)
     held = files.groupBy("repo_id", F.col("directory_id").alias("id")).agg(F.count("*").alias("held"))
-    own = tree.join(d.select("repo_id", "id", "omitted", "direct"), ["repo_id", "id"]).join(held, ["repo_id", "id"], "left").fillna(0, ["held"])
-    below = own.filter("parent_id IS NOT NULL").groupBy("repo_id", F.col("parent_id").alias("id")).agg(F.sum("omitted").alias("below"))
+    own = tree.join(levels.withColumnRenamed("depth", "level"), ["repo_id", "id"]).join(d.select("repo_id", "id", "omitted", "direct"), ["repo_id", "id"]).join(held, ["repo_id", "id"], "left").fillna(0, ["held"])
+    below = own.filter("up IS NOT NULL").groupBy("repo_id", F.col("up").alias("id")).agg(F.sum("omitted").alias("below"))
     own = own.join(below, ["repo_id", "id"], "left").fillna(0, ["below"]).withColumn("direct_omitted", F.greatest(F.lit(0), F.col("omitted") - F.col("below"), F.col("direct") - F.col("held")))
     own = settle(own, "district-own")
-    content = settle(own.filter("held > 0 OR direct_omitted > 0").select("repo_id", "id"), "district-content")
-    rising = content
-    while True:
-        up = rising.join(own.select("repo_id", "id", "parent_id"), ["repo_id", "id"]).filter("parent_id IS NOT NULL").select("repo_id", F.col("parent_id").alias("id")).distinct()
-        rising = settle(up.join(content, ["repo_id", "id"], "left_anti"), "district-rising")
-        if rising.isEmpty():
-            break
-        content = settle(content.unionByName(rising), "district-content")
-    wanted = content.unionByName(roots.select("repo_id", F.col("root").alias("id"))).distinct()
+    height = own.agg(F.max("level")).first()[0] or 0
+    wanted = any_below(own, group, F.col("up").isNull() | (F.col("held") > 0) | (F.col("direct_omitted") > 0), height)
     return own.join(wanted, ["repo_id", "id"], "left_semi").select("repo_id", "id", "level", "direct_omitted")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from quarrywork.functions import paths as P
 from quarrywork.operators import budgets as B
+from quarrywork.operators import forest
 from quarrywork.operators import graph as G
 from quarrywork.operators import ordered
 from quarrywork.operators import rollups as R
@@ -153,3 +154,27 @@ def test_components_in_tasks_and_over_tasks(spark, monkeypatch):
         for (repo, _), c in got.items():
             sizes[repo, c] = sizes.get((repo, c), 0) + 1
         assert {k: c for k, c in got.items() if sizes[k[0], c] > 1} == want
+
+
+def test_forest_by_doubling(spark):
+    """Chains, stars and rings with trees below them, against a walk."""
+    rng = random.Random(17)
+    up = {("a", i): i - 1 if i else None for i in range(900)} | {("b", i): rng.randrange(i) if i else None for i in range(200)}
+    up |= {("c", 0): None} | {("c", i): i % 9 + 1 if i < 10 else rng.randrange(1, i) for i in range(1, 80)}
+    rows = spark.createDataFrame([(g, i, u) for (g, i), u in up.items()], "g string, id int, up int")
+
+    def above(g, i):
+        seen = []
+        while i is not None and i not in seen:
+            seen.append(i)
+            i = up[g, i]
+        return seen, i is None
+
+    found, lost = forest.depths(rows, ["g"])
+    assert {(r.g, r.id): r.depth for r in found.collect()} == {k: len(above(*k)[0]) - 1 for k in up if above(*k)[1]}
+    assert {(r.g, r.id) for r in lost.collect()} == {k for k in up if not above(*k)[1]}
+    assert {(r.g, r.id): r.least for r in forest.least_above(rows, ["g"], F.col("id") * 7 % 101).collect()} == {(g, i): min(j * 7 % 101 for j in above(g, i)[0]) for g, i in up}
+    flagged = {("a", 880), ("b", 150), ("b", 3)}
+    tree = rows.filter("g <> 'c'")
+    got = forest.any_below(tree, ["g"], F.expr("g = 'a' AND id = 880 OR g = 'b' AND id IN (3, 150)"), 899)
+    assert {(r.g, r.id) for r in got.collect()} == {(g, j) for g, i in flagged for j in above(g, i)[0]}
