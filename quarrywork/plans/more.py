@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+from contextlib import suppress
 from functools import reduce
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +23,9 @@ from ..operators import report as RE
 from ..operators import rollups as R
 from ..operators import scores as S
 from ..operators import symbols as SY
+from ..shared import shared_dir
 from ..sources import ingest as I
+from ..sources import sinks as SK
 from ..streaming import events as ST
 from . import queries as Q
 from .queries import ACTIVITY, AUTHORED, BUCKETS, CHANGES, CONNECTED, COUNTED, ENDS, INV, ORDERED, PEOPLE, ROLLED, changes, classified, counted, cursor, event_lines, inventory, micros, states
@@ -508,6 +513,26 @@ def commented(v) -> DataFrame:
 query("plain_json", "SELECT doc_id, md5(coalesce(text, '')) AS text, CAST(doc_id + 7 AS BIGINT) AS total FROM documents")(
     lambda v: commented(v).select("doc_id", F.md5("j.text").alias("text"), F.aggregate("j.list", F.lit(0).cast("long"), lambda a, x: a + x).alias("total")))
 
+# --- the sink ------------------------------------------------------------------------------------------------------------
+
+
+def written_graph(v) -> DataFrame:
+    """Files and symbols of all repositories are written, those of one again with fewer rows, and a third run dies between its two tables."""
+    files = v("fx_docs").select("repo_id", F.lit("c1").alias("commit_sha"), "path", "size")
+    symbols = v("fx_symbols").select("repo_id", F.lit("c1").alias("commit_sha"), "path", "name")
+    spark, at = files.sparkSession, f"{shared_dir(files.sparkSession)}/graph-{uuid.uuid4().hex}"
+    SK.write_graph({"files": files, "symbols": symbols}, at)
+    again = files.filter("repo_id = 'fx:1' AND size % 2 = 0")
+    SK.write_graph({"files": again, "symbols": symbols.filter("repo_id = 'fx:1' AND name LIKE '%1%'")}, at, files.filter("repo_id = 'fx:1'").select("repo_id", "commit_sha").distinct())
+    with suppress(PySparkException):
+        SK.write_graph({"files": files.filter("repo_id = 'fx:2'").limit(1), "symbols": symbols.withColumn("name", F.raise_error(F.lit("this run is to die")))}, at)
+    count = lambda name: SK.read_graph(spark, at, name).groupBy("repo_id", F.lit(name).alias("kind")).agg(F.count("*").alias("n"))
+    return count("files").unionByName(count("symbols"))
+
+
+query("write_graph", """SELECT repo_id, 'files' AS kind, count(*) AS n FROM fx_docs WHERE repo_id <> 'fx:1' OR size % 2 = 0 GROUP BY ALL
+  UNION ALL SELECT repo_id, 'symbols', count(*) FROM fx_symbols WHERE repo_id <> 'fx:1' OR name LIKE '%1%' GROUP BY ALL""")(written_graph)
+
 # --- streams, run through ------------------------------------------------------------------------------------------------
 
 

@@ -5,10 +5,11 @@ import time
 from functools import cache
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from quarrywork.operators import search as E
-from quarrywork.sources.sinks import write_graph
+from quarrywork.sources.sinks import read_graph, remove_replaced, write_graph
 from quarrywork.streaming import events as ST
 
 
@@ -120,8 +121,16 @@ def test_search_order(spark):
 def test_sink_replaces_one_key(spark, tmp_path):
     rows = lambda n, sha: spark.createDataFrame([("r", sha, i) for i in range(n)], ["repo_id", "commit_sha", "x"])
     for n, sha in ((3, "a"), (2, "b"), (1, "a")):
-        write_graph({"files": rows(n, sha)}, str(tmp_path))
-    assert {(r.commit_sha, r["count"]) for r in spark.read.parquet(f"{tmp_path}/files").groupBy("commit_sha").agg(F.count("*").alias("count")).collect()} == {("a", 1), ("b", 2)}
+        write_graph({"files": rows(n, sha), "symbols": rows(2 * n, sha)}, str(tmp_path))
+    held = lambda name: {(r.commit_sha, r["count"]) for r in read_graph(spark, str(tmp_path), name).groupBy("commit_sha").agg(F.count("*").alias("count")).collect()}
+    assert held("files") == {("a", 1), ("b", 2)} and held("symbols") == {("a", 2), ("b", 4)}
+    with pytest.raises(Exception, match="lost"):
+        write_graph({"files": rows(9, "a"), "symbols": rows(9, "b").withColumn("x", F.raise_error(F.lit("lost")).cast("long"))}, str(tmp_path))
+    assert held("files") == {("a", 1), ("b", 2)} and held("symbols") == {("a", 2), ("b", 4)}
+    write_graph({"files": rows(5, "b"), "symbols": rows(1, "b").limit(0)}, str(tmp_path))
+    assert held("files") == {("a", 1), ("b", 5)} and held("symbols") == {("a", 2)}
+    assert remove_replaced(spark, str(tmp_path), ["files", "symbols"]) == 2
+    assert held("files") == {("a", 1), ("b", 5)} and held("symbols") == {("a", 2)}
 
 
 def test_run_state_as_a_stream(spark):
