@@ -563,3 +563,19 @@ query("file_activity_stream", "SELECT c.repo_id, c.path, epoch_us(max(date)) AS
     lambda v: micros(ST.replay(v("fx_commit_files").join(v("fx_commits").select("repo_id", "sha", "date", F.col("author_name").alias("author")), ["repo_id", "sha"]), ST.latest_activity, "repo_id,path", "update"), "last_modified"))
 query("late_commits", "SELECT repo_id, sha, date >= TIMESTAMP '2024-01-10' AS kept FROM fx_commits")(
     lambda v: (lambda a, b: a.withColumn("kept", F.lit(True)).unionByName(b.withColumn("kept", F.lit(False))).select("repo_id", "sha", "kept"))(*ST.late_commits(v("fx_commits"), F.expr("TIMESTAMP '2024-01-10'"))))
+
+
+def routed(v) -> DataFrame:
+    """Commits come in four files, one a batch, in an order that has little to do with their dates."""
+    commits = v("fx_commits").select("repo_id", "sha", "date").withColumn("part", F.conv(F.right(F.md5("sha"), F.lit(1)), 16, 10).cast("int") % 4)
+    spark, at = commits.sparkSession, f"{shared_dir(commits.sparkSession)}/late-{uuid.uuid4().hex}"
+    for part in range(4):
+        commits.filter(F.col("part") == part).drop("part").coalesce(1).write.mode("append").parquet(f"{at}/in")
+    stream = spark.readStream.schema("repo_id string, sha string, date timestamp").option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+    ST.route_late(stream, f"{at}/out", "7 days").trigger(availableNow=True).start().awaitTermination()
+    read = lambda name: spark.read.schema("repo_id string, sha string, date timestamp, batch long").parquet(f"{at}/out/{name}").select("repo_id", "sha", "batch", F.lit(name == "late").alias("late"))
+    return read("kept").unionByName(read("late"))
+
+
+query("late_commits_stream", """SELECT repo_id, sha, batch, coalesce(date < (SELECT max(date) FROM dealt b WHERE b.repo_id = c.repo_id AND b.batch < c.batch) - INTERVAL 7 DAY, false) AS late FROM dealt c""",
+  "dealt AS (SELECT repo_id, sha, date, ('0x' || right(md5(sha), 1))::BIGINT % 4 AS batch FROM fx_commits)")(routed)

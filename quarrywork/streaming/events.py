@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.text import truncate
-from ..shared import shared_dir
+from ..shared import settle, shared_dir
 
 # Stages in order; the statuses of a stage, those of one that runs and those of one that has ended; the kinds of events; characters of a message kept.
 STAGES = ("connect", "tree", "languages", "fetch", "parse", "dependencies", "history", "construct")
@@ -170,6 +170,28 @@ def latest_activity(changes: DataFrame) -> DataFrame:
     return changes.groupBy("repo_id", "path").agg(F.max("date").alias("last_modified"), F.max_by("author", F.struct("date", "sha")).alias("last_author"), F.count("*").alias("commit_count"))
 
 
+def route_late(commits: DataFrame, path: str, late: str = "7 days"):
+    """Writer of a stream of commits (repo_id, date, ...) that puts rows on time under path/kept and those that come too late under path/late.
+
+    A row is late if its repository has had, in an earlier batch, a row that is newer by more than `late`. The newest date of each repository and batch is kept
+    under path/marks, a row each. Everything a batch writes is in folders of its number, which a repeated batch writes anew: so a batch that is tried again gives the same.
+    """
+
+    def take(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        batch = settle(batch, "late-batch")  # read several times
+        none = spark.createDataFrame([], "repo_id string, newest timestamp, batch long")
+        marks = spark.read.schema(none.schema).parquet(f"{path}/marks").filter(F.col("batch") < number) if number else none
+        before = marks.groupBy("repo_id").agg(F.max("newest").alias("newest"))
+        is_late = F.coalesce(F.col("date") < F.col("newest") - F.expr(f"INTERVAL {late}"), F.lit(False))
+        judged = batch.join(before, "repo_id", "left").withColumn("is_late", is_late)
+        for name, rows in (("kept", judged.filter("NOT is_late")), ("late", judged.filter("is_late"))):
+            rows.drop("newest", "is_late").write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
+        batch.groupBy("repo_id").agg(F.max("date").alias("newest")).write.mode("overwrite").parquet(f"{path}/marks/batch={number}")
+
+    return commits.writeStream.foreachBatch(take).option("checkpointLocation", f"{path}/checkpoint")
+
+
 def late_commits(commits: DataFrame, window_start) -> tuple[DataFrame, DataFrame]:
     """Commits from the start of the kept window on, and those before it, which go to a side table."""
     return commits.filter(F.col("date") >= window_start), commits.filter(F.col("date") < window_start)
