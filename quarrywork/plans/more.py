@@ -579,3 +579,15 @@ def routed(v) -> DataFrame:
 
 query("late_commits_stream", """SELECT repo_id, sha, batch, coalesce(date < (SELECT max(date) FROM dealt b WHERE b.repo_id = c.repo_id AND b.batch < c.batch) - INTERVAL 7 DAY, false) AS late FROM dealt c""",
   "dealt AS (SELECT repo_id, sha, date, ('0x' || right(md5(sha), 1))::BIGINT % 4 AS batch FROM fx_commits)")(routed)
+
+
+def trailing(v) -> DataFrame:
+    """Authors' days and daily counts come from streams, the windows of four widths from their sums."""
+    commits = v("fx_commits").select("repo_id", "date", "author_name")
+    days = ST.replay(commits, lambda s: ST.author_days(s, "3650 days"), "repo_id")
+    counts = ST.replay(commits, lambda s: ST.commit_counts(s, "1 day"), "repo_id,bucket_start", "complete").withColumnRenamed("bucket_start", "day")
+    return micros(ST.trailing_totals(days, counts), "cursor")
+
+
+query("trailing_authors", """SELECT repo_id, CAST(w AS BIGINT) AS width, epoch_us(day + to_days(CAST(k AS INT))) AS cursor, count(*) AS commits, count(DISTINCT author_name) AS authors
+  FROM (SELECT repo_id, author_name, date_trunc('day', date)::TIMESTAMP AS day, w, unnest(range(1, w + 1)) AS k FROM fx_commits, (SELECT unnest([7, 30, 90, 365]) AS w)) GROUP BY ALL""")(trailing)

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.window import Window
 
 from ..functions.text import truncate
 from ..shared import settle, shared_dir
@@ -158,6 +159,32 @@ def trailing_windows(commits: DataFrame, days: int = 7, late: str = "1 day") ->
     return timed.groupBy("repo_id", F.window("date", f"{days} days", "1 day")).agg(F.count("*").alias("commits"), F.approx_count_distinct("author_name").alias("authors")).select("repo_id", F.col("window.end").alias("cursor"), "commits", "authors")
 
 
+def author_days(commits: DataFrame, late: str = "7 days") -> DataFrame:
+    """repo_id, author_name, day: each author's days with commits, once each. A stream keeps them until the watermark has passed the day."""
+    days = commits.select("repo_id", "author_name", F.date_trunc("day", "date").alias("day"))
+    return (days.withWatermark("day", late) if commits.isStreaming else days).dropDuplicates(["repo_id", "author_name", "day"])
+
+
+def trailing_totals(days: DataFrame, counts: DataFrame, widths: tuple[int, ...] = (7, 30, 90, 365)) -> DataFrame:
+    """days (from author_days), counts (repo_id, day, commits) -> repo_id, width, cursor, commits, authors: exact numbers of the trailing days up to each cursor, where there are any.
+
+    An author counts from a day with commits until the next one, or until the day leaves the window: one more at the one, one less at the other. So distinct
+    authors are a running sum of few changes, however wide the window is.
+    """
+    widths_of = F.explode(F.array(*map(F.lit, widths))).alias("width")
+    after = F.lead("day").over(Window.partitionBy("repo_id", "author_name").orderBy("day"))
+    a = days.withColumn("next", after).select("repo_id", "day", "next", widths_of).withColumn("ends", F.least("next", F.expr("day + make_dt_interval(width)")))
+    c = counts.select("repo_id", "day", "commits", widths_of)
+    change = lambda df, day, commits, authors: df.select("repo_id", "width", day.alias("day"), commits.cast("long").alias("commits"), authors.cast("long").alias("authors"))
+    none, one, day, gone = F.lit(0), F.lit(1), F.col("day"), F.expr("day + make_dt_interval(width)")
+    changes = change(a, day, none, one).unionByName(change(a, F.col("ends"), none, -one)).unionByName(change(c, day, F.col("commits"), none)).unionByName(change(c, gone, -F.col("commits"), none))
+    changes = changes.groupBy("repo_id", "width", "day").agg(F.sum("commits").alias("commits"), F.sum("authors").alias("authors"))
+    span = changes.groupBy("repo_id", "width").agg(F.explode(F.sequence(F.min("day"), F.max("day"), F.expr("INTERVAL 1 DAY"))).alias("day"))
+    upto = Window.partitionBy("repo_id", "width").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
+    sums = span.join(changes, ["repo_id", "width", "day"], "left").select("repo_id", "width", "day", *[F.sum(F.coalesce(x, F.lit(0))).over(upto).alias(x) for x in ("commits", "authors")])
+    return sums.filter("commits > 0").select("repo_id", "width", (F.col("day") + F.expr("INTERVAL 1 DAY")).alias("cursor"), "commits", "authors")
+
+
 def dedupe_commits(commits: DataFrame, late: str = "7 days") -> DataFrame:
     """One row of each sha; in a stream, within the watermark."""
     if commits.isStreaming:
