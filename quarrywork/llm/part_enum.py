@@ -10,7 +10,8 @@ beyond the number that the count needs. A set with more such parts than are spar
 one give all. Of two similar sets the one with fewer such parts decides, so nothing is lost.
 
 The smallest set of a signature is its pivot. Each set is verified against the pivot with which it shares most signatures, then pairs with other pivots
-across components, then what still has several components under one signature meets in tiles of bounded size. Before whole sets are compared, a pair has to
+across components, then under each signature that still has several components with the set that shares signatures with most others, then what is
+left meets in tiles of bounded size. Before whole sets are compared, a pair has to
 pass a bound that loses nothing: a set's parities say for each of BITS cells whether it holds an odd number of features, and two sets differ in at least as
 many features as their parities do in cells.
 """
@@ -211,6 +212,26 @@ def _across(pairs: DataFrame, joined: DataFrame) -> DataFrame:
     return pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select(*pairs.columns)
 
 
+def _open(members: DataFrame, joined: DataFrame) -> DataFrame:
+    """members (sig, node, n_shingles) of the signatures that hold several components, with component and minor: whether it is not the signature's largest."""
+    own = settle(members.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node")), "join-members")
+    largest = own.groupBy("sig", "component").agg(F.count("*").alias("n")).groupBy("sig").agg(F.max_by("component", F.struct("n", "component")).alias("major"), F.count("*").alias("several"))
+    found = own.join(largest.filter("several > 1"), "sig").select("sig", "node", "n_shingles", "component", (F.col("component") != F.col("major")).alias("minor"))
+    return settle(found, "join-open-members")
+
+
+def _hub_pairs(open_: DataFrame) -> DataFrame:
+    """(a, b): every member of an open signature with the member that shares signatures with most others, if they are of different components.
+
+    Copies of one text, each changed in its own way, are nearer to that text than to each other, so it shares more signatures with them than they do.
+    """
+    sizes = open_.groupBy("sig").agg(F.count("*").alias("n"))
+    weights = open_.select("sig", "node").join(sizes, "sig").groupBy("node").agg(F.sum("n").alias("weight"))
+    hubs = open_.join(weights, "node").groupBy("sig").agg(F.max_by(F.struct("node", "component"), F.struct("weight", "node")).alias("hub"))
+    pairs = open_.join(hubs, "sig").filter(F.col("component") != F.col("hub.component")).select(F.col("hub.node").alias("a"), F.col("node").alias("b"))
+    return settle(pairs.distinct(), "join-hub-pairs")
+
+
 def jaccard_classes(docs: DataFrame, percent: int = PERCENT, size: int = WORDS) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs(doc_id, text); texts are linked whose shingles of `size` words have a similarity of `percent`.
 
@@ -257,10 +278,15 @@ def jaccard_classes(docs: DataFrame, percent: int = PERCENT, size: int = WORDS)
         open_sigs = settle(shared.join(_small(apart_pairs.toDF("pivot", "node")), ["pivot", "node"], "left_semi").select("sig").distinct(), "join-open-sigs")
         held = settle(shared.join(_small(open_sigs), "sig", "left_semi"), "join-open")
         members = held.select("sig", "node").unionByName(held.select("sig", F.col("pivot").alias("node"))).distinct()
-        members = settle(members.join(joined, "node", "left").join(same.select("node", "n_shingles"), "node").withColumn("component", F.coalesce("component", "node")), "join-members")
-        largest = members.groupBy("sig", "component").agg(F.count("*").alias("n")).groupBy("sig").agg(F.max_by("component", F.struct("n", "component")).alias("major"))
-        open_ = members.join(largest, "sig").join(sketches.drop("size"), "node").withColumn("minor", F.col("component") != F.col("major"))
-        open_ = settle(open_.select(F.col("sig").alias("band"), "node", "n_shingles", "component", "minor", *_names("s")), "join-open-members")
+        open_ = _open(members.join(same.select("node", "n_shingles"), "node"), joined)
+        hubs = _hub_pairs(open_)
+        pivots = one.join(hubs.groupBy("a").agg(F.count("*").alias("members")), "a")
+        hubs = settle(hot_join(hubs.join(two, "b"), pivots, "a", "members", "inner").filter(_may_be_similar("a", "b", percent)).select("a", "b"), "join-hubs")
+        if not hubs.isEmpty():
+            links = links.unionByName(check(hubs, "join-hub-links"))
+            joined = components(links)
+            open_ = _open(open_.select("sig", "node", "n_shingles"), joined)
+        open_ = settle(open_.join(sketches.drop("size"), "node").withColumnRenamed("sig", "band"), "join-open-signed")
         sides = zip("ab", tiles(open_, percent))
         named = lambda x: [F.col("node").alias(x), F.col("component").alias(f"c{x}"), F.col("n_shingles").alias(f"size_{x}"), *[F.col(f"s{i}").alias(f"s{x}{i}") for i in range(WORDS_64)]]
         left, right = (side.select("tile", *named(x)) for x, side in sides)
