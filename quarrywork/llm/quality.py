@@ -29,7 +29,7 @@ SMOOTH = 0.1
 #: How much worse it is to reject a good document than to keep a bad one, in setting the cut.
 COST = 4.0
 TEMPERATURE, SEED = 1.0, 97
-KNOWN = 250_000
+KNOWN = 100_000
 #: Tokens taken at once, so that memory does not follow the length of a text.
 BLOCK = 1 << 18
 _TOKEN = re.compile(r"\w+|[^\w\s]")
@@ -63,6 +63,11 @@ class Tokens(dict):
         self[chunk] = codes = self.codes[chunk] if chunk.isalpha() else b"".join([self.codes[t] for t in _TOKEN.findall(chunk)])
         return codes
 
+    def forget(self) -> None:
+        """At the end of a task: the worker lives on and keeps no memory of it."""
+        self.codes.clear(), self.clear()
+        pa.default_memory_pool().release_unused()
+
 
 def ngrams(text: str | None, known: Tokens) -> np.ndarray:
     """The bucket of every n-gram. A block sees the three tokens before it, and gives the n-grams that end inside it."""
@@ -93,6 +98,7 @@ def count_ngrams(docs: DataFrame) -> np.ndarray:
         for batch in parts(batches):
             for text in batch.column(0).to_pylist():
                 total += np.bincount(ngrams(text, known), minlength=SIZE)
+        known.forget()
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(SIZE)), pa.array(total)], ["bucket", "n"])
 
     rows = docs.select("text").mapInArrow(run, schema("bucket long, n long")).groupBy("bucket").agg(F.sum("n").alias("n")).collect()
@@ -124,6 +130,7 @@ def _weigh(ratios, at: int):
         for batch in parts(batches):
             weights = [float(ratios.value[ngrams(t, known)].sum()) for t in batch.column(at).to_pylist()]
             yield batch.append_column("weight", pa.array(weights, pa.float64()))
+        known.forget()
 
     return run
 
