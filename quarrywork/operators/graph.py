@@ -19,9 +19,11 @@ def dependency_edges(resolved: DataFrame) -> DataFrame:
 
 
 def valid_edges(edges: DataFrame, files: DataFrame) -> DataFrame:
-    ends = files.select("repo_id", P.file_id(F.col("path")).alias("id"))
+    """The edges between two of files (repo_id, path; without repo_id the paths hold for all repositories)."""
+    own = [c for c in files.columns if c == "repo_id"]
+    ends = files.select(*own, P.file_id(F.col("path")).alias("id"))
     for end in ("source", "target"):
-        edges = edges.join(ends.withColumnRenamed("id", end), ["repo_id", end], "left_semi")
+        edges = edges.join(ends.withColumnRenamed("id", end), [*own, end], "left_semi")
     return edges.filter("source <> target")
 
 
@@ -76,7 +78,7 @@ def related_files(edges: DataFrame, selection: DataFrame) -> DataFrame:
 def budget_edges(edges: DataFrame, most: int = 1500, selection: DataFrame | None = None, focus: DataFrame | None = None, drawable: DataFrame | None = None, most_selected: int = 4000, most_focused: int = 5000) -> DataFrame:
     """The heaviest edges of each repository, ties by id, with their role; self-edges and those of files that are not drawable go.
 
-    selection (repo_id, file): its edges, outgoing, incoming or internal. Else focus (repo_id, file): the edges inside it. Else the top of all.
+    selection (repo_id, file): its edges, outgoing, incoming or internal. Else focus (repo_id, file): the edges inside it. Else the top of all. Files without repo_id hold for all repositories.
     """
     own = edges.filter("source <> target")
     for end in ("source", "target") if drawable is not None else ():
@@ -84,9 +86,10 @@ def budget_edges(edges: DataFrame, most: int = 1500, selection: DataFrame | None
     marked = selection if selection is not None else focus
     role = F.lit("top")
     if marked is not None:
-        marked = marked.select("repo_id", "file").distinct()
+        by = [c for c in marked.columns if c == "repo_id"]
+        marked = marked.select(*by, "file").distinct()
         for end in ("source", "target"):
-            own = own.join(marked.select("repo_id", F.col("file").alias(end), F.lit(True).alias(f"has_{end}")), ["repo_id", end], "left")
+            own = own.join(marked.select(*by, F.col("file").alias(end), F.lit(True).alias(f"has_{end}")), [*by, end], "left")
         both, any_ = F.col("has_source").isNotNull() & F.col("has_target").isNotNull(), F.col("has_source").isNotNull() | F.col("has_target").isNotNull()
         own = own.filter(any_ if selection is not None else both)
         role = F.when(both, "internal").when(F.col("has_source").isNotNull(), "outgoing").otherwise("incoming") if selection is not None else F.lit("focus")
