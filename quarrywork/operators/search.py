@@ -25,6 +25,8 @@ PRIORS = {"class": 4, "interface": 4, "struct": 4, "trait": 4, "enum": 3, "type"
 LOW = -(10**9)
 #: Queries that are broadcast at most; more of them meet the index in a shuffled join.
 FEW_QUERIES = 20_000
+#: Least scores that are broadcast at most, one for each query and repository.
+FEW_LEAST = 200_000
 
 
 def search_entries(directories: DataFrame, files: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -213,6 +215,8 @@ def matches(queries: DataFrame, texts: DataFrame) -> DataFrame:
     a task, counted; then the texts meet the queries under these, in a hash join, and what they find is checked in whole.
     """
     low = F.lower("text")
+    # texts are short and their pairs many: their bytes say nothing of the work, so tasks are not joined by them
+    texts = texts.repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("text"))
     asked = queries.select("query_id", F.explode(query_keys(F.col("query"))).alias("key"))
     few = queries.count() <= FEW_QUERIES
     side = F.broadcast if few else (lambda df: df)
@@ -220,8 +224,7 @@ def matches(queries: DataFrame, texts: DataFrame) -> DataFrame:
     counts = settle(posted.groupBy("key").agg(F.count("*").alias("n")), "search-counts")
     best = asked.join(counts, "key", "left").groupBy("query_id").agg(F.min_by("key", F.struct(F.coalesce("n", F.lit(0)), "key")).alias("key"), F.min(F.coalesce("n", F.lit(0))).alias("n"))
     best = settle(queries.join(best.filter("n > 0").drop("n"), "query_id").withColumn("pattern", _in_order(F.col("query"))), "search-keys")
-    wanted = side(best.select("key").distinct())
-    found = texts.select("text", F.explode(pairs_in_order(low)).alias("key")).join(wanted, "key", "left_semi").join(side(best), "key")
+    found = texts.select("text", F.explode(pairs_in_order(low)).alias("key")).join(side(best), "key")
     holds = F.col("asked").bitwiseAND(F.bitwise_not(character_mask(low))) == 0
     return found.filter(holds).filter(F.like(low, F.col("pattern"))).drop("key", "pattern")
 
@@ -232,29 +235,70 @@ def prepared(queries: DataFrame) -> DataFrame:
     return settle(q.withColumn("asked", character_mask(F.col("query"))).withColumn("is_path", F.col("query").contains("/")), "search-queries")
 
 
-def candidate_pairs(queries: DataFrame, entries: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(by name, by path): query_id, query, original, text and the entries' columns, for entries whose name (of queries without a slash) or path holds the query in order."""
-    q = prepared(queries)
-    named = matches(q.filter("NOT is_path"), entries.select(F.col("name").alias("text")).distinct())
-    pathed = matches(q, entries.filter("path <> ''").select(F.col("path").alias("text")).distinct())
-    both = []
-    for found, column in ((named, "name"), (pathed, "path")):
-        found = settle(found.select("query_id", "query", "original", "text"), f"search-{column}s")
-        both.append(entries.filter(F.col(column) != "").join(found, F.col(column) == F.col("text")))
-    return both[0], both[1]
-
-
-def scored_pairs(queries: DataFrame, entries: DataFrame) -> DataFrame:
-    """Candidates with by_name and score; the path counts only where the name does not match. Each query and text is aligned once, however many entries have the text."""
-    none, key = F.lit(float("-inf")), ["query_id", "repo_id", "kind", "id"]
-    by_name, by_path = candidate_pairs(queries, entries)
-
-    def aligned(pairs: DataFrame, label: str) -> DataFrame:
-        texts = pairs.select("query_id", "query", "original", "text").distinct().withColumn("dp", fuzzy_score("query", "original", "text"))
-        return pairs.join(settle(texts.filter(F.col("dp") > none).select("query_id", "text", "dp"), label), ["query_id", "text"])
-
-    names = aligned(by_name, "search-name-scores").withColumn("by_name", F.lit(True))
-    paths = aligned(by_path.join(names.select(*key), key, "left_anti"), "search-path-scores").withColumn("by_name", F.lit(False))
+def asked_once(q: DataFrame) -> DataFrame:
+    """Of prepared queries that ask the same the one with the smallest query_id."""
+    return q.groupBy("query", "original", "asked", "is_path").agg(F.min("query_id").alias("query_id"))
+
+
+def for_all(q: DataFrame, answers: DataFrame) -> DataFrame:
+    """The answers to the queries asked once, for each of the prepared queries."""
+    same = asked_once(q).select("query", "original", F.col("query_id").alias("_once"))
+    same = q.select("query_id", "query", "original").join(same, ["query", "original"]).select(F.col("query_id").alias("_each"), F.col("_once").alias("query_id"))
+    rest = [c for c in answers.columns if c != "query_id"]
+    return answers.join(same, "query_id").select(F.col("_each").alias("query_id"), *rest)
+
+
+def candidate_texts(once: DataFrame, entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(names, paths): query_id, query, original, is_path, text, for each different name (of queries without a slash) and path that holds the query in order."""
+    named = matches(once.filter("NOT is_path"), entries.select(F.col("name").alias("text")).distinct())
+    pathed = matches(once, entries.filter("path <> ''").select(F.col("path").alias("text")).distinct())
+    return tuple(settle(found.select("query_id", "query", "original", "is_path", "text"), label) for found, label in ((named, "search-names"), (pathed, "search-paths")))
+
+
+def having(entries: DataFrame, found: DataFrame, column: str) -> DataFrame:
+    """The entries of the texts found. Texts pack so well that Spark would take millions of them for a table to broadcast; they are merged, and only what is left of the pairs in a task should leave it."""
+    return entries.filter(F.col(column) != "").join(found.hint("merge"), F.col(column) == F.col("text"))
+
+
+def _name_holds() -> Column:
+    return ~F.col("is_path") & F.like(F.lower("name"), _in_order(F.col("query")))
+
+
+def candidate_counts(queries: DataFrame, entries: DataFrame) -> DataFrame:
+    """query_id, repo_id, names, paths, last: how many entries hold the query in order in their name (of queries without a slash) and path, and the largest id of these.
+
+    The entries of a text are counted before they meet the queries, and pairs are counted where they come about.
+    """
+    q, entries = prepared(queries), settle(entries.select("repo_id", "id", "name", "path"), "search-entries")
+    parts = []
+    for found, column, is_name in zip(candidate_texts(asked_once(q), entries), ("name", "path"), (1, 0)):
+        texts = entries.groupBy("repo_id", column).agg(F.count("*").alias("n"), F.max("id").alias("last"))
+        parts.append(having(texts, found, column).select("query_id", "repo_id", (F.col("n") * is_name).alias("names"), (F.col("n") * (1 - is_name)).alias("paths"), "last"))
+    both = parts[0].unionByName(parts[1]).groupBy("query_id", "repo_id")
+    return for_all(q, both.agg(F.sum("names").alias("names"), F.sum("paths").alias("paths"), F.max("last").alias("last")))
+
+
+def tier_counts(queries: DataFrame, entries: DataFrame) -> DataFrame:
+    """query_id, tier, entries: how many candidates of each query are in each tier; an entry whose name holds the query counts by its name alone."""
+    q, entries = prepared(queries), settle(entries.select("name", "stem", "path"), "search-entries")
+    named, pathed = candidate_texts(asked_once(q), entries)
+    names = having(entries.groupBy("name", "stem").agg(F.count("*").alias("n")).withColumn("path", F.lit("")), named, "name").select("query_id", rank_tier(F.lit(True)).alias("tier"), "n")
+    paths = having(entries.groupBy("name", "stem", "path").agg(F.count("*").alias("n")), pathed, "path").filter(~F.coalesce(_name_holds(), F.lit(False))).select("query_id", rank_tier(F.lit(False)).alias("tier"), "n")
+    return for_all(q, names.unionByName(paths).groupBy("query_id", "tier").agg(F.sum("n").alias("entries")))
+
+
+def scored_pairs(once: DataFrame, entries: DataFrame) -> DataFrame:
+    """The candidates of queries asked once with by_name and score; the path counts only where the name does not match. Each query and text is aligned once, however many entries have the text."""
+    none = F.lit(float("-inf"))
+
+    def aligned(found: DataFrame, label: str) -> DataFrame:
+        return settle(found.sortWithinPartitions("query_id").withColumn("dp", fuzzy_score("query", "original", "text")).filter(F.col("dp") > none), label)
+
+    named, pathed = candidate_texts(once, entries)
+    names = having(entries, aligned(named, "search-name-scores"), "name").withColumn("by_name", F.lit(True))
+    paths = having(entries, aligned(pathed, "search-path-scores"), "path")
+    # a name that holds the query and cannot be aligned leaves it to the path
+    paths = paths.filter(fuzzy_score("query", "original", F.when(_name_holds(), F.col("name")).otherwise("")) == none).withColumn("by_name", F.lit(False))
     return names.unionByName(paths).drop("text").withColumn("score", rank_tier(F.col("by_name")) + F.col("dp") + F.col("bias"))
 
 
@@ -262,18 +306,24 @@ def search_top_k(queries: DataFrame, entries: DataFrame, k: int = 50, kinds: tup
     """query_id, repo_id, kind, id, title, score, place, positions (in the title, of the characters that matched): the k best entries of each query in each repository.
 
     kinds: only these. An empty query gets the repository's suggestions (repo_id, kind, id, title, place), if given, without score.
-    The path is looked at only where the name does not match.
+    The path is looked at only where the name does not match. The candidates of each hundredth of a score are counted first; those below the hundredth that
+    the k-th falls into are left where they come about, and the rest are ranked.
     """
     if kinds:
         entries = entries.filter(F.col("kind").isin(*kinds))
-    scored = scored_pairs(queries, entries)
+    q = prepared(queries)
+    scored = scored_pairs(asked_once(q), settle(entries, "search-entries")).withColumn("step", F.floor(F.col("score") * 100))
+    steps = scored.groupBy("query_id", "repo_id", "step").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("query_id", "repo_id").orderBy(F.desc("step"))) - F.col("n")
+    least = settle(steps.withColumn("before", before).filter(F.col("before") < k).groupBy("query_id", "repo_id").agg(F.min("step").alias("least")), "search-least")
+    least = F.broadcast(least) if least.count() <= FEW_LEAST else least.hint("merge")
     place = F.row_number().over(Window.partitionBy("query_id", "repo_id").orderBy(F.desc("score"), "title", "id"))
-    top = scored.withColumn("place", place).filter(F.col("place") <= k)
+    top = scored.join(least, ["query_id", "repo_id"]).filter("step >= least").withColumn("place", place).filter(F.col("place") <= k)
     at = match_positions("query", "original", F.when(F.col("by_name"), F.col("name")).otherwise(F.col("path")))
     offset = F.when(F.col("by_name"), 0).otherwise(F.length("path") - F.length("name"))
     found = top.withColumn("found", at).withColumn("offset", offset)
     found = found.withColumn("positions", F.transform(F.filter("found", lambda p: p >= F.col("offset")), lambda p: p - F.col("offset")))
-    out = found.select("query_id", "repo_id", "kind", "id", "title", "score", "place", "positions")
+    out = for_all(q, found.select("query_id", "repo_id", "kind", "id", "title", "score", "place", "positions"))
     if suggested is None:
         return out
     empty = queries.filter(F.coalesce(X.prepare_query(F.col("query")), F.lit("")) == "").select("query_id")

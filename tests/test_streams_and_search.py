@@ -212,3 +212,22 @@ def test_index_finds_what_a_scan_finds(spark, monkeypatch):
         got = E.matches(queries, df)
         assert sorted((r.query_id, r.text) for r in got.select("query_id", "text").collect()) == want
     assert "NestedLoop" not in got._jdf.queryExecution().toString() and "Cartesian" not in got._jdf.queryExecution().toString()
+
+
+def test_search_broadcasts_no_texts_and_ranks_few(spark):
+    """Queries that ask the same are searched once, texts found are never broadcast, and only rows about the k-th score are ranked; results as of a scan."""
+    entries = spark.range(4000).selectExpr(
+        "concat('r', id % 2) AS repo_id", "'symbol' AS kind", "concat('sym:', id) AS id", "concat('n', id % 1000, '()') AS title", "concat('n', id % 1000) AS name", "'' AS stem", "'' AS path", "CAST(id % 3 AS INT) AS prior", "id % 3 - 0.01D AS bias")
+    queries = spark.createDataFrame([(i, "n1" if i < 6 else f"n{i}") for i in range(12)], ["query_id", "query"])
+    held = {(q.query_id, e.id): e for q in queries.collect() for e in entries.collect() if E.is_subsequence(q.query, e.name)}
+    counts = E.candidate_counts(queries, entries)
+    assert "BroadcastHashJoin" not in counts._jdf.queryExecution().optimizedPlan().toString() and "strategy=merge" in counts._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.query_id, r.repo_id): (r.names, r["last"]) for r in counts.collect()} == {
+        k: (len(ids), max(ids)) for k in {(q, e.repo_id) for (q, _), e in held.items()} for ids in [[i for (q, i), e in held.items() if (q, e.repo_id) == k]]}
+    got = E.search_top_k(queries, entries, 3).collect()
+    tier = lambda q, e: 40_000 if e.name == q else 30_000 if e.name.startswith(q) else 20_000
+    asked = {q.query_id: q.query for q in queries.collect()}
+    score = {(asked[q], e.name): tier(asked[q], e) + E.best_alignment(asked[q], asked[q], e.name) for (q, _), e in held.items()}
+    for k in {(q, e.repo_id) for (q, _), e in held.items()}:
+        want = sorted((-(score[asked[q], e.name] + e.bias), e.title, i) for (q, i), e in held.items() if (q, e.repo_id) == k)[:3]
+        assert [r.id for r in sorted(got, key=lambda r: r.place) if (r.query_id, r.repo_id) == k] == [i for _, _, i in want]
