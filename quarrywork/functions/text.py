@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import characters as C
 from . import values as V
+from .names import let
 
 MASK = "[REDACTED]"
 
@@ -41,9 +43,11 @@ def redact_secrets(text: Column, literals: Sequence[str] = ()) -> Column:
     for literal in literals:
         if len(literal.strip()) >= 8:
             text = F.replace(text, F.lit(literal.strip()), F.lit(MASK))
-    for prefix in V.TOKEN_PREFIXES:
-        text = F.regexp_replace(text, rf"\b{prefix}\w+", MASK)
-    return _without_url_passwords(_without_parameters(_without_authorization(text)))
+    # each step's text is bound, as the next names it many times
+    some = lambda t: F.when(F.exists(F.array(*map(F.lit, V.TOKEN_PREFIXES)), t.contains), F.regexp_replace(t, rf"\b(?:{'|'.join(V.TOKEN_PREFIXES)})\w+", MASK)).otherwise(t)
+    for step in (some, _without_authorization, _without_parameters, _without_url_passwords):
+        text = let(text, step)
+    return text
 
 
 def _runs(text: Column, separators: str) -> Column:
@@ -62,7 +66,9 @@ def _without_authorization(text: Column) -> Column:
 
     def shown(word: Column, before: Column) -> Column:
         credential = F.substring_index(F.translate(word, ";\"'", ",,,"), ",", 1)
-        named = _last_word(before).isin(*V.AUTHORIZATION_SCHEMES) & (F.trim(word) != "")
+        ends = F.lower(F.right(before, F.lit(max(map(len, V.AUTHORIZATION_SCHEMES)))))
+        likely = reduce(Column.__or__, [ends.endswith(w) for w in V.AUTHORIZATION_SCHEMES])
+        named = likely & _last_word(before).isin(*V.AUTHORIZATION_SCHEMES) & (F.trim(word) != "")
         return F.when(named & (credential != ""), F.concat(F.lit(MASK), F.substr(word, F.length(credential) + 1))).otherwise(word)
 
     none = F.lit(None).cast("string")
@@ -99,10 +105,7 @@ def _without_url_passwords(text: Column) -> Column:
 
 
 def _mentions(text: Column, words: Sequence[str]) -> Column:
-    low, found = F.lower(text), F.lit(False)
-    for w in words:
-        found = found | low.contains(w)
-    return found
+    return let(F.lower(text), lambda low: reduce(Column.__or__, [low.contains(w) for w in words]))
 
 
 def is_sensitive_key(key: Column) -> Column:

@@ -178,3 +178,13 @@ def test_forest_by_doubling(spark):
     tree = rows.filter("g <> 'c'")
     got = forest.any_below(tree, ["g"], F.expr("g = 'a' AND id = 880 OR g = 'b' AND id IN (3, 150)"), 899)
     assert {(r.g, r.id) for r in got.collect()} == {(g, j) for g, i in flagged for j in above(g, i)[0]}
+
+
+def test_redaction_works_each_step_out_once(spark):
+    from quarrywork.functions import text as X
+
+    texts = ["ghp_a1 x ghs_b", "ghp_ github_pat_x", "Bearer a.b, BASIC ghp_x; my_basic c basic", "https://u:ghp_p@h/?token=bearer x&sig=1=2", "https://u:basic p@h", None, ""]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", X.redact_secrets(F.col("t")).alias("r"))
+    assert [r.r for r in df.orderBy("i").collect()] == [
+        "[REDACTED] x [REDACTED]", "ghp_ [REDACTED]", "Bearer [REDACTED], BASIC [REDACTED]; my_basic c basic", "https://[REDACTED]@h/?token=[REDACTED] [REDACTED]", "https://u:basic [REDACTED]", None, ""]
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") <= 2
