@@ -20,6 +20,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PART_ROWS, PART_BYTES = 512, 16 << 20
 #: A side with at most this many short rows may be broadcast.
 FEW = 200_000
+#: At most this many words, each with the marks of 64 rows that stand side by side, are broadcast: 32 million rows and about 32 MB.
+MARKS = 500_000
 #: A key is hot from this share of all rows, so there are at most 1 / HOT_SHARE hot keys.
 HOT_SHARE = 0.001
 
@@ -53,6 +55,27 @@ def keyed_rows(docs: DataFrame, label: str) -> tuple[DataFrame, dict[str, str]]:
     return rows, dict(zip(docs.columns, plain.columns, strict=True))
 
 
+def take_rows(rows: DataFrame, taken: DataFrame, most: int, label: str, marks: int = MARKS) -> DataFrame:
+    """rows of keyed_rows, each as often as taken(_row, passes) says, 0 to `most` times; those that taken lacks go. taken has a row number at most once.
+
+    Rows hold texts and stay where they are: a bit a pass marks each row, 64 rows make a word, and the words are broadcast. Beyond `marks` words
+    rows and numbers meet in a shuffle.
+    """
+    taken = settle(taken.select("_row", "passes"), label)
+    place = (F.col("_row").bitwiseAND(63)).cast("int")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), place)
+    bits = [F.bit_or(F.when(F.col("passes") > p, bit).otherwise(F.lit(0).cast("long"))).alias(f"_bits{p}") for p in range(most)]
+    words = settle(taken.filter("passes > 0").groupBy(F.shiftright("_row", 6).alias("_word")).agg(*bits), f"{label}-marks")
+    if words.count() <= marks:
+        passes = sum((F.getbit(f"_bits{p}", place).cast("int") for p in range(most)), F.lit(0))
+        found = rows.join(F.broadcast(words), F.shiftright("_row", 6) == F.col("_word")).withColumn("passes", passes).filter("passes > 0").drop(*words.columns)
+    else:
+        found = rows.join(taken.filter("passes > 0"), "_row")
+    if most > 1:
+        found = found.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("passes")))).drop("_copy")
+    return found.drop("passes")
+
+
 def hot_join(left: DataFrame, right: DataFrame, key: str, count: str, how: str = "left", written: bool = False) -> DataFrame:
     """Equi-join of a large left side with a right side that has one row for each key and the key's left rows in `count`.
 

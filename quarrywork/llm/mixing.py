@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, cut_at, keyed_rows, settle, table, up_to
+from .common import WORD, cut_at, keyed_rows, settle, table, take_rows, up_to
 
 WEIGHTS, MOST = (5, 2, 1), 3
 #: Hex digits of the shuffle key that split a source's queue into parts (16 ** 3 of them), so that no task sorts a whole source.
@@ -78,7 +78,7 @@ def apply_mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
     shuffle = F.concat(F.md5(F.coalesce(doc_id.cast("string"), F.concat(F.lit("row "), digits))), digits)
     asked = rows.select(F.col("_row").alias("doc_id"), F.col(at["text"]).alias("text"), F.col(at["source"]).alias("source"), shuffle.alias("_shuffle"))
     taken = mix(asked, weights, most, F.col("_shuffle"))
-    copies = rows.join(taken.filter("passes > 0").select(F.col("doc_id").alias("_row"), "passes"), "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("passes"))))
+    copies = take_rows(rows, taken.select(F.col("doc_id").alias("_row"), "passes"), most, "mix-taken")
     return copies.select(*at.values()).toDF(*at)
 
 

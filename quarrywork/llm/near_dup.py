@@ -19,7 +19,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hot_join, keyed_rows, parts, schema, settle, ship, table
+from ..shared import Steps
+from .common import hot_join, keyed_rows, parts, schema, settle, ship, table, take_rows
 from .components import components
 
 #: PERCENT is the contract of op4; the pipeline, which has none, links from PIPELINE_PERCENT.
@@ -221,9 +222,14 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     # a node is a text class; its number is that of its first row
     same = settle(signed.filter("words_key IS NOT NULL").groupBy("words_key").agg(F.min("row").alias("node"), F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "dup-copies")
     nodes = signed.join(same.select("node"), F.col("row") == F.col("node"), "left_semi").select(F.col("row").alias("node"), "key", "words_key", "n_shingles", "bands")
-    buckets = settle(nodes.select("node", F.explode("bands").alias("band")), "dup-bands")
-    groups = settle(buckets.groupBy("band").agg(F.min("node").alias("pivot"), F.max("node").alias("last"), F.count("*").alias("n")).filter("pivot < last").drop("last"), "dup-groups")
-    shared = settle(hot_join(buckets, groups, "band", "n", "inner", written=True), "dup-buckets")
+    bands = Steps(docs.sparkSession)
+    try:
+        with bands:
+            buckets = settle(nodes.select("node", F.explode("bands").alias("band")), "dup-bands")
+            groups = settle(buckets.groupBy("band").agg(F.min("node").alias("pivot"), F.max("node").alias("last"), F.count("*").alias("n")).filter("pivot < last").drop("last"), "dup-groups")
+        shared = settle(hot_join(buckets, groups, "band", "n", "inner", written=True), "dup-buckets")
+    finally:
+        bands.close()
     wanted = settle(nodes.select("node", "key", "words_key").join(shared.select("node").distinct(), "node", "left_semi"), "dup-wanted")
     texts = source.select("key", "text").join(wanted.select("key").distinct(), "key", "left_semi").mapInArrow(_keyed, schema("key long, text string, words_key binary"))
     texts = settle(texts.join(wanted, ["key", "words_key"]).select("node", "text").dropDuplicates(["node"]), "dup-texts")
@@ -277,11 +283,17 @@ def _same_ids(signed: DataFrame, same: DataFrame) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame, percent: int = PIPELINE_PERCENT) -> DataFrame:
     """One row of each component: the one with the smallest id, rows without an id last. Every row counts by itself, whatever its id; of equal rows one stays."""
     rows, at = keyed_rows(docs, "dup-rows")
-    found = near_duplicates(rows.select(F.col("_row").alias("doc_id"), F.col(at["text"]).alias("text")), percent).select(F.col("doc_id").alias("_row"), "component_id")
-    doc_id = F.col(at["doc_id"])
-    ranks = rows.select("_row", F.struct(doc_id.isNull().alias("no_id"), doc_id.alias("id"), "_hash", "_row").alias("rank"))
-    kept = found.join(ranks, "_row").groupBy("component_id").agg(F.min("rank").alias("rank")).select("rank._row")
-    return rows.join(kept, "_row", "left_semi").select(*at.values()).toDF(*at)
+    work = Steps(docs.sparkSession)
+    try:
+        with work:
+            found = near_duplicates(rows.select(F.col("_row").alias("doc_id"), F.col(at["text"]).alias("text")), percent).select(F.col("doc_id").alias("_row"), "component_id")
+        doc_id = F.col(at["doc_id"])
+        ranks = rows.select("_row", F.struct(doc_id.isNull().alias("no_id"), doc_id.alias("id"), "_hash", "_row").alias("rank"))
+        kept = found.join(ranks, "_row").groupBy("component_id").agg(F.min("rank").alias("rank")).select("rank._row", F.lit(1).alias("passes"))
+        one = take_rows(rows, kept, 1, "dup-kept")
+    finally:
+        work.close()
+    return one.select(*at.values()).toDF(*at)
 
 
 def op4_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:

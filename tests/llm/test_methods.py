@@ -2,11 +2,13 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 import threading
 import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -14,6 +16,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from quarrywork import shared
 from quarrywork.llm import common, language, media, mixing, near_dup, packing, pii, quality, sampling, toxicity
 
 SMALL = "/root/testdata/sf0.001"
@@ -205,6 +208,55 @@ def test_clashing_columns_and_repeated_rows(spark):
     assert packing.pack(parts).columns == [*parts.columns, "sequence_id", "offset"]
 
 
+def test_stages_leave_texts_where_they_are(spark):
+    """Texts are not shuffled to drop or repeat rows, and what led to near duplicates is gone before the rows that stay are written once more."""
+    text = lambda i: " ".join(f"{i}w{k}" for k in range(30))
+    docs = spark.createDataFrame([(i, text(i % 90), "en", "s", 10) for i in range(300)], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    few = "spark.sql.autoBroadcastJoinThreshold"
+    before, folder = spark.conf.get(few), shared.shared_dir(spark).removeprefix("file:")
+    there = set(os.listdir(folder))
+    spark.conf.set(few, "-1")
+    try:
+        with shared.Steps(spark) as work:
+            one = near_dup.drop_near_duplicates(docs)
+            assert {p[:-33] for p in set(os.listdir(folder)) - there} == {"dup-rows", "dup-kept", "dup-kept-marks"}
+            many = mixing.apply_mix(docs)
+        for df in (one, many):
+            assert "Exchange hashpartitioning" not in df._jdf.queryExecution().executedPlan().toString()
+        assert sorted(r.doc_id for r in one.collect()) == list(range(90)) and sorted(r.doc_id for r in many.collect()) == list(range(300))
+    finally:
+        spark.conf.set(few, before)
+    work.close()
+
+
+@pytest.mark.parametrize("marks", [common.MARKS, 0])
+def test_rows_are_taken_as_often_as_asked(spark, marks):
+    docs = spark.range(1000).select(F.col("id").alias("doc_id")).repartition(3)
+    rows, at = common.keyed_rows(docs, "test-rows")
+    passes = {i: i * 7 % 4 for i in range(1000) if i % 10}
+    asked = spark.createDataFrame(list(passes.items()), "doc_id long, passes int").withColumnRenamed("doc_id", at["doc_id"])
+    taken = rows.join(asked, at["doc_id"]).select("_row", "passes")
+    got = Counter(r[0] for r in common.take_rows(rows, taken, 3, "test-taken", marks).select(at["doc_id"]).collect())
+    assert got == {i: n for i, n in passes.items() if n}
+
+
+def test_a_step_leaves_no_shuffle_files(spark):
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        found = manager.getAllFiles()
+        return {n for i in range(found.size()) if (n := found.apply(i).getName()).startswith("shuffle_")}
+
+    before, own = files(), spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    frame = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    step = common.settle(frame, "test-shuffled")
+    until = time.time() + 20
+    while files() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not files() - before and step.count() == frame.count() == 7
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == own
+
+
 def test_repeated_rows_fill_sequences(spark):
     rows = spark.range(3000).select(F.lit(1).cast("long").alias("doc_id"), F.lit(30).cast("long").alias("length"))
     packed = packing.pack(rows, size=100, cell=500).groupBy("sequence_id").agg(F.sum("length").alias("n"), F.countDistinct("offset").alias("k"), F.count("*").alias("m")).collect()
