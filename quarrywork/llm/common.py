@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -37,11 +38,23 @@ def ship(spark: SparkSession) -> None:
 
 
 def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of at most PART_ROWS rows and, but for a single longer row, about PART_BYTES bytes."""
+    """The same rows in batches of at most PART_ROWS rows and, but for a single longer row, about PART_BYTES bytes.
+
+    After the last one the worker, which lives on, gives back what memory is free.
+    """
     for batch in batches:
         rows = max(1, min(PART_ROWS, batch.num_rows * PART_BYTES // max(1, batch.nbytes)))
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+        batch = None
+    give_back()
+
+
+def give_back() -> None:
+    """Returns free memory of Arrow and, where the C library can do it, of Python to the system."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 def keyed_rows(docs: DataFrame, label: str) -> tuple[DataFrame, dict[str, str]]:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut_at, parts, schema, settle, ship, table, up_to
+from .common import cut_at, give_back, parts, schema, settle, ship, table, up_to
 from .sampling import labelled_sample
 
 #: Labelled documents of each class that the target model and the cut are learned from.
@@ -66,7 +66,7 @@ class Tokens(dict):
     def forget(self) -> None:
         """At the end of a task: the worker lives on and keeps no memory of it."""
         self.codes.clear(), self.clear()
-        pa.default_memory_pool().release_unused()
+        give_back()
 
 
 def ngrams(text: str | None, known: Tokens) -> np.ndarray:

@@ -11,6 +11,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -257,6 +258,17 @@ def test_a_step_leaves_no_shuffle_files(spark):
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == own
 
 
+def test_workers_give_memory_back(monkeypatch):
+    """Python workers outlive a task, and those of a former stage stand beside the next one's."""
+    called = []
+    monkeypatch.setattr(common, "give_back", lambda: called.append("parts"))
+    monkeypatch.setattr(quality, "give_back", lambda: called.append("tokens"))
+    batches = [pa.RecordBatch.from_pydict({"text": [str(i)] * 600}) for i in range(3)]
+    assert [b.num_rows for b in common.parts(iter(batches))] == [512, 88] * 3 and called == ["parts"]
+    quality.Tokens().forget()
+    assert called == ["parts", "tokens"]
+
+
 def test_repeated_rows_fill_sequences(spark):
     rows = spark.range(3000).select(F.lit(1).cast("long").alias("doc_id"), F.lit(30).cast("long").alias("length"))
     packed = packing.pack(rows, size=100, cell=500).groupBy("sequence_id").agg(F.sum("length").alias("n"), F.countDistinct("offset").alias("k"), F.count("*").alias("m")).collect()
